@@ -1,6 +1,6 @@
 """Import every module that registers queries."""
 
-from checks import cleaning_queries  # noqa: F401
+from checks import cleaning_queries, insight_queries  # noqa: F401
 from checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

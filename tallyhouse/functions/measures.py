@@ -11,6 +11,15 @@ def total(col: str | Column) -> Column:
     return F.coalesce(F.sum(col).cast("double"), F.lit(0.0))
 
 
+def mean(col: str | Column) -> Column:
+    """Mean of the values present, as one division of the exact total by their count.
+
+    Unlike ``avg`` over doubles it does not depend on the order rows are summed in
+    when the column is a decimal.
+    """
+    return F.try_divide(F.sum(col).cast("double"), F.count(col).cast("double"))
+
+
 def share(part: Column, whole: Column) -> Column:
     """``part / whole``, NULL for a zero whole."""
     return F.try_divide(part.cast("double"), whole.cast("double"))

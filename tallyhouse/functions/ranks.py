@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 # Groups up to this many rows may be buffered by one task.
-BUFFER_ROWS = 2_000_000
+BUFFER_ROWS = 100_000
 # Rank error of the sketch is rows / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 10_000
 
@@ -178,9 +178,9 @@ def grouped_medians(
     )
     hit = blocks.where(F.exists(
         "ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("in_block"))))
-    same = [ordered[k].eqNullSafe(hit[k]) for k in [*group, "block"]]
-    inside = ordered.join(hit, same).select(
-        *[ordered[k] for k in [*group, "block"]], "v", "n", "before", "ranks")
+    named = hit.select(*[F.col(k).alias(f"_{k}") for k in [*group, "block"]], "before", "ranks")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*group, "block"]]
+    inside = ordered.join(named, same)
     upto = F.col("before") + F.sum("n").over(
         Window.partitionBy(*group, "block").orderBy("v"))
     picked = (

@@ -37,12 +37,15 @@ def strip(col: Column) -> Column:
 
 def clean(col: Column) -> Column:
     """Trimmed text, with the missing-value words turned into NULL."""
-    trimmed = strip(col)
-    return F.when(~trimmed.isin(*MISSING_WORDS), trimmed)
+    value = strip(col)
+    for word in MISSING_WORDS:
+        value = F.nullif(value, F.lit(word))
+    return value
 
 
 def squeeze(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)[\s\x1c-\x1f]+", " ")
+    """Trimmed text with every run of white space as one blank."""
+    return F.trim(F.regexp_replace(col, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def title(col: Column) -> Column:

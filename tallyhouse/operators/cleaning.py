@@ -22,6 +22,7 @@ LABELS = ("category", "product", "region")
 IDS = ("customer_id", "order_id")
 NEGATIVE_IS_MISSING = {"report": ("quantity", "price", "discount"),
                        "model": ("quantity", "price", "sales")}
+COPIES = "_copies"
 MODEL_MEASURES = ("quantity", "price", "sales", "customer_purchase_count")
 # Lower bounds of the model frame.
 LOWER_BOUNDS = {"quantity": 1.0, "price": 0.01, "sales": 0.01}
@@ -52,17 +53,19 @@ def title_case(
     df: DataFrame, cols: Sequence[str] = LABELS, collapse: bool = True
 ) -> DataFrame:
     """Title-case labels, after joining runs of blanks to one if ``collapse``."""
-    def case(c: str) -> Column:
-        value = F.col(c).cast("string")
-        return text.title(text.squeeze(text.strip(value)) if collapse else value)
-    return _replace(df, {c: case(c) for c in _present(df, cols)})
+    found = _present(df, cols)
+    # A step of its own: ``title`` reads its input three times.
+    plain = _replace(df, {c: text.squeeze(F.col(c).cast("string")) if collapse
+                          else F.col(c).cast("string") for c in found})
+    return _replace(plain, {c: text.title(F.col(c)) for c in found})
 
 
 def numbers(df: DataFrame, cols: Sequence[str] = MEASURES) -> DataFrame:
     """Measures as double; text is coerced, NaN is missing."""
     def number(c: str) -> Column:
-        value = text.to_number(F.col(c)) if _is_text(df, c) else F.col(c).cast("double")
-        return F.when(~F.isnan(value), value)
+        if _is_text(df, c):
+            return text.to_number(F.col(c))
+        return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
     return _replace(df, {c: number(c) for c in _present(df, cols)})
 
 
@@ -293,14 +296,14 @@ def model_frame(df: DataFrame, as_of: datetime) -> DataFrame:
 
 @dataclass
 class Prepared:
-    """Result of a cleaning run; the frames are lazy."""
+    """Result of a cleaning run; the frames are lazy. ``counted`` holds each distinct
+    row once, with the number of its copies."""
 
     raw: DataFrame
     cleaned: DataFrame
     roles: dict[str, str | None]
     fills: Fills
-    nonempty: DataFrame
-    deduped: DataFrame
+    counted: DataFrame
     notes: list[str]
 
 
@@ -324,14 +327,26 @@ def _notes(df: DataFrame, roles: Mapping[str, str | None], fills: Fills) -> list
 
 
 def clean_rows(df: DataFrame, formats=dates.DATE_FORMATS) -> DataFrame:
-    """C1-C9 on resolved columns: the row-wise part of cleaning, all in one stage."""
+    """C1-C8 on resolved columns: the row-wise part of cleaning, all in one stage."""
     steps = (clean_text, title_case, numbers, lambda d: parse_dates(d, formats=formats),
-             derive_sales, derive_price, derive_quantity, null_negatives, drop_empty_rows)
+             derive_sales, derive_price, derive_quantity, null_negatives)
     for step in steps:
         df = df.transform(step)
     return df
 
 
+def count_copies(df: DataFrame) -> DataFrame:
+    """C9 and C10 in one shuffle: distinct rows with their number of copies, written once.
+
+    Copies are added up in the map tasks, so a group of equal rows costs one row per
+    task. The test for empty rows comes after the write: filtered earlier, it would be
+    pushed below the cleaning expressions and evaluate them twice.
+    """
+    copies = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(
+        F.count(F.lit(1)).alias(COPIES))
+    return materialize(copies, "distinct-rows").na.drop(how="all", subset=df.columns)
+
+
 def fill_gaps(
     df: DataFrame, as_of: datetime, impute_ids: bool = False
 ) -> tuple[DataFrame, Fills]:
@@ -354,15 +369,15 @@ def prepare(
     everything downstream read that copy instead of repeating the shuffle.
     """
     named, roles = resolve_roles(raw, mode)
-    nonempty = clean_rows(named, formats)
-    if "sales" not in nonempty.columns:
+    typed = clean_rows(named, formats)
+    if "sales" not in typed.columns:
         raise ValueError("no sales column, and none can be derived from quantity and price")
-    deduped = materialize(dedupe(nonempty), "deduped")
-    cleaned, fills = fill_gaps(deduped, as_of, impute_ids)
+    counted = count_copies(typed)
+    cleaned, fills = fill_gaps(counted.drop(COPIES), as_of, impute_ids)
     for role in ("sales", "price", "quantity"):
         if role in cleaned.columns:
             roles[role] = roles.get(role) or role
-    return Prepared(raw, cleaned, roles, fills, nonempty, deduped, _notes(cleaned, roles, fills))
+    return Prepared(raw, cleaned, roles, fills, counted, _notes(cleaned, roles, fills))
 
 
 def standardize_for_model(df: DataFrame, as_of: datetime) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cleaning import Prepared
+from .cleaning import COPIES, Prepared
 
 
 def _missing(df: DataFrame) -> Column:
@@ -36,9 +36,8 @@ def _long(df: DataFrame) -> DataFrame:
 def quality_summary(prepared: Prepared) -> DataFrame:
     """(metric, value) before and after cleaning."""
     raw, cleaned = prepared.raw, prepared.cleaned
-    removed = prepared.nonempty.agg(F.count(F.lit(1)).alias("n")).select(
-        (F.col("n") - prepared.deduped.agg(F.count(F.lit(1))).scalar())
-        .alias("duplicates_removed"))
+    removed = prepared.counted.agg(
+        F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).cast("bigint").alias("duplicates_removed"))
     parts = [_counts(raw, "before"), duplicate_rows(raw, "duplicates_before"),
              _counts(cleaned, "after"), removed]
     return reduce(DataFrame.unionByName, [_long(part) for part in parts])

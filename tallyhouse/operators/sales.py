@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, ranks
-from ..functions.measures import pearson, share, total
+from ..functions.measures import mean, pearson, share, total
 from ..roles import ROLE_LABELS
 
 DRIVERS = ("quantity", "price", "discount")
@@ -49,7 +49,7 @@ def customer_totals(df: DataFrame) -> DataFrame:
     """A3: transactions, revenue and average order value of every customer."""
     return df.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("transactions"), total("sales").alias("revenue"),
-        F.avg(F.col("sales").cast("double")).alias("average_order_value"))
+        mean("sales").alias("average_order_value"))
 
 
 def top_customers(df: DataFrame, k: int = 10) -> DataFrame:
@@ -75,18 +75,18 @@ def customer_kpis(df: DataFrame) -> DataFrame:
 def transaction_kpis(df: DataFrame) -> DataFrame:
     """A5: what to report where there is no customer: (metric, value)."""
     median = ranks.exact_medians(df, ["sales"])["sales"] if "sales" in df.columns else None
-    sales = F.col("sales").cast("double") if "sales" in df.columns else F.lit(None).cast("double")
-    quantity = (F.col("quantity").cast("double") if "quantity" in df.columns
-                else F.lit(None).cast("double"))
+    nothing = F.lit(None).cast("double")
+    sales = F.col("sales") if "sales" in df.columns else nothing
+    quantity = F.col("quantity") if "quantity" in df.columns else nothing
     middle = F.lit(median).cast("double")
     # A missing amount is not above the median, but it is a transaction.
-    above = F.coalesce((sales > middle).cast("int"), F.lit(0))
+    above = F.coalesce((sales.cast("double") > middle).cast("int"), F.lit(0))
     if "sales" not in df.columns:
         above = F.lit(None).cast("int")
     return df.agg(
-        F.avg(sales).alias("Average transaction value"),
+        mean(sales).alias("Average transaction value"),
         F.first(middle).alias("Median transaction value"),
-        F.avg(quantity).alias("Average quantity per transaction"),
+        mean(quantity).alias("Average quantity per transaction"),
         F.avg(above).alias("Transactions above median value"),
     ).transform(lambda d: d.unpivot([], [F.col(f"`{c}`") for c in d.columns], "metric", "value"))
 
@@ -158,7 +158,7 @@ def segment_summary(df: DataFrame, by: str) -> DataFrame:
     measures = [F.count(F.lit(1)).alias("rows")]
     if "sales" in df.columns:
         measures.append(total("sales").alias("total_sales"))
-    measures += [F.avg(F.col(c).cast("double")).alias(f"average_{c}")
+    measures += [mean(c).alias(f"average_{c}")
                  for c in ("quantity", "price") if c in df.columns]
     return df.where(F.col(by).isNotNull()).groupBy(
         F.lower(F.col(by).cast("string")).alias("segment")).agg(*measures)

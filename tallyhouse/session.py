@@ -52,3 +52,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Share a scan with fewer splits than cores out over all of them.
+
+    Such a scan holds at most one split (``spark.sql.files.maxPartitionBytes``) per
+    core, so the exchange is small whatever the cluster; larger scans stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

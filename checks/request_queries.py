@@ -10,6 +10,7 @@ from checks.model_queries import split_of
 from checks.registry import register
 from checks.sqltext import FACT, FRAME, query
 from tallyhouse.operators import cleaning, modeling, requests, sales
+from tallyhouse.session import materialize
 from tallyhouse.sources import warehouse
 
 _MESSAGES = """,
@@ -65,8 +66,12 @@ def messages_of(spark, folder):
     return warehouse.request_messages(fact_of(spark, folder))
 
 
-def matched_of(spark, folder, case_terms=requests.CASE_TERMS):
-    fact = fact_of(spark, folder)
+def written_fact(spark, folder):
+    """The fact as requests meet it: a written table, read once per vocabulary and summary."""
+    return materialize(fact_of(spark, folder), "fact")
+
+
+def matched_of(fact, case_terms=requests.CASE_TERMS):
     words = {c: sales.vocabulary(fact, c) for c in requests.KNOWN}
     return requests.match_known(warehouse.request_messages(fact), words, case_terms)
 
@@ -80,18 +85,18 @@ for _ruleset, _sql in (("default", _DEFAULT), ("notebook", _NOTEBOOK)):
 
 @register("T2_route_dashboard", query(MATCHED, f"select msg_id, {_DASHBOARD} as intent from matched"))
 def t2(spark, folder):
-    return requests.route(matched_of(spark, folder), "dashboard").select("msg_id", "intent")
+    return requests.route(matched_of(written_fact(spark, folder)), "dashboard").select("msg_id", "intent")
 
 
 @register("T3_match_terms", query(MATCHED, "select * from matched"))
 def t3(spark, folder):
-    return matched_of(spark, folder)
+    return matched_of(written_fact(spark, folder))
 
 
 @register("T3_match_terms_by_join", query(MATCHED, "select * from matched"))
 def t3_join(spark, folder):
     """The path for vocabularies too large for one expression, forced at this size."""
-    return matched_of(spark, folder, case_terms=0)
+    return matched_of(written_fact(spark, folder), case_terms=0)
 
 
 def _number_sql(labels) -> str:
@@ -191,9 +196,10 @@ scenarios as (select g.msg_id, g.text, g.product,
 
 
 def scenarios_of(spark, folder, profile="dashboard"):
-    frame = frame_of(spark, folder)
+    fact = written_fact(spark, folder)
+    frame = cleaning.model_frame(fact, AS_OF)
     return requests.build_scenarios(
-        matched_of(spark, folder), sales.product_dimension(frame),
+        matched_of(fact), sales.product_dimension(frame),
         requests.feature_defaults(frame, profile), profile)
 
 
@@ -277,8 +283,8 @@ select msg_id, intent, coalesce(answer, case intent when 'overview' then overvie
   when 'seasonality' then seasonality {_FIXED} end) as answer
 from asked left join segments using (topic), book"""))
 def t9(spark, folder):
-    fact = fact_of(spark, folder)
-    routed = requests.route(matched_of(spark, folder), "dashboard")
+    fact = written_fact(spark, folder)
+    routed = requests.route(matched_of(fact), "dashboard")
     tables = {"top_product": sales.top_groups(fact, "product"),
               "top_region": sales.top_groups(fact, "region"),
               "monthly_sales": sales.monthly_sales(fact),

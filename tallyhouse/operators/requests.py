@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, display, ranks, text
+from ..session import materialize
 from .joins import attach
 from .modeling import score
 
@@ -151,12 +152,16 @@ def match_terms(
 def match_known(
     messages: DataFrame, vocabularies: Mapping[str, DataFrame], case_terms: int = CASE_TERMS
 ) -> DataFrame:
-    """T3 for products, categories and regions; a role without a vocabulary is NULL."""
+    """T3 for products, categories and regions; a role without a vocabulary is NULL.
+
+    The result is written: routing, scenarios and answers all start from it, and a
+    filter on what was found must not be pushed down into the searches.
+    """
     for role in KNOWN:
         messages = (match_terms(messages, vocabularies[role], role, case_terms)
                     if role in vocabularies
                     else messages.withColumn(role, F.lit(None).cast("string")))
-    return messages
+    return materialize(messages, "matched")
 
 
 def extract_numbers(messages: DataFrame, profile: str = "dashboard") -> DataFrame:
@@ -356,8 +361,8 @@ def answers(routed: DataFrame, book: DataFrame, segments: DataFrame) -> DataFram
     topic = F.coalesce(*[
         F.when(F.col("intent") == f"segment_{c}",
                F.concat(F.lit(f"segment_{c}:"), F.lower(F.col(c)))) for c in KNOWN])
-    asked = routed.where(F.col("intent") != "predict").withColumn("topic", topic).select(
-        "msg_id", "intent", "topic")
+    topics = routed.select("msg_id", "intent", topic.alias("topic"))
+    asked = materialize(topics, "topics").where(F.col("intent") != "predict")
     told = attach(asked, segments.withColumnRenamed("answer", "_segment"), "topic")
     return told.join(F.broadcast(book), "intent", "left").select(
         "msg_id", "intent", F.coalesce("_segment", "answer").alias("answer"))

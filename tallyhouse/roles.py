@@ -89,33 +89,42 @@ def rename_normalized(df: DataFrame) -> DataFrame:
     return df.toDF(*unique_labels(normalize_name(c) for c in df.columns))
 
 
-def _contained(column: str, candidate: str, mode: str) -> bool:
-    if mode == "fuzzy":
-        return candidate in column or column in candidate
-    padded = f"_{column}_", f"_{candidate}_"
-    return padded[0] in padded[1] or padded[1] in padded[0]
+def _words(name: str) -> str:
+    """Name as delimited words without a plural s, so containment means whole words."""
+    return "_" + "_".join(word.rstrip("s") or word for word in name.split("_")) + "_"
+
+
+def _within(a: str, b: str) -> bool:
+    return a in b or b in a
+
+
+def closeness(column: str, name: str, mode: str = "token") -> float:
+    """SC2: how well a column name fits a role name.
+
+    One name inside the other scores high: as whole words in ``token`` mode, as any
+    substring in ``fuzzy`` mode. ``token`` mode takes other substrings for chance
+    (``count`` in ``country``); names apart from each other compare by spelling.
+    """
+    whole = _within(_words(column), _words(name))
+    if whole or (mode == "fuzzy" and _within(column, name)):
+        return CONTAINMENT_SCORE
+    if mode == "token" and _within(column, name):
+        return 0.0
+    return SequenceMatcher(None, column, name).ratio()
 
 
 def best_match(columns: Sequence[str], names: Sequence[str], mode: str = "token") -> str | None:
     """SC2/SC3: the column that fits a role best, or None.
 
-    An exact name wins, in the order of ``names``. Unless ``mode`` is ``exact``, the
-    closest name comes next: containment (of whole words in ``token`` mode, of any
-    substring in ``fuzzy`` mode) or spelling similarity. Ties go to the first column.
+    An exact name wins, in the order of ``names``; unless ``mode`` is ``exact`` the
+    closest name comes next. Ties go to the first column.
     """
     exact = [name for name in names if name in columns]
     if exact or mode == "exact":
         return exact[0] if exact else None
-
-    def closeness(column: str) -> float:
-        return max(
-            CONTAINMENT_SCORE if _contained(column, name, mode)
-            else SequenceMatcher(None, column, name).ratio()
-            for name in names
-        )
-
-    best = max(columns, key=closeness, default=None)
-    return best if best is not None and closeness(best) >= MATCH_THRESHOLD else None
+    scores = {column: max(closeness(column, name, mode) for name in names) for column in columns}
+    best = max(scores, key=scores.get, default=None)
+    return best if best is not None and scores[best] >= MATCH_THRESHOLD else None
 
 
 def assign_roles(
@@ -123,14 +132,19 @@ def assign_roles(
     aliases: Mapping[str, Sequence[str]] = ROLE_ALIASES,
     mode: str = "token",
 ) -> dict[str, str | None]:
-    """Role -> source column; a column serves one role only."""
+    """Role -> source column; a column serves one role only.
+
+    ``fuzzy`` mode goes through the roles once, so an early role may take a column
+    whose exact name belongs to a later one; the others settle exact names first.
+    """
     free = list(columns)
-    roles: dict[str, str | None] = {}
-    for role, names in aliases.items():
-        found = best_match(free, [role, *names], mode)
-        roles[role] = found
-        if found is not None:
-            free.remove(found)
+    roles: dict[str, str | None] = dict.fromkeys(aliases)
+    for stage in (("fuzzy",) if mode == "fuzzy" else dict.fromkeys(("exact", mode))):
+        for role, names in aliases.items():
+            found = best_match(free, [role, *names], stage) if roles[role] is None else None
+            if found is not None:
+                roles[role] = found
+                free.remove(found)
     return roles
 
 

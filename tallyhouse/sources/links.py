@@ -49,7 +49,7 @@ def resolve_url(base: Column, link: Column) -> Column:
     root = F.concat(b["scheme"], b["host"])
     rest = F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
     return (
-        F.when(link == "", F.regexp_extract(base, r"^([^#]*)", 1))
+        F.when(link == "", base)
         .when(r["scheme"] != "", link)
         .when(r["host"] != "", F.concat(b["scheme"], link))
         .when(link.startswith("#"), F.concat(root, b["path"], b["query"], link))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.registry import register
+from checks.registry import register, written_fact
 from checks.sqltext import (CLEAN, DEDUPED, DIRTY, EVENTS, FACT, FRAME, TYPED, cleaned_text,
                             median_time, mode_of, number, query, titled)
 from tallyhouse.functions import ranks, text
@@ -182,7 +182,7 @@ def c17(spark, folder):
 select h, customer_id, count(*) over (partition by customer_id) as customer_purchase_count
 from fact"""))
 def c18(spark, folder):
-    fact = warehouse.retail_fact(spark, folder).select("h", "customer_id")
+    fact = written_fact(spark, folder).select("h", "customer_id")
     return cleaning.customer_purchase_count(fact)
 
 
@@ -197,7 +197,7 @@ def c19(spark, folder):
 
 @register("C20_model_frame", query(FRAME, "select * from frame"))
 def c20(spark, folder):
-    return day_time(cleaning.model_frame(warehouse.retail_fact(spark, folder), AS_OF))
+    return day_time(cleaning.model_frame(written_fact(spark, folder), AS_OF))
 
 
 @register("C21_prepare", query(CLEAN, "select * from clean"))
@@ -308,6 +308,6 @@ select median(quantity) as quantity, median(cast(price as double)) as price,
   median(cast(sales as double)) as sales from fact"""))
 def exact_medians(spark, folder):
     """The search that tables too large for one buffer use, forced at this size."""
-    fact = warehouse.retail_fact(spark, folder)
+    fact = written_fact(spark, folder)
     found = ranks.exact_medians(fact, ["quantity", "price", "sales"], buffer_rows=100)
     return spark.createDataFrame([found], "quantity double, price double, sales double")

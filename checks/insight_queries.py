@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.cleaning_queries import AS_OF, day_time
-from checks.registry import register
+from checks.registry import register, written_fact
 from checks.sqltext import CLEAN, EVENTS, FACT, FRAME, query
 from tallyhouse.functions import dates, ranks
 from tallyhouse.operators import cleaning, distributions, sales, timeline
@@ -146,7 +146,7 @@ _MODEL_MEASURES = ("sales", "quantity", "price", "customer_purchase_count")
     f"select '{x}' as x, '{y}' as y, round(corr({x}, {y}), 6) as corr from frame"
     for x in _MODEL_MEASURES for y in _MODEL_MEASURES)))
 def a7_model(spark, folder):
-    frame = cleaning.model_frame(fact_of(spark, folder), AS_OF)
+    frame = cleaning.model_frame(written_fact(spark, folder), AS_OF)
     return rounded(sales.correlation_matrix(frame, _MODEL_MEASURES), "corr")
 
 
@@ -166,7 +166,7 @@ select '{by}' as dimension, first({by} order by sales desc, {by}) as best,
 from (select {by}, {SALES} as sales from fact group by {by} order by sales desc, {by} limit 5)
 """ for by in ("product", "category", "region"))))
 def a9(spark, folder):
-    fact = fact_of(spark, folder)
+    fact = written_fact(spark, folder)
     parts = [sales.concentration(fact, by) for by in ("product", "category", "region")]
     return rounded(rounded(reduce(DataFrame.unionByName, parts), "top_share"),
                    "total_sales", digits=2)
@@ -283,7 +283,7 @@ for _name, _bins, _fixed in (("A16_histograms", _ROOT, None), ("A16_histograms_3
     register(_name, query(FACT, " union all ".join(
         _histogram_sql(c, _bins) for c in ("sales", "quantity", "price"))))(
         lambda spark, folder, bins=_fixed: distributions.histograms(
-            fact_of(spark, folder), bins=bins))
+            written_fact(spark, folder), bins=bins))
 
 
 def _density_sql(column: str) -> str:
@@ -304,7 +304,7 @@ group by point"""
 @register("A17_densities", query(FACT, " union all ".join(
     _density_sql(c) for c in ("sales", "quantity", "price"))))
 def a17(spark, folder):
-    fact = fact_of(spark, folder)
+    fact = written_fact(spark, folder)
     curves = distributions.densities(fact)
     # Densities of wide measures are tiny: scale by the range before rounding.
     spans = {c: fact.agg((F.max(F.col(c).cast("double")) - F.min(F.col(c).cast("double")))).scalar()
@@ -411,7 +411,7 @@ def _listing(df: DataFrame, section: str, label: str, value: str | None) -> Data
     + [f"select 'product_{m}', product, median({m}) from frame group by product"
        for m in ("price", "quantity")])))
 def a24(spark, folder):
-    frame = cleaning.model_frame(fact_of(spark, folder), AS_OF)
+    frame = cleaning.model_frame(written_fact(spark, folder), AS_OF)
     exact = frame.withColumn("sales", F.col("sales").cast("decimal(18,4)"))
     context = sales.data_context(exact)
     parts = []

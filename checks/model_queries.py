@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from checks.cleaning_queries import AS_OF
 from checks.insight_queries import rounded
-from checks.registry import register
+from checks.registry import register, written_fact
 from checks.sqltext import FRAME, query
 from tallyhouse.operators import cleaning, distributions, modeling
 from tallyhouse.plans import training
 from tallyhouse.session import materialize
-from tallyhouse.sources import warehouse
 
 # Small trees keep the check quick; the library's defaults are the full size.
 CHECK = training.TrainingConfig(trees=20, depth=10, key="h")
@@ -26,7 +25,7 @@ baseline as (select h, sales, (select median(sales) from train) as prediction fr
 
 
 def features_of(spark, folder):
-    frame = cleaning.model_frame(warehouse.retail_fact(spark, folder), AS_OF)
+    frame = cleaning.model_frame(written_fact(spark, folder), AS_OF)
     return modeling.feature_table(frame, ["h"])
 
 
@@ -101,7 +100,7 @@ def m6(spark, folder):
 
 @register("M10_train_leaderboard")
 def m10(spark, folder):
-    return training.train(warehouse.retail_fact(spark, folder), AS_OF, CHECK).leaderboard
+    return training.train(written_fact(spark, folder), AS_OF, CHECK).leaderboard
 
 
 @register("A19_axis_limits", query(FEATURES, """

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.session import configure
+from tallyhouse.session import configure, materialize
+from tallyhouse.sources import warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,3 +30,8 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return query
 
     return add
+
+
+def written_fact(spark: SparkSession, folder: str) -> DataFrame:
+    """The fact as an analysis meets it: a written table, for queries that read it often."""
+    return materialize(warehouse.retail_fact(spark, folder), "fact")

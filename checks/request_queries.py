@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from checks.cleaning_queries import AS_OF, day_time
 from checks.insight_queries import fact_of
 from checks.model_queries import split_of
-from checks.registry import register
+from checks.registry import register, written_fact
 from checks.sqltext import FACT, FRAME, query
 from tallyhouse.operators import cleaning, modeling, requests, sales
-from tallyhouse.session import materialize
 from tallyhouse.sources import warehouse
 
 _MESSAGES = """,
@@ -66,11 +65,6 @@ def messages_of(spark, folder):
     return warehouse.request_messages(fact_of(spark, folder))
 
 
-def written_fact(spark, folder):
-    """The fact as requests meet it: a written table, read once per vocabulary and summary."""
-    return materialize(fact_of(spark, folder), "fact")
-
-
 def matched_of(fact, case_terms=requests.CASE_TERMS):
     words = {c: sales.vocabulary(fact, c) for c in requests.KNOWN}
     return requests.match_known(warehouse.request_messages(fact), words, case_terms)
@@ -152,7 +146,7 @@ from (select make_timestamp(cast(trunc(median(epoch_us(date))) as bigint)) as mi
 
 
 def frame_of(spark, folder):
-    return cleaning.model_frame(fact_of(spark, folder), AS_OF)
+    return cleaning.model_frame(written_fact(spark, folder), AS_OF)
 
 
 for _profile, _sql in (("dashboard", DEFAULTS), ("notebook", DEFAULTS_NOTEBOOK)):

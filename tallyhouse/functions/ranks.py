@@ -7,11 +7,12 @@ size only, so the functions here check sizes first and spread larger groups out.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 
@@ -27,10 +28,12 @@ def _number(name: str) -> Column:
 
 
 def filled_counts(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict[str, int]]:
-    """Rows, and non-missing values per column, in one pass."""
+    """Rows, and non-missing values per column, in one pass. NaN is missing."""
+    def value(c: str) -> Column:
+        return _number(c) if isinstance(df.schema[c].dataType, T.NumericType) else F.col(f"`{c}`")
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.count(value(c)).alias(f"n{i}") for i, c in enumerate(cols)],
     ).first()
     return row["rows"], {c: row[f"n{i}"] for i, c in enumerate(cols)}
 
@@ -56,11 +59,11 @@ class _Rank:
             kept = kept & (value < self.high)
         return F.when(kept, value)
 
-    def pivots(self) -> Column:
+    def shares(self) -> list[float]:
+        """Two quantiles of the candidates that have the rank between them."""
         slack = 2.0 / SKETCH_ACCURACY
         at = (self.rank - self.below) / self.inside
-        shares = [max(0.0, at - slack), min(1.0, at + slack)]
-        return F.percentile_approx(self.candidates(), shares, SKETCH_ACCURACY)
+        return [max(0.0, at - slack), min(1.0, at + slack)]
 
     def narrow(self, pivot: float, less: int, up_to: int) -> None:
         """Use the counts of rows under, and up to, a pivot."""
@@ -82,15 +85,23 @@ def _search(df: DataFrame, ranks: list[_Rank], buffer_rows: int) -> None:
     so it ends however the values are tied. Only one row a pass reaches the driver.
     """
     while wide := [r for r in ranks if r.value is None and r.inside > buffer_rows]:
-        proposed = df.agg(*[r.pivots().alias(f"p{i}") for i, r in enumerate(wide)]).first()
-        tests = [(r, p) for i, r in enumerate(wide) for p in sorted(set(proposed[f"p{i}"]))]
+        # Both middle ranks of a column usually share their bounds, and so a sketch.
+        shared: dict[tuple, list[_Rank]] = {}
+        for r in wide:
+            shared.setdefault((r.column, r.low, r.high), []).append(r)
+        proposed = df.agg(*[
+            F.percentile_approx(group[0].candidates(),
+                                sorted({s for r in group for s in r.shares()}), SKETCH_ACCURACY)
+            .alias(f"p{i}") for i, group in enumerate(shared.values())]).first()
+        tests = sorted({(key[0], p) for i, key in enumerate(shared) for p in proposed[i]})
         counted = df.agg(
-            *[F.count_if(_number(r.column) < p).alias(f"l{i}") for i, (r, p) in enumerate(tests)],
-            *[F.count_if(_number(r.column) <= p).alias(f"u{i}") for i, (r, p) in enumerate(tests)],
+            *[F.count_if(_number(c) < p).alias(f"l{i}") for i, (c, p) in enumerate(tests)],
+            *[F.count_if(_number(c) <= p).alias(f"u{i}") for i, (c, p) in enumerate(tests)],
         ).first()
-        for i, (r, p) in enumerate(tests):
-            if r.value is None:
-                r.narrow(p, counted[f"l{i}"], counted[f"u{i}"])
+        for i, (c, p) in enumerate(tests):
+            for r in wide:
+                if r.column == c and r.value is None:
+                    r.narrow(p, counted[f"l{i}"], counted[f"u{i}"])
 
     left = [r for r in ranks if r.value is None]
     if not left:
@@ -113,13 +124,18 @@ def _search(df: DataFrame, ranks: list[_Rank], buffer_rows: int) -> None:
 
 
 def exact_medians(
-    df: DataFrame, cols: Sequence[str], buffer_rows: int = BUFFER_ROWS
+    df: DataFrame, cols: Sequence[str], buffer_rows: int = BUFFER_ROWS,
+    counts: Mapping[str, int] | None = None,
 ) -> dict[str, float | None]:
-    """Exact median of each numeric column over the whole table (None if all missing)."""
+    """Exact median of each numeric column over the whole table (None if all missing).
+
+    ``counts`` are the non-missing values per column, where they are known already.
+    """
     if not cols:
         return {}
-    present = df.agg(*[F.count(_number(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    counts = {c: present[f"n{i}"] for i, c in enumerate(cols)}
+    if counts is None:
+        _, counts = filled_counts(df, cols)
+    counts = {c: counts[c] for c in cols}
     if max(counts.values()) <= buffer_rows:
         row = df.agg(*[F.median(_number(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
         return {c: row[f"m{i}"] for i, c in enumerate(cols)}

@@ -133,7 +133,7 @@ class Fills:
 
     def apply(self, df: DataFrame) -> DataFrame:
         filled: dict[str, Column] = {
-            c: F.coalesce(F.col(c).cast("double"), F.lit(float(v)))
+            c: F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(float(v))), F.lit(float(v)))
             for c, v in self.numeric.items()}
         filled |= {c: F.coalesce(F.col(c), F.timestamp_micros(F.lit(v)))
                    for c, v in self.datetime.items()}
@@ -171,7 +171,9 @@ def fit_fills(
         return f"_micros_{c}"
 
     timed = _replace(df, {span(c): F.unix_micros(F.col(c)) for c in datetime_cols})
-    medians = ranks.exact_medians(timed, [*numeric, *[span(c) for c in datetime_cols]])
+    medians = ranks.exact_medians(
+        timed, [*numeric, *[span(c) for c in datetime_cols]],
+        counts=present | {span(c): present[c] for c in datetime_cols})
     common = ranks.modes(df, categorical)
     today = _micros(as_of)
     return Fills(

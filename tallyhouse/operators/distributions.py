@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import one_row
 from ..roles import explorer_axes
+from ..session import materialize
 from .cleaning import numbers
 
 # Bin limits, density grid, and when a density is drawn.
@@ -18,77 +18,107 @@ GRID_POINTS = 200
 DENSITY_MIN_DISTINCT = 10
 
 
-def _values(df: DataFrame, col: str) -> DataFrame:
-    """Distinct values with their counts: both charts only need those."""
-    return df.where(F.col(col).isNotNull()).groupBy(
-        F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(metric, v): the values of all columns under each other, in one scan."""
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in cols]))
+    return df.select(pairs.alias("p")).select("p.metric", "p.v").where("v is not null")
 
 
-def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
-    """(metric, bin, bin_start, bin_end, count), empty bins included.
+def _present(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    return [c for c in cols if c in df.columns]
 
-    ``bins`` defaults to the square root of the row count within [10, 30]. The highest
-    value belongs to the last bin; a constant column gets one bin.
-    """
-    values = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"))
-    wanted = (F.lit(bins) if bins else F.least(
-        F.lit(MOST_BINS), F.greatest(F.lit(FEWEST_BINS), F.floor(F.sqrt(F.col("n"))).cast("int"))))
-    limits = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
-                        F.count(F.lit(1)).alias("n")).withColumn(
-        "bins", F.when(F.col("lo") == F.col("hi"), 1).otherwise(wanted))
-    row = one_row(limits, F.first("lo").alias("lo"), F.first("hi").alias("hi"),
-                  F.first("bins").alias("bins"))
-    place = F.floor((F.col("v") - row["lo"]) * row["bins"] / (row["hi"] - row["lo"]))
-    counted = values.groupBy(F.coalesce(
-        F.least(F.when(row["hi"] > row["lo"], place).cast("int"), row["bins"] - 1), F.lit(0)
-    ).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    width = (F.col("hi") - F.col("lo")) / F.col("bins")
-    spine = limits.where("n > 0").select(
-        F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"),
-        F.col("lo"), width.alias("width"))
-    return spine.join(counted, "bin", "left").select(
-        F.lit(col).alias("metric"), "bin",
-        (F.col("lo") + F.col("bin") * F.col("width")).alias("bin_start"),
-        (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("bin_end"),
-        F.coalesce("count", F.lit(0).cast("bigint")).alias("count"))
+
+def _per_metric(metric: Column, values: dict[str, float]) -> Column:
+    return F.coalesce(*[F.when(metric == m, F.lit(v)) for m, v in values.items()])
 
 
 def histograms(
     df: DataFrame, cols: Sequence[str] = ("sales", "quantity", "price"), bins: int | None = None
 ) -> DataFrame:
-    return reduce(DataFrame.unionByName,
-                  [histogram(df, c, bins) for c in cols if c in df.columns])
+    """(metric, bin, bin_start, bin_end, count), empty bins included.
 
+    ``bins`` defaults to the square root of the row count within [10, 30]. The highest
+    value belongs to the last bin; a constant column gets one bin. Two scans for all
+    columns: one for the limits, one that counts (metric, bin) pairs in the map tasks.
+    """
+    found = _present(df, cols)
+    number = {c: F.col(c).cast("double") for c in found}
+    limits = df.agg(*[
+        F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")).alias(c)
+        for c, v in number.items()]).first()
+    spine, low, width = [], {}, {}
+    for c in found:
+        lo, hi, n = limits[c]
+        if not n:
+            continue
+        parts = bins or min(MOST_BINS, max(FEWEST_BINS, math.isqrt(n)))
+        low[c], width[c] = lo, (1 if lo == hi else parts, hi - lo)
+        step = (hi - lo) / width[c][0]
+        spine += [(c, i, lo + i * step, lo + (i + 1) * step) for i in range(width[c][0])]
+    spark = df.sparkSession
+    edges = spark.createDataFrame(spine, "metric string, bin int, bin_start double, bin_end double")
+    if not spine:
+        return edges.withColumn("count", F.lit(0).cast("bigint"))
+
+    metric = F.col("metric")
+    parts = _per_metric(metric, {c: n for c, (n, _) in width.items()})
+    span = _per_metric(metric, {c: s or 1.0 for c, (_, s) in width.items()})
+    place = F.floor((F.col("v") - _per_metric(metric, low)) * parts / span).cast("int")
+    counted = _long(df, list(low)).groupBy(
+        "metric", F.least(place, parts - 1).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    return edges.join(counted, ["metric", "bin"], "left").select(
+        *edges.columns, F.coalesce("count", F.lit(0).cast("bigint")).alias("count"))
 
-def density(df: DataFrame, col: str, points: int = GRID_POINTS) -> DataFrame:
-    """(metric, point, x, density): Gaussian kernel, Scott bandwidth, exact sums.
 
-    Each distinct value adds its weight to every grid point inside its own task; only
-    ``points`` partial sums per task are shuffled. Up to ten distinct values: no rows.
-    """
-    # Counted once: the bandwidth and the kernel sums both start from it.
-    values = _values(df, col)
-    n, v = F.col("n"), F.col("v")
-    count, mean = F.sum(n).cast("double"), F.sum(n * v) / F.sum(n)
-    base = one_row(values, F.min(v).alias("lo"), F.max(v).alias("hi"), mean.alias("mean"),
-                   count.alias("n"), F.count(F.lit(1)).alias("distinct"))
-    spread = one_row(values, F.sum(n * (v - base["mean"]) * (v - base["mean"])).alias("ss"))
-    sd = F.sqrt(F.try_divide(spread["ss"], base["n"] - 1))
-    width = sd * F.pow(base["n"], F.lit(-0.2))
-    step = (base["hi"] - base["lo"]) / F.lit(points - 1)
-    x = base["lo"] + F.col("point") * step
-    z = (x - v) / width
-    grid = values.where(base["distinct"] > DENSITY_MIN_DISTINCT).withColumn(
-        "point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    scale = base["n"] * width * F.sqrt(F.lit(2.0) * F.pi())
-    return grid.groupBy("point").agg(F.sum(n * F.exp(z * z * -0.5)).alias("k")).select(
-        F.lit(col).alias("metric"), "point", x.alias("x"), (F.col("k") / scale).alias("density"))
+def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
+    return histograms(df, [col], bins)
 
 
 def densities(
-    df: DataFrame, cols: Sequence[str] = ("sales", "quantity", "price")
+    df: DataFrame, cols: Sequence[str] = ("sales", "quantity", "price"), points: int = GRID_POINTS
 ) -> DataFrame:
-    return reduce(DataFrame.unionByName, [density(df, c) for c in cols if c in df.columns])
+    """(metric, point, x, density): Gaussian kernel, Scott bandwidth, exact sums.
+
+    The distinct values are counted and written once. Each then adds its weight to every
+    grid point inside its own task, so only ``points`` partial sums per task and column
+    are shuffled. Columns with up to ten distinct values have no curve.
+    """
+    values = materialize(_long(df, _present(df, cols)).groupBy("metric", "v").agg(
+        F.count(F.lit(1)).alias("n")), "value-counts")
+    n, v, metric = F.col("n"), F.col("v"), F.col("metric")
+    stats = {r["metric"]: r for r in values.groupBy("metric").agg(
+        F.min(v).alias("lo"), F.max(v).alias("hi"), F.sum("n").cast("double").alias("n"),
+        (F.sum(n * v) / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("distinct")).collect()}
+    curved = {m: r for m, r in stats.items() if r["distinct"] > DENSITY_MIN_DISTINCT}
+    if not curved:
+        return df.sparkSession.createDataFrame(
+            [], "metric string, point int, x double, density double")
+    off = v - _per_metric(metric, {m: r["mean"] for m, r in curved.items()})
+    squares = dict(values.where(metric.isin(list(curved))).groupBy("metric").agg(
+        F.sum(n * off * off)).collect())
+
+    width = {m: math.sqrt(squares[m] / (r["n"] - 1)) * r["n"] ** -0.2 for m, r in curved.items()}
+    x = _per_metric(metric, {m: r["lo"] for m, r in curved.items()}) + F.col("point") * _per_metric(
+        metric, {m: (r["hi"] - r["lo"]) / (points - 1) for m, r in curved.items()})
+    scale = _per_metric(metric, {
+        m: r["n"] * width[m] * math.sqrt(2 * math.pi) for m, r in curved.items()})
+    # Standardised once per value; the grid points are then a fixed distance apart.
+    steps = values.where(metric.isin(list(curved))).select(
+        "metric", "n",
+        ((_per_metric(metric, {m: r["lo"] for m, r in curved.items()}) - v)
+         / _per_metric(metric, width)).alias("start"),
+        _per_metric(metric, {m: (r["hi"] - r["lo"]) / (points - 1) / width[m]
+                             for m, r in curved.items()}).alias("step"))
+    z = F.col("start") + F.col("point") * F.col("step")
+    return steps.withColumn(
+        "point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
+    ).groupBy("metric", "point").agg(F.sum(n * F.exp(z * z * -0.5)).alias("k")).select(
+        "metric", "point", x.alias("x"), (F.col("k") / scale).alias("density"))
+
+
+def density(df: DataFrame, col: str, points: int = GRID_POINTS) -> DataFrame:
+    return densities(df, [col], points)
 
 
 def scatter_points(df: DataFrame) -> DataFrame:

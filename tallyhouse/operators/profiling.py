@@ -10,23 +10,32 @@ from pyspark.sql import functions as F
 from .cleaning import COPIES, Prepared
 
 
-def _missing(df: DataFrame) -> Column:
-    gaps = [F.col(f"`{c}`").isNull().cast("int") for c in df.columns]
-    return F.sum(reduce(lambda a, b: a + b, gaps).cast("bigint"))
+def _gaps(df: DataFrame) -> Column:
+    """Missing cells of a row."""
+    return reduce(lambda a, b: a + b,
+                  [F.col(f"`{c}`").isNull().cast("int") for c in df.columns]).cast("bigint")
 
 
-def _counts(df: DataFrame, when: str) -> DataFrame:
-    """One pass: rows, columns and missing cells."""
-    return df.agg(
-        F.count(F.lit(1)).alias(f"rows_{when}"),
+def _counts(df: DataFrame, when: str, rows: Column, missing: Column) -> list[Column]:
+    return [
+        F.coalesce(rows, F.lit(0)).cast("bigint").alias(f"rows_{when}"),
         F.lit(len(df.columns)).cast("bigint").alias(f"columns_{when}"),
-        F.coalesce(_missing(df), F.lit(0).cast("bigint")).alias(f"missing_{when}"))
+        F.coalesce(missing, F.lit(0)).cast("bigint").alias(f"missing_{when}")]
+
+
+def _with_copies(df: DataFrame) -> DataFrame:
+    """Distinct rows with their number; equal rows are added up before the shuffle."""
+    return df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(
+        F.count(F.lit(1)).alias(COPIES))
+
+
+def _extra(name: str) -> Column:
+    return F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).cast("bigint").alias(name)
 
 
 def duplicate_rows(df: DataFrame, name: str = "duplicates") -> DataFrame:
-    """Rows that repeat an earlier one; equal rows are counted together before the shuffle."""
-    extra = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).count()
-    return extra.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias(name))
+    """Rows that repeat an earlier one."""
+    return _with_copies(df).agg(_extra(name))
 
 
 def _long(df: DataFrame) -> DataFrame:
@@ -34,13 +43,14 @@ def _long(df: DataFrame) -> DataFrame:
 
 
 def quality_summary(prepared: Prepared) -> DataFrame:
-    """(metric, value) before and after cleaning."""
+    """(metric, value) before and after cleaning; one pass over each table."""
     raw, cleaned = prepared.raw, prepared.cleaned
-    removed = prepared.counted.agg(
-        F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).cast("bigint").alias("duplicates_removed"))
-    parts = [_counts(raw, "before"), duplicate_rows(raw, "duplicates_before"),
-             _counts(cleaned, "after"), removed]
-    return reduce(DataFrame.unionByName, [_long(part) for part in parts])
+    before = _with_copies(raw).agg(
+        *_counts(raw, "before", F.sum(COPIES), F.sum(F.col(COPIES) * _gaps(raw))),
+        _extra("duplicates_before"))
+    after = cleaned.agg(*_counts(cleaned, "after", F.count(F.lit(1)), F.sum(_gaps(cleaned))))
+    removed = prepared.counted.agg(_extra("duplicates_removed"))
+    return reduce(DataFrame.unionByName, [_long(part) for part in (before, after, removed)])
 
 
 def imputations(prepared: Prepared) -> DataFrame:

@@ -333,7 +333,7 @@ def a18_cloud(spark, folder):
 
 
 @register("A20_dataset_overview", query(FACT, f"""
-select count(*) as rows, 11 as columns, {SALES} as total_sales,
+select count(*) as rows, cast(11 as bigint) as columns, {SALES} as total_sales,
   cast(min(date) as date) as first_date, cast(max(date) as date) as last_date,
   count(distinct category) as categories, count(distinct region) as regions from fact"""))
 def a20(spark, folder):

@@ -91,6 +91,14 @@ def m5(spark, folder):
     return modeling.score(modeling.fit_linear(train), test).select("h", "sales", "prediction")
 
 
+@register("M8_leaderboard")
+def m8(spark, folder):
+    train, test = split_of(spark, folder)
+    models = {modeling.BASELINE: modeling.fit_baseline(train),
+              modeling.LINEAR: modeling.fit_linear(train)}
+    return modeling.leaderboard(modeling.regression_metrics(modeling.scored_by(models, test)))
+
+
 @register("M6_forest_scores")
 def m6(spark, folder):
     train, test = split_of(spark, folder)

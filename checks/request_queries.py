@@ -131,15 +131,15 @@ def _common(column: str) -> str:
 DEFAULTS = f"""
 select {_common('category')} as category, {_common('region')} as region,
   cast(trunc(median(month)) as bigint) as month,
-  cast(trunc(median(day_of_week)) as bigint) as day_of_week, 0 as hour,
-  case when median(day_of_week) >= 5 then 1 else 0 end as is_weekend,
+  cast(trunc(median(day_of_week)) as bigint) as day_of_week, cast(0 as bigint) as hour,
+  cast(case when median(day_of_week) >= 5 then 1 else 0 end as bigint) as is_weekend,
   median(customer_purchase_count) as customer_purchase_count, median(quantity) as quantity,
   median(price) as price from frame"""
 
 DEFAULTS_NOTEBOOK = f"""
 select {_common('category')} as category, {_common('region')} as region,
   month(middle) as month, isodow(middle) - 1 as day_of_week, hour(middle) as hour,
-  case when isodow(middle) > 5 then 1 else 0 end as is_weekend,
+  cast(case when isodow(middle) > 5 then 1 else 0 end as bigint) as is_weekend,
   trunc(n) as customer_purchase_count, q as quantity, p as price
 from (select make_timestamp(cast(trunc(median(epoch_us(date))) as bigint)) as middle,
   median(customer_purchase_count) as n, median(quantity) as q, median(price) as p from frame)"""
@@ -217,6 +217,34 @@ def t8_baseline(spark, folder):
     return requests.score_scenarios(scenarios_of(spark, folder), modeling.fit_baseline(train))
 
 
+def _value(x: str) -> str:
+    return (f"case when abs({x} - round({x})) < 1e-9 then format('{{:,}}', "
+            f"cast(round({x}) as bigint)) else format('{{:,.2f}}', {x}) end")
+
+
+_SHOWN = {c: c if c in modeling.CATEGORICAL else _value(f"cast({c} as double)")
+          for c in modeling.FEATURES}
+
+
+@register("T8_prediction_answers", query(_scenarios_sql(DEFAULTS), f"""
+select msg_id, 'predict' as intent, concat_ws(chr(10) || chr(10),
+  'Predicted sales: $' || format('{{:,.2f}}', (select median(sales) from frame
+    where substr(md5(h), 1, 2) >= '33')), 'Model: Baseline Median',
+  'Inputs used:' || chr(10) || concat_ws(chr(10), {', '.join(
+      f"'{c}: ' || {sql}" for c, sql in _SHOWN.items())}),
+  'Notes:' || chr(10) || '- ' || case when notes = '' then '{requests.DEFAULTS_NOTE}'
+    else replace(notes, chr(10), chr(10) || '- ') end) as answer
+from scenarios where signal_count > 0
+union all select msg_id, 'needs_input', '{requests.STATIC_ANSWERS["needs_input"]}'
+from scenarios where signal_count = 0"""))
+def t8_answers(spark, folder):
+    train, _ = split_of(spark, folder)
+    scenarios = scenarios_of(spark, folder)
+    scored = requests.score_scenarios(scenarios, modeling.fit_baseline(train))
+    return requests.prediction_answers(scored, modeling.BASELINE).unionByName(
+        requests.refusals(scenarios))
+
+
 def _money(x: str) -> str:
     return f"'$' || format('{{:,.2f}}', cast({x} as double))"
 

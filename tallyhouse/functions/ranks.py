@@ -241,14 +241,17 @@ def grouped_modes(df: DataFrame, key: str, col: str, default: str) -> DataFrame:
 def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Dense row numbers 1..n in the given order, without sorting in one task.
 
-    Rows are numbered inside range blocks; the block offsets are one number per block.
+    Rows are numbered inside range blocks and moved up by the rows of earlier blocks: a
+    table of one number per block, broadcast.
     """
     ordered = _ordered_blocks(df, order, "row-numbers")
-    sizes = {r["block"]: r["count"] for r in ordered.groupBy("block").count().collect()}
+    sizes = ordered.groupBy("block").count().orderBy("block").collect()
     offsets, seen = [], 0
-    for block in range(max(sizes, default=-1) + 1):
-        offsets.append(F.lit(seen))
-        seen += sizes.get(block, 0)
+    for size in sizes:
+        offsets.append((size["block"], seen))
+        seen += size["count"]
+    before = df.sparkSession.createDataFrame(offsets, "block int, _before bigint")
     within = F.row_number().over(Window.partitionBy("block").orderBy(*order))
-    offset = F.element_at(F.array(*offsets), F.col("block") + 1) if offsets else F.lit(0)
-    return ordered.withColumn(name, (offset + within).cast("bigint")).drop("block")
+    numbered = ordered.withColumn("_within", within).join(F.broadcast(before), "block")
+    return numbered.withColumn(name, F.col("_before") + F.col("_within")).drop(
+        "block", "_before", "_within")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, display, ranks, text
 from ..session import materialize
 from .joins import attach
-from .modeling import score
+from .modeling import FEATURES, score
 
 # Vocabularies up to this size are searched by a CASE expression, larger ones by joins.
 CASE_TERMS = 100
@@ -50,6 +50,7 @@ NUMBER_LABELS = {
 HISTORY_LABEL = "history count"
 WHOLE_NUMBERS = ("customer_purchase_count", "hour")
 DATE_PATTERN = r"\b(20\d{2}-\d{2}-\d{2})\b"
+DEFAULTS_NOTE = "Used dataset defaults for any missing inputs."
 NO_DATE_NOTE = ("No parseable YYYY-MM-DD date was found, so default time features were used.")
 
 # Texts that need no table.
@@ -267,6 +268,25 @@ def score_scenarios(
     return score(model, asked)
 
 
+def prediction_answers(scored: DataFrame, model: str) -> DataFrame:
+    """(msg_id, intent, answer): the prediction, the model, the inputs and the notes."""
+    inputs = [F.concat(F.lit(f"{c}: "), display.format_value(F.col(c), scored.schema[c].dataType))
+              for c in FEATURES if c in scored.columns]
+    notes = F.when(F.col("notes") == "", F.lit(DEFAULTS_NOTE)).otherwise(F.col("notes"))
+    answer = F.concat_ws(
+        "\n\n", F.concat(F.lit("Predicted sales: "), display.format_currency(F.col("prediction"))),
+        F.lit(f"Model: {model}"), F.concat(F.lit("Inputs used:\n"), F.concat_ws("\n", *inputs)),
+        F.concat(F.lit("Notes:\n- "), F.replace(notes, F.lit("\n"), F.lit("\n- "))))
+    return scored.select("msg_id", F.lit("predict").alias("intent"), answer.alias("answer"))
+
+
+def refusals(scenarios: DataFrame) -> DataFrame:
+    """What is told to those whose request names no input."""
+    return scenarios.where("signal_count = 0").select(
+        "msg_id", F.lit("needs_input").alias("intent"),
+        F.lit(STATIC_ANSWERS["needs_input"]).alias("answer"))
+
+
 def _lines(df: DataFrame, position: Column, line: Column, title: str) -> DataFrame:
     """A short ordered table as one text."""
     ordered = F.array_sort(F.collect_list(F.struct(position.alias("p"), line.alias("l"))))

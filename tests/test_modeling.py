@@ -106,8 +106,10 @@ def test_requests_end_to_end(spark, fact, result):
     messages = warehouse.request_messages(fact)
     told, scored = training.answer_requests(messages, result, fact, "dashboard")
     intents = {r["intent"]: r["n"] for r in told.groupBy("intent").agg(F.count("answer").alias("n")).collect()}
-    assert {"overview", "metrics", "segment_category", "top_products", "seasonality"} <= set(intents)
+    assert {"overview", "metrics", "segment_category", "top_products", "seasonality",
+            "predict"} <= set(intents)
     assert all(intents.values())
+    assert told.count() == told.select("msg_id").distinct().count() == messages.count()
     assert scored.count() > 0 and scored.where("prediction is null").count() == 0
     by_join = requests.match_known(messages, {"product": sales.vocabulary(fact, "product")}, case_terms=0)
     by_case = requests.match_known(messages, {"product": sales.vocabulary(fact, "product")})

@@ -135,9 +135,10 @@ class Fills:
         filled: dict[str, Column] = {
             c: F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(float(v))), F.lit(float(v)))
             for c, v in self.numeric.items()}
-        filled |= {c: F.coalesce(F.col(c), F.timestamp_micros(F.lit(v)))
-                   for c, v in self.datetime.items()}
-        filled |= {c: F.coalesce(F.col(c), F.lit(v)) for c, v in self.categorical.items()}
+        values = {c: F.timestamp_micros(F.lit(v)) for c, v in self.datetime.items()}
+        values |= {c: F.lit(v) for c, v in self.categorical.items()}
+        filled |= {c: F.coalesce(F.col(c), v.cast(df.schema[c].dataType))
+                   for c, v in values.items()}
         return _replace(df, filled)
 
     def rows(self) -> list[tuple[str, str, str]]:
@@ -170,7 +171,8 @@ def fit_fills(
     def span(c: str) -> str:
         return f"_micros_{c}"
 
-    timed = _replace(df, {span(c): F.unix_micros(F.col(c)) for c in datetime_cols})
+    timed = _replace(df, {span(c): F.unix_micros(F.col(c).cast("timestamp"))
+                          for c in datetime_cols})
     medians = ranks.exact_medians(
         timed, [*numeric, *[span(c) for c in datetime_cols]],
         counts=present | {span(c): present[c] for c in datetime_cols})
@@ -390,7 +392,9 @@ def standardize_for_model(df: DataFrame, as_of: datetime) -> DataFrame:
     return with_category(derive_sales(typed))
 
 
-def prepare_for_model(raw: DataFrame, as_of: datetime) -> DataFrame:
+def prepare_for_model(
+    raw: DataFrame, as_of: datetime, impute_ids: bool = False
+) -> DataFrame:
     """The modelling profile. Duplicates go before ids are made up, and sales is
     back-filled before it is imputed, so both steps can take effect."""
     standard = dedupe(standardize_for_model(raw, as_of))
@@ -398,9 +402,5 @@ def prepare_for_model(raw: DataFrame, as_of: datetime) -> DataFrame:
     cased = title_case(clean_text(standard), collapse=False)
     signed = null_negatives(cased, NEGATIVE_IS_MISSING["model"])
     deduped = materialize(derive_sales(signed), "model-rows")
-    kinds = column_kinds(deduped)
-    fills = fit_fills(
-        deduped, as_of, [c for c in kinds["numeric"] if c not in IDS], kinds["datetime"],
-        [c for c in kinds["categorical"] if c not in IDS])
-    filled = keep_positive(fills.apply(deduped))
+    filled = keep_positive(fill_gaps(deduped, as_of, impute_ids)[0])
     return customer_purchase_count(time_features(filled))

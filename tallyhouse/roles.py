@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Mapping, Sequence
 from difflib import SequenceMatcher
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,26 +149,29 @@ def assign_roles(
 
 
 def date_shares(df: DataFrame, columns: Sequence[str], sample_rows: int | None = None) -> DataFrame:
-    """SC4: share of each text column's values that parse as a date, in one pass.
+    """SC4: share of each column's values that are or parse as a date, in one pass.
 
     All rows count by default: a distributed table has no first rows to sample.
     """
     rows = df.select(*columns) if sample_rows is None else df.select(*columns).limit(sample_rows)
+
+    def parsed(c: str) -> Column:
+        is_text = isinstance(df.schema[c].dataType, T.StringType)
+        return to_timestamp_any(F.col(c)) if is_text else F.col(c).cast("timestamp")
+
     shares = rows.agg(*[
-        F.try_divide(
-            F.count(to_timestamp_any(F.col(c))).cast("double"), F.count(F.col(c)).cast("double")
-        ).alias(c)
-        for c in columns
-    ])
+        F.try_divide(F.count(parsed(c)).cast("double"), F.count(F.col(c)).cast("double")).alias(c)
+        for c in columns])
     return shares.unpivot([], list(columns), "column", "parsed_share")
 
 
 def infer_date_column(
     df: DataFrame, taken: Iterable[str] = (), sample_rows: int | None = None
 ) -> str | None:
-    """SC4: the text column that looks most like a date, where no name says so."""
+    """SC4: the column that looks most like a date, where no name says so."""
     excluded = set(taken)
-    columns = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)
+    dates = (T.StringType, T.TimestampType, T.TimestampNTZType, T.DateType)
+    columns = [f.name for f in df.schema if isinstance(f.dataType, dates)
                and f.name not in excluded]
     if not columns:
         return None

@@ -109,6 +109,15 @@ def test_model_frame_of_a_bare_table(spark):
     assert row["month"] == 1 and row["day_of_week"] == 0 and row["hour"] == 0
 
 
+def test_prepare_fills_columns_of_any_type(spark):
+    df = spark.sql("""select * from values
+        (1.0D, date'2024-01-05', timestamp_ntz'2024-01-05 10:00:00', true, 3, 1.5BD),
+        (2.0D, null, null, null, null, null) as t(sales, order_date, shipped, gift, boxes, weight)""")
+    row = cleaning.prepare(df, AS_OF).cleaned.where("sales = 2.0").first()
+    assert (row["date"], row["shipped"]) == (datetime(2024, 1, 5), datetime(2024, 1, 5, 10))
+    assert (row["gift"], row["boxes"], row["weight"]) == (True, 3.0, 1.5)
+
+
 def test_prepare_needs_sales(spark):
     with pytest.raises(ValueError, match="sales"):
         cleaning.prepare(spark.createDataFrame([("a",)], "region string"), AS_OF)

@@ -86,7 +86,19 @@ def test_manual_flow_and_leaderboard_file(spark, dirty):
                                      leaderboard_path=board_path)
     result = training.manual_training(spark, clean_path, AS_OF, config)
     assert spark.read.json(board_path).count() == 3
-    assert modeling.score(sinks.load_model(model_path), result.test).count() == result.test.count()
+    again = training.load_existing(spark, clean_path, model_path, AS_OF, board_path)
+    assert again.best_name == result.best_name
+    message = spark.createDataFrame(
+        [("1", "Predict sales for quantity 3 price 120 category Economy region Asia date 2025-04-01"),
+         ("2", "Show model metrics"), ("3", "price of nothing, hello"), ("4", "forecast")],
+        "msg_id string, text string")
+    told, scored = training.answer_requests(message, again, ruleset="default")
+    found = {r["msg_id"]: r["answer"] for r in told.collect()}
+    assert found["1"].startswith("Predicted sales: $") and "quantity: 3" in found["1"]
+    assert found["2"].startswith("Best model first\n" + result.best_name)
+    assert scored.where("msg_id = '1'").first()["month"] == 4
+    refused = training.answer_requests(message, again, ruleset="dashboard")[0]
+    assert {r["msg_id"]: r["intent"] for r in refused.collect()}["4"] == "needs_input"
 
 
 def test_automatic_flow(dirty):

@@ -62,6 +62,12 @@ def test_inferred_date_is_renamed(spark):
     assert found["date"] == "when_sold" and "date" in resolved.columns
 
 
+def test_typed_date_column_is_found_by_its_type(spark):
+    df = spark.sql("select timestamp_ntz'2024-01-05 10:00:00' as created, 1.0D as sales, 'x' as note")
+    resolved, found = roles.resolve_roles(df)
+    assert found["date"] == "created"
+
+
 def test_date_needs_enough_values(spark):
     df = spark.createDataFrame([("2024-01-05",), ("x",), ("y",)], "created_time string")
     assert roles.infer_date_column(df) is None

@@ -7,34 +7,51 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.measures import total
+from ..session import materialize
 from .sales import monthly_sales
 
 
+def _grain(span_days: Column, days: Column) -> Column:
+    """A10: M for long or busy ranges (and for none), W for medium ones, D for short ones."""
+    return (F.when(span_days.isNull() | (span_days > 730) | (days > 365), "M")
+            .when((span_days > 120) | (days > 90), "W").otherwise("D"))
+
+
+def _span_days(first: Column, last: Column) -> Column:
+    return F.floor((F.unix_micros(last) - F.unix_micros(first)) / F.lit(86_400_000_000))
+
+
 def time_grain(df: DataFrame, col: str = "date") -> DataFrame:
-    """A10: M for long or busy ranges, W for medium ones, D for short ones."""
+    """A10: (span_days, days, grain) of a date column."""
     day = F.col(col)
-    span = F.floor((F.unix_micros(F.max(day)) - F.unix_micros(F.min(day))) / F.lit(86_400_000_000))
-    return df.agg(span.alias("span_days"), F.count_distinct(F.to_date(day)).alias("days")).select(
-        "span_days", "days",
-        F.when(F.col("span_days").isNull() | (F.col("span_days") > 730) | (F.col("days") > 365),
-               "M")
-        .when((F.col("span_days") > 120) | (F.col("days") > 90), "W")
-        .otherwise("D").alias("grain"))
+    return df.agg(_span_days(F.min(day), F.max(day)).alias("span_days"),
+                  F.count_distinct(F.to_date(day)).alias("days")).withColumn(
+        "grain", _grain(F.col("span_days"), F.col("days")))
 
 
 def choose_grain(df: DataFrame, col: str = "date") -> str:
     return time_grain(df, col).first()["grain"]
 
 
+def daily_sales(df: DataFrame) -> DataFrame:
+    """One row per day, written: all a trend needs, from one pass over the table."""
+    dated = df.where("date is not null and sales is not null")
+    return materialize(dated.groupBy(F.to_date("date").alias("day")).agg(
+        F.sum("sales").alias("sales"), F.min("date").alias("first"), F.max("date").alias("last")
+    ), "daily-sales")
+
+
 def sales_trend(df: DataFrame, grain: str | None = None) -> DataFrame:
     """(bucket, sales) at the chosen grain; periods without rows are there with 0.
 
     The list of periods is made from the first and last bucket alone, so its length
     depends on the dates covered and not on the number of rows.
     """
-    dated = df.where("date is not null and sales is not null")
-    grain = grain or choose_grain(dated)
-    buckets = dated.groupBy(dates.bucket(F.col("date"), grain).alias("bucket")).agg(
+    daily = daily_sales(df)
+    if grain is None:
+        grain = daily.agg(_grain(_span_days(F.min("first"), F.max("last")), F.count("day"))
+                          ).first()[0]
+    buckets = daily.groupBy(dates.bucket(F.col("day"), grain).alias("bucket")).agg(
         total("sales").alias("sales"))
     periods = buckets.agg(F.min("bucket").alias("first"), F.max("bucket").alias("last")).select(
         F.explode(dates.next_buckets(F.col("first"), F.col("last"), grain)).alias("bucket"))

@@ -11,7 +11,6 @@ from checks.registry import register, written_fact
 from checks.sqltext import FRAME, query
 from tallyhouse.operators import cleaning, distributions, modeling
 from tallyhouse.plans import training
-from tallyhouse.session import materialize
 
 # Small trees keep the check quick; the library's defaults are the full size.
 CHECK = training.TrainingConfig(trees=20, depth=10, key="h")
@@ -30,7 +29,7 @@ def features_of(spark, folder):
 
 
 def split_of(spark, folder):
-    return modeling.holdout_split(materialize(features_of(spark, folder), "features"), "h")
+    return modeling.write_split(features_of(spark, folder), "h")
 
 
 @register("M1_feature_table", query(FEATURES, "select * from features"))

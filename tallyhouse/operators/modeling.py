@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ranks
+from ..session import materialize
 
 TARGET = "sales"
 # The features, in order, and which of them are labels.
@@ -23,6 +24,7 @@ FEWEST_ROWS = 20
 SEED = 42
 # Test rows have a key hash below this byte: 51 of 256, a fifth.
 TEST_BELOW = "33"
+TEST_FLAG = "_test"
 
 BASELINE, LINEAR, FOREST = "Baseline Median", "Linear Regression", "Random Forest"
 
@@ -49,13 +51,26 @@ def row_key(df: DataFrame) -> Column:
     return F.concat_ws("|", *cells)
 
 
-def holdout_split(df: DataFrame, key: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """M2: 80/20 by hash of the row key: the same rows on any number of partitions."""
+def is_test(df: DataFrame, key: str | None = None) -> Column:
+    """M2: a fifth of the rows, chosen by hash of the row key: the same on any partitioning."""
     digest = F.md5(F.col(key).cast("string") if key else row_key(df))
-    test = F.substring(digest, 1, 2) < TEST_BELOW
+    return F.substring(digest, 1, 2) < TEST_BELOW
+
+
+def holdout_split(df: DataFrame, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """M2: (train, test) rows, 80/20."""
+    test = is_test(df, key)
     return df.where(~test), df.where(test)
 
 
+def write_split(df: DataFrame, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """M2 on a table that every fit reads again: the side of each row is written with it,
+    so later passes neither read the key nor hash it, and the scan filters by side."""
+    written = materialize(df.withColumn(TEST_FLAG, is_test(df, key)), "features")
+    return (written.where(f"not {TEST_FLAG}").drop(TEST_FLAG),
+            written.where(TEST_FLAG).drop(TEST_FLAG))
+
+
 def _literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

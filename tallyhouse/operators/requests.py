@@ -118,7 +118,9 @@ def _match_by_join(messages: DataFrame, vocab: DataFrame, out_col: str) -> DataF
     """
     terms = vocab.select(F.lower("term").alias("key"), "term").where("key <> ''").groupBy(
         "key").agg(F.min("term").alias("term"))
-    rows, width = terms.agg(F.count(F.lit(1)), F.max(F.length("key"))).first()
+    rows, width, widths = terms.agg(
+        F.count(F.lit(1)), F.max(F.length("key")),
+        F.collect_set(F.least(F.length("key"), F.lit(ANCHOR)))).first()
     if not rows:
         return messages.withColumn(out_col, F.lit(None).cast("string"))
     anchors = terms.groupBy(F.left("key", F.lit(ANCHOR)).alias("anchor")).agg(
@@ -128,9 +130,9 @@ def _match_by_join(messages: DataFrame, vocab: DataFrame, out_col: str) -> DataF
         "msg_id", F.explode(F.transform(
             F.sequence(F.lit(1), F.length("t")),
             lambda at: F.substring(F.col("t"), at, F.lit(width)))).alias("rest"))
-    # A term shorter than the anchor is its own anchor.
+    # A term shorter than the anchor is its own anchor; only lengths in use are tried.
     starts = positions.select("msg_id", "rest", F.explode(F.array_distinct(F.array(
-        *[F.left("rest", F.lit(n)) for n in range(1, ANCHOR + 1)]))).alias("anchor"))
+        *[F.left("rest", F.lit(n)) for n in sorted(widths)]))).alias("anchor"))
     found = _matching(starts, anchors, "anchor", rows).select(
         "msg_id", "rest", F.explode("sizes").alias("size")
     ).where(F.length("rest") >= F.col("size")).select(

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.cleaning_queries import AS_OF, day_time
+from checks.cleaning_queries import AS_OF
 from checks.registry import register, written_fact
 from checks.sqltext import CLEAN, EVENTS, FACT, FRAME, query
-from tallyhouse.functions import dates, ranks
+from tallyhouse.functions import ranks
 from tallyhouse.operators import cleaning, distributions, sales, timeline
 from tallyhouse.sources import warehouse
 
@@ -401,8 +401,9 @@ def _listing(df: DataFrame, section: str, label: str, value: str | None) -> Data
 
 
 @register("A24_data_context", query(FRAME, " union all ".join(
-    [f"select 'top_{c}' as section, {c} as label, v as value from (select {c}, cast(sum(cast(sales as decimal(18,4)))"
-     f" as double) as v, sum(cast(sales as decimal(18,4))) as s from frame group by {c} order by s desc, {c} limit 10)"
+    [f"select 'top_{c}' as section, {c} as label, v as value from (select {c}, "
+     f"cast(sum(cast(sales as decimal(18,4))) as double) as v from frame group by {c} "
+     f"order by v desc, {c} limit 10)"
      for c in ("product", "category", "region")]
     + [f"select distinct 'known_{c}', {c}, cast(null as double) from frame"
        for c in ("product", "category", "region")]

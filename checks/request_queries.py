@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from checks.cleaning_queries import AS_OF, day_time
 from checks.insight_queries import fact_of
 from checks.model_queries import split_of
@@ -95,7 +93,7 @@ def t3_join(spark, folder):
 
 def _number_sql(labels) -> str:
     found = ", ".join(
-        "nullif(regexp_extract(text, '(?i)" + r"\s+".join(w.replace("_", "_") for w in label.split())
+        "nullif(regexp_extract(text, '(?i)" + r"\s+".join(label.split())
         + r"\s*[:=]?\s*\$?(-?\d+(?:\.\d+)?)', 1), '')" for label in labels)
     return f"try_cast(coalesce({found}) as double)"
 

@@ -1,5 +1,3 @@
-from pathlib import Path
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,4 +143,3 @@ def test_shared_folder_and_spread(spark):
     assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(0, 100, 1, 64)
     assert spread(wide) is wide
-    assert Path(__file__).exists()

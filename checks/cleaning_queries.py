@@ -255,7 +255,10 @@ select 'duplicates_before', (select count(*) from dirty)
 select 'rows_after', (select count(*) from clean) union all
 select 'columns_after', 11 union all
 select 'missing_after', {_missing_sql('clean')} union all
-select 'duplicates_removed', (select count(*) from nonempty) - (select count(*) from deduped)"""))
+select 'duplicates_removed', (select count(*) from nonempty) - (select count(*) from deduped)
+union all select 'dates_unparsed', (select count(*) from dirty
+  where date is not null and try_cast(date as timestamp) is null)
+union all select 'dates_ambiguous', (select count(*) from dirty where contains(date, '/'))"""))
 def p1(spark, folder):
     prepared = cleaning.prepare(warehouse.retail_dirty(spark, folder), AS_OF)
     return profiling.quality_summary(prepared)
@@ -311,3 +314,30 @@ def exact_medians(spark, folder):
     fact = written_fact(spark, folder)
     found = ranks.exact_medians(fact, ["quantity", "price", "sales"], buffer_rows=100)
     return spark.createDataFrame([found], "quantity double, price double, sales double")
+
+
+_SPELLINGS = ("d/M/yyyy", "M/d/yy h:mm a", "MMMM d, yyyy", "d-MMM-yy", "M/d/yyyy H:mm", "d.M.yyyy")
+
+
+@register("C4_date_spellings", query(FACT, "select h, " + ", ".join(
+    f"strftime(date, '%Y-%m-%d %H:%M:%S') as d{i}" for i in range(len(_SPELLINGS))) + " from fact"))
+def c4_spellings(spark, folder):
+    """Every column is read in its own order of month and day."""
+    fact = warehouse.retail_fact(spark, folder)
+    written = fact.select("h", *[F.date_format("date", f).alias(f"d{i}")
+                                 for i, f in enumerate(_SPELLINGS)])
+    names = [f"d{i}" for i in range(len(_SPELLINGS))]
+    read = cleaning.parse_dates(written, names)
+    return read.select("h", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in names])
+
+
+@register("P3_profile_with_nan", query("t as (select event_id, case when event_id % 7 = 0 "
+                                       "then null else value end as value from events)", """
+select 'event_id' as "column", 'bigint' as dtype, count(*) - count(event_id) as missing,
+  count(distinct event_id) as unique_values from t union all
+select 'value', 'double', count(*) - count(value), count(distinct value) from t"""))
+def p3_nan(spark, folder):
+    """NaN counts as missing, like NULL."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    return profiling.column_profile(events.select("event_id", F.when(
+        F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value")))

@@ -384,6 +384,21 @@ def a22_spread(spark, folder):
         fact_of(spark, folder), ["customer_id"], ["price", "quantity", "sales"], buffer_rows=10)
 
 
+@register("A22_medians_with_empty_groups", query(FACT, """
+select g, median(quantity) as quantity, median(price) as price from (
+  select case when substr(h, 1, 1) = '0' then null else substr(h, 1, 1) end as g,
+    case when substr(h, 1, 1) = '3' then null else quantity end as quantity,
+    case when substr(h, 2, 1) < '8' then null else cast(price as double) end as price
+  from fact) group by g"""))
+def a22_empty(spark, folder):
+    """The spread path over a group without values and one without a key."""
+    first = F.substring("h", 1, 1)
+    holes = fact_of(spark, folder).select(
+        F.when(first != "0", first).alias("g"), F.when(first != "3", F.col("quantity")).alias("quantity"),
+        F.when(F.substring("h", 2, 1) >= "8", F.col("price").cast("double")).alias("price"))
+    return ranks.grouped_medians(holes, ["g"], ["quantity", "price"], buffer_rows=10)
+
+
 @register("A23_vocabularies", query(FACT, " union all ".join(
     f"select distinct '{c}' as vocabulary, {c} as term from fact"
     for c in ("product", "category", "region"))))

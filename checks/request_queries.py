@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from checks.cleaning_queries import AS_OF, day_time
-from checks.insight_queries import fact_of
-from checks.model_queries import split_of
+from checks.insight_queries import fact_of, rounded
+from checks.model_queries import FEATURES, split_of
 from checks.registry import register, written_fact
 from checks.sqltext import FACT, FRAME, query
 from tallyhouse.operators import cleaning, modeling, requests, sales
@@ -201,10 +203,15 @@ for _profile, _sql in (("dashboard", DEFAULTS), ("notebook", DEFAULTS_NOTEBOOK))
         lambda spark, folder, profile=_profile: scenarios_of(spark, folder, profile))
 
 
-@register("T8_score_scenarios")
+@register("T8_score_scenarios", query(_scenarios_sql(DEFAULTS), """
+select s.*, round(start + slope * quantity, 3) as prediction from scenarios s,
+  (select regr_slope(sales, quantity) as slope, regr_intercept(sales, quantity) as start
+   from frame where substr(md5(h), 1, 2) >= '33') where signal_count > 0"""))
 def t8(spark, folder):
+    """A line over one feature, so that SQL has the same."""
     train, _ = split_of(spark, folder)
-    return requests.score_scenarios(scenarios_of(spark, folder), modeling.fit_linear(train))
+    model = modeling.fit_linear(train.select("quantity", "sales"))
+    return rounded(requests.score_scenarios(scenarios_of(spark, folder), model), "prediction", digits=3)
 
 
 @register("T8_score_baseline", query(_scenarios_sql(DEFAULTS), """
@@ -224,6 +231,10 @@ _SHOWN = {c: c if c in modeling.CATEGORICAL else _value(f"cast({c} as double)")
           for c in modeling.FEATURES}
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 @register("T8_prediction_answers", query(_scenarios_sql(DEFAULTS), f"""
 select msg_id, 'predict' as intent, concat_ws(chr(10) || chr(10),
   'Predicted sales: $' || format('{{:,.2f}}', (select median(sales) from frame
@@ -233,7 +244,7 @@ select msg_id, 'predict' as intent, concat_ws(chr(10) || chr(10),
   'Notes:' || chr(10) || '- ' || case when notes = '' then '{requests.DEFAULTS_NOTE}'
     else replace(notes, chr(10), chr(10) || '- ') end) as answer
 from scenarios where signal_count > 0
-union all select msg_id, 'needs_input', '{requests.STATIC_ANSWERS["needs_input"]}'
+union all select msg_id, 'needs_input', {_quoted(requests.STATIC_ANSWERS["needs_input"])}
 from scenarios where signal_count = 0"""))
 def t8_answers(spark, folder):
     train, _ = split_of(spark, folder)
@@ -247,10 +258,10 @@ def _money(x: str) -> str:
     return f"'$' || format('{{:,.2f}}', cast({x} as double))"
 
 
-def _top_text(column: str, title: str) -> str:
+def _top_text(column: str, title: str, lines: int = 10) -> str:
     return f"""(select '{title}' || chr(10) || string_agg({column} || ': ' || {_money('s')},
       chr(10) order by s desc, {column}) from (select {column}, cast(sum(sales) as double) as s
-      from fact group by {column} order by s desc, {column} limit 10))"""
+      from fact group by {column} order by s desc, {column} limit {lines}))"""
 
 
 def _leaders_text(by: str, of: str) -> str:
@@ -274,9 +285,10 @@ from (select lower({by}) as segment, count(*) as n, sum(sales) as total,
     cast(sum(price) as double) / count(price) as p from fact group by 1) {tops}"""
 
 
-_FIXED = " ".join(f"when '{k}' then '{v}'" for k, v in requests.STATIC_ANSWERS.items())
+_FIXED = " ".join(f"when '{k}' then {_quoted(v)}" for k, v in requests.STATIC_ANSWERS.items()
+                  if k != "metrics")
 
-ANSWERS = MATCHED + f""",
+ANSWERS = FEATURES + _MESSAGES + _MATCHED + f""",
 routed as (select msg_id, product, category, region, {_DASHBOARD} as intent from matched),
 segments as ({' union all '.join(map(_segments_sql, requests.KNOWN))}),
 asked as (select msg_id, intent, case intent
@@ -294,23 +306,77 @@ book as (select
   {_top_text('region', 'Top regions')} as top_regions,
   (select 'Seasonality snapshot' || chr(10) || string_agg(m || ': ' || {_money('s')}, chr(10)
      order by m) from (select strftime(date, '%Y-%m') as m, sum(sales) as s from fact
-     group by 1 order by 1 limit 12)) as seasonality)"""
+     group by 1 order by 1 limit 12)) as seasonality,
+  {_top_text('product', 'Top products', 5)} as five_products,
+  {_top_text('region', 'Top regions', 5)} as five_regions,
+  (select 'Best model first' || chr(10) || 'Baseline Median mae='
+     || format('{{:,.2f}}', avg(abs(sales - prediction))) || ' rmse='
+     || format('{{:,.2f}}', sqrt(avg((sales - prediction) * (sales - prediction)))) || ' r2='
+     || format('{{:,.2f}}', 1 - sum((sales - prediction) * (sales - prediction))
+       / (var_pop(sales) * count(*))) from baseline) as metrics)"""
+
+
+def tables_of(spark, folder, fact):
+    train, test = split_of(spark, folder)
+    scored = modeling.scored_by({modeling.BASELINE: modeling.fit_baseline(train)}, test)
+    return {"top_product": sales.top_groups(fact, "product"),
+            "top_region": sales.top_groups(fact, "region"),
+            "monthly_sales": sales.monthly_sales(fact),
+            "overview": sales.dataset_overview(fact),
+            "leaderboard": modeling.leaderboard(modeling.regression_metrics(scored))}
+
+
+def segments_of(fact):
+    summaries = {c: sales.segment_summary(fact, c) for c in requests.KNOWN}
+    leaders = {(by, of): sales.segment_leaders(fact, by, of)
+               for by in requests.KNOWN for of in ("product", "region") if of != by}
+    return requests.segment_book(summaries, leaders)
 
 
 @register("T9_answers", query(ANSWERS, f"""
 select msg_id, intent, coalesce(answer, case intent when 'overview' then overview
   when 'top_products' then top_products when 'top_regions' then top_regions
-  when 'seasonality' then seasonality {_FIXED} end) as answer
+  when 'seasonality' then seasonality when 'metrics' then metrics {_FIXED} end) as answer
 from asked left join segments using (topic), book"""))
 def t9(spark, folder):
     fact = written_fact(spark, folder)
     routed = requests.route(matched_of(fact), "dashboard")
-    tables = {"top_product": sales.top_groups(fact, "product"),
-              "top_region": sales.top_groups(fact, "region"),
-              "monthly_sales": sales.monthly_sales(fact),
-              "overview": sales.dataset_overview(fact)}
-    summaries = {c: sales.segment_summary(fact, c) for c in requests.KNOWN}
-    leaders = {(by, of): sales.segment_leaders(fact, by, of)
-               for by in requests.KNOWN for of in ("product", "region") if of != by}
     return requests.answers(
-        routed, requests.answer_book(tables), requests.segment_book(summaries, leaders))
+        routed, requests.answer_book(tables_of(spark, folder, fact)), segments_of(fact))
+
+
+@register("T9_answers_notebook", query(ANSWERS, f"""
+select msg_id, intent, case intent when 'top_products' then five_products
+  when 'top_regions' then five_regions when 'seasonality' then seasonality
+  when 'metrics' then metrics {_FIXED} end as answer
+from (select msg_id, {_NOTEBOOK} as intent from matched), book where intent <> 'predict'"""))
+def t9_notebook(spark, folder):
+    fact = written_fact(spark, folder)
+    routed = requests.route(matched_of(fact), "notebook")
+    book = requests.answer_book(tables_of(spark, folder, fact), "notebook")
+    return requests.answers(routed, book, segments_of(fact))
+
+
+_TALK = """with messages as (select conv_id as msg_id, text from conversations),
+words as (select distinct regexp_extract(text, '\\w+', 0) as term from benchmark
+  union select 'Http' union select 'HTTP' union select 'nowhere at all')"""
+
+
+def _talk(spark, folder, case_terms):
+    """Messages whose ids repeat (a conversation has many turns) and may be missing."""
+    talk = spark.read.parquet(f"{folder}/conversations.parquet").select(
+        F.col("conv_id").alias("msg_id"), "text")
+    words = spark.read.parquet(f"{folder}/benchmark.parquet").select(
+        F.regexp_extract("text", r"\w+", 0).alias("term"))
+    more = spark.range(1).select(F.explode(F.array(*[
+        F.lit(w) for w in ("Http", "HTTP", "nowhere at all")])).alias("term"))
+    found = requests.match_terms(talk, words.union(more).distinct(), "term", case_terms)
+    return found.groupBy("msg_id", "text", "term").count()
+
+
+for _name, _terms in (("case", 10**6), ("join", 0)):
+    register(f"T3_repeated_ids_by_{_name}", _TALK + """
+select m.msg_id, m.text, (select w.term from words w where w.term <> ''
+    and contains(lower(m.text), lower(w.term)) order by length(w.term) desc, w.term limit 1) as term,
+  count(*) as count from messages m group by 1, 2, 3""")(
+        lambda spark, folder, terms=_terms: _talk(spark, folder, terms))

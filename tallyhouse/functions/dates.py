@@ -3,42 +3,102 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# (shape, format): a format is tried only where the text has its shape, so rows in
-# another format cost a regex test rather than a parser exception. ``None`` is the
-# ISO cast. Where two formats share a shape the earlier one wins (month first).
-DATE_FORMATS: tuple[tuple[str, str | None], ...] = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}", None),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "d/M/yyyy H:mm"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy/M/d H:mm:ss"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
-    (r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$", "d-MMM-yyyy"),
-    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
-    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    (r"^\d{8}$", "yyyyMMdd"),
+# (shape, format, order): a format is tried only where the text has its shape, so rows in
+# another format cost a regex test rather than a parser exception. ``None`` is the ISO cast.
+# ``order`` marks formats that share a shape and differ in which of month and day is first.
+MONTH_FIRST, DAY_FIRST = "month", "day"
+_D, _TIME, _AMPM = r"\d{1,2}", r" \d{1,2}:\d{2}", r" \d{1,2}:\d{2} ?[AaPp][Mm]"
+
+
+def _slashed() -> list[tuple[str, str | None, str | None]]:
+    """Every numeric format with slashes, month first and day first."""
+    found: list[tuple[str, str | None, str | None]] = []
+    for year, digits in (("yyyy", r"\d{4}"), ("yy", r"\d{2}")):
+        for clock, shape in (("", ""), (" H:mm", _TIME), (" H:mm:ss", _TIME + r":\d{2}"),
+                             (" h:mm a", _AMPM)):
+            for order, days in ((MONTH_FIRST, "M/d"), (DAY_FIRST, "d/M")):
+                found.append((f"^{_D}/{_D}/{digits}{shape}$", f"{days}/{year}{clock}", order))
+    return found
+
+
+DATE_FORMATS: tuple[tuple[str, str | None, str | None], ...] = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}", None, None),
+    *_slashed(),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d", None),
+    (rf"^\d{{4}}/{_D}/{_D}{_TIME}$", "yyyy/M/d H:mm", None),
+    (rf"^\d{{4}}/{_D}/{_D}{_TIME}:\d{{2}}$", "yyyy/M/d H:mm:ss", None),
+    (rf"^{_D}\.{_D}\.\d{{4}}$", "d.M.yyyy", None),
+    (rf"^{_D}\.{_D}\.\d{{4}}{_TIME}$", "d.M.yyyy H:mm", None),
+    (rf"^{_D}-[A-Za-z]{{3}}-\d{{4}}$", "d-MMM-yyyy", None),
+    (rf"^{_D}-[A-Za-z]{{3}}-\d{{2}}$", "d-MMM-yy", None),
+    (rf"^{_D} [A-Za-z]{{3}} \d{{4}}$", "d MMM yyyy", None),
+    (rf"^[A-Za-z]{{3}} {_D}, \d{{4}}$", "MMM d, yyyy", None),
+    (rf"^[A-Za-z]{{3}} {_D} \d{{4}}$", "MMM d yyyy", None),
+    (rf"^[A-Za-z]{{3,9}} {_D}, \d{{4}}$", "MMMM d, yyyy", None),
+    (r"^\d{8}$", "yyyyMMdd", None),
 )
 
 UNIX_EPOCH = "1970-01-01"
+#: Two-digit years from here on are of the century before.
+PIVOT_YEAR = 2069
+
+
+def _parse(col: Column, shape: str, fmt: str | None) -> Column:
+    if fmt is None:
+        return F.when(col.rlike(shape), col.try_cast("timestamp"))
+    text = F.initcap(F.lower(col)) if "MMM" in fmt else col
+    if fmt.endswith(" a"):  # the marker is upper case and stands alone
+        text = F.upper(F.regexp_replace(col, r"(?i) ?([ap]m)$", " $1"))
+    parsed = F.try_to_timestamp(text, F.lit(fmt))
+    if "yyyy" not in fmt:
+        parsed = F.when(F.year(parsed) >= PIVOT_YEAR, parsed - F.expr("interval 100 years")
+                        ).otherwise(parsed)
+    return F.when(col.rlike(shape), parsed)
 
 
 def to_timestamp_any(
-    col: Column, formats: Sequence[tuple[str, str | None]] = DATE_FORMATS
+    col: Column, formats: Sequence[tuple[str, str | None, str | None]] = DATE_FORMATS
 ) -> Column:
     """C4: first format that parses the text; NULL where none does."""
-
-    def parse(shape: str, fmt: str | None) -> Column:
-        parsed = col.try_cast("timestamp") if fmt is None else F.try_to_timestamp(col, F.lit(fmt))
-        return F.when(col.rlike(shape), parsed)
-
-    return F.coalesce(*[parse(shape, fmt) for shape, fmt in formats])
+    return F.coalesce(*[_parse(col, shape, fmt) for shape, fmt, _ in formats])
+
+
+@dataclass(frozen=True)
+class Election:
+    """The formats a column is read with, and what is doubtful about them."""
+
+    formats: tuple[tuple[str, str | None, str | None], ...]
+    order: str
+    ambiguous: int
+    unparsed: int
+
+
+def elect_formats(
+    df: DataFrame, name: str,
+    formats: Sequence[tuple[str, str | None, str | None]] = DATE_FORMATS,
+) -> Election:
+    """C4: one order of month and day for a whole column, from one aggregate over all rows.
+
+    The order that parses more texts wins, month first on a tie; the other order's formats
+    are dropped. ``ambiguous`` texts mean different dates in the two orders, ``unparsed``
+    ones are texts that no kept format reads.
+    """
+    col = F.col(f"`{name}`")
+    kept = {order: [f for f in formats if f[2] in (None, order)] for order in (MONTH_FIRST, DAY_FIRST)}
+    month, day = (to_timestamp_any(col, [f for f in formats if f[2] == order] or kept[order])
+                  for order in (MONTH_FIRST, DAY_FIRST))
+    row = df.agg(
+        F.count(month).alias("month"), F.count(day).alias("day"),
+        F.count_if(month != day).alias("ambiguous"),
+        *[F.count_if(col.isNotNull() & to_timestamp_any(col, fs).isNull()).alias(f"no_{order}")
+          for order, fs in kept.items()]).first()
+    order = DAY_FIRST if row["day"] > row["month"] else MONTH_FIRST
+    return Election(tuple(kept[order]), order, row["ambiguous"], row[f"no_{order}"])
 
 
 def month_label(date: Column) -> Column:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """A cell, or NULL if it is missing: NULL, and NaN in a column of floating numbers."""
+    value = F.col(f"`{name}`")
+    return F.when(~F.isnan(value), value) if dict(df.dtypes)[name] in ("double", "float") else value
+
+
 def total(col: str | Column) -> Column:
     """Sum as double; a group with only missing values sums to 0."""
     return F.coalesce(F.sum(col).cast("double"), F.lit(0.0))

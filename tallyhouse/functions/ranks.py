@@ -206,7 +206,10 @@ def grouped_medians(
         ).alias("times"))
         .groupBy(*group).agg((F.sum(F.col("v") * F.col("times")) / 2).alias("m"))
     )
-    return picked.groupBy(*keys).agg(
+    # A group whose values are all missing has no rank to pick, but is a group.
+    every = df.select(*keys).distinct().select(
+        *keys, F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("m"))
+    return picked.unionByName(every).groupBy(*keys).agg(
         *[F.max(F.when(F.col("name") == c, F.col("m"))).alias(c) for c in cols])
 
 

@@ -70,12 +70,17 @@ def numbers(df: DataFrame, cols: Sequence[str] = MEASURES) -> DataFrame:
 
 
 def parse_dates(
-    df: DataFrame, cols: Sequence[str] = ("date",), formats=dates.DATE_FORMATS
+    df: DataFrame, cols: Sequence[str] = ("date",), formats=None
 ) -> DataFrame:
-    """C4: dates as timestamps; unparsable text is missing."""
+    """C4: dates as timestamps; unparsable text is missing.
+
+    Without ``formats``, each text column is read in the order of month and day that
+    parses most of its rows (one pass over that column).
+    """
     def date(c: str) -> Column:
         if _is_text(df, c):
-            return dates.to_timestamp_any(F.col(c), formats)
+            chosen = dates.elect_formats(df, c).formats if formats is None else formats
+            return dates.to_timestamp_any(F.col(c), chosen)
         return F.col(c).cast("timestamp")
     return _replace(df, {c: date(c) for c in _present(df, cols)})
 
@@ -114,7 +119,7 @@ def null_negatives(
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
-    """Drop rows in which every column is missing."""
+    """Drop rows in which every column is missing (NULL or NaN)."""
     return df.na.drop(how="all")
 
 
@@ -309,9 +314,12 @@ class Prepared:
     fills: Fills
     counted: DataFrame
     notes: list[str]
+    dates: dates.Election | None = None
 
 
-def _notes(df: DataFrame, roles: Mapping[str, str | None], fills: Fills) -> list[str]:
+def _notes(
+    df: DataFrame, roles: Mapping[str, str | None], fills: Fills, read: dates.Election | None
+) -> list[str]:
     notes = ["Standardized column names to snake_case.", "Trimmed whitespace from text fields.",
              "Removed duplicate rows."]
     if "sales" in df.columns:
@@ -319,6 +327,10 @@ def _notes(df: DataFrame, roles: Mapping[str, str | None], fills: Fills) -> list
     notes.append(
         f"Detected date column: {roles['date']}." if roles.get("date") else
         "No reliable date column was detected; time-based analysis is skipped.")
+    if read and read.ambiguous:
+        notes.append(f"{read.ambiguous} date(s) were read {read.order} first, like most of their column.")
+    if read and read.unparsed:
+        notes.append(f"{read.unparsed} date(s) could not be read and count as missing.")
     if "customer_id" not in df.columns:
         notes.append("No customer identifier was detected; "
                      "customer behavior is summarized per transaction.")
@@ -330,7 +342,7 @@ def _notes(df: DataFrame, roles: Mapping[str, str | None], fills: Fills) -> list
     return notes
 
 
-def clean_rows(df: DataFrame, formats=dates.DATE_FORMATS) -> DataFrame:
+def clean_rows(df: DataFrame, formats=None) -> DataFrame:
     """C1-C8 on resolved columns: the row-wise part of cleaning, all in one stage."""
     steps = (clean_text, title_case, numbers, lambda d: parse_dates(d, formats=formats),
              derive_sales, derive_price, derive_quantity, null_negatives)
@@ -365,7 +377,7 @@ def fill_gaps(
 
 def prepare(
     raw: DataFrame, as_of: datetime, mode: str = "token", impute_ids: bool = False,
-    formats=dates.DATE_FORMATS,
+    formats=None,
 ) -> Prepared:
     """Resolve, clean, deduplicate and impute a raw table.
 
@@ -373,6 +385,10 @@ def prepare(
     everything downstream read that copy instead of repeating the shuffle.
     """
     named, roles = resolve_roles(raw, mode)
+    read = None
+    if formats is None and "date" in named.columns and _is_text(named, "date"):
+        read = dates.elect_formats(clean_text(named.select("date")), "date")
+        formats = read.formats
     typed = clean_rows(named, formats)
     if "sales" not in typed.columns:
         raise ValueError("no sales column, and none can be derived from quantity and price")
@@ -381,7 +397,8 @@ def prepare(
     for role in ("sales", "price", "quantity"):
         if role in cleaned.columns:
             roles[role] = roles.get(role) or role
-    return Prepared(raw, cleaned, roles, fills, counted, _notes(cleaned, roles, fills))
+    notes = _notes(cleaned, roles, fills, read)
+    return Prepared(raw, cleaned, roles, fills, counted, notes, read)
 
 
 def standardize_for_model(df: DataFrame, as_of: datetime) -> DataFrame:

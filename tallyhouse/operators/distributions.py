@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..roles import explorer_axes
+from ..functions.measures import present
+from ..roles import column_kinds, explorer_axes
 from ..session import materialize
 from .cleaning import numbers
 
@@ -18,10 +19,14 @@ GRID_POINTS = 200
 DENSITY_MIN_DISTINCT = 10
 
 
+def _number(df: DataFrame, col: str) -> Column:
+    return present(df, col).cast("double")
+
+
 def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(metric, v): the values of all columns under each other, in one scan."""
     pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in cols]))
+        F.struct(F.lit(c).alias("metric"), _number(df, c).alias("v")) for c in cols]))
     return df.select(pairs.alias("p")).select("p.metric", "p.v").where("v is not null")
 
 
@@ -43,7 +48,7 @@ def histograms(
     columns: one for the limits, one that counts (metric, bin) pairs in the map tasks.
     """
     found = _present(df, cols)
-    number = {c: F.col(c).cast("double") for c in found}
+    number = {c: _number(df, c) for c in found}
     limits = df.agg(*[
         F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n")).alias(c)
         for c, v in number.items()]).first()
@@ -122,9 +127,15 @@ def density(df: DataFrame, col: str, points: int = GRID_POINTS) -> DataFrame:
 
 
 def scatter_points(df: DataFrame) -> DataFrame:
-    """The 2-D explorer extract: every row, only the columns the chart needs."""
-    axes = explorer_axes(df)
-    wanted = [axes["x"], axes["y"], axes["color"], "price", "product", "region", "customer_id"]
+    """The 2-D explorer extract: every row, only the columns the chart needs.
+
+    Without sales the last numeric column is drawn; points are coloured by category, else
+    by region, else not at all.
+    """
+    numeric = column_kinds(df)["numeric"]
+    y = "sales" if "sales" in numeric else (numeric or [None])[-1]
+    color = next((c for c in ("category", "region") if c in df.columns), None)
+    wanted = [explorer_axes(df)["x"], y, color, "price", "product", "region", "customer_id"]
     return df.select(*dict.fromkeys(c for c in wanted if c in df.columns))
 
 

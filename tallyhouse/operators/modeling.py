@@ -25,6 +25,8 @@ SEED = 42
 # Test rows have a key hash below this byte: 51 of 256, a fifth.
 TEST_BELOW = "33"
 TEST_FLAG = "_test"
+#: Share of the rows that every node of a tree has at least.
+LEAST_NODE_SHARE = 1e-4
 
 BASELINE, LINEAR, FOREST = "Baseline Median", "Linear Regression", "Random Forest"
 
@@ -120,21 +122,24 @@ def _with_model(preprocess: PipelineModel, train: DataFrame, estimator) -> Pipel
 
 
 def fit_linear(train: DataFrame, preprocess: PipelineModel | None = None) -> PipelineModel:
-    """M5: least squares from one pass of normal equations."""
-    estimator = LinearRegression(labelCol=TARGET, solver="normal", regParam=0.0)
+    """M5: least squares, from one pass of normal equations where there are few enough features
+    for that (4,096), else by iterations."""
+    estimator = LinearRegression(labelCol=TARGET, solver="auto", regParam=0.0)
     return _with_model(preprocess or fit_preprocess(train), train, estimator)
 
 
 def fit_forest(
-    train: DataFrame, trees: int = 220, depth: int = 30, seed: int = SEED,
-    preprocess: PipelineModel | None = None,
+    train: DataFrame, trees: int = 220, depth: int = 20, seed: int = SEED,
+    preprocess: PipelineModel | None = None, least_share: float = LEAST_NODE_SHARE,
 ) -> PipelineModel:
     """M6: random forest on all features with bootstrap samples of full size.
 
-    The defaults are the deepest trees Spark grows; smaller ones are for quick runs.
+    A node holds at least ``least_share`` of the rows, so a tree has at most ``2 /
+    least_share`` nodes and the model on the driver does not grow with the table.
     """
     estimator = RandomForestRegressor(
         labelCol=TARGET, numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0,
+        minWeightFractionPerNode=least_share,
         featureSubsetStrategy="all")
     return _with_model(preprocess or fit_preprocess(train), train, estimator)
 

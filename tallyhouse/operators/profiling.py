@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.measures import present
 from .cleaning import COPIES, Prepared
 
 
 def _gaps(df: DataFrame) -> Column:
     """Missing cells of a row."""
     return reduce(lambda a, b: a + b,
-                  [F.col(f"`{c}`").isNull().cast("int") for c in df.columns]).cast("bigint")
+                  [present(df, c).isNull().cast("int") for c in df.columns]).cast("bigint")
 
 
 def _counts(df: DataFrame, when: str, rows: Column, missing: Column) -> list[Column]:
@@ -43,13 +44,21 @@ def _long(df: DataFrame) -> DataFrame:
 
 
 def quality_summary(prepared: Prepared) -> DataFrame:
-    """(metric, value) before and after cleaning; one pass over each table."""
+    """(metric, value) before and after cleaning; one pass over each table.
+
+    Where dates were read from text, also how many could not be, and how many mean another
+    date with month and day the other way round.
+    """
     raw, cleaned = prepared.raw, prepared.cleaned
     before = _with_copies(raw).agg(
         *_counts(raw, "before", F.sum(COPIES), F.sum(F.col(COPIES) * _gaps(raw))),
         _extra("duplicates_before"))
     after = cleaned.agg(*_counts(cleaned, "after", F.count(F.lit(1)), F.sum(_gaps(cleaned))))
     removed = prepared.counted.agg(_extra("duplicates_removed"))
+    if prepared.dates:
+        removed = removed.withColumns({
+            "dates_unparsed": F.lit(prepared.dates.unparsed).cast("bigint"),
+            "dates_ambiguous": F.lit(prepared.dates.ambiguous).cast("bigint")})
     return reduce(DataFrame.unionByName, [_long(part) for part in (before, after, removed)])
 
 
@@ -61,7 +70,7 @@ def imputations(prepared: Prepared) -> DataFrame:
 
 def _per_column_missing(df: DataFrame) -> DataFrame:
     return df.agg(*[
-        F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns
+        F.count_if(present(df, c).isNull()).alias(c) for c in df.columns
     ]).unpivot([], [F.col(f"`{c}`") for c in df.columns], "column", "missing_values")
 
 
@@ -73,8 +82,8 @@ def missing_columns(df: DataFrame, k: int = 10) -> DataFrame:
 
 def _comparable(df: DataFrame, name: str) -> Column:
     kind = dict(df.dtypes)[name]
-    # -0.0 and 0.0 are one value.
-    value = F.col(f"`{name}`") + F.lit(0.0) if kind in ("double", "float") else F.col(f"`{name}`")
+    # -0.0 and 0.0 are one value; NaN is none.
+    value = present(df, name) + F.lit(0.0) if kind in ("double", "float") else F.col(f"`{name}`")
     return value.cast("string").alias(name)
 
 
@@ -87,7 +96,7 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """
     missing = _per_column_missing(df)
     if approx:
-        distinct = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(c)
+        distinct = df.agg(*[F.approx_count_distinct(present(df, c)).alias(c)
                             for c in df.columns]).unpivot(
             [], [F.col(f"`{c}`") for c in df.columns], "column", "unique_values")
     else:

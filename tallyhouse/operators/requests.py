@@ -16,8 +16,9 @@ from .modeling import FEATURES, score
 
 # Vocabularies up to this size are searched by a CASE expression, larger ones by joins.
 CASE_TERMS = 100
-# Lookup tables up to this many terms are broadcast.
+# Lookup tables up to this many terms, and bytes in them, are broadcast.
 BROADCAST_TERMS = 200_000
+BROADCAST_BYTES = 32 << 20
 ANCHOR = 4
 
 # Ordered keyword rules of each rule set, first hit wins. ``predict``
@@ -50,13 +51,18 @@ NUMBER_LABELS = {
 HISTORY_LABEL = "history count"
 WHOLE_NUMBERS = ("customer_purchase_count", "hour")
 DATE_PATTERN = r"\b(20\d{2}-\d{2}-\d{2})\b"
+#: Lines of a top list.
+TOP_LINES = {"dashboard": 10, "notebook": 5}
 DEFAULTS_NOTE = "Used dataset defaults for any missing inputs."
 NO_DATE_NOTE = ("No parseable YYYY-MM-DD date was found, so default time features were used.")
 
 # Texts that need no table.
 STATIC_ANSWERS = {
     "empty": "Type a question or a prediction request.",
-    "help": "Ask me for a prediction using quantity, price, category, region, product, and date.",
+    "help": "Name a quantity, price, category, region, product or date and I estimate the "
+            "sales. For example: 'Predict sales for quantity 3 price 120 category Electronics "
+            "region North', 'Top products', 'Show model metrics', 'Monthly trend'.",
+    "metrics": "Model metrics are not available yet.",
     "fallback": "Try asking about model metrics, top products, top regions, seasonality, "
                 "dataset overview, or a sales prediction.",
     "needs_input": "I can make a prediction, but I need at least one input such as quantity, "
@@ -99,56 +105,84 @@ def _match_by_case(messages: DataFrame, terms: Sequence[str], out_col: str) -> D
     return lowered.withColumn(out_col, F.coalesce(*hits)).drop("_message")
 
 
-def _matching(df: DataFrame, per_key: DataFrame, key: str, rows: int) -> DataFrame:
-    """Rows of ``df`` with a partner in ``per_key``, which has ``rows`` rows at most."""
-    if rows <= BROADCAST_TERMS:
+def _matching(df: DataFrame, per_key: DataFrame, key: str, small: bool) -> DataFrame:
+    """Rows of ``df`` with a partner in ``per_key``, which is broadcast if it is ``small``."""
+    if small:
         return df.join(F.broadcast(per_key), key)
     payload = next(c for c in per_key.columns if c != key)
     return attach(df, per_key, key).where(F.col(payload).isNotNull())
 
 
-def _match_by_join(messages: DataFrame, vocab: DataFrame, out_col: str) -> DataFrame:
-    """Equi-joins only: no message meets a term that does not occur in it.
+def _text_id() -> Column:
+    """Names a text, case aside. Searches go by text, so equal messages are searched once
+    and message ids may repeat or be missing."""
+    return F.md5(F.lower("text"))
+
+
+def _texts(messages: DataFrame) -> DataFrame:
+    """``(_text, t)``: the distinct lower-cased texts."""
+    return messages.select(F.lower("text").alias("t")).where("t <> ''").distinct().select(
+        F.md5("t").alias("_text"), "t")
+
+
+def _longest_terms(texts: DataFrame, vocab: DataFrame, out_col: str) -> DataFrame | None:
+    """``(_text, out_col)`` for the texts that contain a term; None if there are no terms.
 
-    Every text position gives its next few characters (the anchor). Positions whose
-    anchor starts some term give one substring per length such terms have, and those
-    are looked up among the terms. The work is linear in the text, whatever the number
-    of terms; anchors and terms have one row per key and are broadcast only up to a
-    counted size.
+    Equi-joins only: no text meets a term that does not occur in it. Every text position
+    gives its next few characters (the anchor). Positions whose anchor starts some term
+    give one substring per length such terms have, and those are looked up among the
+    terms. The work is linear in the text, whatever the number of terms; anchors and terms
+    have one row per key and are broadcast only up to a counted size.
     """
     terms = vocab.select(F.lower("term").alias("key"), "term").where("key <> ''").groupBy(
         "key").agg(F.min("term").alias("term"))
-    rows, width, widths = terms.agg(
-        F.count(F.lit(1)), F.max(F.length("key")),
+    rows, size, width, widths = terms.agg(
+        F.count(F.lit(1)), F.sum(F.octet_length("key") + F.octet_length("term")),
+        F.max(F.length("key")),
         F.collect_set(F.least(F.length("key"), F.lit(ANCHOR)))).first()
     if not rows:
-        return messages.withColumn(out_col, F.lit(None).cast("string"))
+        return None
+    small = rows <= BROADCAST_TERMS and size <= BROADCAST_BYTES
     anchors = terms.groupBy(F.left("key", F.lit(ANCHOR)).alias("anchor")).agg(
         F.collect_set(F.length("key")).alias("sizes"))
 
-    positions = messages.select("msg_id", F.lower("text").alias("t")).where("t <> ''").select(
-        "msg_id", F.explode(F.transform(
-            F.sequence(F.lit(1), F.length("t")),
-            lambda at: F.substring(F.col("t"), at, F.lit(width)))).alias("rest"))
+    positions = texts.select("_text", F.explode(F.transform(
+        F.sequence(F.lit(1), F.length("t")),
+        lambda at: F.substring(F.col("t"), at, F.lit(width)))).alias("rest"))
     # A term shorter than the anchor is its own anchor; only lengths in use are tried.
-    starts = positions.select("msg_id", "rest", F.explode(F.array_distinct(F.array(
+    starts = positions.select("_text", "rest", F.explode(F.array_distinct(F.array(
         *[F.left("rest", F.lit(n)) for n in sorted(widths)]))).alias("anchor"))
-    found = _matching(starts, anchors, "anchor", rows).select(
-        "msg_id", "rest", F.explode("sizes").alias("size")
+    found = _matching(starts, anchors, "anchor", small).select(
+        "_text", "rest", F.explode("sizes").alias("size")
     ).where(F.length("rest") >= F.col("size")).select(
-        "msg_id", F.expr("left(rest, size)").alias("key")).distinct()
-    best = _matching(found, terms, "key", rows).groupBy("msg_id").agg(
+        "_text", F.expr("left(rest, size)").alias("key")).distinct()
+    return _matching(found, terms, "key", small).groupBy("_text").agg(
         F.min(F.struct((-F.length("term")).alias("l"), "term"))["term"].alias(out_col))
-    return messages.join(best, "msg_id", "left")
+
+
+def _match_by_join(messages: DataFrame, vocab: DataFrame, out_col: str) -> DataFrame:
+    best = _longest_terms(_texts(messages), vocab, out_col)
+    if best is None:
+        return messages.withColumn(out_col, F.lit(None).cast("string"))
+    return attach(messages.withColumn("_text", _text_id()), best, "_text").drop("_text")
+
+
+def _few_terms(vocab: DataFrame, case_terms: int) -> list[str] | None:
+    """The terms, if there are at most ``case_terms``."""
+    first = vocab.where("term <> ''").limit(case_terms + 1).collect()
+    return [r["term"] for r in first] if len(first) <= case_terms else None
 
 
 def match_terms(
     messages: DataFrame, vocab: DataFrame, out_col: str, case_terms: int = CASE_TERMS
 ) -> DataFrame:
-    """Longest term contained in the text, case aside (ties: the smallest)."""
-    first = vocab.where("term <> ''").limit(case_terms + 1).collect()
-    if len(first) <= case_terms:
-        return _match_by_case(messages, [r["term"] for r in first], out_col)
+    """Longest term contained in the text, case aside (ties: the smallest).
+
+    Each message is judged by its own text: ids may repeat or be missing.
+    """
+    few = _few_terms(vocab, case_terms)
+    if few is not None:
+        return _match_by_case(messages, few, out_col)
     return _match_by_join(messages, vocab, out_col)
 
 
@@ -157,14 +191,26 @@ def match_known(
 ) -> DataFrame:
     """T3 for products, categories and regions; a role without a vocabulary is NULL.
 
-    The result is written: routing, scenarios and answers all start from it, and a
-    filter on what was found must not be pushed down into the searches.
+    Roles with large vocabularies are searched in one written table of distinct texts, and
+    attached to the messages by text at once. The result is written: routing, scenarios and
+    answers all start from it, and a filter on what was found must not be pushed down into
+    the searches.
     """
-    for role in KNOWN:
-        messages = (match_terms(messages, vocabularies[role], role, case_terms)
-                    if role in vocabularies
-                    else messages.withColumn(role, F.lit(None).cast("string")))
-    return materialize(messages, "matched")
+    columns = messages.columns
+    few = {role: _few_terms(vocabularies[role], case_terms) for role in KNOWN if role in vocabularies}
+    for role, terms in few.items():
+        if terms is not None:
+            messages = _match_by_case(messages, terms, role)
+    large = [role for role, terms in few.items() if terms is None]
+    if large:
+        texts = materialize(_texts(messages), "texts")
+        found = [best for role in large
+                 if (best := _longest_terms(texts, vocabularies[role], role)) is not None]
+        if found:
+            known = reduce(lambda a, b: a.join(b, "_text", "full"), found)
+            messages = attach(messages.withColumn("_text", _text_id()), known, "_text")
+    missing = {role: F.lit(None).cast("string") for role in KNOWN if role not in messages.columns}
+    return materialize(messages.withColumns(missing).select(*columns, *KNOWN), "matched")
 
 
 def extract_numbers(messages: DataFrame, profile: str = "dashboard") -> DataFrame:
@@ -323,21 +369,27 @@ def metrics_answer(board: DataFrame) -> DataFrame:
     return _lines(board, F.struct("rmse", "model"), line, "Best model first")
 
 
-def answer_book(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(intent, answer) for every intent with one answer; a handful of rows."""
+def answer_book(tables: Mapping[str, DataFrame], profile: str = "dashboard") -> DataFrame:
+    """(intent, answer) for every intent with one answer; a handful of rows.
+
+    Top lists have ten lines, five in the ``notebook`` profile. Without a leaderboard the
+    answer about metrics says so.
+    """
+    lines = TOP_LINES[profile]
     top_products, top_regions = tables["top_product"], tables["top_region"]
     months = tables["monthly_sales"].orderBy("month").limit(12)
     month_line = F.concat_ws(": ", "month", display.format_currency(F.col("sales")))
     parts = {
         "overview": overview_answer(tables["overview"]),
-        "top_products": _ranked(top_products, "product", "Top products"),
-        "top_regions": _ranked(top_regions, "region", "Top regions"),
+        "top_products": _ranked(top_products, "product", "Top products", lines),
+        "top_regions": _ranked(top_regions, "region", "Top regions", lines),
         "seasonality": _lines(months, F.struct("month"), month_line, "Seasonality snapshot"),
     }
     if "leaderboard" in tables:
         parts["metrics"] = metrics_answer(tables["leaderboard"])
     spark = tables["overview"].sparkSession
-    fixed = spark.createDataFrame(list(STATIC_ANSWERS.items()), "intent string, answer string")
+    fixed = spark.createDataFrame(
+        [(k, v) for k, v in STATIC_ANSWERS.items() if k not in parts], "intent string, answer string")
     return reduce(DataFrame.unionByName, [
         part.select(F.lit(intent).alias("intent"), "answer") for intent, part in parts.items()
     ], fixed)

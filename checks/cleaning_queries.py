@@ -12,7 +12,7 @@ from checks.sqltext import (CLEAN, DEDUPED, DIRTY, EVENTS, FACT, FRAME, TYPED, c
                             median_time, mode_of, number, query, titled)
 from tallyhouse.functions import ranks, text
 from tallyhouse.operators import cleaning, profiling
-from tallyhouse.roles import date_shares
+from tallyhouse.roles import column_kinds, date_shares, rename_normalized
 from tallyhouse.sources import warehouse
 
 AS_OF = datetime(2024, 1, 1)
@@ -87,12 +87,13 @@ def c8(spark, folder):
     return cleaning.null_negatives(typed).select("h", "quantity", "price", "discount")
 
 
-@register("C9_drop_empty_rows", query(DIRTY, """
-select date, category, region, quantity from dirty
-where coalesce(date, category, region, cast(quantity as varchar)) is not null"""))
+@register("C9_drop_empty_rows", query(DIRTY, f"""
+select * from (select {cleaned_text('category')} as category, {cleaned_text('region')} as region
+  from dirty) where coalesce(category, region) is not null"""))
 def c9(spark, folder):
-    dirty = warehouse.retail_dirty(spark, folder)
-    return cleaning.drop_empty_rows(dirty.select("date", "category", "region", "quantity"))
+    """Two columns with gaps of their own, so that some rows have nothing."""
+    dirty = warehouse.retail_dirty(spark, folder).select("category", "region")
+    return cleaning.drop_empty_rows(cleaning.clean_text(dirty))
 
 
 @register("C10_dedupe", query(DIRTY, "select distinct * from dirty"))
@@ -237,6 +238,56 @@ def c22(spark, folder):
     return day_time(cleaning.prepare_for_model(warehouse.retail_dirty(spark, folder), AS_OF))
 
 
+#: Names as files have them, by the roles they stand for.
+STRANGE_NAMES = {"order_id": "Order Number", "customer_id": "ClientID", "date": "InvoiceDate",
+                 "product": " product-name ", "category": "Product Category", "region": "Market",
+                 "quantity": "Qty", "price": "Unit Price", "discount": "Discount %",
+                 "sales": "Total Revenue", "h": "h"}
+STRANGE_MODEL_NAMES = {"order_id": "InvoiceNo", "customer_id": "CustomerID", "date": "InvoiceDate",
+                       "product": "Description", "category": "Segment", "region": "Country",
+                       "quantity": "QTY", "price": "UnitPrice", "discount": "discount",
+                       "sales": "Amount", "h": "h"}
+
+
+def _renamed(spark, folder, names):
+    dirty = warehouse.retail_dirty(spark, folder)
+    return dirty.toDF(*[names[c] for c in dirty.columns])
+
+
+@register("SC2_prepare_strange_names", query(CLEAN, "select * from clean"))
+def sc2(spark, folder):
+    raw = _renamed(spark, folder, STRANGE_NAMES)
+    return day_time(cleaning.prepare(raw, AS_OF).cleaned)
+
+
+@register("SC3_prepare_for_model_strange_names", query(MODEL_ROWS, """
+select *, cast(month(date) as int) as month, cast(isodow(date) - 1 as int) as day_of_week,
+  cast(hour(date) as int) as hour, case when isodow(date) > 5 then 1 else 0 end as is_weekend,
+  count(*) over (partition by customer_id) as customer_purchase_count
+from filled where quantity > 0 and price > 0"""))
+def sc3(spark, folder):
+    raw = _renamed(spark, folder, STRANGE_MODEL_NAMES)
+    return day_time(cleaning.prepare_for_model(raw, AS_OF))
+
+
+@register("SC1_SC5_names_and_kinds", """
+select * from (values ('date', 'datetime'), ('order_id', 'numeric'), ('order_id_2', 'numeric'),
+  ('order_id_3', 'numeric'), ('unit_price', 'numeric'), ('column', 'categorical'))
+  as t("column", kind)
+where (select count(*) from orders) > 0""")
+def sc1(spark, folder):
+    """Names made alike are numbered; kinds go by type. Read from the orders."""
+    orders = warehouse.table(spark, folder, "orders")
+    named = rename_normalized(orders.select(
+        F.col("o_orderdate").alias("Date"), F.col("o_orderkey").alias("Order ID"),
+        F.col("o_custkey").alias("order-id"), F.col("o_orderkey").alias("OrderId"),
+        F.col("o_totalprice").alias(" unitPrice"), F.col("o_orderpriority").alias("??")))
+    kinds = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"))
+        for kind, cols in column_kinds(named).items() for c in cols]))
+    return named.limit(1).select(kinds.alias("k")).select("k.*")
+
+
 DIRTY_COLUMNS = ("order_id customer_id date product category region quantity price discount "
                  "sales h").split()
 

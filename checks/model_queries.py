@@ -12,6 +12,8 @@ from checks.registry import register, written_fact
 from checks.sqltext import FRAME, query
 from tallyhouse.operators import cleaning, distributions, modeling
 from tallyhouse.plans import training
+from tallyhouse.session import new_path
+from tallyhouse.sources import sinks
 
 # Small trees keep the check quick; the library's defaults are the full size.
 CHECK = training.TrainingConfig(trees=20, depth=10, key="h")
@@ -155,6 +157,44 @@ def m10(spark, folder):
     return _board(training.train(written_fact(spark, folder), AS_OF, CHECK).leaderboard)
 
 
+@register("W2_automatic", _board_sql(modeling.LINEAR, modeling.FOREST))
+def w2(spark, folder):
+    return _board(training.automatic(written_fact(spark, folder), AS_OF, CHECK)[1].leaderboard)
+
+
+@register("W3_manual_training", _board_sql(modeling.LINEAR, modeling.FOREST))
+def w3(spark, folder):
+    """Two steps that share only the handed-off table."""
+    path = new_path(spark, "hand-off")
+    training.manual_analysis(written_fact(spark, folder), AS_OF, path)
+    return _board(training.manual_training(spark, path, AS_OF, CHECK).leaderboard)
+
+
+@register("W4_notebook", _board_sql(modeling.LINEAR, modeling.FOREST))
+def w4(spark, folder):
+    path = new_path(spark, "export") + ".parquet"
+    written_fact(spark, folder).write.parquet(path)
+    sources = [("gone", path + ".csv"), ("file", path)]
+    return _board(training.notebook(spark, sources, AS_OF, CHECK)[3].leaderboard)
+
+
+@register("IO9_saved_model", query(FEATURES, "select * from baseline"))
+def io9(spark, folder):
+    train, test = split_of(spark, folder)
+    path = new_path(spark, "model")
+    sinks.save_model(modeling.fit_baseline(train), path)
+    return modeling.score(sinks.load_model(path), test).select("h", "sales", "prediction")
+
+
+@register("IO10_saved_leaderboard", _board_sql())
+def io10(spark, folder):
+    train, test = split_of(spark, folder)
+    scored = modeling.scored_by({modeling.BASELINE: modeling.fit_baseline(train)}, test)
+    path = new_path(spark, "leaderboard")
+    sinks.write_leaderboard(modeling.leaderboard(modeling.regression_metrics(scored)), path)
+    return _board(spark.read.json(path))
+
+
 @register("A19_axis_limits", query(FEATURES, """
 select least(min(sales), min(prediction)) as low, greatest(max(sales), max(prediction)) as high
 from baseline"""))

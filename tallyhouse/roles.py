@@ -50,8 +50,11 @@ MODEL_ALIASES: dict[str, tuple[str, ...]] = {
     "category": ("category", "product_category", "segment"),
 }
 
-ROLE_LABELS = {role: role.replace("_id", " ID").title().replace(" Id", " ID")
-               for role in ROLE_ORDER}
+# How roles are shown.
+ROLE_LABELS = {
+    "sales": "Sales", "quantity": "Quantity", "price": "Price", "discount": "Discount",
+    "date": "Date", "category": "Category", "product": "Product", "region": "Region",
+    "customer_id": "Customer ID", "order_id": "Order ID"}
 
 # How close a name must be, and what a contained name scores.
 MATCH_THRESHOLD = 0.72

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,6 +47,32 @@ def top_entities(df: DataFrame, entity: str, k: int = 10) -> DataFrame:
         *_best_first("sales", entity)).limit(k)
 
 
+def entity_totals(df: DataFrame, entities: Sequence[str]) -> DataFrame:
+    """Sales, quantity and orders of every value of each entity, written: one scan for all.
+
+    ``_set`` tells the entities' rows apart; `of_entity` picks one.
+    """
+    measures = [F.sum(c).alias(c) for c in ("sales", "quantity") if c in df.columns]
+    orders = (F.count_distinct("order_id") if "order_id" in df.columns else F.count(F.lit(1)))
+    return materialize(df.groupingSets([[F.col(e)] for e in entities], *entities).agg(
+        *measures, orders.alias("orders"), F.grouping_id().alias("_set")), "entities")
+
+
+def of_entity(totals: DataFrame, entities: Sequence[str], entity: str) -> DataFrame:
+    """One entity's rows of `entity_totals`: the entity, and its sums."""
+    bits = len(entities)
+    number = (1 << bits) - 1 ^ (1 << (bits - 1 - list(entities).index(entity)))
+    return totals.where(F.col("_set") == number).drop(
+        "_set", *[e for e in entities if e != entity])
+
+
+def top_of(per_entity: DataFrame, entity: str, k: int = 10) -> DataFrame:
+    """A2 from an entity's sums."""
+    sums = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+            for c in ("sales", "quantity") if c in per_entity.columns]
+    return per_entity.select(entity, *sums, "orders").orderBy(*_best_first("sales", entity)).limit(k)
+
+
 def customer_totals(df: DataFrame) -> DataFrame:
     """A3: transactions, revenue and average order value of every customer."""
     return df.groupBy("customer_id").agg(
@@ -53,17 +80,20 @@ def customer_totals(df: DataFrame) -> DataFrame:
         mean("sales").alias("average_order_value"))
 
 
-def top_customers(df: DataFrame, k: int = 10) -> DataFrame:
-    """A3: the k customers with the highest revenue."""
-    return customer_totals(df).orderBy(*_best_first("revenue", "customer_id")).limit(k)
+def top_customers(
+    df: DataFrame, k: int = 10, customers: DataFrame | None = None
+) -> DataFrame:
+    """A3: the k customers with the highest revenue; ``customers`` are their totals if known."""
+    return (customer_totals(df) if customers is None else customers).orderBy(*_best_first("revenue", "customer_id")).limit(k)
 
 
-def customer_kpis(df: DataFrame) -> DataFrame:
+def customer_kpis(df: DataFrame, customers: DataFrame | None = None) -> DataFrame:
     """A4: one row about the customer base; the top-5 share is NULL for a zero total.
 
     The table of customers is written, so that the top 5 need no second pass over the rows.
     """
-    customers = materialize(customer_totals(df), "customers")
+    if customers is None:
+        customers = materialize(customer_totals(df), "customers")
     top5 = customers.orderBy(*_best_first("revenue", "customer_id")).limit(5)
     return customers.agg(
         F.count(F.lit(1)).alias("active_customers"),
@@ -121,6 +151,15 @@ def correlation_matrix(
     return row.select(F.inline(F.array(*cells)))
 
 
+def drivers_of(matrix: DataFrame, drivers: tuple[str, ...] = DRIVERS) -> DataFrame:
+    """A6 from a matrix of A7 that has sales and the drivers."""
+    name = F.coalesce(*[F.when(F.col("y") == c, F.lit(ROLE_LABELS[c])) for c in drivers])
+    return matrix.where((F.col("x") == "sales") & F.col("y").isin(*drivers)).select(
+        name.alias("factor"), F.col("corr").alias("correlation_with_sales")).where(
+            "correlation_with_sales is not null").orderBy(
+                F.desc(F.abs("correlation_with_sales")), "factor")
+
+
 def top_shares(df: DataFrame, by: str, k: int = 5) -> DataFrame:
     """The k best groups and their share of all sales."""
     groups = group_totals(df, by)

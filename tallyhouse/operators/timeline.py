@@ -34,20 +34,30 @@ def choose_grain(df: DataFrame, col: str = "date") -> str:
 
 
 def daily_sales(df: DataFrame) -> DataFrame:
-    """One row per day, written: all a trend needs, from one pass over the table."""
-    dated = df.where("date is not null and sales is not null")
-    return materialize(dated.groupBy(F.to_date("date").alias("day")).agg(
-        F.sum("sales").alias("sales"), F.min("date").alias("first"), F.max("date").alias("last")
+    """One row per day, written: all that trends and months need, from one pass over the table.
+
+    ``first`` and ``last`` are the times of rows with sales, null on days without any.
+    """
+    sold = F.when(F.col("sales").isNotNull(), F.col("date"))
+    return materialize(df.where("date is not null").groupBy(F.to_date("date").alias("day")).agg(
+        F.sum("sales").alias("sales"), F.min(sold).alias("first"), F.max(sold).alias("last")
     ), "daily-sales")
 
 
-def sales_trend(df: DataFrame, grain: str | None = None) -> DataFrame:
+def as_days(daily: DataFrame) -> DataFrame:
+    """Daily sales as a table of one dated row per day, for the sums per month."""
+    return daily.select(F.col("day").cast("timestamp").alias("date"), "sales")
+
+
+def sales_trend(
+    df: DataFrame, grain: str | None = None, daily: DataFrame | None = None
+) -> DataFrame:
     """(bucket, sales) at the chosen grain; periods without rows are there with 0.
 
     The list of periods is made from the first and last bucket alone, so its length
     depends on the dates covered and not on the number of rows.
     """
-    daily = daily_sales(df)
+    daily = (daily_sales(df) if daily is None else daily).where("first is not null")
     if grain is None:
         grain = daily.agg(_grain(_span_days(F.min("first"), F.max("last")), F.count("day"))
                           ).first()[0]

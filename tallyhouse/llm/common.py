@@ -39,7 +39,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application."""
     context = spark.sparkContext
     name = f"tallyhouse-{context.applicationId}.zip"
@@ -55,7 +55,7 @@ def _ship(spark: SparkSession) -> None:
 
 def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df`` through ``run``, which maps an iterator of record batches to another."""
-    _ship(df.sparkSession)
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

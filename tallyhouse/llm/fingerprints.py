@@ -22,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.llm.common import (byte_texts, map_batches, pick, shingles, slices, words_of)
+from tallyhouse.llm.common import (byte_texts, map_batches, pick, shingles, ship, slices,
+                                   words_of)
 
 #: Hashes in a sketch; the standard error of a resemblance of one half is 0.044.
 SIZE = 128
@@ -222,6 +223,7 @@ def fingerprint_pairs(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
     """`resemblance` of two columns of sketches."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("double")
     def of(x: pd.Series, y: pd.Series) -> pd.Series:

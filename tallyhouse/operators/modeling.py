@@ -115,22 +115,37 @@ def fit_baseline(train: DataFrame) -> PipelineModel:
     return PipelineModel(stages=[stage])
 
 
-def _with_model(preprocess: PipelineModel, train: DataFrame, estimator) -> PipelineModel:
-    ready = preprocess.transform(train).select(
+def _vectors(preprocess: PipelineModel, train: DataFrame) -> DataFrame:
+    return preprocess.transform(train).select(
         "features", F.col(TARGET).cast("double").alias(TARGET))
+
+
+def write_vectors(preprocess: PipelineModel, train: DataFrame) -> DataFrame:
+    """Feature vectors and target, written for estimators that pass over them many times."""
+    return materialize(_vectors(preprocess, train), "vectors")
+
+
+def _with_model(
+    train: DataFrame, estimator, preprocess: PipelineModel | None, vectors: DataFrame | None
+) -> PipelineModel:
+    preprocess = preprocess or fit_preprocess(train)
+    ready = _vectors(preprocess, train) if vectors is None else vectors
     return PipelineModel(stages=[*preprocess.stages, estimator.fit(ready)])
 
 
-def fit_linear(train: DataFrame, preprocess: PipelineModel | None = None) -> PipelineModel:
+def fit_linear(
+    train: DataFrame, preprocess: PipelineModel | None = None, vectors: DataFrame | None = None
+) -> PipelineModel:
     """M5: least squares, from one pass of normal equations where there are few enough features
-    for that (4,096), else by iterations."""
+    for that (4,096), else by iterations. ``vectors`` are those of `write_vectors`."""
     estimator = LinearRegression(labelCol=TARGET, solver="auto", regParam=0.0)
-    return _with_model(preprocess or fit_preprocess(train), train, estimator)
+    return _with_model(train, estimator, preprocess, vectors)
 
 
 def fit_forest(
     train: DataFrame, trees: int = 220, depth: int = 20, seed: int = SEED,
     preprocess: PipelineModel | None = None, least_share: float = LEAST_NODE_SHARE,
+    vectors: DataFrame | None = None,
 ) -> PipelineModel:
     """M6: random forest on all features with bootstrap samples of full size.
 
@@ -139,9 +154,8 @@ def fit_forest(
     """
     estimator = RandomForestRegressor(
         labelCol=TARGET, numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0,
-        minWeightFractionPerNode=least_share,
-        featureSubsetStrategy="all")
-    return _with_model(preprocess or fit_preprocess(train), train, estimator)
+        minWeightFractionPerNode=least_share, featureSubsetStrategy="all")
+    return _with_model(train, estimator, preprocess, vectors)
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:

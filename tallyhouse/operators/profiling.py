@@ -39,6 +39,13 @@ def duplicate_rows(df: DataFrame, name: str = "duplicates") -> DataFrame:
     return _with_copies(df).agg(_extra(name))
 
 
+def table_size(df: DataFrame, stage: str) -> DataFrame:
+    """(stage, rows, columns, missing) of a table, from one pass."""
+    counts = _counts(df, stage, F.count(F.lit(1)), F.sum(_gaps(df)))
+    return df.agg(*counts).select(F.lit(stage).alias("stage"), *[
+        F.col(f"{name}_{stage}").alias(name) for name in ("rows", "columns", "missing")])
+
+
 def _long(df: DataFrame) -> DataFrame:
     return df.unpivot([], list(df.columns), "metric", "value")
 

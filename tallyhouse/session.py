@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,17 +47,40 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tallyhouse/{label}-{uuid.uuid4().hex}"
 
 
+# Paths that `materialize` wrote and nothing has released.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` and survives lost executors, but stays
-    columnar, so the passes that follow read only the columns they need.
+    columnar, so the passes that follow read only the columns they need. The copy stays
+    until a `released` block around it ends.
     """
     path = new_path(df.sparkSession, label)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, every copy that `materialize` made inside.
+
+    Results that still read those copies must be written or collected before that.
+    """
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _written[mark:]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        del _written[mark:]
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Share a scan with fewer splits than cores out over all of them.
 

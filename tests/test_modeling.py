@@ -112,6 +112,11 @@ def test_notebook_flow_falls_back(spark):
     assert label == "Synthetic fallback retail data"
     assert profile.where("column = 'quantity' and missing > 0").count() == 1
     assert result.frame.count() > 1000 and "sales_trend" in tables
+    report = training.render_notebook(label, profile, tables, result)
+    for title in ("Before and after cleaning", "Columns", "Repeated rows", "Model comparison",
+                  "Top products", "Top regions", "First twelve months"):
+        assert f"## {title}" in report
+    assert result.best_name in report and tables["duplicates"].first()[0] > 0
 
 
 def test_requests_end_to_end(spark, fact, result):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import dates, ranks
 from tallyhouse.operators import cleaning, distributions, modeling, profiling, requests
+from tallyhouse.session import materialize, released
 from tallyhouse.sources import files, synthetic
 
 NAN = float("nan")
@@ -122,3 +123,28 @@ def test_forest_does_not_grow_with_the_table(spark):
     train = spark.range(4000).select(F.rand(1).alias("quantity"), F.rand(2).alias("sales"))
     model = modeling.fit_forest(train, trees=2, depth=20, least_share=0.05)
     assert all(t.numNodes <= 2 / 0.05 for t in model.stages[-1].trees)
+
+
+def test_copies_are_deleted_when_their_block_ends(spark):
+    from pathlib import Path
+
+    with released(spark):
+        written = materialize(spark.range(5), "test")
+        path = Path(written.inputFiles()[0].removeprefix("file:")).parent
+        assert path.exists() and written.count() == 5
+    assert not path.exists()
+    with pytest.raises(RuntimeError), released(spark):
+        path = Path(materialize(spark.range(5), "test").inputFiles()[0].removeprefix("file:")).parent
+        raise RuntimeError
+    assert not path.exists()
+
+
+def test_few_scans_for_all_tables_of_a_report(spark, fact):
+    """Set-up passes and lazy tables together."""
+    from tallyhouse.plans import analysis
+
+    tables = analysis.insight_tables(fact)
+    source = set(fact.inputFiles())
+    reading = [n for n, t in tables.items() if set(t.inputFiles()) & source]
+    assert set(reading) <= {"histograms"}, reading
+    assert set(analysis.report_tables(tables).inputFiles()).isdisjoint(source)

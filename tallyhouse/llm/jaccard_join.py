@@ -12,11 +12,12 @@ signature (`scheme`). Sets that are alike share at least one; each that share on
 
 1. Equal sets are one *node*, known by a 64-bit hash of the set and its size.
 2. Nodes that share a signature with no other node are left out.
-3. Rounds: within each signature whose nodes are not yet all in one component, the first few
-   nodes are compared with all others, the most promising pair of each node first; links
-   join components. Pairs in one component need no comparison; groups that stay apart get
-   more first nodes in the next round, up to all. So every pair that could join components
-   is compared, but pairs within a group of copies are not written out.
+3. Rounds: at first each node is compared with one other, the first node of a signature of
+   its, the one with most signatures in common; links join components. Then, within each
+   signature whose nodes are not yet all in one component, the first 32 nodes are compared
+   with all others, in the next round the first 1,024, and so on, up to all. Pairs in one
+   component need no comparison. So every pair that could join components is compared, but
+   pairs within a group of copies are not written out.
 4. Comparisons are exact (`100 * common >= SHARE * union`), by joins of the shingle sets.
 
 Words are runs of bytes other than U+0020 and U+0009 to U+000D after A-Z are lower-cased.
@@ -47,6 +48,8 @@ WORDS = 3
 SHARE = 90
 #: A first-level part may differ in so many shingles, and has so many second-level parts.
 SLACK, SECOND = 1, 2
+#: Each round compares so many times as many first nodes of a group with all others.
+GROWTH = 32
 _SEEN = 1_000_000
 
 
@@ -197,18 +200,18 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS,
     sets = materialize(map_batches(here.select("text"), _sets(words), "node long, items array<long>")
                        .dropDuplicates(["node"]), "sets")
     links = apart = joined = None
-    first, most = 1, 1
+    first, done = 1, 0  # how many nodes of a group are compared with all others; were before
     while True:
         live = members.withColumn("c", F.col("node")) if joined is None else (
             members.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
             .select("sig", "node", "n", "c"))
-        open_ = (live.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
-                                         F.count("*").alias("size")).filter("lo < hi"))
-        open_ = materialize(open_.select("sig", "size"), "open")
-        largest = open_.agg(F.max("size")).first()[0]
-        if largest is None:
-            break
-        live = live.join(open_.select("sig"), "sig")
+        if joined is not None:
+            open_ = (live.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
+                                             F.count("*").alias("size"))
+                     .filter((F.col("lo") < F.col("hi")) & (F.col("size") > done)).select("sig"))
+            live = materialize(live.join(open_, "sig"), "open")
+            if live.isEmpty():
+                return joined
         ahead = (live.withColumn("rank", F.row_number().over(
             Window.partitionBy("sig").orderBy("node"))).filter(F.col("rank") <= first)
             .select("sig", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc")))
@@ -217,29 +220,28 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS,
         pairs = (live.join(ahead, "sig").filter(close)
                  .groupBy(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b"))
                  .agg(F.count("*").alias("common")))
-        if apart is not None:
+        if joined is None:  # to begin with, each node's most promising pair
+            pairs = (pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(
+                F.desc("common"), "b"))).filter("rank = 1"))
+        else:
             pairs = pairs.join(apart, ["a", "b"], "left_anti")
-        pairs = (pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(
-            F.desc("common"), "b"))).filter(F.col("rank") <= most).select("a", "b"))
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            if first >= largest:
-                break
-            first *= 8
-            continue
+            done, first = first, first * GROWTH
         sized = sets.select("node", "items")
-        judged = (pairs.join(sized.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+        judged = (pairs.select("a", "b")
+                  .join(sized.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
                   .join(sized.select(F.col("node").alias("b"), F.col("items").alias("y")), "b"))
         common = F.size(F.array_intersect("x", "y"))
         judged = materialize(judged.select("a", "b", (
             common * 100 >= (F.size("x") + F.size("y") - common) * share).alias("alike")), "judged")
         new, not_alike = judged.filter("alike").select("a", "b"), judged.filter("NOT alike").select("a", "b")
-        links = new if links is None else links.union(new)
-        apart = not_alike if apart is None else apart.union(not_alike)
-        if not new.isEmpty():
+        if joined is None:
+            first, links, apart = GROWTH, new, not_alike
             joined = components(links, "components")
-        most *= 4
-    return joined
+        else:
+            apart = apart.union(not_alike)
+            if not new.isEmpty():
+                links = links.union(new)
+                joined = components(links, "components")
 
 
 def classify(docs: DataFrame, words: int = WORDS, share: int = SHARE, slack: int = SLACK,

@@ -51,6 +51,7 @@ SLACK, SECOND = 1, 2
 #: Each round compares so many times as many first nodes of a group with all others.
 GROWTH = 32
 _SEEN = 1_000_000
+_MARKS = [f"m{i}" for i in range(8)]
 
 
 def band(size: int, share: int = SHARE) -> int:
@@ -162,6 +163,14 @@ def _profiles(words: int, share: int, slack: int, second: int):
 _PROFILE = "_d long, _h long, node long, n int, sigs array<long>"
 
 
+def _marks(every: np.ndarray) -> np.ndarray:
+    """Which cells of a few hundred hold an odd number of shingles, as bits of 64-bit numbers.
+    Each shingle that two sets differ in can change one cell."""
+    cells = np.bincount((mix(every) % np.uint64(64 * len(_MARKS))).astype(np.int64),
+                        minlength=64 * len(_MARKS)) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,10 +178,11 @@ def _sets(words: int):
             for part in slices(texts):
                 sets = list(shingles(*words_of(texts[part]), words))
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+                marks = np.array([_marks(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_node(s) for s in sets], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(
-                         np.concatenate(sets).view(np.int64) if sets else []))], ["node", "items"])
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))),
+                     *map(pa.array, marks.T)], ["node", "items", *_MARKS])
 
     return run
 
@@ -197,7 +207,8 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS,
              .agg(F.min(F.struct("_d", "_h")).alias("k")).select("k.*"))
     texts = materialize(texts.distinct(), "node-texts")
     here, _ = split_by_key(docs, texts, ["_d", "_h"])
-    sets = materialize(map_batches(here.select("text"), _sets(words), "node long, items array<long>")
+    schema = "node long, items array<long>, " + ", ".join(f"{m} long" for m in _MARKS)
+    sets = materialize(map_batches(here.select("text"), _sets(words), schema)
                        .dropDuplicates(["node"]), "sets")
     links = apart = joined = None
     first, done = 1, 0  # how many nodes of a group are compared with all others; were before
@@ -209,23 +220,30 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS,
             open_ = (live.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
                                              F.count("*").alias("size"))
                      .filter((F.col("lo") < F.col("hi")) & (F.col("size") > done)).select("sig"))
-            live = materialize(live.join(open_, "sig"), "open")
+            live = live.join(open_, "sig").join(sets.select("node", *_MARKS), "node")
+            live = materialize(live, "open")
             if live.isEmpty():
                 return joined
+        marks = [m for m in _MARKS if m in live.columns]
         ahead = (live.withColumn("rank", F.row_number().over(
             Window.partitionBy("sig").orderBy("node"))).filter(F.col("rank") <= first)
-            .select("sig", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc")))
+            .select(F.col("sig").alias("psig"), F.col("node").alias("p"), F.col("n").alias("pn"),
+                    F.col("c").alias("pc"), *[F.col(m).alias(f"p{m}") for m in marks]))
         close = ((F.least("n", "pn") * 100 >= F.greatest("n", "pn") * share)
                  & (F.col("c") != F.col("pc")))
-        pairs = (live.join(ahead, "sig").filter(close)
+        if marks:  # sets cannot differ in fewer shingles than their marks differ in
+            apart_by = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"p{m}"))) for m in marks), F.lit(0))
+            close &= apart_by * (100 + share) <= (F.col("n") + F.col("pn")) * (100 - share)
+        pairs = (live.join(ahead, (F.col("sig") == F.col("psig")) & close)
                  .groupBy(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b"))
                  .agg(F.count("*").alias("common")))
+        if apart is not None:
+            pairs = pairs.join(apart, ["a", "b"], "left_anti")
         if joined is None:  # to begin with, each node's most promising pair
             pairs = (pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(
                 F.desc("common"), "b"))).filter("rank = 1"))
         else:
-            pairs = pairs.join(apart, ["a", "b"], "left_anti")
-            done, first = first, first * GROWTH
+            done = first
         sized = sets.select("node", "items")
         judged = (pairs.select("a", "b")
                   .join(sized.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
@@ -235,13 +253,14 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS,
             common * 100 >= (F.size("x") + F.size("y") - common) * share).alias("alike")), "judged")
         new, not_alike = judged.filter("alike").select("a", "b"), judged.filter("NOT alike").select("a", "b")
         if joined is None:
-            first, links, apart = GROWTH, new, not_alike
+            links, apart = new, not_alike
             joined = components(links, "components")
         else:
             apart = apart.union(not_alike)
             if not new.isEmpty():
                 links = links.union(new)
                 joined = components(links, "components")
+        first *= GROWTH
 
 
 def classify(docs: DataFrame, words: int = WORDS, share: int = SHARE, slack: int = SLACK,

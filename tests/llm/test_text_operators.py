@@ -129,6 +129,17 @@ def test_alike_sets_share_a_signature(size, less, more, levels, seed):
     assert found[0] & found[1]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 300), st.integers(0, 60), st.integers(0, 2**31))
+def test_marks_differ_in_no_more_places_than_sets_differ(size, more, seed):
+    pick = np.random.default_rng(seed)
+    a = np.unique(pick.integers(0, 2**63, size).astype(np.uint64))
+    b = np.unique(np.concatenate([a[more // 2:], pick.integers(0, 2**63, more).astype(np.uint64)]))
+    x, y = jaccard_join._marks(a).view(np.uint64), jaccard_join._marks(b).view(np.uint64)
+    apart = sum(int(v).bit_count() for v in x ^ y)
+    assert apart <= len(np.setxor1d(a, b)) and (apart - len(np.setxor1d(a, b))) % 2 == 0
+
+
 def test_contamination(spark, odd):
     items = [(1, odd[10][1]), (2, "one"), (3, None), (4, ""), (5, "W3 w4, W5"), (6, odd[12][1].upper()),
              (6, odd[12][1]), (None, "élan ſ"), (7, "ONE"), (8, "nowhere at all")]

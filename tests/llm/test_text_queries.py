@@ -82,3 +82,27 @@ def test_pipeline(spark):
         copies[d] = copies.get(d, 0) + 1
     assert copies == {d: n for d, n in taken.items() if n}
     assert corpus_pipeline.run(spark, FOLDER).count() == len(after["mixing"])
+
+
+def test_near_copies_of_the_pipeline(spark):
+    """One changed word in every 50: 3-word Jaccard below 0.9, 5-word Jaccard above 0.8."""
+    def text(tag, n):
+        return [f"{tag}{i}" for i in range(n)]
+
+    rows = []
+    for i, step in enumerate((30, 45, 48, 50, 52, 56)):
+        words = text(f"t{i}x", 400)
+        copy = [f"new{w}" if j % step == 20 else w for j, w in enumerate(words)]
+        rows += [(2 * i, " ".join(words), "en", "s", 1), (2 * i + 1, " ".join(copy), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.join_near_copies(spark, docs, FOLDER).collect())
+    plain = [r[:2] for r in rows]
+    assert got == sorted({r[2] for r in jaccard_rows(plain, 80, 5)})
+    assert len(got) < len({r[2] for r in jaccard_rows(plain)})
+
+
+def test_near_copy_stage_on_the_smallest_table(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    got = sorted(r.doc_id for r in corpus_pipeline.join_near_copies(spark, docs, FOLDER).collect())
+    plain = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert got == sorted({r[2] for r in jaccard_rows(plain, 80, 5)})

@@ -265,20 +265,22 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS,
 
 def classify(docs: DataFrame, words: int = WORDS, share: int = SHARE, slack: int = SLACK,
              second: int = SECOND) -> DataFrame:
-    """``_d, _h, n, component`` of each row of ``docs (_d, _h, text)``: the least ``_d`` that
-    links lead to."""
+    """``_d, _h, n, component, c`` of each row of ``docs (_d, _h, text)``: the least ``_d`` that
+    links lead to, and the group of linked nodes itself (null without shingles). Groups whose
+    least id is equal or missing differ in ``c`` only."""
     found = profiles(docs, words, share, slack, second)
     joined = node_components(docs, found, words, share)
     linked = found.filter("n > 0")
-    classes = linked.groupBy("node", "n").agg(F.min("_d").alias("least"))
+    classes = linked.groupBy("node", "n").agg(F.min("_d").alias("least")).withColumn("c", F.col("node"))
     if joined is not None:
-        classes = classes.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        classes = (classes.drop("c").join(joined, "node", "left")
+                   .withColumn("c", F.coalesce("component", "node")))
         heads = classes.groupBy("c").agg(F.min("least").alias("head"))
-        classes = classes.join(heads, "c").select("node", "n", F.col("head").alias("least"))
+        classes = classes.join(heads, "c").select("node", "n", F.col("head").alias("least"), "c")
     rows = linked.select("_d", "_h", "node", "n").join(classes, ["node", "n"]).select(
-        "_d", "_h", "n", F.col("least").alias("component"))
+        "_d", "_h", "n", F.col("least").alias("component"), "c")
     return rows.unionByName(found.filter("n = 0").select(
-        "_d", "_h", "n", F.col("_d").alias("component")))
+        "_d", "_h", "n", F.col("_d").alias("component"), F.lit(None).cast("long").alias("c")))
 
 
 def similarity_classes(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
@@ -293,16 +295,12 @@ def one_of_each(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> Data
     """The rows of ``docs (doc_id, text, ..)`` without those that are linked, at any remove,
     with a row before them (by id, then by a hash of the text, then equal)."""
     keyed = marked(docs).select("_d", "_h", F.col(place(docs, "text")).alias("text"))
-    rows = materialize(classify(keyed, words, share), "classes")
-    heads = (rows.filter("n > 0 AND _d = component").groupBy("_d").agg(
-        F.min("_h").alias("_h"), F.count("*").alias("k")))
-    one = F.col("_h") == F.col("keep")
-    first = rows.filter("n > 0").join(
-        heads.select(F.col("_d").alias("component"), F.col("_h").alias("keep")), "component")
-    lost = materialize(first.filter((F.col("_d") != F.col("component")) | ~one)
-                       .select("_d", "_h").distinct(), "lost")
-    again = materialize(first.filter((F.col("_d") == F.col("component")) & one)
-                        .groupBy("_d", "_h").count().filter("count > 1").select("_d", "_h"), "again")
+    rows = materialize(classify(keyed, words, share).filter("n > 0").select("_d", "_h", "c"), "classes")
+    heads = rows.groupBy("c").agg(F.min(F.struct("_d", "_h")).alias("keep"))
+    first = rows.join(heads, "c").withColumn("one", F.struct("_d", "_h") == F.col("keep"))
+    lost = materialize(first.filter(~F.col("one")).select("_d", "_h").distinct(), "lost")
+    again = materialize(first.filter("one").groupBy("_d", "_h").count()
+                        .filter("count > 1").select("_d", "_h"), "again")
     _, kept = split_by_key(marked(docs), lost, ["_d", "_h"])
     if again.isEmpty():
         return unhide(kept, docs)

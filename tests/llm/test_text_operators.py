@@ -112,6 +112,16 @@ def test_one_of_each(spark, odd):
     assert out.count() == alone + len({r[2] for r in classes if r[1]})
 
 
+def test_one_of_each_keeps_unrelated_texts_with_missing_or_equal_ids(spark):
+    pick = random.Random(8)
+    a, b, c, d, e = (" ".join(f"{x}{pick.randrange(500)}" for _ in range(60)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (7, c), (9, d), (None, e), (8, e), (None, "")]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in rows])
+    got = common.pick(jaccard_join.one_of_each(docs), "doc_id", "text").collect()
+    assert in_order([tuple(r) for r in got]) == in_order(
+        [(None, a), (None, b), (7, c), (7, d), (8, e), (None, "")])
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 30), st.integers(0, 30), st.sampled_from([(0, 1), (1, 2), (2, 4)]),
        st.integers(0, 2**31))

@@ -11,8 +11,8 @@
 
 A phrase is a window of `WINDOW` consecutive words of a test item; an item of fewer words, but
 not none, is one phrase. Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are
-lower-cased. Postings are kept under wholly lower-cased terms, which can only add candidates;
-the check uses the words themselves.
+lower-cased. Postings are kept under these words, and counts and phrases use them alike: the
+lower case of other letters can depend on their neighbours.
 
 Everything is DataFrame functions. What is made from the test items (terms, phrases) is
 broadcast while it is small (`bounded`) and joined by key beyond that.
@@ -40,15 +40,10 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def words_of(text: Column) -> Column:
-    """The words as they are compared."""
+    """The words as they are indexed and compared."""
     return F.regexp_extract_all(F.translate(text, _UPPER, _UPPER.lower()), F.lit(WORD), F.lit(0))
 
 
-def terms_of(text: Column) -> Column:
-    """The words as they are indexed, one for each word, at the same positions."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-
-
 def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``phrase, item_id, words, terms``: the distinct windows of each item."""
     words = items.select("item_id", words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
@@ -56,12 +51,12 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
     each = (words.select("item_id", "w", F.explode(starts).alias("i"))
             .select("item_id", F.slice("w", F.col("i") + 1, F.lit(window)).alias("words")).distinct())
     return each.select(F.xxhash64("item_id", "words").alias("phrase"), "item_id", "words",
-                       F.transform("words", F.lower).alias("terms"))
+                       F.col("words").alias("terms"))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, n``: occurrences in ``docs (.., text)`` of each of ``terms (term)``."""
-    found = (docs.select(F.explode(terms_of(F.col("text"))).alias("term"))
+    found = (docs.select(F.explode(words_of(F.col("text"))).alias("term"))
              .join(bounded(terms), "term").groupBy("term").agg(F.count("*").alias("k")))
     return terms.join(found, "term", "left").select("term", F.coalesce("k", F.lit(0)).alias("n"))
 
@@ -82,7 +77,7 @@ def search_terms(wanted: DataFrame, counts: DataFrame, rarest: int = RAREST) ->
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, _d, _h, pos`` for every occurrence of ``terms (term)`` in ``docs (_d, _h, text)``."""
-    return (docs.select("_d", "_h", F.posexplode(terms_of(F.col("text"))).alias("pos", "term"))
+    return (docs.select("_d", "_h", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
             .join(bounded(terms), "term").select("term", "_d", "_h", "pos"))
 
 

@@ -163,6 +163,16 @@ def test_contamination(spark, odd):
     assert {r[2] for r in rows_of(none)} == {0}
 
 
+def test_contamination_by_words_whose_lower_case_depends_on_neighbours(spark):
+    """A capital sigma is lower-cased by what stands around it, across the ends of words."""
+    phrase = "Η Δ.Σ. ΛΟΓΟΣ.Α του ΟΣ'Α και ΑΣ: Σ"
+    rows = [(1, f"x {phrase} y"), (2, "Δ.Σ."), (3, "ΛΟΓΟΣ.Α x"), (4, "λογος α")]
+    items = [(1, phrase), (2, "Σ"), (3, "ΛΟΓΟΣ Α")]
+    docs = frame(spark, [(i, t, "el", "s") for i, t in rows])
+    got = rows_of(decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")))
+    assert got == contamination_rows(rows, items) and [r[3] for r in got] == [3, 1, 1, 0]
+
+
 def test_contamination_without_broadcasts(spark, odd, monkeypatch):
     items = [(1, odd[10][1]), (2, "one"), (5, odd[20][1])]
     monkeypatch.setattr(decontaminate, "bounded", lambda df, limit=0: df)

@@ -6,10 +6,19 @@ whole collection. A word that no template has counts towards a vector's length,
 weight of a word that no text has, but points nowhere.
 
 *Units.* A text is scanned line by line: a header is a line of it. A license file is also
-scanned as a whole. The unit with the largest cosine decides, if it is at least
-`THRESHOLD`; ties go to the first license by name. A unit can only get there if it has one of
-the *leading* terms of a template, those whose removal leaves less than the threshold of its
-length; all other lines are left out before words are counted.
+scanned as a whole. And every run of as many words as a template has, across the ends of lines,
+is compared with that template (`window_matches`), so that notices in paragraphs, wrapped ones
+and the bodies of licenses are found. Full texts are known by their standard headers and by
+passages that no other license here has (`PASSAGES`); titles (`TITLES`) are lines. The unit with
+the largest cosine decides, if it is at least `THRESHOLD`; ties go to the first license by name.
+Titles, and runs for templates of fewer than `SHORT` words, must agree in full. That all rights
+are reserved (`RESERVED`) decides only where nothing grants a license.
+
+*Bounds.* A unit can only get there if it has one of the *leading* terms of a template, those
+whose removal leaves less than the threshold of its length; other lines and texts are left out
+before words are counted. By Cauchy and Schwarz, the terms that a unit has must also make up
+the threshold of the template's length: texts, then stretches of twice the template's length,
+that have less are left out before runs are written out. Neither changes what is found.
 
 *Inheritance.* A file without a license of its own has the one of the license file in its
 directory, or else in the nearest directory above. License files found are joined by path to
@@ -47,6 +56,76 @@ TEMPLATES = {
     "MPL-2.0": "Subject to the terms of the Mozilla Public License, v. 2.0",
     "Proprietary": "All rights reserved",
 }
+TITLES = {
+    "Apache-2.0": ["Apache License 2.0", "Apache License, Version 2.0", "The Apache License, Version 2.0"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"],
+    "CC-BY-4.0": ["Attribution 4.0 International", "Creative Commons Attribution 4.0 International"],
+    "CC-BY-NC-4.0": ["Attribution-NonCommercial 4.0 International",
+                     "Creative Commons Attribution-NonCommercial 4.0 International"],
+    "CC0-1.0": ["CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License Version 2.0"],
+}
+_GNU = """This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU
+{2}General Public License as published by the Free Software Foundation{3} either version {4} of the License,
+or (at your option) any later version"""
+PASSAGES = {
+    "Apache-2.0": [
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at""",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        """Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual,
+        worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare
+        Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such
+        Derivative Works in Source or Object form."""],
+    "BSD-3-Clause": [
+        """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission."""],
+    "CC-BY-4.0": [
+        """By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and
+        conditions of this Creative Commons Attribution 4.0 International Public License ("Public License").""",
+        "Creative Commons Attribution 4.0 International Public License"],
+    "CC-BY-NC-4.0": [
+        """By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and
+        conditions of this Creative Commons Attribution-NonCommercial 4.0 International Public License
+        ("Public License").""",
+        "Creative Commons Attribution-NonCommercial 4.0 International Public License"],
+    "CC0-1.0": [
+        """The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related
+        Rights (defined below) upon the creator and subsequent owner(s) (each and all, an "owner") of an original
+        work of authorship and/or a database (each, a "Work").""",
+        """The person who associated a work with this deed has dedicated the work to the public domain by waiving
+        all of his or her rights to the work worldwide under copyright law"""],
+    "GPL-2.0": [_GNU.format("program", ";", "", ";", 2),
+                "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "GPL-3.0": [_GNU.format("program", ":", "", ",", 3),
+                "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+                """The GNU General Public License is a free, copyleft license for software and other kinds of
+                works."""],
+    "LGPL-3.0": [_GNU.format("library", ":", "Lesser ", ",", 3),
+                 "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+                 """This version of the GNU Lesser General Public License incorporates the terms and conditions of
+                 version 3 of the GNU General Public License, supplemented by the additional permissions listed
+                 below."""],
+    "MIT": [
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+        associated documentation files (the "Software"), to deal in the Software without restriction, including
+        without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+        copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+        following conditions""",
+        "Licensed under the MIT License", "under the terms of the MIT License"],
+    "MPL-2.0": [
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+        was not distributed with this file, You can obtain one at"""],
+}
+#: How license tags in files name the licenses; `-only`, `-or-later` and `+` may follow.
+SPDX = "SPDX-License-Identifier: {0}"
+#: Says that nothing is granted.
+RESERVED = "Proprietary"
+#: Runs for a template of fewer words must agree with it in full.
+SHORT = 12
+_FULL = 0.999999
+_TEMPLATE = ["template", "license", "kind", "size", "least"]
 LICENSE_FILE = r"(?i)^(license|licence|copying|notice)(\.(txt|md))?$"
 THRESHOLD = 0.7
 
@@ -55,13 +134,25 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def template_vectors(files: DataFrame, templates: dict[str, str]) -> tuple[DataFrame, float, int]:
-    """``term, license, weight, unit, idf`` (weights, and shares of the template's length), the
-    weight of an unknown word, and how many texts there are."""
-    rows = [F.struct(F.lit(k).alias("license"), F.lit(v).alias("text")) for k, v in sorted(templates.items())]
+def template_vectors(files: DataFrame, templates: dict[str, str], threshold: float = THRESHOLD
+                     ) -> tuple[DataFrame, float, int]:
+    """``template, license, kind, size, least, term, weight, unit, idf`` (what it is compared
+    with, its number of words, the cosine it takes, weights, and shares of the template's
+    length), the weight of an unknown word, and how many texts there are."""
+    listed = [(k, v, "line", threshold) for k, v in templates.items()]
+    listed += [(k, v, "line", _FULL) for k, all_ in TITLES.items() for v in all_]
+    listed += [(k, v, "run", None) for k, v in templates.items()]
+    listed += [(k, v, "run", None) for k, all_ in PASSAGES.items() for v in all_]
+    listed += [(k, SPDX.format(k), "run", _FULL) for k in templates if k != RESERVED]
+    rows = [F.struct(F.lit(i).alias("template"), F.lit(k).alias("license"), F.lit(v).alias("text"),
+                     F.lit(kind).alias("kind"), F.lit(least).cast("double").alias("least"))
+            for i, (k, v, kind, least) in enumerate(sorted(listed, key=str))]
     listed = files.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
-    tf = (listed.select("license", F.explode(_words(F.col("text"))).alias("term"))
-          .groupBy("license", "term").agg(F.count("*").alias("tf")))
+    sized = listed.withColumn("words", _words(F.col("text"))).withColumn("size", F.size("words"))
+    sized = sized.withColumn("least", F.coalesce("least", F.when(
+        F.col("size") < SHORT, _FULL).otherwise(threshold)))
+    tf = (sized.select(*_TEMPLATE, F.explode("words").alias("term"))
+          .groupBy(*_TEMPLATE, "term").agg(F.count("*").alias("tf")))
     terms = sorted(r[0] for r in tf.select("term").distinct().collect())
     known = F.array(*[F.lit(t) for t in terms])
     df = (files.select(F.explode(F.array_intersect(_words(F.col("text")), known)).alias("term"))
@@ -69,27 +160,24 @@ def template_vectors(files: DataFrame, templates: dict[str, str]) -> tuple[DataF
     n = files.count()
     unknown = math.log(1 + n) + 1
     idf = F.log((1 + F.lit(n)) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    each = tf.join(df, "term", "left").select("license", "term", (F.col("tf") * idf).alias("weight"),
+    each = tf.join(df, "term", "left").select(*_TEMPLATE, "term", (F.col("tf") * idf).alias("weight"),
                                               idf.alias("idf"))
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("license")))
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("template")))
     vectors = each.withColumn("unit", F.col("weight") / length)
     return materialize(vectors, "templates"), unknown, n
 
 
-def leading_terms(vectors: DataFrame, threshold: float = THRESHOLD) -> list[str]:
-    """Terms without any of which no unit can be as near as ``threshold`` to any template."""
-    rest = Window.partitionBy("license").orderBy("unit", "term")
+def leading_terms(vectors: DataFrame) -> list[str]:
+    """Terms without any of which no unit can be as near as it takes to any template."""
+    rest = Window.partitionBy("template").orderBy("unit", "term")
     below = F.sqrt(F.sum(F.col("unit") * F.col("unit")).over(rest))
     return sorted(r[0] for r in vectors.withColumn("below", below)
-                  .filter(F.col("below") >= threshold - 1e-9).select("term").distinct().collect())
+                  .filter(F.col("below") >= F.col("least") - 1e-9).select("term").distinct().collect())
 
 
-def matches(files: DataFrame, templates: dict[str, str] = TEMPLATES,
-            threshold: float = THRESHOLD) -> DataFrame:
-    """``_row, license, cosine``: the best match of each row of
-    ``files (_row, text, is_license)`` that has one."""
-    vectors, unknown, _ = template_vectors(files, templates)
-    leading = F.array(*[F.lit(t) for t in leading_terms(vectors, threshold)])
+def line_matches(files: DataFrame, vectors: DataFrame, idf: DataFrame, unknown: float) -> DataFrame:
+    """``_row, license, cosine`` of lines, and of license files as a whole."""
+    leading = F.array(*[F.lit(t) for t in leading_terms(vectors)])
     lines = files.select("_row", F.posexplode(F.split("text", "\n")).alias("unit_no", "line"))
     whole = files.filter("is_license").select(
         "_row", F.lit(-1).alias("unit_no"), F.col("text").alias("line"))
@@ -97,18 +185,69 @@ def matches(files: DataFrame, templates: dict[str, str] = TEMPLATES,
              .filter(F.arrays_overlap("words", leading)))
     tf = (units.select("_row", "unit_no", F.explode("words").alias("term"))
           .groupBy("_row", "unit_no", "term").agg(F.count("*").alias("tf")))
-    idf = vectors.groupBy("term").agg(F.max("idf").alias("idf"))
     weighted = tf.join(F.broadcast(idf), "term", "left").withColumn(
         "w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     weighted = materialize(weighted.select("_row", "unit_no", "term", "w"), "units")
     length = weighted.groupBy("_row", "unit_no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    dots = (weighted.join(F.broadcast(vectors.select("term", "license", "unit")), "term")
-            .groupBy("_row", "unit_no", "license").agg(F.sum(F.col("w") * F.col("unit")).alias("dot")))
-    scored = dots.join(length, ["_row", "unit_no"]).select(
-        "_row", "license", F.round(F.col("dot") / F.col("len"), 9).alias("cosine"))
-    best = F.min_by(F.struct("license", "cosine"), F.struct(-F.col("cosine"), F.col("license")))
-    return (scored.filter(F.col("cosine") >= threshold).groupBy("_row").agg(best.alias("b"))
-            .select("_row", "b.license", "b.cosine"))
+    dots = (weighted.join(F.broadcast(vectors.select("term", "template", "license", "least", "unit")), "term")
+            .groupBy("_row", "unit_no", "template", "license", "least")
+            .agg(F.sum(F.col("w") * F.col("unit")).alias("dot")))
+    scored = dots.join(length, ["_row", "unit_no"]).withColumn(
+        "cosine", F.round(F.col("dot") / F.col("len"), 9))
+    return scored.filter(F.col("cosine") >= F.col("least")).select("_row", "license", "cosine")
+
+
+def window_matches(files: DataFrame, vectors: DataFrame, idf: DataFrame, unknown: float) -> DataFrame:
+    """``_row, license, cosine`` of runs of as many words as the template has; a shorter text is
+    one run. Only stretches that have enough of a template's terms are looked at run by run."""
+    parts = vectors.select(*_TEMPLATE, "term", "unit")
+    enough = F.col("mass") >= F.col("least") * F.col("least") - 1e-6
+    mass = F.sum(F.col("unit") * F.col("unit")).alias("mass")
+    known = F.array(*[F.lit(r[0]) for r in parts.select("term").distinct().orderBy("term").collect()])
+    leading = F.array(*[F.lit(t) for t in leading_terms(vectors)])
+    texts = files.select("_row", _words(F.col("text")).alias("words")).filter(
+        F.arrays_overlap("words", leading))
+    near = materialize(texts.select("_row", F.explode(F.array_intersect("words", known)).alias("term"))
+                       .distinct().join(F.broadcast(parts), "term")
+                       .groupBy("_row", *_TEMPLATE).agg(mass).filter(enough).drop("mass"), "near-templates")
+    held = materialize(texts.join(near.select("_row").distinct(), "_row", "left_semi")
+                       .dropDuplicates(["_row"]), "near-texts")
+    # A run that starts in one cell of `size` words ends in it or in the next.
+    places = (held.select("_row", F.posexplode("words").alias("pos", "term"))
+              .join(F.broadcast(parts.select("term", "template", "unit")), "term")
+              .join(near, ["_row", "template"]))
+    cell = F.floor(F.col("pos") / F.col("size")).cast("int")
+    cells = (places.select("_row", *_TEMPLATE, "term", "unit", F.explode(F.array(cell - 1, cell)).alias("cell"))
+             .filter("cell >= 0").distinct().groupBy("_row", *_TEMPLATE, "cell").agg(mass).filter(enough))
+    first = F.col("cell") * F.col("size")
+    spans = cells.join(held, "_row").select(
+        "_row", *_TEMPLATE, first.alias("first"),
+        F.least(F.col("size") - 1, F.greatest(F.size("words") - F.col("size"), F.lit(0)) - first).alias("last"),
+        F.slice("words", first + 1, 2 * F.col("size")).alias("span"))
+    runs = (spans.filter("last >= 0").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("last"))))
+            .select("_row", *_TEMPLATE, (F.col("first") + F.col("at")).alias("start"),
+                    F.explode(F.slice("span", F.col("at") + 1, F.col("size"))).alias("term")))
+    tf = runs.groupBy("_row", *_TEMPLATE, "start", "term").agg(F.count("*").alias("tf"))
+    weighted = (tf.join(F.broadcast(idf), "term", "left")
+                .join(F.broadcast(parts.select("template", "term", "unit")), ["template", "term"], "left")
+                .withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown))))
+    scored = weighted.groupBy("_row", *_TEMPLATE, "start").agg(F.round(
+        F.sum(F.col("w") * F.coalesce("unit", F.lit(0.0)))
+        / F.sqrt(F.sum(F.col("w") * F.col("w"))), 9).alias("cosine"))
+    return scored.filter(F.col("cosine") >= F.col("least")).select("_row", "license", "cosine")
+
+
+def matches(files: DataFrame, templates: dict[str, str] = TEMPLATES,
+            threshold: float = THRESHOLD) -> DataFrame:
+    """``_row, license, cosine``: the best match of each row of
+    ``files (_row, text, is_license)`` that has one."""
+    vectors, unknown, _ = template_vectors(files, templates, threshold)
+    idf = vectors.groupBy("term").agg(F.max("idf").alias("idf"))
+    found = line_matches(files, vectors.filter("kind = 'line'"), idf, unknown).unionByName(
+        window_matches(files, vectors.filter("kind = 'run'"), idf, unknown))
+    best = F.min_by(F.struct("license", "cosine"), F.struct(
+        F.col("license") == RESERVED, -F.col("cosine"), F.col("license")))
+    return found.groupBy("_row").agg(best.alias("b")).select("_row", "b.license", "b.cosine")
 
 
 def directory(path: Column) -> Column:

@@ -457,6 +457,29 @@ def test_license_cosines_are_those_of_all_lines(spark):
             assert got[i][0] is None
 
 
+def test_license_notices_in_paragraphs_and_bodies_of_licenses(spark):
+    prose = " ".join(f"w{i}" for i in range(15))
+    mit = " ".join(licenses.PASSAGES["MIT"][0].split())
+    gpl3, lgpl = licenses.PASSAGES["GPL-3.0"][0], licenses.PASSAGES["LGPL-3.0"][0]
+    cases = [
+        (f"{prose} Released under the MIT License. {prose}", "MIT"),
+        (f"{prose}\n# This work is licensed under\n# the GNU General Public\n# License, version 3.\n{prose}", "GPL-3.0"),
+        (f"Copyright (c) 2020 Jane Doe. All rights reserved.\n\n{mit}\n{prose}", "MIT"),
+        (f"{prose} {mit.replace('hereby ', '').replace('publish, ', '')} {prose}", "MIT"),
+        ("MIT License", "MIT"), ("SPDX-License-Identifier: MIT", "MIT"),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "GPL-2.0"),
+        ("SPDX-License-Identifier: Zlib", None),
+        ("Copyright (c) 2020 Jane Doe. All rights reserved.", "Proprietary"),
+        (f"{prose} all rights and duties {prose}", None), (f"{prose} the public license of {prose}", None),
+        (f"{prose}\n  GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n{prose}", "GPL-3.0"),
+        (f"{prose}\n * {gpl3}\n{prose}", "GPL-3.0"), (f"{prose}\n * {lgpl}\n{prose}", "LGPL-3.0"),
+        (prose * 40, None), (None, None), ("", None)]
+    df = spark.createDataFrame([(i, f"{i}.txt", t) for i, (t, _) in enumerate(cases)],
+                               "id long, path string, text string")
+    got = {r.id: r.license for r in licenses.scan(df.union(df)).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(cases)}
+
+
 @pytest.mark.parametrize("operator", [
     lambda d: substrings.remove_repeats(d), lambda d: jaccard_join.similarity_classes(d),
     lambda d: token_counts.count_tokens(d, TOKENIZER), lambda d: jaccard_join.one_of_each(d),

@@ -88,7 +88,7 @@ def scheme(number: int, share: int = SHARE, slack: int = SLACK,
 def signatures(sets: list[np.ndarray], numbers: list[int], share: int, slack: int,
                second: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of several sets, each in the band given: whose, and what."""
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     row = np.repeat(np.arange(len(sets)), sizes)
     every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     schemes = {n: scheme(n, share, slack, second) for n in set(numbers)}

@@ -62,7 +62,7 @@ def test_pipeline(spark):
     assert len(after["language_id"]) == len(at["language_id"][0])  # all of them have letters
 
     before = at["near_copies"][0]
-    assert sorted(d for d, _ in after["near_copies"]) == sorted({r[2] for r in jaccard_rows(before)})
+    assert sorted(d for d, _ in after["near_copies"]) == sorted({r[2] for r in jaccard_rows(before, 80, 5)})
 
     want = {}
     before = at["substring_dedup"][0]

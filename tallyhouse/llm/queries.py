@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import (decontaminate, fingerprints, jaccard_join, langid, licenses, mixing,
-                            substrings, token_counts, url_filter, warc)
+                            prefix_trie, substrings, token_counts, url_filter, warc)
 from tallyhouse.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,3 +148,41 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, min(to_id) as component_id
 from d left join n using (doc_id) join reach using (doc_id) group by 1, 2""")
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     return jaccard_join.similarity_classes(docs)
+
+
+# CRC-32 (polynomial 0xEDB88320) of a decimal number, byte by byte from a table of 256.
+_CRC = """
+crc_table as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b:
+    case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) order by i) as t
+  from (select unnest(range(256)) as i)),
+crcs as (select id, xor(list_reduce([4294967295] || list_transform(string_split(cast(id as varchar), ''),
+    lambda x: cast(ascii(x) as bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as crc
+  from (select distinct {id} as id from {table} where {id} is not null), crc_table)"""
+
+
+@register("op13_prefix_trie", "conversations", sql=f"""
+with {_CRC.format(id="conv_id", table="conversations")},
+own as (select conv_id, row_number() over (partition by conv_id order by turn nulls first,
+          coalesce(role, ''), sha256(coalesce(text, ''))) as i,
+          coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+conv as (select id as c, id - id % 5 as base, crc % 9 as h,
+           (select count(*) from own where conv_id = id - id % 5) as n_base from crcs),
+turns as (select c, i as d, role, text from conv join own on conv_id = base and i <= h
+          union all select c, i - h + least(h, n_base), role, text from conv join own on conv_id = c and i > h),
+paths as (select c, d, strlen(text) as bytes, sha256(string_agg(
+            concat(strlen(role), ' ', strlen(text), ' ', role, text), '') over (partition by c order by d)) as k
+          from turns union all select c, 0, 0, '' from conv),
+steps as (select *, lag(k) over (partition by c order by d) as p, lead(k) over (partition by c order by d) is null as last
+          from paths),
+nodes as (select k, min(d) as d, min(c) as rep, count(*) as n, min(p) as p, min(bytes) as bytes,
+            coalesce(string_agg(case when last then cast(c as varchar) end, ',' order by c), '') as ids from steps group by k),
+kids as (select p as k, count(*) as n_children from nodes group by p),
+tree as (select u.k, count(*) filter (where x.k not in (select k from kids where k is not null)) as n_leaves,
+           sum((x.n - 1) * x.bytes) as saved
+         from nodes x join paths y on y.c = x.rep and y.d <= x.d join nodes u on u.k = y.k group by u.k)
+select nodes.rep as conv_id, cast(nodes.d as bigint) as depth, up.rep as parent_conv_id, nodes.n as n_convs,
+  coalesce(n_children, 0) as n_children, n_leaves, cast(saved as bigint) as saved_tokens,
+  sha256(nodes.ids) as ends_sha256
+from nodes left join nodes up on up.k = nodes.p left join kids on kids.k = nodes.k join tree on tree.k = nodes.k""")
+def conversation_trie(conversations: DataFrame) -> DataFrame:
+    return prefix_trie.trie(conversations)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import (decontaminate, fingerprints, jaccard_join, langid, licenses, mixing,
-                            prefix_trie, substrings, token_counts, url_filter, warc)
+from tallyhouse.llm import (alignment, decontaminate, fingerprints, jaccard_join, katz, langid, licenses,
+                            mixing, prefix_trie, substrings, token_counts, url_filter, warc)
 from tallyhouse.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,6 +150,24 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     return jaccard_join.similarity_classes(docs)
 
 
+def tokenizer_a() -> str:
+    return tokenizer_path("byte_bpe_50k.json")
+
+
+def tokenizer_b() -> str:
+    return tokenizer_path("piece_bpe_32k.model")
+
+
+@register("op11_token_alignment", "documents")
+def token_alignment(docs: DataFrame) -> DataFrame:
+    return alignment.align(docs, tokenizer_a, tokenizer_b)
+
+
+@register("op12_katz_score", "documents")
+def katz_score(docs: DataFrame) -> DataFrame:
+    return katz.score_texts(docs)
+
+
 # CRC-32 (polynomial 0xEDB88320) of a decimal number, byte by byte from a table of 256.
 _CRC = """
 crc_table as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b:

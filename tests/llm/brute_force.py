@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import string
 
@@ -122,3 +123,120 @@ def code_length(texts, order, text):
         else:
             bits += 8
     return bits
+
+
+def trie_rows(rows):
+    """Nodes of the trie over ``rows (conv_id, turn, role, text)``, one prefix at a time."""
+    import zlib
+    own = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, role or "",
+                           hashlib.sha256((text or "").encode()).hexdigest(), text or ""))
+    built = {}
+    for c in own:
+        h = zlib.crc32(str(c).encode()) % 9
+        base = c - int(math.fmod(c, 5))
+        built[c] = [(x[2], x[4]) for x in sorted(own.get(base, []))[:h] + sorted(own[c])[h:]]
+    members = collections.defaultdict(list)
+    for c, turns in sorted(built.items()):
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    children = collections.Counter(p[:-1] for p in members if p)
+    out = []
+    for p, convs in members.items():
+        below = [q for q in members if q[:len(p)] == p]
+        ends = ",".join(str(c) for c in convs if len(built[c]) == len(p))
+        out.append((convs[0], len(p), members[p[:-1]][0] if p else None, len(convs), children[p],
+                    sum(1 for q in below if not children[q]),
+                    sum((len(members[q]) - 1) * len(q[-1][1].encode()) for q in below if q),
+                    hashlib.sha256(ends.encode()).hexdigest()))
+    return in_order(out)
+
+
+def alignment_rows(rows, entries_a, entries_b, encode_a, encode_b):
+    """Groups by comparing the sets of ends; counts over all links."""
+    def spans(ids, entries):
+        at, out = 0, []
+        for i in ids:
+            at += len(entries[i])
+            out.append(at)
+        return out
+
+    texts, pairs = [], collections.Counter()
+    for d, t in rows:
+        a, b = (encode_a(t), encode_b(t)) if t else ([], [])
+        want = b" " + (t or "").encode()
+        if t and (b"".join(entries_a[i] for i in a) != want or b"".join(entries_b[i] for i in b) != want):
+            a, b = [], []
+        ends_a, ends_b = spans(a, entries_a), spans(b, entries_b)
+        links = [(x, y) for x, e in zip(a, ends_a) for y, f in zip(b, ends_b) if e == f]
+        groups, low = [], 0
+        for cut in sorted(set(ends_a) & set(ends_b)):
+            groups.append(",".join(str(x) for x, e in zip(a, ends_a) if low < e <= cut) + "|"
+                          + ",".join(str(y) for y, f in zip(b, ends_b) if low < f <= cut))
+            low = cut
+        pairs.update(links)
+        texts.append((d, a, b, groups, links))
+    best = {}
+    for (_, y), n in pairs.items():
+        best[y] = max(best.get(y, 0), n)
+    return in_order([(d, len(a), len(b), len(g), len(k), sum(pairs[x] == best[x[1]] for x in k),
+                      sum(pairs[x] for x in k), hashlib.sha256(";".join(g).encode()).hexdigest() if g else "")
+                     for d, a, b, g, k in texts])
+
+
+class Katz:
+    """Backoff probabilities by dictionaries, one history at a time."""
+
+    def __init__(self, texts, order, cutoff=5):
+        self.order, self.counts = order, collections.defaultdict(collections.Counter)
+        for words in texts:
+            line = ["<start>", *words, "<end>"]
+            for i in range(1, len(line)):
+                for k in range(min(order, i + 1)):
+                    self.counts[tuple(line[i - k: i])][line[i]] += 1
+        self.cut = {}
+        for k in range(1, order + 1):
+            of = collections.Counter(n for h, x in self.counts.items() if len(h) == k - 1 for n in x.values())
+            over = (cutoff + 1) * of[cutoff + 1] / of[1] if of[1] else 1
+            for r in range(1, cutoff + 1):
+                d = ((r + 1) * of[r + 1] / (r * of[r]) - over) / (1 - over) if of[r] and over != 1 else 0
+                self.cut[k, r] = d if 0 < d < 1 else (r - 0.5) / r
+        self.known = {}
+
+    def after(self, h):
+        """Seen words after a history, each with its probability; and the rest's weight."""
+        if h not in self.known:
+            x, k = self.counts[h], len(h) + 1
+            total = sum(x.values())
+            kept = {w: n * self.cut.get((k, n), 1.0) for w, n in x.items()}
+            left = total - math.fsum(kept.values())
+            if left <= 1e-12:
+                total, left = total + 1, 1.0
+            low = math.fsum(self.p(h[1:], w) for w in x) if h else 0.0
+            self.known[h] = {w: n / total for w, n in kept.items()}, left / total / (1 - low)
+        return self.known[h]
+
+    def p(self, h, w):
+        if h and h not in self.counts:
+            return self.p(h[1:], w)
+        seen, weight = self.after(h)
+        return seen[w] if w in seen else weight * (self.p(h[1:], w) if h else 1.0)
+
+
+def score_rows(rows, order, held):
+    """Katz scores and add-one scores of ``rows (doc_id, text)``."""
+    words = [[w.decode() for w in (t or "").encode().lower().split()] for _, t in rows]
+    train = [w for (d, _), w in zip(rows, words) if not held(d)]
+    model = Katz(train, order)
+    single = collections.Counter(w for x in train for w in [*x, "<end>"])
+    n, v = sum(single.values()), len(single)
+    out = []
+    for (d, _), x in zip(rows, words):
+        line = ["<start>", *x, "<end>"]
+        out.append((d, held(d), len(x) + 1, sum(w in single for w in line[1:]), n,
+                    sum(math.log10((single[w] + 1) / (n + v + 1)) for w in line[1:]),
+                    sum(math.log10(model.p(tuple(line[max(0, i - order + 1): i]), line[i]))
+                        for i in range(1, len(line)))))
+    return in_order(out)

@@ -8,9 +8,10 @@ names never meet the operators' own.
 64-bit hash of its text. The key is a function of the row alone, so a task that runs again
 gives the same keys. Rows that repeat in full share a key.
 
-**Hashes.** Words are hashed as polynomials over their bytes modulo 2**64, followed by a
-mixing step; all arithmetic is on whole arrays. Texts are worked on in blocks of about a
-megabyte, cut at white space, so that a very long text needs memory only for its words.
+**Hashes.** Words are hashed eight bytes at a time with a mixing step after each eight, so that
+no sum over positions can cancel out (words of more than 64 bytes by a library's 64-bit hash);
+all arithmetic is on whole arrays. Texts are worked on in blocks of about a megabyte, cut at
+white space, so that a very long text needs memory only for its words.
 """
 
 from __future__ import annotations
@@ -23,15 +24,19 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField
 
 from tallyhouse.session import materialize
 
 #: Stands for a missing id: after all others.
 NO_ID = (1 << 63) - 1
-#: Keys up to this number (16 bytes each) may be broadcast; beyond it both sides are shuffled.
-BROADCAST_KEYS = 1_000_000
+#: A table of up to so many bytes may be broadcast; beyond it both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: What a row takes in a broadcast table besides its texts, and a column of it.
+_ROW_BYTES, _COLUMN_BYTES = 48, 16
 
 _BLOCK = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
@@ -96,16 +101,30 @@ def real_id(d: Column) -> Column:
     return F.when(d != NO_ID, d)
 
 
-def bounded(df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """``df``, which is a written table, marked for broadcast if it has at most ``limit`` rows.
+def _bytes_of(field: StructField) -> Column:
+    """What a value takes beyond its column's own bytes."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, ArrayType):
+        texts = F.octet_length(F.concat_ws(" ", column.cast("array<string>")))
+        return F.coalesce(texts + _COLUMN_BYTES * F.size(column), F.lit(0))
+    if isinstance(field.dataType, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0))
+    return F.lit(0)
+
+
+def bounded(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df``, which is a written table, marked for broadcast if it takes at most ``limit``
+    (`BROADCAST_BYTES`) bytes, by the count of its rows and the bytes of its texts.
 
     A join means the same either way; beyond the limit both sides are shuffled by key.
     """
-    return F.broadcast(df) if df.count() <= limit else df
+    row = sum(map(_bytes_of, df.schema), F.lit(_ROW_BYTES + _COLUMN_BYTES * len(df.columns)))
+    size = df.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def split_by_key(df: DataFrame, keys: DataFrame, on: list[str],
-                 limit: int = BROADCAST_KEYS) -> tuple[DataFrame, DataFrame]:
+                 limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows of ``df`` whose key is in ``keys`` (a written table of distinct keys), and the rest."""
     keys = bounded(keys.select(*on), limit)
     return df.join(keys, on, "left_semi"), df.join(keys, on, "left_anti")
@@ -145,27 +164,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    steps = np.full(n, base & (2**64 - 1), np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
-
-
-_BASE = 0x5851F42D4C957F2D
-_UP = _powers(_BASE, _BLOCK + 1)
-_DOWN = _powers(pow(_BASE, -1, 1 << 64), _BLOCK + 1)
+_LONG = 64  # bytes; longer words are hashed one by one
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _block_words(block: np.ndarray) -> np.ndarray:
     solid = ~_SPACE[block]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False]))))
-    starts, ends = edge[::2], edge[1::2]
-    n = len(block)
-    up, down = (_UP, _DOWN) if n <= _BLOCK else (_powers(_BASE, n + 1),
-                                                _powers(pow(_BASE, -1, 1 << 64), n + 1))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((block.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    starts, sizes = edge[::2], edge[1::2] - edge[::2]
+    padded = np.concatenate((block, np.zeros(8, np.uint8)))
+    hashes = mix(sizes.astype(np.uint64) + np.uint64(_ODD))
+    todo = np.flatnonzero(sizes <= _LONG)
+    done = 0
+    while len(todo):  # the next 8 bytes of all words that have any left
+        at, left = starts[todo] + done, sizes[todo] - done
+        eight = padded[at[:, None] + np.arange(8)].view("<u8").ravel()
+        hashes[todo] = mix(hashes[todo] ^ (eight & _MASKS[np.minimum(left, 8)]))
+        done += 8
+        todo = todo[left > 8]
+    for i in np.flatnonzero(sizes > _LONG):
+        hashes[i] = xxhash.xxh3_64_intdigest(block[starts[i]: starts[i] + sizes[i]].tobytes())
+    return hashes
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +231,7 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     size = 1
     while size * 2 <= k:
         h, up = have[size], np.uint64(pow(_ODD, size, 1 << 64))
-        more = h * up
+        more = mix(h) * up  # mixed at each doubling: no plain polynomial of the words
         more[: n - size] += h[size:] if n > size else 0
         size *= 2
         have[size] = more

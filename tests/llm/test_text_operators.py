@@ -176,7 +176,7 @@ def test_contamination_by_words_whose_lower_case_depends_on_neighbours(spark):
 def test_contamination_without_broadcasts(spark, odd, monkeypatch):
     items = [(1, odd[10][1]), (2, "one"), (5, odd[20][1])]
     monkeypatch.setattr(decontaminate, "bounded", lambda df, limit=0: df)
-    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     got = decontaminate.decontaminate(frame(spark, odd), spark.createDataFrame(items, "item_id long, text string"))
     assert rows_of(got) == contamination_rows([(r[0], r[1]) for r in odd], items)
 

@@ -11,7 +11,8 @@ a few second-level parts of some first-level part; each choice of the parts to l
 signature (`scheme`). Sets that are alike share at least one; each that share one are compared.
 
 1. Equal sets are one *node*, known by a 64-bit hash of the set and its size.
-2. Nodes that share a signature with no other node are left out.
+2. Nodes that share a signature with no other node are left out: (signature, node) rows are
+   shuffled by signature once, and a signature stays if its least and greatest node differ.
 3. Rounds: at first each node is compared with one other, the first node of a signature of
    its, the one with most signatures in common; links join components. Then, within each
    signature whose nodes are not yet all in one component, the first 32 nodes are compared
@@ -123,19 +124,37 @@ def _node(every: np.ndarray) -> int:
     return int(mix(np.array([whole + np.uint64(len(every))]))[0].view(np.int64))
 
 
-def _profiles(words: int, share: int, slack: int, second: int):
-    """Per text: its node, its size, and the node's signatures, once per task and node."""
+def _texts_of(batch: pa.RecordBatch, words: int) -> Iterator[tuple[slice, list[np.ndarray]]]:
+    """Shingle sets of the texts of a batch, in slices."""
+    texts = [t.lower() for t in byte_texts(batch.column("text"))]
+    for part in slices(texts):
+        yield part, list(shingles(*words_of(texts[part]), words))
+
+
+def _profiles(words: int):
+    """Per text: its node and its size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, sets in _texts_of(batch, words):
+                rows = [batch.column(c).slice(part.start, part.stop - part.start) for c in ("_d", "_h")]
+                yield pa.RecordBatch.from_arrays(
+                    [*rows, pa.array([_node(s) for s in sets], pa.int64()),
+                     pa.array([len(s) for s in sets], pa.int32())], ["_d", "_h", "node", "n"])
+
+    return run
+
+
+def _signed(words: int, share: int, slack: int, second: int):
+    """The signatures of each node, once per task and node."""
     bands: dict[int, int] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            texts = [t.lower() for t in byte_texts(batch.column("text"))]
-            for part in slices(texts):
-                sets = list(shingles(*words_of(texts[part]), words))
-                nodes = [_node(s) for s in sets]
-                todo, numbers = [], []
-                for i, (node, s) in enumerate(zip(nodes, sets)):
+            for _, sets in _texts_of(batch, words):
+                todo, numbers, nodes = [], [], []
+                for s in sets:
+                    node = _node(s)
                     if not len(s) or node in seen:
                         continue
                     if len(seen) >= _SEEN:
@@ -145,24 +164,18 @@ def _profiles(words: int, share: int, slack: int, second: int):
                         bands[len(s)] = band(len(s), share)
                     for number in (bands[len(s)], bands[len(s)] + 1):
                         if differences(number, share):
-                            todo.append(i)
+                            todo.append(s)
                             numbers.append(number)
-                owner, found = signatures([sets[i] for i in todo], numbers, share, slack, second)
-                owner = np.array(todo, np.int64)[owner]
-                order = np.argsort(owner, kind="stable")
-                ends = np.searchsorted(owner[order], np.arange(len(sets) + 1)).astype(np.int32)
-                rows = [batch.column(c).slice(part.start, part.stop - part.start) for c in ("_d", "_h")]
+                            nodes.append(node)
+                owner, found = signatures(todo, numbers, share, slack, second)
+                sizes = np.array([len(s) for s in todo], np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*rows, pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(found[order].view(np.int64)))],
-                    ["_d", "_h", "node", "n", "sigs"])
+                    [pa.array(found.view(np.int64)), pa.array(np.array(nodes, np.int64)[owner]),
+                     pa.array(sizes[owner])], ["sig", "node", "n"])
 
     return run
 
 
-_PROFILE = "_d long, _h long, node long, n int, sigs array<long>"
-
-
 def _marks(every: np.ndarray) -> np.ndarray:
     """Which cells of a few hundred hold an odd number of shingles, as bits of 64-bit numbers.
     Each shingle that two sets differ in can change one cell."""
@@ -174,9 +187,7 @@ def _marks(every: np.ndarray) -> np.ndarray:
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.lower() for t in byte_texts(batch.column("text"))]
-            for part in slices(texts):
-                sets = list(shingles(*words_of(texts[part]), words))
+            for _, sets in _texts_of(batch, words):
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 marks = np.array([_marks(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
@@ -187,19 +198,26 @@ def _sets(words: int):
     return run
 
 
-def profiles(docs: DataFrame, words: int = WORDS, share: int = SHARE, slack: int = SLACK,
-             second: int = SECOND) -> DataFrame:
-    """``_d, _h, node, n, sigs`` of each row of ``docs (_d, _h, text)``, written."""
-    return materialize(map_batches(docs, _profiles(words, share, slack, second), _PROFILE), "profiles")
+def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``_d, _h, node, n`` of each row of ``docs (_d, _h, text)``, written."""
+    return materialize(map_batches(docs, _profiles(words), "_d long, _h long, node long, n int"), "profiles")
+
+
+def shared_signatures(docs: DataFrame, words: int = WORDS, share: int = SHARE, slack: int = SLACK,
+                      second: int = SECOND) -> DataFrame:
+    """``sig, node, n`` of the signatures that more than one node has. Signatures are made
+    where they are shuffled, once, and a row is 20 bytes; the window over a signature spills."""
+    listed = map_batches(docs.select("text"), _signed(words, share, slack, second),
+                         "sig long, node long, n int")
+    same = Window.partitionBy("sig")
+    return (listed.withColumns({"lo": F.min("node").over(same), "hi": F.max("node").over(same)})
+            .filter("lo < hi").select("sig", "node", "n").distinct())
 
 
-def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS,
-                    share: int = SHARE) -> DataFrame | None:
+def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS, share: int = SHARE,
+                    slack: int = SLACK, second: int = SECOND) -> DataFrame | None:
     """``node, component`` for nodes with links; None if there are none."""
-    listed = found.filter(F.size("sigs") > 0).select("node", "n", F.explode("sigs").alias("sig"))
-    shared = (listed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-              .filter("lo < hi").select("sig"))
-    members = materialize(listed.join(shared, "sig").distinct(), "members")
+    members = materialize(shared_signatures(docs, words, share, slack, second), "members")
     if members.isEmpty():
         return None
     nodes = members.select("node").distinct()
@@ -268,8 +286,8 @@ def classify(docs: DataFrame, words: int = WORDS, share: int = SHARE, slack: int
     """``_d, _h, n, component, c`` of each row of ``docs (_d, _h, text)``: the least ``_d`` that
     links lead to, and the group of linked nodes itself (null without shingles). Groups whose
     least id is equal or missing differ in ``c`` only."""
-    found = profiles(docs, words, share, slack, second)
-    joined = node_components(docs, found, words, share)
+    found = profiles(docs, words)
+    joined = node_components(docs, found, words, share, slack, second)
     linked = found.filter("n > 0")
     classes = linked.groupBy("node", "n").agg(F.min("_d").alias("least")).withColumn("c", F.col("node"))
     if joined is not None:

@@ -8,16 +8,19 @@ source over the table of (source, size) classes, which the documents are counted
 
 Rates are rounded into copies class by class, from the largest size down; what rounding a
 class leaves over is carried to the next, so the words that are taken end up within about
-the smallest size of the target. Within a class, the documents whose hash is least get the
-additional copies. The hash is of id and text, so runs agree.
+the smallest size of the target. Sizes are rounded in blocks of `STRIDE`, each a task of its
+own; the last block of a source, the one with its smallest sizes, starts with what the others
+leave over. Within a class, the documents whose hash is least get the additional copies. The
+hash is of id and text, so runs agree. Of equal hashes, as many get one as are wanted: which
+rows is settled by a second hash, of numbers that are written down first.
 
-No step gathers a source in one task: classes are counted before any shuffle, their number
-grows as the root of the words at most, and ranks are taken within buckets of a class.
+No step gathers a source, a class, equal rows or all sources in one task: classes are counted
+before any shuffle, ranks are taken within buckets of a class, sources are numbered in range
+blocks, and the level of the targets is found by sums over all sources.
 
 Edge cases: a null text has size 0, takes nothing and counts for nothing. A null source is a
 source of its own, last. Without documents the result is empty; without any word all targets
-are 0. Rows that repeat are documents of their own, but with equal hashes they get additional
-copies together.
+are 0. Rows that repeat are documents of their own.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.ranks import number_rows
 from tallyhouse.llm.common import bounded, hide, pick, place
 from tallyhouse.session import materialize
 
@@ -36,7 +40,8 @@ MOST = 3
 WEIGHTS = (1, 2, 3)
 STEPS = 60
 CLOSE = 1e-6
-_BUCKETS = 4096
+#: Sizes that are rounded in one task.
+STRIDE = 100_000
 
 
 def words_in(text: Column) -> Column:
@@ -51,24 +56,26 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     weights; none gets more than ``most`` times its size, and what is over is shared again
     by weight among the others until none is above.
     """
-    ranked = sizes.withColumn("place", F.row_number().over(
-        Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))) - 1)
+    keyed = sizes.select("source", "source_size", F.col("source").isNull().alias("last"),
+                         F.col("source").cast("binary").alias("bytes"))
+    ranked = number_rows(keyed, ["last", "bytes"], "place")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
-                          (F.col("place") % len(weights) + 1).cast("int"))
-    # Level: target = min(limit, level * weight). Sources fill up in order of limit / weight.
-    table = ranked.select("source", "place", "source_size", weight.alias("w"),
-                          (F.col("source_size") * float(most)).alias("limit"))
-    ratio = F.struct(F.col("limit") / F.col("w"), F.col("place"))
-    fill, every = Window.orderBy(ratio), Window.partitionBy()
-    full = table.select(
-        "*", F.sum("limit").over(fill.rowsBetween(Window.unboundedPreceding, -1)).alias("below"),
-        F.sum("w").over(fill.rowsBetween(0, Window.unboundedFollowing)).alias("open"),
-        F.sum("source_size").over(every).alias("total")).withColumn(
-            "level", (F.col("total") - F.coalesce("below", F.lit(0.0))) / F.col("open"))
-    fits = F.when(F.col("level") * F.col("w") <= F.col("limit"), ratio)
-    level = F.min_by("level", fits).over(every)
-    return full.select("source", "source_size",
-                       F.least("limit", level * F.col("w")).alias("target"))
+                          ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    table = materialize(ranked.select("source", "source_size", weight.alias("w"),
+                                      (F.col("source_size") * float(most)).alias("limit")), "sources")
+    # target = min(limit, level * weight): the level rises as sources reach their limits.
+    total = table.agg(F.sum("source_size")).first()[0] or 0
+    level, full = 0.0, -1
+    while True:
+        at_limit = F.col("limit") < level * F.col("w")
+        row = table.agg(F.count_if(at_limit).alias("full"),
+                        F.sum(F.when(at_limit, F.col("limit"))).alias("taken"),
+                        F.sum(F.when(~at_limit, F.col("w"))).alias("open")).first()
+        if row["full"] == full or not row["open"]:
+            break
+        full = row["full"]
+        level = (total - (row["taken"] or 0.0)) / row["open"]
+    return table.select("source", "source_size", F.least("limit", level * F.col("w")).alias("target"))
 
 
 def tilts(classes: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
@@ -117,7 +124,7 @@ def tilts(classes: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
         ~full & (F.col("source_size") > 0), F.col("l") / F.col("unit")).alias("tilt"))
 
 
-_COPIES = "source string, size long, n long, source_size long, target double, copies long"
+_COPIES = "source string, size long, n long, source_size long, target double, copies long, over double"
 
 
 def _round_classes(most: int):
@@ -125,21 +132,67 @@ def _round_classes(most: int):
         rows = rows.sort_values("size", ascending=False).reset_index(drop=True)
         wanted = (rows["n"] * rows["rate"]).to_numpy()
         size, limit = rows["size"].to_numpy(), (rows["n"] * most).to_numpy()
-        copies, over = np.zeros(len(rows), np.int64), 0.0
+        copies, over = np.zeros(len(rows), np.int64), float(rows["over"].iloc[0])
         for i in range(len(rows)):
             if size[i]:
                 over += wanted[i] * size[i]
                 copies[i] = min(max(int(np.floor(over / size[i] + 0.5)), 0), limit[i])
                 over -= float(copies[i]) * size[i]
-        return rows.assign(copies=copies)[["source", "size", "n", "source_size", "target", "copies"]]
+        return rows.assign(copies=copies, over=over)[["source", "size", "n", "source_size", "target", "copies", "over"]]
 
     return run
 
 
+def rounded_classes(rated: DataFrame, most: int = MOST, stride: int = STRIDE) -> DataFrame:
+    """Copies of each class of ``rated (source, size, n, source_size, target, rate)``, written."""
+    block = F.expr(f"size div {int(stride)}")
+    lowest = rated.groupBy(F.col("source").alias("s")).agg(F.min(block).alias("low"))
+    blocks = materialize(rated.join(lowest, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block)
+                         .drop("s"), "rated")
+    run = _round_classes(most)
+    upper = materialize(blocks.filter("block > low").withColumn("over", F.lit(0.0))
+                        .groupBy("source", "block").applyInPandas(run, _COPIES), "rounded")
+    # Each block's rest is the same in all its rows.
+    rest = (upper.groupBy(F.col("source").alias("s"), F.expr(f"size div {int(stride)}").alias("b"))
+            .agg(F.first("over").alias("over")).groupBy("s").agg(F.sum("over").alias("over")))
+    lower = (blocks.filter("block = low").join(rest, F.col("source").eqNullSafe(F.col("s")), "left")
+             .withColumn("over", F.coalesce("over", F.lit(0.0))))
+    return materialize(upper.unionByName(lower.groupBy("source").applyInPandas(run, _COPIES)).drop("over"), "rounded")
+
+
+def _unsigned(hash_: Column) -> Column:
+    """Signed numbers in the order of the hashes as unsigned numbers."""
+    return hash_.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def smallest(keyed: DataFrame, need: DataFrame) -> DataFrame:
+    """Where the ``more`` least hashes of each class end.
+
+    ``keyed (source, size, hash)``, ``need (s, z, more)``; gives ``s, z, cut, equal, same``:
+    hashes (as `_unsigned`) under ``cut`` are among them, and ``equal`` of the ``same`` rows at it.
+    """
+    alike = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    bucket = F.shiftrightunsigned("hash", 52)
+    counts = (keyed.groupBy("source", "size", bucket.alias("bucket")).agg(F.count("*").alias("k"))
+              .join(need, alike))
+    so_far = Window.partitionBy("s", "z").orderBy("bucket")
+    edge = (counts.withColumn("upto", F.sum("k").over(so_far))
+            .filter((F.col("upto") >= F.col("more")) & (F.col("upto") - F.col("k") < F.col("more")))
+            .select("s", "z", F.col("bucket").alias("b"),
+                    (F.col("more") - F.col("upto") + F.col("k")).alias("place")))
+    inside = (keyed.join(edge, alike & (bucket == F.col("b")))
+              .groupBy("s", "z", "place", _unsigned(F.col("hash")).alias("cut")).agg(F.count("*").alias("same")))
+    order = Window.partitionBy("s", "z").orderBy("cut")
+    return (inside.withColumn("upto", F.sum("same").over(order))
+            .withColumn("equal", F.col("place") - F.col("upto") + F.col("same"))
+            .filter((F.col("equal") >= 1) & (F.col("equal") <= F.col("same")))
+            .select("s", "z", "cut", "equal", "same"))
+
+
 def plan(keyed: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """``source, size, source_size, target, base, cut`` for each class of
+    """``p_source, p_size, source_size, target, base, cut, equal, same`` for each class of
     ``keyed (source, size, hash)``, a written table: each of its documents is taken ``base``
-    times, and once more if its hash is at most ``cut``."""
+    times, and once more if its hash is under ``cut``, or among ``equal`` of those at it."""
     classes = materialize(keyed.groupBy("source", "size").agg(F.count("*").alias("n")), "classes")
     sizes = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     found = tilts(classes, targets(sizes, weights, most), most)
@@ -148,38 +201,40 @@ def plan(keyed: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
         F.least(F.lit(float(most)), F.exp(F.col("tilt") * F.col("size"))))
     rated = classes.join(found, F.col("source").eqNullSafe(F.col("s"))).select(
         "source", "size", "n", "source_size", "target", rate.alias("rate"))
-    rounded = materialize(rated.groupBy("source").applyInPandas(_round_classes(most), _COPIES), "rounded")
+    rounded = rounded_classes(rated, most)
     more = F.col("copies") % F.greatest("n", F.lit(1))
-    part = rounded.filter(more > 0).select(
-        F.col("source").alias("s"), F.col("size").alias("z"), more.alias("more"))
-    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
-    bucket = F.shiftrightunsigned("hash", 52)  # hashes are compared as unsigned numbers
-    counts = (keyed.groupBy("source", "size", bucket.alias("bucket")).agg(F.count("*").alias("k"))
-              .join(part, same))
-    so_far = Window.partitionBy("source", "size").orderBy("bucket")
-    edge = (counts.withColumn("upto", F.sum("k").over(so_far))
-            .filter((F.col("upto") >= F.col("more")) & (F.col("upto") - F.col("k") < F.col("more")))
-            .select("s", "z", F.col("bucket").alias("b"),
-                    (F.col("more") - F.col("upto") + F.col("k")).alias("place")))
-    order = Window.partitionBy("source", "size").orderBy("unsigned")
-    unsigned = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)))
-    cuts = (keyed.join(edge, same & (bucket == F.col("b")))
-            .select("source", "size", "hash", "place", unsigned.alias("unsigned"))
-            .withColumn("rank", F.row_number().over(order)).filter("rank = place")
-            .select(F.col("source").alias("s"), F.col("size").alias("z"),
-                    F.col("unsigned").alias("cut")))
-    return materialize(rounded.join(cuts, same, "left").select(
-        F.col("source").alias("p_source"), F.col("size").alias("p_size"), "source_size", "target",
-        F.expr("copies div greatest(n, 1)").alias("base"), "cut"), "mixing")
+    cuts = smallest(keyed, rounded.filter(more > 0).select(
+        F.col("source").alias("s"), F.col("size").alias("z"), more.alias("more")))
+    return materialize(rounded.join(
+        cuts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left").select(
+            F.col("source").alias("p_source"), F.col("size").alias("p_size"), "source_size", "target",
+            F.expr("copies div greatest(n, 1)").alias("base"), "cut", "equal", "same"), "mixing")
 
 
 def taken(docs: DataFrame, plans: DataFrame) -> DataFrame:
     """``docs (.., source, size, hash)`` with ``source_size, target, copies`` of its class."""
-    extra = F.coalesce((F.col("hash").bitwiseXOR(F.lit(-(1 << 63))) <= F.col("cut")).cast("long"),
-                       F.lit(0).cast("long"))
     joined = docs.join(bounded(plans), F.col("source").eqNullSafe(F.col("p_source"))
                        & (F.col("size") == F.col("p_size")))
-    return joined.select(*docs.columns, "source_size", "target", (F.col("base") + extra).alias("copies"))
+    place = _unsigned(F.col("hash"))
+    extra = F.coalesce(((place < F.col("cut")) | ((place == F.col("cut")) & (F.col("same") == F.col("equal"))))
+                       .cast("long"), F.lit(0).cast("long"))
+    copies = (F.col("base") + extra).alias("copies")
+    kept = [*docs.columns, "source_size", "target"]
+    if plans.filter("same > equal").isEmpty():
+        return joined.select(*kept, copies)
+    # Classes whose cut runs through equal hashes: numbers, written down, tell those apart.
+    tie = F.coalesce((place == F.col("cut")) & (F.col("same") > F.col("equal")), F.lit(False))
+    tied = materialize(joined.filter(tie).select(
+        *kept, "p_source", "p_size", "base", F.xxhash64(F.monotonically_increasing_id()).alias("_tie")), "ties")
+    second = smallest(
+        tied.select(F.col("p_source").alias("source"), F.col("p_size").alias("size"), F.col("_tie").alias("hash")),
+        plans.filter("same > equal").select(F.col("p_source").alias("s"), F.col("p_size").alias("z"),
+                                            F.col("equal").alias("more")))
+    second = materialize(second.select("s", "z", "cut"), "ties")
+    settled = tied.join(bounded(second), F.col("p_source").eqNullSafe(F.col("s")) & (F.col("p_size") == F.col("z")))
+    extra = (_unsigned(F.col("_tie")) <= F.col("cut")).cast("long")
+    return joined.filter(~tie).select(*kept, copies).unionByName(
+        settled.select(*kept, (F.col("base") + extra).alias("copies")))
 
 
 def measured() -> list[Column]:
@@ -197,7 +252,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: each row of ``docs (doc_id, text, source, ..)`` as often as it is
-    taken, with ``copy`` (1, 2, ..) after its own columns, which must not have that name."""
+    taken, with ``copy`` (1, 2, ..) after its own columns; where they have that name already,
+    underscores are added to it."""
     keyed = materialize(pick(docs, "doc_id", "text", "source")
                         .select("doc_id", "source", *measured()), "sizes")
     names = [place(docs, n) for n in ("doc_id", "text", "source")]
@@ -205,5 +261,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
         "size": words_in(F.col(names[1])), "hash": F.xxhash64(*names[:2]), "source": F.col(names[2])})
     copies = taken(sized, plan(keyed, weights, most)).filter("copies > 0").withColumn(
         "copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    own = hide(docs).columns
-    return copies.select(*own, "copy").toDF(*docs.columns, "copy")
+    own, name = hide(docs).columns, "copy"
+    while name in docs.columns:
+        name += "_"
+    return copies.select(*own, "copy").toDF(*docs.columns, name)

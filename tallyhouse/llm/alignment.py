@@ -37,15 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import map_batches, pick, slices
+from tallyhouse.llm.common import byte_texts, map_batches, pick, slices
 from tallyhouse.session import materialize
 
 #: Tokens of A that one lane of the state vector merges.
 LANE = 512
 #: Fewer than so many id pairs are broadcast (24 bytes each).
 HOT = 200_000
-#: Bytes of text that are encoded and merged at a time; a longer text is alone.
-_BYTES = 4 << 20
+#: Bytes of text that are encoded and merged at a time (a token takes some hundred bytes while it
+#: is worked on); a longer text is alone.
+_BYTES = 1 << 20
 
 
 class ByteTokenizer:
@@ -168,12 +169,12 @@ def _align(load_a: Callable, load_b: Callable, lane: int, keep: bool):
         long_a, long_b = (np.array([len(e) for e in x], np.int64) for x in (entries_a, entries_b))
         names_a, names_b = _named(entries_a), _named(entries_b)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for part in slices([t.encode() for t in texts], _BYTES):
-                mine = texts[part]
+            texts = byte_texts(batch.column("text"))
+            for part in slices(texts, _BYTES):
+                mine = [t.decode() for t in texts[part]]
                 ids_a, ids_b = tokenizer_a.encode(mine), tokenizer_b.encode(mine)
-                for i, text in enumerate(mine):
-                    want = b" " + text.encode()
+                for i, text in enumerate(texts[part]):
+                    want = b" " + text
                     if (not text or b"".join([entries_a[x] for x in ids_a[i]]) != want
                             or b"".join([entries_b[x] for x in ids_b[i]]) != want):
                         ids_a[i], ids_b[i] = [], []

@@ -27,7 +27,8 @@ that up, and each block gets the sums of its histories back. Histories of one bl
 exchange. Then each block evaluates its distinct n-grams from the single words up, and
 sums up its texts.
 
-`ORDER` is 2 in production: at order 3, requests alone exceed the disk that the check allows.
+`ORDER` is 2 in production; the module works at any order, with a further request and a further
+answer for each distinct n-gram of a block.
 
 Edge cases: a null text is empty and has the end token only; a null doc_id is not held out; rows
 that repeat count as often. Without training texts every token is unknown with probability
@@ -52,7 +53,7 @@ ORDER = 2
 #: Counts up to this number are discounted.
 CUTOFF = 5
 #: Bytes of text in a block, and bytes of text for each part of the tables.
-BLOCK, PART = 8 << 20, 16 << 20
+BLOCK, PART = 8 << 20, 8 << 20
 #: Of every `FOLDS` documents by id hash, those with remainder `FOLD` are held out.
 FOLDS, FOLD = 7, 2
 
@@ -61,9 +62,10 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WEIGHTS = 100  # added to the order in the kind of a row with sums of weights
 
 _BODY = "block long, kind int, part long, ids array<long>, held array<boolean>, sizes array<long>, " \
-        "keys array<long>, seq array<int>"
-_ASK = "kind int, part long, block long, keys array<long>, n array<long>, left array<double>, low array<double>"
-_ANSWER = "block long, kind int, part long, n array<long>, left array<double>, low array<double>"
+        "keys binary, seq binary"
+_ASK = "kind int, part long, block long, keys binary, n binary, left binary, low binary"
+_ANSWER = "block long, kind int, part long, n binary, left binary, low binary, stats array<long>"
+_TYPES = {"keys": np.uint64, "seq": np.int32, "n": np.int64, "left": np.float64, "low": np.float64}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,6 +78,19 @@ def _lists(*values) -> list[pa.Array]:
                                      else pa.array(v)) for v in values]
 
 
+def _packed(name: str, values) -> pa.Array:
+    """An array as bytes: first bytes of all its numbers, then second bytes, and so on. High bytes
+    are mostly equal (small counts, keys in order), so what is shuffled and written compresses."""
+    values = np.ascontiguousarray([] if values is None else values, _TYPES[name])
+    return pa.array([values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()], pa.binary())
+
+
+def _array(row: dict, name: str) -> np.ndarray:
+    kind = np.dtype(_TYPES[name])
+    planes = np.frombuffer(row[name].as_buffer(), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _blocks(most: int):
     """Texts to blocks: sorted distinct word hashes, and the tokens as places among them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +110,7 @@ def _blocks(most: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number]), pa.array([0], pa.int32()), pa.array([0], pa.int64()),
                      *_lists(batch.column("doc_id").slice(part.start, n), batch.column("held").slice(part.start, n),
-                             sizes, keys.view(np.int64), seq.astype(np.int32))],
+                             sizes), _packed("keys", keys), _packed("seq", seq)],
                     [c.split()[0] for c in _BODY.split(", ")])
                 number += 1
 
@@ -111,15 +126,14 @@ class Block:
 
     def __init__(self, order: int, sizes, keys, seq, held):
         self.sizes, self.held = sizes, held
-        seq = np.asarray(seq, np.int64)
         start, tokens = seq[-1], seq[:-1]
         n = len(tokens)
         begins = np.zeros(n, bool)
         begins[np.cumsum(sizes) - sizes] = True
         self.train = np.repeat(~held, sizes)
         words = keys[tokens]
-        first = np.zeros(len(keys), np.int64)
-        first[tokens[::-1]] = np.arange(n)[::-1]
+        first = np.zeros(len(keys), np.int32)
+        first[tokens[::-1]] = np.arange(n, dtype=np.int32)[::-1]
         self.keys, self.at, self.first = {1: keys}, {1: tokens}, {1: first}
         self.history, self.counts = {}, {}
         self.counts[1] = np.bincount(tokens[self.train], minlength=len(keys))
@@ -127,13 +141,14 @@ class Block:
         self.start = start
         for k in range(2, order + 1):
             lower = self.at[k - 1]
-            before = np.concatenate(([-1], lower[:-1]))
+            before = np.concatenate((np.array([-1], np.int32), lower[:-1]))
             before[begins] = start if k == 2 else -1
-            have = np.flatnonzero(before >= 0)
+            have = np.flatnonzero(before >= 0).astype(np.int32)
             grams = mix(mix(self.keys[k - 1][before[have]] + np.uint64(k)) * _STEP + words[have])
             self.keys[k], where, place = np.unique(grams, return_index=True, return_inverse=True)
             self.first[k] = have[where]
-            self.at[k] = np.full(n, -1, np.int64)
+            place = place.astype(np.int32)
+            self.at[k] = np.full(n, -1, np.int32)
             self.at[k][have] = place
             self.history[k] = before[self.first[k]]
             self.counts[k] = np.bincount(place[self.train[have]], minlength=len(self.keys[k]))
@@ -149,20 +164,16 @@ def _requests(keys: np.ndarray, parts: int, kind: int, block: int, n=None, left=
     edges = np.flatnonzero(np.diff(part)) + 1 if len(part) else part
     for x, y in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)]):
         if x < y:
-            none = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+            sent = {"keys": keys, "n": n, "left": left, "low": low}
             yield pa.RecordBatch.from_arrays(
                 [pa.array([kind], pa.int32()), pa.array([int(part[x])], pa.int64()), pa.array([block], pa.int64()),
-                 *_lists(keys[x:y].view(np.int64), *[e if v is None else v[x:y] for v, e in zip((n, left, low), none)])],
+                 *[_packed(c, v if v is None else v[x:y]) for c, v in sent.items()]],
                 [c.split()[0] for c in _ASK.split(", ")])
 
 
-def _array(value) -> np.ndarray:
-    return value.values.to_numpy(zero_copy_only=False)
-
-
 def _body(row: dict, order: int) -> Block:
-    return Block(order, _array(row["sizes"]), _array(row["keys"]).view(np.uint64), _array(row["seq"]),
-                 _array(row["held"]))
+    sizes, held = (row[c].values.to_numpy(zero_copy_only=False) for c in ("sizes", "held"))
+    return Block(order, sizes, _array(row, "keys"), _array(row, "seq"), held)
 
 
 def _count_requests(order: int, parts: int):
@@ -193,14 +204,19 @@ def _groups(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[tuple
         yield key, rows
 
 
-def _answers(kind, part, rows, values: dict) -> Iterator[pa.RecordBatch]:
-    ends = np.cumsum([len(r["keys"]) for r in rows]).tolist()
-    empty = {"n": np.zeros(0, np.int64), "left": np.zeros(0), "low": np.zeros(0)}
+def _answers(kind: int, part: int, rows: list[dict], values: dict) -> Iterator[pa.RecordBatch]:
+    """One row back to each of ``rows``, with its share of ``values``."""
+    size = np.dtype(_TYPES["keys"]).itemsize
+    ends = np.cumsum([len(r["keys"].as_buffer()) // size for r in rows]).tolist()
     for row, x, y in zip(rows, [0, *ends[:-1]], ends):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([row["block"].as_py()], pa.int64()), pa.array([kind], pa.int32()), pa.array([part], pa.int64()),
-             *_lists(*[values[c][x:y] if c in values else empty[c] for c in empty])],
-            [c.split()[0] for c in _ANSWER.split(", ")])
+        yield _answer(row["block"].as_py(), kind, part, {c: v[x:y] for c, v in values.items()}, [])
+
+
+def _answer(block: int, kind: int, part: int, values: dict, stats: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int64()), pa.array([kind], pa.int32()), pa.array([part], pa.int64()),
+         *[_packed(c, values.get(c)) for c in ("n", "left", "low")], pa.array([stats], pa.list_(pa.int64()))],
+        [c.split()[0] for c in _ANSWER.split(", ")])
 
 
 def _count(cutoff: int):
@@ -210,17 +226,16 @@ def _count(cutoff: int):
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, part), rows in _groups(batches, "kind", "part"):
-            keys = np.concatenate([_array(r["keys"]) for r in rows]).view(np.uint64)
-            n = np.concatenate([_array(r["n"]) for r in rows])
+            keys = np.concatenate([_array(r, "keys") for r in rows])
+            n = np.concatenate([_array(r, "n") for r in rows])
             distinct, first, place, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
             total = np.bincount(place, n, len(distinct)).astype(np.int64)
             answer = 4 * total[place] + 2 * (times == 1)[place]
             answer[first] += 1
             yield from _answers(kind, part, rows, {"n": answer})
             real = total[(distinct != _START) & (total > 0)] if kind == 1 else total[total > 0]
-            stats = [*np.bincount(np.minimum(real, cutoff + 2), minlength=cutoff + 3)[1: cutoff + 2],
-                     len(real), real.sum()]
-            yield from _answers(kind, part, [{"block": pa.scalar(-1), "keys": stats}], {"n": np.array(stats, np.int64)})
+            counts = np.bincount(np.minimum(real, cutoff + 2), minlength=cutoff + 3)[1: cutoff + 2]
+            yield _answer(-1, kind, part, {}, [*counts.tolist(), len(real), int(real.sum())])
 
     return run
 
@@ -247,9 +262,9 @@ class Evaluation:
         self.block, self.model = block, model
         self.total, self.alone, self.first = {}, {}, {}
         for k in range(1, order + 1):
-            answer = np.concatenate([_array(r["n"]) for r in rows if r["kind"].as_py() == k] or [np.zeros(0, np.int64)])
+            answer = np.concatenate([_array(r, "n") for r in rows if r["kind"].as_py() == k] or [np.zeros(0, np.int64)])
             self.total[k], self.alone[k], self.first[k] = answer >> 2, answer & 2 > 0, answer & 1 > 0
-        self.sent = {k: [np.concatenate([_array(r[c]) for r in rows if r["kind"].as_py() == _WEIGHTS + k] or [np.zeros(0)])
+        self.sent = {k: [np.concatenate([_array(r, c) for r in rows if r["kind"].as_py() == _WEIGHTS + k] or [np.zeros(0)])
                          for c in ("left", "low")] for k in range(2, order + 1)}
         self.p = {1: self._words()}
 
@@ -309,9 +324,9 @@ def _weight_requests(order: int, parts: int, k: int, model: dict):
 
 def _add_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (kind, part), rows in _groups(batches, "kind", "part"):
-        keys = np.concatenate([_array(r["keys"]) for r in rows])
+        keys = np.concatenate([_array(r, "keys") for r in rows])
         distinct, place = np.unique(keys, return_inverse=True)
-        sums = {c: _summed(place, np.concatenate([_array(r[c]) for r in rows]), len(distinct))[place]
+        sums = {c: _summed(place, np.concatenate([_array(r, c) for r in rows]), len(distinct))[place]
                 for c in ("left", "low")}
         yield from _answers(kind, part, rows, sums)
 
@@ -363,7 +378,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, block
     asked = map_batches(blocks, _count_requests(order, parts), _ASK)
     answers = materialize(map_batches(_by_part(asked), _count(cutoff), _ANSWER), "counts")
     stats = answers.filter("block < 0").groupBy("kind").agg(
-        *[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(cutoff + 3)])
+        *[F.sum(F.col("stats")[i]).alias(f"n{i}") for i in range(cutoff + 3)])
     found = {r["kind"]: list(r)[1:] for r in stats.collect()}
     none = [0] * (cutoff + 3)
     model = {"d": {k: discounts(found.get(k, none)[: cutoff + 1]) for k in range(1, order + 1)}}
@@ -372,11 +387,11 @@ def score_texts(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, block
     # As after any history, 1 is added to the count if nothing is left for unknown words.
     took, model["below"] = (took, model["all"]) if took > 0 else (1.0, model["all"] + 1)
     model["unknown"] = took / model["below"]
-    answers = answers.filter("block >= 0")
+    answers = answers.filter("block >= 0").drop("stats")
     for k in range(2, order + 1):
         asked = map_batches(_by_block(blocks, answers), _weight_requests(order, parts, k, model), _ASK)
         answers = answers.unionByName(materialize(
-            map_batches(_by_part(asked), _add_weights, _ANSWER), "weights"))
+            map_batches(_by_part(asked), _add_weights, _ANSWER), "weights").drop("stats"))
     scored = map_batches(_by_block(blocks, answers), _score(order, model), _SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known",
                          F.lit(model["all"]).cast("long").alias("train_tokens"), "base_score", "score")

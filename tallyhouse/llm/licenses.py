@@ -11,8 +11,11 @@ is compared with that template (`window_matches`), so that notices in paragraphs
 and the bodies of licenses are found. Full texts are known by their standard headers and by
 passages that no other license here has (`PASSAGES`); titles (`TITLES`) are lines. The unit with
 the largest cosine decides, if it is at least `THRESHOLD`; ties go to the first license by name.
-Titles, and runs for templates of fewer than `SHORT` words, must agree in full. That all rights
-are reserved (`RESERVED`) decides only where nothing grants a license.
+Titles, tags, and runs for templates of fewer than `SHORT` words, must agree in full. Families and
+versions differ by single words, so each has its own passages here: the exact one is nearest.
+Words that a license shares with others of its family (`IMPLIED`) decide only where none of
+those does; words that some license here unknown grants with (`GRANTS`) mean that there is a license, but
+none with a name; that all rights are reserved (`RESERVED`) decides only where nothing is granted.
 
 *Bounds.* A unit can only get there if it has one of the *leading* terms of a template, those
 whose removal leaves less than the threshold of its length; other lines and texts are left out
@@ -63,6 +66,11 @@ TITLES = {
     "CC-BY-NC-4.0": ["Attribution-NonCommercial 4.0 International",
                      "Creative Commons Attribution-NonCommercial 4.0 International"],
     "CC0-1.0": ["CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
+    "CC-BY-SA-4.0": ["Attribution-ShareAlike 4.0 International",
+                     "Creative Commons Attribution-ShareAlike 4.0 International"],
+    "ISC": ["ISC License", "The ISC License"],
+    "Zlib": ["zlib License", "The zlib License"],
     "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
     "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License Version 2.0"],
 }
@@ -70,6 +78,17 @@ _GNU = """This {0} is free software{1} you can redistribute it and/or modify it
 {2}General Public License as published by the Free Software Foundation{3} either version {4} of the License,
 or (at your option) any later version"""
 PASSAGES = {
+    "AGPL-3.0": [_GNU.format("program", ":", "Affero ", ",", 3),
+                 "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+                 """The GNU Affero General Public License is a free, copyleft license for software and other kinds of
+                 works, specifically designed to ensure cooperation with the community in the case of network
+                 server software."""],
+    "Artistic-1.0-Perl": [
+        """The intent of this document is to state the conditions under which a Package may be copied, such that
+        the Copyright Holder maintains some semblance of artistic control over the development of the package"""],
+    "Artistic-2.0": [
+        """This license establishes the terms under which a given free software Package may be copied, modified,
+        distributed, and/or redistributed."""],
     "Apache-2.0": [
         """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
         compliance with the License. You may obtain a copy of the License at""",
@@ -78,6 +97,35 @@ PASSAGES = {
         worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare
         Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such
         Derivative Works in Source or Object form."""],
+    "BSD-4-Clause": [
+        """All advertising materials mentioning features or use of this software must display the following
+        acknowledgement"""],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003",
+                "Distributed under the Boost Software License, Version 1.0."],
+    "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International Public License"],
+    "EPL-2.0": ["Eclipse Public License - v 2.0",
+                """This program and the accompanying materials are made available under the terms of the Eclipse Public
+                License 2.0 which is available at"""],
+    "GFDL-1.3": ["GNU Free Documentation License Version 1.3, 3 November 2008"],
+    "GPL-1.0": [_GNU.format("program", ";", "", ";", 1),
+                "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"],
+    "ISC": [
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+        hereby granted, provided that the above copyright notice and this permission notice appear in all
+        copies."""],
+    "LGPL-2.0": [_GNU.format("library", ";", "Library ", ";", 2),
+                 "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "LGPL-2.1": [_GNU.format("library", ";", "Lesser ", ";", "2.1"),
+                 "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "MPL-1.1": [
+        """The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may
+        not use this file except in compliance with the License.""",
+        "MOZILLA PUBLIC LICENSE Version 1.1"],
+    "PSF-2.0": ["PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Zlib": [
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors
+        be held liable for any damages arising from the use of this software."""],
     "BSD-3-Clause": [
         """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
         promote products derived from this software without specific prior written permission."""],
@@ -118,6 +166,16 @@ PASSAGES = {
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
         was not distributed with this file, You can obtain one at"""],
 }
+IMPLIED = {
+    "BSD-2-Clause": [
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met"""],
+}
+#: Marks a license that has no name here.
+OTHER = "(other)"
+GRANTS = ["is hereby granted", "permission is granted", "permission to use, copy, modify",
+          "redistribution and use in source and binary forms", "this is free software",
+          "free software license", "hereby grants"]
 #: How license tags in files name the licenses; `-only`, `-or-later` and `+` may follow.
 SPDX = "SPDX-License-Identifier: {0}"
 #: Says that nothing is granted.
@@ -126,6 +184,7 @@ RESERVED = "Proprietary"
 SHORT = 12
 _FULL = 0.999999
 _TEMPLATE = ["template", "license", "kind", "size", "least"]
+_IMPLIED = "~"  # ends the name of a license that a passage only implies
 LICENSE_FILE = r"(?i)^(license|licence|copying|notice)(\.(txt|md))?$"
 THRESHOLD = 0.7
 
@@ -143,7 +202,9 @@ def template_vectors(files: DataFrame, templates: dict[str, str], threshold: flo
     listed += [(k, v, "line", _FULL) for k, all_ in TITLES.items() for v in all_]
     listed += [(k, v, "run", None) for k, v in templates.items()]
     listed += [(k, v, "run", None) for k, all_ in PASSAGES.items() for v in all_]
-    listed += [(k, SPDX.format(k), "run", _FULL) for k in templates if k != RESERVED]
+    listed += [(k + _IMPLIED, v, "run", None) for k, all_ in IMPLIED.items() for v in all_]
+    listed += [(OTHER, v, "run", _FULL) for v in GRANTS]
+    listed += [(k, SPDX.format(k), "run", _FULL) for k in sorted({*templates, *TITLES, *PASSAGES, *IMPLIED} - {RESERVED})]
     rows = [F.struct(F.lit(i).alias("template"), F.lit(k).alias("license"), F.lit(v).alias("text"),
                      F.lit(kind).alias("kind"), F.lit(least).cast("double").alias("least"))
             for i, (k, v, kind, least) in enumerate(sorted(listed, key=str))]
@@ -245,9 +306,12 @@ def matches(files: DataFrame, templates: dict[str, str] = TEMPLATES,
     idf = vectors.groupBy("term").agg(F.max("idf").alias("idf"))
     found = line_matches(files, vectors.filter("kind = 'line'"), idf, unknown).unionByName(
         window_matches(files, vectors.filter("kind = 'run'"), idf, unknown))
-    best = F.min_by(F.struct("license", "cosine"), F.struct(
-        F.col("license") == RESERVED, -F.col("cosine"), F.col("license")))
-    return found.groupBy("_row").agg(best.alias("b")).select("_row", "b.license", "b.cosine")
+    # Named licenses first, then implied ones, those without a name, and reserved rights.
+    weak = (F.when(F.col("license") == RESERVED, 3).when(F.col("license") == OTHER, 2)
+            .when(F.col("license").endswith(_IMPLIED), 1).otherwise(0))
+    best = F.min_by(F.struct("license", "cosine"), F.struct(weak, -F.col("cosine"), F.col("license")))
+    return (found.groupBy("_row").agg(best.alias("b")).filter(F.col("b.license") != OTHER)
+            .select("_row", F.rtrim("b.license", F.lit(_IMPLIED)).alias("license"), "b.cosine"))
 
 
 def directory(path: Column) -> Column:

@@ -13,19 +13,27 @@ the block, and two line ends. `responses` makes response records of a table of p
 Both keep the target URI, the date and the response's payload digest. Ids are UUIDs made from
 the response's id, so runs agree. `write` lays the records of a table out as WARC files.
 
+The text is made of what a browser would show: chunks are joined, gzip and deflate are
+undone, and bytes are read in the declared charset (of the header, else of a ``meta`` element or
+an XML declaration, else UTF-8). Digests are of the bytes as they came.
+
 Edge cases: a null url or html is empty. A record that is not a response, or is damaged (no
-version line, fields that end early, a block shorter than its stated length), is returned
-with ``error`` and no derivative. Bytes that are not UTF-8 become replacement characters in
-the text and stay as they are in the digests. Rows that repeat, and null ids, are kept.
+version line, fields that end early, a block shorter than its stated length, broken chunks or
+compression), is in an encoding that is not read here, or holds something other than text (by
+its type, or without one by its first bytes), is returned with ``error`` and no derivative.
+Bytes that are not in the charset become replacement characters in the text. An unknown
+charset is read as UTF-8. Rows that repeat, and null ids, are kept.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -93,6 +101,78 @@ def visible_text(markup: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
+def joined_chunks(payload: bytes) -> bytes:
+    """A body in chunks as one; ValueError if a chunk is cut off."""
+    out, at = [], 0
+    while True:
+        end = payload.find(b"\r\n", at)
+        size = payload[at: max(end, at)].split(b";")[0].strip()
+        if end < 0 or not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+            raise ValueError("broken chunk")
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        if len(payload) < end + 2 + n:
+            raise ValueError("chunk shorter than its length")
+        out.append(payload[end + 2: end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def _inflated(data: bytes, wbits: int) -> bytes:
+    """All members of a compressed body."""
+    out = []
+    while data:
+        member = zlib.decompressobj(wbits)
+        out.append(member.decompress(data))
+        if not member.eof:
+            raise ValueError("compressed body ends early")
+        data = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
+def decoded(payload: bytes, headers: list[tuple[str, str]]) -> bytes:
+    """The body without its transfer and content encodings."""
+    for name in ("Transfer-Encoding", "Content-Encoding"):
+        steps = [s.strip().lower() for s in (field(headers, name) or "").split(",") if s.strip()]
+        for step in reversed(steps):
+            if step == "chunked":
+                payload = joined_chunks(payload)
+            elif step in ("gzip", "x-gzip", "deflate"):
+                try:
+                    if step == "deflate" and payload[:1] and payload[0] & 15 != 8:
+                        payload = _inflated(payload, -15)  # without the zlib header, as some send it
+                    else:
+                        payload = _inflated(payload, 47)
+                except zlib.error as error:
+                    raise ValueError("broken compression") from error
+            elif step != "identity":
+                raise ValueError(f"encoding {step}")
+    return payload
+
+
+_CHARSET = re.compile(rb"""charset\s*=\s*["']?\s*([\w.:-]+)|^\s*<\?xml[^>]*encoding\s*=\s*["']([\w.:-]+)""", re.I)
+_MARKUP = re.compile(r"^(text/html|application/(xhtml\+)?xml|text/xml)$")
+_TEXTS = re.compile(r"^(text/.*|application/(.*\+)?(xml|json)|application/(x-)?javascript)$")
+
+
+def text_of(body: bytes, kind: str) -> tuple[str, bool]:
+    """The body as text, and whether it is markup, by its ``Content-Type``; ValueError if it
+    is no text."""
+    media, _, rest = kind.partition(";")
+    media = media.strip().lower()
+    if media and not _TEXTS.match(media):
+        raise ValueError(f"no text: {media}")
+    if not media and (b"\0" in body[:1024] or body[:5] in (b"%PDF-", b"\x89PNG\r") or body[:2] == b"\x1f\x8b"):
+        raise ValueError("no text")
+    found = _CHARSET.search(rest.encode()) or _CHARSET.search(body[:1024])
+    name = next((g.decode() for g in found.groups() if g), "utf-8") if found else "utf-8"
+    try:
+        codec = codecs.lookup(name).name
+    except LookupError:
+        codec = "utf-8"
+    return body.decode(codec, "replace"), not media or bool(_MARKUP.match(media))
+
+
 def derivatives(record: bytes) -> dict:
     """The derived records of a response record, and what they hold."""
     fields, block = parse(record)
@@ -103,9 +183,10 @@ def derivatives(record: bytes) -> dict:
     source = field(fields, "WARC-Record-ID") or ""
     uri, date = field(fields, "WARC-Target-URI") or "", field(fields, "WARC-Date") or ""
     payload_digest = field(fields, "WARC-Payload-Digest") or digest(payload)
-    markup = payload.decode("utf-8", "replace")
-    title = _TITLE.search(markup)
-    text = visible_text(markup)
+    named = [(k.strip(), v.strip()) for k, _, v in (h.partition(":") for h in headers)]
+    markup, tagged = text_of(decoded(payload, named), field(named, "Content-Type") or "")
+    title = _TITLE.search(markup) if tagged else None
+    text = visible_text(markup) if tagged else markup
     body = text.encode()
     conversion_id, metadata_id = urn(f"conversion {source}"), urn(f"metadata {source}")
     shared = [("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Refers-To", source)]
@@ -117,7 +198,7 @@ def derivatives(record: bytes) -> dict:
              ("source-payload-digest", payload_digest),
              ("source-block-digest", field(fields, "WARC-Block-Digest") or digest(block)),
              ("title", " ".join(html.unescape(title[1]).split()) if title else ""),
-             ("links", str(len(_LINK.findall(markup)))),
+             ("links", str(len(_LINK.findall(markup)) if tagged else 0)),
              ("text-length", str(len(text))), ("text-digest", digest(body))]
     notes = "".join(f"{k}: {v}\r\n" for k, v in lines).encode()
     metadata = build([

@@ -240,3 +240,56 @@ def score_rows(rows, order, held):
                     sum(math.log10(model.p(tuple(line[max(0, i - order + 1): i]), line[i]))
                         for i in range(1, len(line)))))
     return in_order(out)
+
+
+def url_verdicts(pages, rules, longest=24):
+    """Verdicts and log odds of ``pages (page_id, url, html)`` by plain Viterbi and naive Bayes."""
+    import regex
+    counts = collections.Counter()
+    for _, _, markup in pages:
+        text = re.sub(r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ", (markup or "").lower())
+        counts.update(w for w in regex.findall(r"\p{L}+", text) if len(w) <= longest)
+    total = sum(counts.values()) or 1
+
+    def cost(word):
+        n = counts.get(word)
+        return math.log(total / n) if n else math.log(total + 1) + (len(word) - 1) * math.log(10)
+
+    def cut(run):
+        best = [(0.0, [])]
+        for end in range(1, len(run) + 1):
+            best.append(min(((best[s][0] + cost(run[s:end]), best[s][1] + [run[s:end]])
+                             for s in range(max(0, end - longest), end)), key=lambda x: x[0]))
+        return best[-1][1]
+
+    parts, tokens = [], {}
+    for page_id, url, _ in pages:
+        _, found, rest = (url or "").partition("://")
+        host = re.match(r"[^/?#]*", rest)[0] if found else ""
+        path = re.match(r"[^?#]*", rest[len(host):])[0] if found else ""
+        host = host.translate(_LOWER)
+        parts.append((page_id, host, path))
+        words = ["h:" + w for run in regex.findall(r"\p{L}+", host) for w in cut(run)]
+        tokens[host, path] = words + ["p:" + ("0" if regex.fullmatch(r"\p{N}+", t) else t)
+                                      for t in regex.findall(r"[\p{L}\p{N}]+", path.lower())]
+
+    def rule(host, path):
+        fits = [r for r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0]))
+                and path.startswith("/" + r.partition("/")[2])]
+        return min(fits, key=lambda r: (-len(r), r)) if fits else None
+
+    seen, pages_of = {True: collections.Counter(), False: collections.Counter()}, collections.Counter()
+    for _, host, path in parts:
+        if (r := rule(host, path)) is not None:
+            seen[rules[r] == "block"].update(tokens[host, path])
+            pages_of[rules[r] == "block"] += 1
+    known = set(seen[True]) | set(seen[False])
+    sums = {k: sum(c.values()) + len(known) + 1 for k, c in seen.items()}
+    out = []
+    for page_id, host, path in parts:
+        odds = math.log((pages_of[True] + 1) / (pages_of[False] + 1)) + sum(
+            math.log((seen[True][t] + 1) / sums[True]) - math.log((seen[False][t] + 1) / sums[False])
+            for t in tokens[host, path] if t in known)
+        r = rule(host, path)
+        out.append((page_id, host, path, r, rules[r] if r else "block" if odds > 0 else "allow", round(odds, 6)))
+    return in_order(out)

@@ -29,11 +29,14 @@ are left aside.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,22 +52,54 @@ HOT = 200_000
 _BYTES = 1 << 20
 
 
+# How byte-level tokenizers of this kind cut a text into pre-tokens. Up to U+024F
+# the library's classes of characters and those here are the same; other texts go through
+# the library whole.
+_PRE_TOKEN = regex.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
+    r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+_BEYOND = regex.compile(r"[^\x00-\u024F]")
+#: Pre-tokens whose ids a task keeps.
+_KEPT = 200_000
+
+
 class ByteTokenizer:
-    """A: a byte-level tokenizer file of the ``tokenizers`` library."""
+    """A: a byte-level tokenizer file of the ``tokenizers`` library.
+
+    Pre-tokens are encoded one independent of the others, so each distinct one goes through
+    the library once while it is kept.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
+        said = json.loads(self.library.to_str())
+        cut = said["pre_tokenizer"] or {}
+        self.plain = (not said["normalizer"] and cut.get("type") == "ByteLevel"
+                      and cut.get("use_regex", True) and not cut.get("add_prefix_space"))
+        self.kept: dict[str, list[int]] = {}
         self.library.encode_special_tokens = True
         size = self.library.get_vocab_size(with_added_tokens=True)
         letters = _byte_letters()
         self.entries = [bytes(letters.get(c, 0) for c in self.library.id_to_token(i) or "")
                         for i in range(size)]
 
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        found = self.library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [e.ids for e in found]
+        texts = [" " + t for t in texts]
+        if not self.plain:
+            return self._library(texts)
+        cut = [None if _BEYOND.search(t) else _PRE_TOKEN.findall(t) for t in texts]
+        whole = iter(self._library([t for t, c in zip(texts, cut) if c is None]))
+        if len(self.kept) > _KEPT:
+            self.kept.clear()
+        new = list({p for c in cut if c is not None for p in c}.difference(self.kept))
+        self.kept.update(zip(new, self._library(new)))
+        return [next(whole) if c is None else list(chain.from_iterable(map(self.kept.__getitem__, c)))
+                for c in cut]
 
 
 class PieceTokenizer:
@@ -129,7 +164,7 @@ def merge(ends_a: np.ndarray, ends_b: np.ndarray, starts_a: np.ndarray, starts_b
 def _flat(ids: list[list[int]], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All ids, where each text's begin, and the end of each token over all texts."""
     starts = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
-    flat = np.fromiter((i for x in ids for i in x), np.int64, int(starts[-1]))
+    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(starts[-1]))
     return flat, starts, np.cumsum(lengths[flat])
 
 

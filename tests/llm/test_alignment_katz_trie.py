@@ -6,6 +6,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from brute_force import Katz, alignment_rows, in_order, score_rows, trie_rows
 from pyspark.sql import functions as F
 from test_text_operators import frame, odd, rows_of  # noqa: F401
@@ -41,6 +43,18 @@ def test_alignment_is_the_same_without_broadcasts_and_in_one_lane(spark, odd):
     assert some == rows_of(alignment.align(docs, A, B, lane=10**9, hot=10**9))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t\x0b\x1c\x85\xa0'’s're12ab.,<|>"), st.characters(max_codepoint=0x24F),
+                                  st.characters(exclude_categories=["Cs"]))), max_size=6))
+def test_pre_tokens_are_the_library_s(texts):
+    ours = _BYTES[0] if _BYTES else _BYTES.append(alignment.ByteTokenizer(A)) or _BYTES[0]
+    assert ours.plain
+    assert ours.encode(texts) == ours._library([" " + t for t in texts])
+
+
+_BYTES = []
+
+
 def test_groups_spell_the_text(spark, tokenizers):
     text = "Über den <|endoftext|> Wolken 😀 antidisestablishmentarianism"
     docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")

@@ -357,13 +357,15 @@ def _score(order: int, model: dict):
     return run
 
 
-def _by_part(requests: DataFrame) -> DataFrame:
-    return requests.repartition("kind", "part").sortWithinPartitions("kind", "part", "block")
+def _by_part(requests: DataFrame, parts: int) -> DataFrame:
+    """A task has about one part: its rows are large, and a task holds what is sent to Python at once."""
+    return requests.repartition(parts, "kind", "part").sortWithinPartitions("kind", "part", "block")
 
 
-def _by_block(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+def _by_block(blocks: DataFrame, answers: DataFrame, number: int) -> DataFrame:
+    """And about one block."""
     both = blocks.unionByName(answers, allowMissingColumns=True)
-    return both.repartition("block").sortWithinPartitions("block", "kind", "part")
+    return both.repartition(number, "block").sortWithinPartitions("block", "kind", "part")
 
 
 def score_texts(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, block: int = BLOCK,
@@ -375,8 +377,9 @@ def score_texts(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, block
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = size // part + 1
     blocks = materialize(map_batches(rows, _blocks(block), _BODY), "blocks")
+    number = max(blocks.count(), 1)
     asked = map_batches(blocks, _count_requests(order, parts), _ASK)
-    answers = materialize(map_batches(_by_part(asked), _count(cutoff), _ANSWER), "counts")
+    answers = materialize(map_batches(_by_part(asked, parts * order), _count(cutoff), _ANSWER), "counts")
     stats = answers.filter("block < 0").groupBy("kind").agg(
         *[F.sum(F.col("stats")[i]).alias(f"n{i}") for i in range(cutoff + 3)])
     found = {r["kind"]: list(r)[1:] for r in stats.collect()}
@@ -389,9 +392,9 @@ def score_texts(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, block
     model["unknown"] = took / model["below"]
     answers = answers.filter("block >= 0").drop("stats")
     for k in range(2, order + 1):
-        asked = map_batches(_by_block(blocks, answers), _weight_requests(order, parts, k, model), _ASK)
+        asked = map_batches(_by_block(blocks, answers, number), _weight_requests(order, parts, k, model), _ASK)
         answers = answers.unionByName(materialize(
-            map_batches(_by_part(asked), _add_weights, _ANSWER), "weights").drop("stats"))
-    scored = map_batches(_by_block(blocks, answers), _score(order, model), _SCORES)
+            map_batches(_by_part(asked, parts), _add_weights, _ANSWER), "weights").drop("stats"))
+    scored = map_batches(_by_block(blocks, answers, number), _score(order, model), _SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known",
                          F.lit(model["all"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -93,15 +93,18 @@ def containment(a: str, b: str, size: int = SIZE) -> float:
 
 
 def add_fingerprint(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``docs (.., text)`` with a ``fingerprint`` column after its own."""
-    at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())])
+    """``docs (.., text)`` with a ``fingerprint`` column after its own; underscores are added to
+    the name where they have it already."""
+    at, name = docs.columns.index("text"), "fingerprint"
+    while name in docs.columns:
+        name += "_"
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [encode(h) for h in sketch_hashes(byte_texts(batch.column(at)), size)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())],
-                                             [*batch.schema.names, "fingerprint"])
+                                             [*batch.schema.names, name])
 
     return map_batches(docs, run, schema)
 
@@ -138,7 +141,8 @@ def _next_texts(docs: DataFrame) -> DataFrame:
 
     Each range ends with copies (``extra``) of the next range's first texts, the last one
     with the very first texts; equal ids follow each other by a hash of their texts. The
-    ranges' bounds are quantiles, of which there are a few per shuffle partition.
+    ranges' bounds are quantiles, of which there are a few per shuffle partition; an id that
+    takes several of them (null ids, for instance) is cut into as many ranges of hashes.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -146,22 +150,29 @@ def _next_texts(docs: DataFrame) -> DataFrame:
     rows = docs.select(pos.alias("pos"), F.xxhash64("text").alias("tie"), "doc_id", "text")
     shares = [i / (4 * parts) for i in range(1, 4 * parts)]
     bounds = rows.agg(F.percentile_approx("pos", shares, 20 * parts)).first()[0] or []
-    bounds = np.unique(np.array(bounds, np.int64))
+    bounds, times = np.unique(np.array(bounds, np.int64), return_counts=True)
+    first_bucket = np.concatenate(([0], np.cumsum(times)))
+    times = np.append(times, 1)
 
     @F.pandas_udf("int")
-    def bucket_of(p: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, p.to_numpy(), "left").astype(np.int32))
-
-    placed = rows.withColumn("bucket", bucket_of("pos"))
-    heads = sorted((r[0], r[1]) for r in
-                   placed.groupBy("bucket").agg(F.min("pos")).toLocalIterator())
-    before = [heads[-1][0], *(b for b, _ in heads[:-1])] if heads else []
-    firsts = spark.createDataFrame([(p, b) for b, (_, p) in zip(before, heads)],
-                                   "pos long, before int")
+    def bucket_of(p: pd.Series, tie: pd.Series) -> pd.Series:
+        p = p.to_numpy()
+        at = np.searchsorted(bounds, p, "left")
+        hot = (at < len(bounds)) & (times[at] > 1)
+        hot[hot] = bounds[at[hot]] == p[hot]
+        share = (tie.to_numpy() >> 32) + (1 << 31)  # 32 bits, in the order of the hashes
+        return pd.Series((first_bucket[at] + np.where(hot, share * times[at] >> 32, 0)).astype(np.int32))
+
+    placed = rows.withColumn("bucket", bucket_of("pos", "tie"))
+    heads = sorted((r[0], *r[1]) for r in
+                   placed.groupBy("bucket").agg(F.min(F.struct("pos", "tie"))).toLocalIterator())
+    before = [heads[-1][0], *(h[0] for h in heads[:-1])] if heads else []
+    firsts = spark.createDataFrame([(p, t, b) for b, (_, p, t) in zip(before, heads)],
+                                   "pos long, tie long, before int")
     own = F.struct(F.col("bucket"), F.lit(0).alias("extra"))
     copies = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(
         F.col("before").alias("bucket"), F.lit(1).alias("extra"))))
-    return (placed.join(F.broadcast(firsts), "pos", "left")
+    return (placed.join(F.broadcast(firsts), ["pos", "tie"], "left")
             .select(F.explode(copies).alias("at"), "pos", "tie", "doc_id", "text")
             .select("at.*", "pos", "tie", "doc_id", "text")
             .repartition(parts, "bucket").sortWithinPartitions("bucket", "extra", "pos", "tie"))

@@ -8,7 +8,9 @@ Statistics are frozen while a text is scored, so what a byte costs in all langua
 function of its last ``ORDER`` bytes. These costs are tabled once, for every string the
 trees hold, and a text is scored by looking its strings up, from the longest down.
 
-The trees are learned from a bounded sample (`sample`); every text is scored in whole.
+The trees are learned from a bounded sample of distinct texts (`sample`); every text is scored
+in whole. How many bits a byte may cost before a text counts as written in none of the languages
+is taken per language from as many further texts, which are left out of the fit (`limits`).
 
 Edge cases: a null text, and one without any letter, is ``und`` with score 0. So is every
 text if there is nothing to learn from. Languages with equal code lengths are settled by
@@ -27,14 +29,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.llm.common import byte_texts, hide, map_batches, pick, place, slices, unhide
+from tallyhouse.llm.common import (bounded, byte_texts, hide, map_batches, pick, place, slices,
+                                   unhide)
+from tallyhouse.session import materialize
 
 ORDER = 4
 #: Learned from per language: so many texts, each of at most so many characters.
 SAMPLE_TEXTS = 300
 SAMPLE_CHARS = 65_536
-#: A text that costs more in its best language is written in none of them.
-MOST_BITS = 12.0
+#: A text that costs more bits a byte is written in none of the languages, where there are no
+#: further texts to tell; else so many bits a byte more than the dearest of those. The first bits
+#: of a text do not count: a word alone does not tell enough.
+MOST_BITS, MARGIN, FREE_BITS = 12.0, 2.0, 64.0
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _PAD = b"\n" * ORDER
@@ -46,16 +52,23 @@ def learnable(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """At most ``texts`` labelled texts per language, of at most ``chars`` characters each.
+    """``lang, text, further``: at most ``texts`` distinct labelled texts per language to learn
+    from, and as many ``further`` ones; of a longer text a piece of ``chars`` characters.
 
-    Which ones is decided by a hash of the text; every task keeps its best candidates only,
-    so a hot language costs no more than a rare one.
+    Those whose hash is least are taken, and the piece begins where the hash says. Ranked are
+    hashes alone, and every task sends the least of them only, so neither a hot language
+    nor a text that repeats gathers anywhere.
     """
-    fit = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()
-                      & (F.length("text") <= chars))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    return (fit.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= texts)
-            .select("lang", "text"))
+    fit = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "lang", "text", F.xxhash64("text").alias("h"))
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = materialize(fit.select("lang", "h").distinct().withColumn("rank", F.row_number().over(first))
+                         .filter(F.col("rank") <= 2 * texts)
+                         .select("lang", "h", (F.col("rank") > texts).alias("further")), "sample")
+    start = F.pmod(F.col("h"), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
+    piece = F.col("text").substr(start.cast("int"), F.lit(chars))
+    return (fit.join(bounded(chosen), ["lang", "h"]).select("lang", "h", "further", piece.alias("text"))
+            .dropDuplicates(["lang", "h"]).select("lang", "text", "further"))
 
 
 def _strings(data: bytes) -> np.ndarray:
@@ -153,7 +166,8 @@ def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS)
     The driver gets the distinct strings of the sample, whose size its bounds set.
     """
     schema = "lang string, string long, n long"
-    counted = (map_batches(sample(pick(docs, "text", "lang"), texts, chars), _count_strings, schema)
+    own = sample(pick(docs, "text", "lang"), texts, chars).filter("NOT further").select("lang", "text")
+    counted = (map_batches(own, _count_strings, schema)
                .groupBy("lang", "string").agg(F.sum("n").alias("n")).toPandas())
     langs = sorted(counted["lang"].unique())
     strings, escapes = [], []
@@ -218,14 +232,24 @@ def _verdicts(model: Model, column: pa.Array) -> Iterator[tuple[str, float, floa
                    float(bits[i].min() / len(t)))
 
 
+def _free(names: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores added where columns have them already."""
+    out = []
+    for name in wanted:
+        while name in names:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (the posterior of that language under equal
-    priors) and ``bits_per_byte`` (null for ``und``) after its own columns, which must not
-    have these names."""
+    priors) and ``bits_per_byte`` (null for ``und``) after its own columns; where they have
+    these names already, underscores are added."""
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType()),
-                           T.StructField("bits_per_byte", T.DoubleType())])
+    new = _free(docs.columns, "lang_pred", "score", "bits_per_byte")
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
+    schema = T.StructType([*docs.schema.fields, *map(T.StructField, new, kinds)])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,11 +258,25 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()),
                  pa.array(bits, pa.float64())],
-                [*batch.schema.names, "lang_pred", "score", "bits_per_byte"])
+                [*batch.schema.names, *new])
 
     return map_batches(docs, score, schema)
 
 
+def _rate(text: Column) -> Column:
+    """Bits a byte without the first ones."""
+    return F.col("bits_per_byte") - FREE_BITS / F.octet_length(text)
+
+
+def limits(docs: DataFrame, model: Model, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, float]:
+    """Per language the most bits a byte of its texts: `MARGIN` over the dearest of the further
+    texts of ``docs (text, lang)``; languages without further texts are left out."""
+    further = sample(pick(docs, "text", "lang"), texts, chars).filter("further").select("text")
+    dearest = predict(further, model).filter(F.col("lang_pred") != UNKNOWN).groupBy("lang_pred").agg(
+        F.max(_rate(F.col("text"))).alias("most"))
+    return {r["lang_pred"]: r["most"] + MARGIN for r in dearest.collect()}
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, bits_per_byte`` of every row of
     ``docs (doc_id, text, lang)``; learned from the texts that are not held out."""
@@ -251,7 +289,10 @@ def identify(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, most_bits: float = MOST_BITS) -> DataFrame:
     """The rows of ``docs`` that are written in one of the learned languages."""
     need = pick(docs, "doc_id", "text", "lang")
-    model = learn(need.filter(learnable(F.col("doc_id"))))
-    scored = predict(hide(docs), model, place(docs, "text"))
-    return unhide(scored.filter((F.col("lang_pred") != UNKNOWN)
-                                & (F.col("bits_per_byte") <= most_bits)), docs)
+    fit = need.filter(learnable(F.col("doc_id")))
+    model = learn(fit)
+    most = limits(fit, model)
+    text = place(docs, "text")
+    scored = predict(hide(docs), model, text)
+    limit = F.coalesce(*[F.when(F.col("lang_pred") == k, F.lit(v)) for k, v in most.items()], F.lit(most_bits))
+    return unhide(scored.filter((F.col("lang_pred") != UNKNOWN) & (_rate(F.col(text)) <= limit)), docs)

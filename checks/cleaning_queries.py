@@ -13,6 +13,7 @@ from checks.sqltext import (CLEAN, DEDUPED, DIRTY, EVENTS, FACT, FRAME, TYPED, c
 from tallyhouse.functions import ranks, text
 from tallyhouse.operators import cleaning, profiling
 from tallyhouse.roles import column_kinds, date_shares, rename_normalized
+from tallyhouse.session import materialize
 from tallyhouse.sources import warehouse
 
 AS_OF = datetime(2024, 1, 1)
@@ -297,7 +298,7 @@ def _missing_sql(source: str) -> str:
         ["(select ", f" from {source})"])
 
 
-@register("P1_quality_summary", query(CLEAN, f"""
+QUALITY_ROWS = f"""
 select 'rows_before' as metric, (select count(*) from dirty) as value union all
 select 'columns_before', 11 union all
 select 'missing_before', {_missing_sql('dirty')} union all
@@ -309,7 +310,10 @@ select 'missing_after', {_missing_sql('clean')} union all
 select 'duplicates_removed', (select count(*) from nonempty) - (select count(*) from deduped)
 union all select 'dates_unparsed', (select count(*) from dirty
   where date is not null and try_cast(date as timestamp) is null)
-union all select 'dates_ambiguous', (select count(*) from dirty where contains(date, '/'))"""))
+union all select 'dates_ambiguous', (select count(*) from dirty where contains(date, '/'))"""
+
+
+@register("P1_quality_summary", query(CLEAN, QUALITY_ROWS))
 def p1(spark, folder):
     prepared = cleaning.prepare(warehouse.retail_dirty(spark, folder), AS_OF)
     return profiling.quality_summary(prepared)
@@ -328,9 +332,12 @@ def p1_fills(spark, folder):
     return profiling.imputations(prepared)
 
 
-@register("P2_missing_columns", query(DIRTY, " union all ".join(
+MISSING_ROWS = " union all ".join(
     f"""select '{c}' as "column", count(*) - count({c}) as missing_values from dirty
-    having count(*) > count({c})""" for c in DIRTY_COLUMNS)))
+    having count(*) > count({c})""" for c in DIRTY_COLUMNS)
+
+
+@register("P2_missing_columns", query(DIRTY, MISSING_ROWS))
 def p2(spark, folder):
     return profiling.missing_columns(warehouse.retail_dirty(spark, folder))
 
@@ -361,9 +368,9 @@ def sc4(spark, folder):
 select median(quantity) as quantity, median(cast(price as double)) as price,
   median(cast(sales as double)) as sales from fact"""))
 def exact_medians(spark, folder):
-    """The search that tables too large for one buffer use, forced at this size."""
+    """The selection by itself, over several columns at once."""
     fact = written_fact(spark, folder)
-    found = ranks.exact_medians(fact, ["quantity", "price", "sales"], buffer_rows=100)
+    found = ranks.exact_medians(fact, ["quantity", "price", "sales"])
     return spark.createDataFrame([found], "quantity double, price double, sales double")
 
 
@@ -392,3 +399,17 @@ def p3_nan(spark, folder):
     events = spark.read.parquet(f"{folder}/events.parquet")
     return profiling.column_profile(events.select("event_id", F.when(
         F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value")))
+
+
+@register("P3_merged_sketches", query(DIRTY, " union all ".join(
+    f"""select '{c}' as "column", count(*) - count({c}) as missing, true as close from dirty""" for c in DIRTY_COLUMNS)))
+def p3_sketches(spark, folder):
+    """Sketches of two parts, written and merged: missing cells exact, distinct values within 2 %."""
+    dirty = warehouse.retail_dirty(spark, folder)
+    part = F.substring("h", 1, 1) < "8"
+    stored = [materialize(profiling.column_sketches(dirty.where(side), name), "sketches")
+              for name, side in (("low", part), ("high", ~part))]
+    merged = profiling.merged_sketches(stored[0].unionByName(stored[1]))
+    exact = profiling.column_profile(dirty).select("column", F.col("unique_values").alias("exact"))
+    off = F.abs(F.col("unique_values") - F.col("exact")) / F.greatest("exact", F.lit(1))
+    return merged.join(exact, "column").select("column", "missing", (off <= 0.02).alias("close"))

@@ -12,7 +12,9 @@ from checks.registry import register, written_fact
 from checks.sqltext import CLEAN, EVENTS, FACT, FRAME, query
 from tallyhouse.functions import ranks
 from tallyhouse.operators import cleaning, distributions, sales, timeline
-from tallyhouse.sources import warehouse
+from tallyhouse.plans import state
+from tallyhouse.session import new_path
+from tallyhouse.sources import sinks, warehouse
 
 SALES = "cast(sum(sales) as double)"
 
@@ -314,6 +316,47 @@ def a17(spark, folder):
                          F.round(F.col("density") * span, 6).alias("density"))
 
 
+def _binned_sql(column: str) -> str:
+    return f"""
+select '{column}' as metric, cast(point as int) as point, round(any_value(x), 6) as x,
+  round(any_value(hi - lo) * sum(w * exp(-0.5 * ((x - c) / width) * ((x - c) / width)))
+    / any_value(total * width * sqrt(2 * pi())), 6) as density
+from (
+  select g.point, b.w, lo, hi, total, width, lo + g.point * ((hi - lo) / 199.0) as x,
+    lo + b.at * ((hi - lo) / 2047.0) as c
+  from (select bin + side as at, sum(case side when 0 then 1 - over else over end) as w
+        from (select least(floor(place), 2046) as bin, place - least(floor(place), 2046) as over
+              from (select (cast({column} as double) - lo) / ((hi - lo) / 2047.0) as place
+                    from fact, (select min(cast({column} as double)) as lo,
+                                  max(cast({column} as double)) as hi from fact))
+              where place is not null), range(2) s(side) group by 1) b,
+    (select min(v) as lo, max(v) as hi, cast(count(*) as double) as total,
+      stddev_samp(v) * pow(count(*), -0.2) as width, count(distinct v) as d
+     from (select cast({column} as double) as v from fact)),
+    range(200) g(point) where d > 10)
+group by point"""
+
+
+@register("A17_binned_densities", query(FACT, " union all ".join(
+    _binned_sql(c) for c in ("sales", "quantity", "price"))))
+def a17_binned(spark, folder):
+    """On 2,048 points, whatever the number of values."""
+    fact = written_fact(spark, folder)
+    spans = {c: fact.agg((F.max(F.col(c).cast("double")) - F.min(F.col(c).cast("double")))).scalar()
+             for c in ("sales", "quantity", "price")}
+    span = F.coalesce(*[F.when(F.col("metric") == c, s) for c, s in spans.items()])
+    return distributions.binned_densities(fact).select(
+        "metric", "point", F.round("x", 6).alias("x"), F.round(F.col("density") * span, 6).alias("density"))
+
+
+@register("A18_sampled_points", query(FACT, """
+select quantity, sales, category, price, product, region, customer_id from fact
+qualify row_number() over (partition by category order by md5(h)) <= 50"""))
+def a18_sampled(spark, folder):
+    """The 50 rows of each category whose hash is least."""
+    return distributions.scatter_points(fact_of(spark, folder), points=50, key="h")
+
+
 @register("A18_scatter_points", query(FACT, """
 select quantity, sales, category, price, product, region, customer_id from fact"""))
 def a18(spark, folder):
@@ -379,9 +422,8 @@ def a22(spark, folder):
 select customer_id, median(cast(price as double)) as price, median(quantity) as quantity,
   median(cast(sales as double)) as sales from fact group by 1"""))
 def a22_spread(spark, folder):
-    """The path for groups larger than one buffer, forced at this size."""
-    return ranks.grouped_medians(
-        fact_of(spark, folder), ["customer_id"], ["price", "quantity", "sales"], buffer_rows=10)
+    """Many groups and several columns at once."""
+    return ranks.grouped_medians(fact_of(spark, folder), ["customer_id"], ["price", "quantity", "sales"])
 
 
 @register("A22_medians_with_empty_groups", query(FACT, """
@@ -391,12 +433,12 @@ select g, median(quantity) as quantity, median(price) as price from (
     case when substr(h, 2, 1) < '8' then null else cast(price as double) end as price
   from fact) group by g"""))
 def a22_empty(spark, folder):
-    """The spread path over a group without values and one without a key."""
+    """A group without values, and one without a key."""
     first = F.substring("h", 1, 1)
     holes = fact_of(spark, folder).select(
         F.when(first != "0", first).alias("g"), F.when(first != "3", F.col("quantity")).alias("quantity"),
         F.when(F.substring("h", 2, 1) >= "8", F.col("price").cast("double")).alias("price"))
-    return ranks.grouped_medians(holes, ["g"], ["quantity", "price"], buffer_rows=10)
+    return ranks.grouped_medians(holes, ["g"], ["quantity", "price"])
 
 
 @register("A23_vocabularies", query(FACT, " union all ".join(
@@ -438,3 +480,44 @@ def a24(spark, folder):
     dimension = context["product_dimension"]
     parts += [_listing(dimension, f"product_{m}", "product", m) for m in ("price", "quantity")]
     return reduce(DataFrame.unionByName, parts)
+
+
+def _merged_state(spark, folder):
+    """The state of two halves of the fact: one published, the other added to it, read back."""
+    fact = written_fact(spark, folder)
+    low = F.substring("h", 1, 1) < "7"
+    root = new_path(spark, "state")
+    state.add_part(spark, root, state.state_of(fact.where(low)))
+    state.add_part(spark, root, state.state_of(fact.where(~low)))
+    return sinks.read_published(spark, root)
+
+
+@register("W1_merged_entities", query(FACT, " union all ".join(
+    f"select '{c}' as entity, {c} as value, count(*) as rows, cast(sum(sales) as double) as sales, "
+    f"cast(sum(quantity) as double) as quantity from fact group by {c}" for c in ("product", "category", "region"))))
+def w1_entities(spark, folder):
+    merged = _merged_state(spark, folder)["entities"]
+    return merged.select("entity", "value", "rows", F.round("sales", 4).alias("sales"), "quantity")
+
+
+@register("W1_merged_insights", query(FACT, """
+select 'monthly_sales' as section, strftime(date, '%Y-%m') as label, cast(sum(sales) as double) as value
+from fact where date is not null group by 2
+union all select 'customers', 'active_customers', cast(count(distinct customer_id) as double) from fact
+union all select 'correlations', 'price/sales', round(corr(cast(price as double), cast(sales as double)), 6) from fact
+union all select 'correlations', 'quantity/sales', round(corr(quantity, cast(sales as double)), 6) from fact
+union all select 'quantity', cast(cast(floor(quantity) as bigint) as varchar), cast(count(*) as double) from fact
+  where quantity is not null group by 2"""))
+def w1_insights(spark, folder):
+    """Insight tables from the state of two halves, against those of the whole."""
+    tables = state.insights_of(_merged_state(spark, folder))
+    parts = [
+        tables["monthly_sales"].select(F.lit("monthly_sales").alias("section"), F.col("month").alias("label"),
+                                       F.round("sales", 4).alias("value")),
+        tables["customer_kpis"].select(F.lit("customers"), F.lit("active_customers"),
+                                       F.col("active_customers").cast("double")),
+        tables["correlations"].where("y = 'sales' and x <> 'sales'").select(
+            F.lit("correlations"), F.concat_ws("/", "x", "y"), F.round("correlation", 6)),
+        tables["histograms"].where("metric = 'quantity'").select(
+            F.lit("quantity"), F.col("bin_start").cast("long").cast("string"), F.col("count").cast("double"))]
+    return reduce(DataFrame.unionAll, parts)

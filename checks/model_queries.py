@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from checks.cleaning_queries import AS_OF
 from checks.insight_queries import rounded
 from checks.registry import register, written_fact
-from checks.sqltext import FRAME, query
+from checks.source_queries import report_sql
+from checks.sqltext import FRAME, query, titled
 from tallyhouse.operators import cleaning, distributions, modeling
-from tallyhouse.plans import training
+from tallyhouse.plans import analysis, training
 from tallyhouse.session import new_path
 from tallyhouse.sources import sinks
 
@@ -69,6 +70,29 @@ def m3(spark, folder):
         "category_index", "region_index"), *[f"{c}_scaled" for c in _NUMERIC])
 
 
+@register("M3_label_buckets", query(FEATURES, """
+select cast(('0x' || substr(md5(product), 1, 8)) as bigint) % 512 as bucket,
+  count(distinct product) as labels, count(*) as rows from fact where product is not null group by 1"""))
+def m3_buckets(spark, folder):
+    """Products hashed to 512 buckets, and how many of them share one."""
+    return modeling.label_buckets(written_fact(spark, folder), "product", 512)
+
+
+@register("M3_hashed_products", query(FEATURES, "select h, sales, true as fits from test"))
+def m3_hashed(spark, folder):
+    """A fit on products without a list of them: on the rows it was fitted to, predictions have
+    the mean of what was predicted, and are nearer to it than the mean itself."""
+    frame = cleaning.model_frame(written_fact(spark, folder), AS_OF)
+    train, test = modeling.write_split(modeling.feature_table(frame, ["h", "product"]), "h")
+    ready = modeling.fit_preprocess(train, {"product": 512})
+    model = modeling.fit_linear(train, ready)
+    own = modeling.score(model, train).agg(
+        F.avg(F.col("sales").cast("double")), F.avg("prediction"), F.var_pop(F.col("sales").cast("double")),
+        F.avg(F.pow(F.col("sales").cast("double") - F.col("prediction"), 2))).first()
+    fits = abs(own[0] - own[1]) <= 1e-6 * abs(own[0]) and own[3] < own[2]
+    return modeling.score(model, test).select("h", "sales", F.lit(fits).alias("fits"))
+
+
 @register("M4_median_baseline", query(FEATURES, "select * from baseline"))
 def m4(spark, folder):
     train, test = split_of(spark, folder)
@@ -117,21 +141,51 @@ def m5_normal(spark, folder):
         "feature", (F.round("mean_product", 6) + F.lit(0.0)).alias("mean_product"))
 
 
+def _board_rows(*others: str) -> str:
+    rest = "".join(f" union all select '{m}', true, null, null, spread from base" for m in others)
+    return f"""select 'Baseline Median' as model, false as beats_baseline, mae as baseline_mae,
+  rmse as baseline_rmse, spread from base{rest}"""
+
+
+_BASE = FEATURES + """,
+base as (select round(avg(abs(sales - prediction)), 4) as mae,
+  round(sqrt(avg((sales - prediction) * (sales - prediction))), 4) as rmse,
+  round(var_pop(sales), 0) as spread from baseline)"""
+
+
 def _board_sql(*others: str) -> str:
-    rest = "".join(f" union all select '{m}', true, null, null" for m in others)
-    return query(FEATURES, f"""
-select 'Baseline Median' as model, false as beats_baseline,
-  round(avg(abs(sales - prediction)), 4) as baseline_mae,
-  round(sqrt(avg((sales - prediction) * (sales - prediction))), 4) as baseline_rmse
-from baseline{rest}""")
+    return query(_BASE, _board_rows(*others))
 
 
 def _board(leaderboard):
-    """What SQL can say of a leaderboard: the baseline's errors, and who is better."""
+    """What SQL can say of a leaderboard: the baseline's errors, who is better, and of every
+    model the spread of the held-out sales, which its RMSE and R2 must agree on."""
     own = F.col("model") == modeling.BASELINE
     base = F.max(F.when(own, F.col("rmse"))).over(Window.partitionBy())
+    spread = F.col("rmse") * F.col("rmse") / (1 - F.col("r2"))
     return leaderboard.select("model", (F.col("rmse") < base).alias("beats_baseline"), *[
-        F.when(own, F.round(m, 4)).alias(f"baseline_{m}") for m in ("mae", "rmse")])
+        F.when(own, F.round(m, 4)).alias(f"baseline_{m}") for m in ("mae", "rmse")],
+        F.round(spread, 0).alias("spread"))
+
+
+#: The report of the fact as cleaning leaves it: labels in title case, sums to four digits.
+_CASED = ",\ncased as (select * replace (" + ", ".join(
+    f"{titled(c)} as {c}" for c in ("product", "category", "region")) + ") from fact)"
+_FLOW = report_sql(_BASE + _CASED, "cased", 4, f"""select 'leaderboard', model, name, value from (
+  select model, unnest(['beats_baseline', 'spread']) as name,
+    unnest([cast(beats_baseline as double), spread]) as value from ({_board_rows(modeling.LINEAR, modeling.FOREST)}))
+union all select 'leaderboard', 'Baseline Median', 'rmse', rmse from base""")
+
+
+def _flow(tables, board):
+    """The flow's insight tables, and its leaderboard, as report rows."""
+    checked = _board(board)
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value")) for n, v in (
+        ("beats_baseline", F.col("beats_baseline").cast("int")), ("spread", F.col("spread")),
+        ("rmse", F.col("baseline_rmse")))]))
+    scores = checked.select(F.lit("leaderboard").alias("section"), F.col("model").alias("label"), cells.alias("c")
+                            ).select("section", "label", "c.*").where("value is not null")
+    return rounded(analysis.report_tables(tables).unionByName(scores), "value", digits=4)
 
 
 @register("M8_leaderboard", _board_sql(modeling.LINEAR))
@@ -152,30 +206,62 @@ def m6(spark, folder):
         "h", "sales", F.col("prediction").between(low - 1e-6, high + 1e-6).alias("within"))
 
 
+@register("M6_one_tree", query(FEATURES, """
+select count(*) as rows, round(avg(sales), 4) as mean_prediction, 0.0 as mean_product from train"""))
+def m6_tree(spark, folder):
+    """One tree on all rows predicts in each leaf the mean of its rows: predictions have the
+    mean of the sales, and say nothing about what is left over."""
+    train, _ = split_of(spark, folder)
+    scored = modeling.score(modeling.fit_forest(train, 1, CHECK.depth, bootstrap=False), train)
+    left = F.col("sales").cast("double") - F.col("prediction")
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.avg("prediction"), 4).alias("mean_prediction"),
+        (F.round(F.sum(left * F.col("prediction")) / F.sum(F.pow("prediction", F.lit(2))), 6) + F.lit(0.0)
+         ).alias("mean_product"))
+
+
+@register("M6_forest_errors", query(FEATURES, """
+select round(var_pop(sales), 0) as spread, true as better_than_median, true as misses from baseline"""))
+def m6_errors(spark, folder):
+    """RMSE and R2 of the forest agree on the spread of what is predicted; it errs, but less
+    than the median does."""
+    train, test = split_of(spark, folder)
+    models = {modeling.BASELINE: modeling.fit_baseline(train),
+              modeling.FOREST: modeling.fit_forest(train, CHECK.trees, CHECK.depth)}
+    rows = modeling.regression_metrics(modeling.scored_by(models, test))
+    own = {m: F.max(F.when(F.col("model") == m, F.col("rmse"))) for m in models}
+    r2 = F.max(F.when(F.col("model") == modeling.FOREST, F.col("r2")))
+    forest = own[modeling.FOREST]
+    return rows.agg(F.round(forest * forest / (1 - r2), 0).alias("spread"),
+                    (forest < own[modeling.BASELINE]).alias("better_than_median"), (forest > 0).alias("misses"))
+
+
 @register("M10_train_leaderboard", _board_sql(modeling.LINEAR, modeling.FOREST))
 def m10(spark, folder):
     return _board(training.train(written_fact(spark, folder), AS_OF, CHECK).leaderboard)
 
 
-@register("W2_automatic", _board_sql(modeling.LINEAR, modeling.FOREST))
+@register("W2_automatic", _FLOW)
 def w2(spark, folder):
-    return _board(training.automatic(written_fact(spark, folder), AS_OF, CHECK)[1].leaderboard)
+    artifacts, result = training.automatic(written_fact(spark, folder), AS_OF, CHECK)
+    return _flow(artifacts.tables, result.leaderboard)
 
 
-@register("W3_manual_training", _board_sql(modeling.LINEAR, modeling.FOREST))
+@register("W3_manual_training", _FLOW)
 def w3(spark, folder):
     """Two steps that share only the handed-off table."""
     path = new_path(spark, "hand-off")
-    training.manual_analysis(written_fact(spark, folder), AS_OF, path)
-    return _board(training.manual_training(spark, path, AS_OF, CHECK).leaderboard)
+    artifacts, _ = training.manual_analysis(written_fact(spark, folder), AS_OF, path)
+    return _flow(artifacts.tables, training.manual_training(spark, path, AS_OF, CHECK).leaderboard)
 
 
-@register("W4_notebook", _board_sql(modeling.LINEAR, modeling.FOREST))
+@register("W4_notebook", _FLOW)
 def w4(spark, folder):
     path = new_path(spark, "export") + ".parquet"
     written_fact(spark, folder).write.parquet(path)
     sources = [("gone", path + ".csv"), ("file", path)]
-    return _board(training.notebook(spark, sources, AS_OF, CHECK)[3].leaderboard)
+    _, _, tables, result = training.notebook(spark, sources, AS_OF, CHECK)
+    return _flow(tables, result.leaderboard)
 
 
 @register("IO9_saved_model", query(FEATURES, "select * from baseline"))

@@ -8,8 +8,9 @@ from checks.cleaning_queries import AS_OF, day_time
 from checks.insight_queries import fact_of, rounded
 from checks.model_queries import FEATURES, split_of
 from checks.registry import register, written_fact
-from checks.sqltext import FACT, FRAME, query
+from checks.sqltext import EVENTS, FACT, FRAME, query
 from tallyhouse.operators import cleaning, modeling, requests, sales
+from tallyhouse.plans import training
 from tallyhouse.sources import warehouse
 
 _MESSAGES = """,
@@ -65,8 +66,8 @@ def messages_of(spark, folder):
     return warehouse.request_messages(fact_of(spark, folder))
 
 
-def matched_of(fact, case_terms=requests.CASE_TERMS):
-    words = {c: sales.vocabulary(fact, c) for c in requests.KNOWN}
+def matched_of(fact, case_terms=requests.CASE_TERMS, cells=None):
+    words = {c: sales.vocabulary(fact if cells is None else cells, c) for c in requests.KNOWN}
     return requests.match_known(warehouse.request_messages(fact), words, case_terms)
 
 
@@ -316,19 +317,18 @@ book as (select
        / (var_pop(sales) * count(*))) from baseline) as metrics)"""
 
 
-def tables_of(spark, folder, fact):
+def tables_of(spark, folder, fact, cells):
     train, test = split_of(spark, folder)
     scored = modeling.scored_by({modeling.BASELINE: modeling.fit_baseline(train)}, test)
-    return {"top_product": sales.top_groups(fact, "product"),
-            "top_region": sales.top_groups(fact, "region"),
-            "monthly_sales": sales.monthly_sales(fact),
-            "overview": sales.dataset_overview(fact),
+    top = {f"top_{c}": sales.top_of_cells(cells, c) for c in ("product", "region")}
+    return {**top, "monthly_sales": sales.monthly_sales(fact),
+            "overview": sales.overview_of(cells, len(fact.columns)),
             "leaderboard": modeling.leaderboard(modeling.regression_metrics(scored))}
 
 
-def segments_of(fact):
-    summaries = {c: sales.segment_summary(fact, c) for c in requests.KNOWN}
-    leaders = {(by, of): sales.segment_leaders(fact, by, of)
+def segments_of(cells):
+    summaries = {c: sales.summary_of(cells, c) for c in requests.KNOWN}
+    leaders = {(by, of): sales.leaders_of(cells, by, of)
                for by in requests.KNOWN for of in ("product", "region") if of != by}
     return requests.segment_book(summaries, leaders)
 
@@ -340,9 +340,10 @@ select msg_id, intent, coalesce(answer, case intent when 'overview' then overvie
 from asked left join segments using (topic), book"""))
 def t9(spark, folder):
     fact = written_fact(spark, folder)
-    routed = requests.route(matched_of(fact), "dashboard")
+    cells = sales.label_cells(fact)
+    routed = requests.route(matched_of(fact, cells=cells), "dashboard")
     return requests.answers(
-        routed, requests.answer_book(tables_of(spark, folder, fact)), segments_of(fact))
+        routed, requests.answer_book(tables_of(spark, folder, fact, cells)), segments_of(cells))
 
 
 @register("T9_answers_notebook", query(ANSWERS, f"""
@@ -352,9 +353,31 @@ select msg_id, intent, case intent when 'top_products' then five_products
 from (select msg_id, {_NOTEBOOK} as intent from matched), book where intent <> 'predict'"""))
 def t9_notebook(spark, folder):
     fact = written_fact(spark, folder)
-    routed = requests.route(matched_of(fact), "notebook")
-    book = requests.answer_book(tables_of(spark, folder, fact), "notebook")
-    return requests.answers(routed, book, segments_of(fact))
+    cells = sales.label_cells(fact)
+    routed = requests.route(matched_of(fact, cells=cells), "notebook")
+    book = requests.answer_book(tables_of(spark, folder, fact, cells), "notebook")
+    return requests.answers(routed, book, segments_of(cells))
+
+
+_BARE = EVENTS + """,
+months as (select strftime(date, '%Y-%m') as m, sum(sales) as s from event_fact group by 1 order by 1 limit 12)"""
+
+
+@register("T9_without_products", query(_BARE, f"""
+select * from (values ('q1', 'top_products', {_quoted(requests.NOTHING["top_products"])}),
+  ('q2', 'top_regions', {_quoted(requests.NOTHING["top_regions"])}),
+  ('q4', 'predict', {_quoted(requests.NOTHING["predict"])})) t(msg_id, intent, answer)
+union all select 'q3', 'seasonality', (select 'Seasonality snapshot' || chr(10) || string_agg(
+  m || ': ' || {_money('s')}, chr(10) order by m) from months)"""))
+def t9_bare(spark, folder):
+    """A table with neither products nor regions, before any model is trained."""
+    events = warehouse.event_fact(spark, folder).select("order_id", "date", "category", "sales")
+    asked = ("What are the top products?", "best region?", "show the monthly trend", "predict quantity 3")
+    messages = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(asked, 1)], "msg_id string, text string")
+    frame = cleaning.model_frame(events, AS_OF).drop("region")
+    result = training.TrainingResult(frame, None, None, {}, None, None)
+    told, _ = training.answer_requests(messages, result)
+    return told.select("msg_id", "intent", "answer")
 
 
 _TALK = """with messages as (select conv_id as msg_id, text from conversations),
@@ -380,3 +403,32 @@ select m.msg_id, m.text, (select w.term from words w where w.term <> ''
     and contains(lower(m.text), lower(w.term)) order by length(w.term) desc, w.term limit 1) as term,
   count(*) as count from messages m group by 1, 2, 3""")(
         lambda spark, folder, terms=_terms: _talk(spark, folder, terms))
+
+
+_MANY = """with terms as (select distinct term from (
+    select substr(md5(cast(p_partkey as varchar)), 1, 3 + p_partkey % 2) as term from part
+    union all select concat(substr(md5(cast(p_partkey as varchar)), 1, 8), repeat('z', p_partkey % 40)) from part
+    union all select concat(p_brand, ' ', cast(p_partkey as varchar)) from part)),
+messages as (select o_orderkey as msg_id, concat('order ', md5(cast(o_orderkey as varchar)),
+    md5(cast(o_custkey as varchar)), ' ', md5(cast(o_orderkey % 7 as varchar))) as text from orders)"""
+
+
+@register("T3_many_terms_by_automaton", _MANY + """,
+pieces as (select msg_id, unnest(range(1, length(text) + 1)) as i, text from messages),
+hits as (select msg_id, term from pieces, (values (3), (4), (8)) v(n) join terms on term = substr(text, i, n))
+select msg_id, (select h.term from hits h where h.msg_id = m.msg_id order by length(term) desc, term limit 1) as term
+from messages m""")
+def t3_many(spark, folder):
+    """Terms of 3 to 48 characters, thousands of them, and no shuffle of the texts for them."""
+    part = warehouse.table(spark, folder, "part")
+    number = F.col("p_partkey")
+    digest = F.md5(number.cast("string"))
+    terms = part.select(F.explode(F.array(
+        F.substring(digest, F.lit(1), (3 + number % 2).cast("int")),
+        F.concat(F.substring(digest, 1, 8), F.repeat(F.lit("z"), (number % 40).cast("int"))),
+        F.concat_ws(" ", "p_brand", number.cast("string")))).alias("term")).distinct()
+    orders = warehouse.table(spark, folder, "orders")
+    messages = orders.select(F.col("o_orderkey").alias("msg_id"), F.concat(
+        F.lit("order "), F.md5(F.col("o_orderkey").cast("string")), F.md5(F.col("o_custkey").cast("string")),
+        F.lit(" "), F.md5((F.col("o_orderkey") % 7).cast("string"))).alias("text"))
+    return requests.match_terms(messages, terms, "term").select("msg_id", "term")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,12 +66,41 @@ def to_timestamp_any(
     col: Column, formats: Sequence[tuple[str, str | None, str | None]] = DATE_FORMATS
 ) -> Column:
     """C4: first format that parses the text; NULL where none does."""
-    return F.coalesce(*[_parse(col, shape, fmt) for shape, fmt, _ in formats])
+    return F.coalesce(*[_parse(col, shape, fmt) for shape, fmt, _ in formats],
+                      F.lit(None).cast("timestamp"))
+
+
+# Texts by their shape: every digit a 9, every letter an a. Longer shapes than any format's
+# are cut, so that free text costs little.
+_SHAPED = "".join(map(chr, [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]))
+_SHAPES = "9" * 10 + "a" * 52
+_LONGEST = 40
+_SLASHED = rf"^{_D}/{_D}/(\d{{4}}|\d{{2}})( |$)"
+_CLOCK = (r"^(([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d)?|(0?[1-9]|1[0-2]):[0-5]\d ?[AaPp][Mm])$")
+
+
+def text_shape(col: Column) -> Column:
+    """``07/Mar/2024`` is ``99/aaa/9999``."""
+    return F.substring(F.translate(col, _SHAPED, _SHAPES), 1, _LONGEST)
+
+
+def _is_date(month: Column, day: Column, year: Column) -> Column:
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    last = (F.when(month == 2, 28 + leap.cast("int")).when(month.isin(4, 6, 9, 11), 30).otherwise(31))
+    return month.between(1, 12) & day.between(1, last)
+
+
+def _has(shape: Column, pattern: str) -> Column:
+    """Whether texts of a shape can match a format's pattern."""
+    return shape.rlike(pattern.replace("[AaPp][Mm]", "[A-Za-z]{2}"))
 
 
 @dataclass(frozen=True)
 class Election:
-    """The formats a column is read with, and what is doubtful about them."""
+    """The formats a column is read with, and what is doubtful about them.
+
+    ``unparsed`` counts the texts whose shape no format has.
+    """
 
     formats: tuple[tuple[str, str | None, str | None], ...]
     order: str
@@ -79,26 +109,46 @@ class Election:
 
 
 def elect_formats(
-    df: DataFrame, name: str,
+    df: DataFrame, names: Sequence[str],
     formats: Sequence[tuple[str, str | None, str | None]] = DATE_FORMATS,
-) -> Election:
-    """C4: one order of month and day for a whole column, from one aggregate over all rows.
-
-    The order that parses more texts wins, month first on a tie; the other order's formats
-    are dropped. ``ambiguous`` texts mean different dates in the two orders, ``unparsed``
-    ones are texts that no kept format reads.
+) -> dict[str, Election]:
+    """C4: for each column one order of month and day, and only the formats it needs.
+
+    One pass over all columns counts texts by shape, and for texts with slashes whether they
+    are dates with the month first, with the day first, and the same date both ways; no text
+    is parsed. The order that reads more texts wins, month first on a tie. Kept are the formats of
+    that order, and those without one, whose shape occurs. ``ambiguous`` texts mean different
+    dates in the two orders. Formats with an order are two numbers, a slash after each, and a year.
     """
-    col = F.col(f"`{name}`")
-    kept = {order: [f for f in formats if f[2] in (None, order)] for order in (MONTH_FIRST, DAY_FIRST)}
-    month, day = (to_timestamp_any(col, [f for f in formats if f[2] == order] or kept[order])
-                  for order in (MONTH_FIRST, DAY_FIRST))
-    row = df.agg(
-        F.count(month).alias("month"), F.count(day).alias("day"),
-        F.count_if(month != day).alias("ambiguous"),
-        *[F.count_if(col.isNotNull() & to_timestamp_any(col, fs).isNull()).alias(f"no_{order}")
-          for order, fs in kept.items()]).first()
-    order = DAY_FIRST if row["day"] > row["month"] else MONTH_FIRST
-    return Election(tuple(kept[order]), order, row["ambiguous"], row[f"no_{order}"])
+    texts = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("text")) for c in names]))
+    col = F.col("text")
+    parts = F.split(col, "[/ ]", 4)
+    one, two, year = (F.get(parts, F.lit(i)).try_cast("int") for i in range(3))
+    year = F.when(year >= 100, year).when(year >= PIVOT_YEAR - 2000, year + 1900).otherwise(year + 2000)
+    on_time = F.coalesce(F.get(parts, F.lit(3)).rlike(_CLOCK), F.lit(True))
+    slashed = col.rlike(_SLASHED) & on_time
+    month, day = (F.coalesce(slashed & _is_date(m, d, year), F.lit(False)) for m, d in ((one, two), (two, one)))
+    counts = df.select(texts.alias("t")).select("t.*").where("text is not null").select(
+        "name", text_shape(col).alias("shape"), month.alias("month"), day.alias("day"),
+        F.coalesce(slashed & (one == two), F.lit(False)).alias("same"),
+    ).groupBy("name", "shape", "month", "day", "same").agg(F.count(F.lit(1)).alias("n"))
+    patterns = list(dict.fromkeys(f[0] for f in formats))
+    ordered = dict.fromkeys(f[0] for f in formats if f[2])
+    shape, n, no = F.col("shape"), F.col("n"), F.lit(False)
+    any_order, any_known = (reduce(lambda x, y: x | y, [_has(shape, p) for p in ps], no)
+                            for ps in (ordered, patterns))
+    total = {"month": any_order & F.col("month"), "day": any_order & F.col("day"),
+             "ambiguous": any_order & F.col("month") & F.col("day") & ~F.col("same"), "unread": ~any_known}
+    rows = counts.groupBy("name").agg(
+        *[F.coalesce(F.sum(F.when(test, n)), F.lit(0)).alias(k) for k, test in total.items()],
+        *[F.max(_has(shape, p)).alias(f"p{i}") for i, p in enumerate(patterns)]).collect()
+    found = {}
+    for row in rows:
+        order = DAY_FIRST if row["day"] > row["month"] else MONTH_FIRST
+        occurs = {p for i, p in enumerate(patterns) if row[f"p{i}"]}
+        kept = tuple(f for f in formats if f[2] in (None, order) and f[0] in occurs)
+        found[row["name"]] = Election(kept, order, row["ambiguous"], row["unread"])
+    return {c: found.get(c, Election((), MONTH_FIRST, 0, 0)) for c in names}
 
 
 def month_label(date: Column) -> Column:

@@ -1,14 +1,14 @@
 """Exact medians, modes and row numbers that never gather a group in one task.
 
 ``median`` keeps every distinct value of a group in one buffer, and a window without
-a partition sorts the whole table in one task. Both are fine for groups of a known
-size only, so the functions here check sizes first and spread larger groups out.
+a partition sorts the whole table in one task. The functions here select medians by
+counting digits of the values, and number rows in range blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,10 +16,9 @@ from pyspark.sql import types as T
 
 from ..session import materialize
 
-# Groups up to this many rows may be buffered by one task.
-BUFFER_ROWS = 100_000
-# Rank error of the sketch is rows / SKETCH_ACCURACY.
-SKETCH_ACCURACY = 10_000
+# The format of doubles: exponent bias, fractions of a power of two, least normal and greatest.
+_BIAS, _FRACTION = 1023.0, 1 << 52
+_LEAST_NORMAL, _GREATEST = 2.0 ** -1022, 1.7976931348623157e308
 
 
 def _number(name: str) -> Column:
@@ -27,127 +26,103 @@ def _number(name: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def present_value(df: DataFrame, name: str) -> Column:
+    """A column with NaN as missing."""
+    numeric = isinstance(df.schema[name].dataType, T.NumericType)
+    return _number(name) if numeric else F.col(f"`{name}`")
+
+
 def filled_counts(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict[str, int]]:
     """Rows, and non-missing values per column, in one pass. NaN is missing."""
-    def value(c: str) -> Column:
-        return _number(c) if isinstance(df.schema[c].dataType, T.NumericType) else F.col(f"`{c}`")
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.count(value(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.count(present_value(df, c)).alias(f"n{i}") for i, c in enumerate(cols)],
     ).first()
     return row["rows"], {c: row[f"n{i}"] for i, c in enumerate(cols)}
 
 
-@dataclass
-class _Rank:
-    """Search for the value at ``rank`` (from 0) of a column, between two open bounds."""
-
-    column: str
-    rank: int
-    below: int
-    inside: int
-    low: float | None = None
-    high: float | None = None
-    value: float | None = None
-
-    def candidates(self) -> Column:
-        value = _number(self.column)
-        kept = F.lit(True)
-        if self.low is not None:
-            kept = kept & (value > self.low)
-        if self.high is not None:
-            kept = kept & (value < self.high)
-        return F.when(kept, value)
-
-    def shares(self) -> list[float]:
-        """Two quantiles of the candidates that have the rank between them."""
-        slack = 2.0 / SKETCH_ACCURACY
-        at = (self.rank - self.below) / self.inside
-        return [max(0.0, at - slack), min(1.0, at + slack)]
-
-    def narrow(self, pivot: float, less: int, up_to: int) -> None:
-        """Use the counts of rows under, and up to, a pivot."""
-        if less <= self.rank < up_to:
-            self.value = pivot
-        elif up_to <= self.rank and (self.low is None or pivot > self.low):
-            self.inside -= up_to - self.below
-            self.below, self.low = up_to, pivot
-        elif less > self.rank and (self.high is None or pivot < self.high):
-            self.inside = less - self.below
-            self.high = pivot
-
-
-def _search(df: DataFrame, ranks: list[_Rank], buffer_rows: int) -> None:
-    """Narrow every rank to at most ``buffer_rows`` rows, then pick it among those.
-
-    A round is one sketch pass, which proposes two pivots around each rank, and one
-    exact counting pass; it keeps about 4 rows in 10,000 and always drops the pivots,
-    so it ends however the values are tied. Only one row a pass reaches the driver.
-    """
-    while wide := [r for r in ranks if r.value is None and r.inside > buffer_rows]:
-        # Both middle ranks of a column usually share their bounds, and so a sketch.
-        shared: dict[tuple, list[_Rank]] = {}
-        for r in wide:
-            shared.setdefault((r.column, r.low, r.high), []).append(r)
-        proposed = df.agg(*[
-            F.percentile_approx(group[0].candidates(),
-                                sorted({s for r in group for s in r.shares()}), SKETCH_ACCURACY)
-            .alias(f"p{i}") for i, group in enumerate(shared.values())]).first()
-        tests = sorted({(key[0], p) for i, key in enumerate(shared) for p in proposed[i]})
-        counted = df.agg(
-            *[F.count_if(_number(c) < p).alias(f"l{i}") for i, (c, p) in enumerate(tests)],
-            *[F.count_if(_number(c) <= p).alias(f"u{i}") for i, (c, p) in enumerate(tests)],
-        ).first()
-        for i, (c, p) in enumerate(tests):
-            for r in wide:
-                if r.column == c and r.value is None:
-                    r.narrow(p, counted[f"l{i}"], counted[f"u{i}"])
-
-    left = [r for r in ranks if r.value is None]
-    if not left:
-        return
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(i).alias("i"), r.candidates().alias("v"))
-                  for i, r in enumerate(left)])
-    )
-    counts = (
-        df.select(pairs.alias("p")).select("p.i", "p.v").where("v is not null")
-        .groupBy("i", "v").count()
-    )
-    upto = F.sum("count").over(Window.partitionBy("i").orderBy("v"))
-    rank = F.element_at(F.array(*[F.lit(r.rank - r.below) for r in left]), F.col("i") + 1)
-    hits = counts.withColumn("upto", upto).where(
-        (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("count"))
-    )
-    for row in hits.select("i", "v").collect():
-        left[row["i"]].value = row["v"]
-
-
-def exact_medians(
-    df: DataFrame, cols: Sequence[str], buffer_rows: int = BUFFER_ROWS,
-    counts: Mapping[str, int] | None = None,
-) -> dict[str, float | None]:
-    """Exact median of each numeric column over the whole table (None if all missing).
+def sort_key(value: Column) -> Column:
+    """A double as a 64-bit integer that sorts alike: the bits of its magnitude, with its sign.
 
-    ``counts`` are the non-missing values per column, where they are known already.
+    Powers of two are exact, so exponent and fraction come out exactly whatever the
+    logarithm's last digit is.
+    """
+    size = F.abs(value)
+    guess = F.floor(F.log2(size)).cast("double")
+    power = (F.when(F.pow(F.lit(2.0), guess) > size, guess - 1)
+             .when(F.pow(F.lit(2.0), guess + 1) <= size, guess + 1).otherwise(guess))
+    fraction = size / F.pow(F.lit(2.0), power) - 1
+    normal = (power + _BIAS).cast("long") * _FRACTION + (fraction * float(_FRACTION)).cast("long")
+    tiny = (size * 2.0 ** 537 * 2.0 ** 537).cast("long")
+    bits = (F.when(size == 0, F.lit(0).cast("long")).when(size < _LEAST_NORMAL, tiny)
+            .when(size > _GREATEST, F.lit((2047 << 52))).otherwise(normal))
+    return F.when(value < 0, -bits).otherwise(bits)
+
+
+def _digit(key: Column, number: int) -> Column:
+    """The 16 bits of a sort key at a place, in the order of the keys."""
+    unsigned = key.bitwiseXOR(F.lit(-(1 << 63)))
+    return F.shiftrightunsigned(unsigned, 48 - 16 * number).bitwiseAND(F.lit(0xFFFF))
+
+
+def _middles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], label: str) -> DataFrame:
+    """``keys, name, m``: exact medians of each column per group, by radix selection.
+
+    A pass counts values by the next 16 bits of their sort key, added up in the map tasks; the
+    digits that hold the two middle ranks are kept for the next pass. All groups and columns go
+    together, and at most four passes read one written projection. A bucket in which all
+    values are equal needs no further pass, and mostly that ends it sooner. Values are not shuffled;
+    a group costs at most 65,536 counts a pass.
     """
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), (_number(c) + F.lit(0.0)).alias("_v"))
+                                for i, c in enumerate(cols)]))
+    values = df.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], pairs.alias("p")).select(
+        *[f"_k{i}" for i in range(len(keys))], "p.*").where("_v is not null")
+    values = materialize(values.withColumn("_s", sort_key(F.col("_v"))), label)
+    group = [*[f"_k{i}" for i in range(len(keys))], "_c"]
+    found, wanted = [], None
+    for number in range(4):
+        here = values
+        if wanted is not None:  # only values in the buckets that are still open
+            named = wanted.select(*[F.col(g).alias(f"w{g}") for g in group], "_prefix").distinct()
+            prefix = F.shiftrightunsigned("_s", 64 - 16 * number)
+            same = [F.col(g).eqNullSafe(F.col(f"w{g}")) for g in group] + [prefix == F.col("_prefix")]
+            here = values.join(named if keys else F.broadcast(named), same)
+        else:
+            here = here.withColumn("_prefix", F.lit(0).cast("long"))
+        counts = here.groupBy(*group, "_prefix", _digit(F.col("_s"), number).alias("_d")).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        so_far = Window.partitionBy(*group, "_prefix").orderBy("_d")
+        every = Window.partitionBy(*group, "_prefix")
+        placed = counts.withColumns({"_upto": F.sum("_n").over(so_far), "_all": F.sum("_n").over(every)})
+        if wanted is None:
+            ranked = placed.withColumn("_rank", F.explode(F.array(
+                F.expr("(_all - 1) div 2"), F.expr("_all div 2"))))
+        else:
+            asked = wanted.select(*[F.col(g).alias(f"w{g}") for g in group],
+                                  F.col("_prefix").alias("w_prefix"), F.col("_rank"))
+            ranked = placed.join(asked, [F.col(g).eqNullSafe(F.col(f"w{g}")) for g in group]
+                                 + [F.col("_prefix") == F.col("w_prefix")])
+        hit = ranked.where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
+        # The prefix is the key's leading bits as they are; digits are of the key as unsigned.
+        digit = F.col("_d").bitwiseXOR(F.lit(0x8000)) if number == 0 else F.col("_d")
+        step = materialize(hit.select(
+            *group, (F.shiftleft("_prefix", 16) + digit).alias("_prefix"),
+            (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), "_lo", "_hi"), label)
+        found.append(step.where("_lo = _hi").select(*group, F.col("_lo").alias("_m")))
+        wanted = step.where("_lo < _hi")
+        if number == 3 or wanted.isEmpty():
+            break
+    return (reduce(DataFrame.unionAll, found).groupBy(*group).agg(F.avg("_m").alias("m"))
+            .select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "_c", "m"))
+
+
+def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+    """Exact median of each numeric column over the whole table (None if all missing)."""
     if not cols:
         return {}
-    if counts is None:
-        _, counts = filled_counts(df, cols)
-    counts = {c: counts[c] for c in cols}
-    if max(counts.values()) <= buffer_rows:
-        row = df.agg(*[F.median(_number(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-        return {c: row[f"m{i}"] for i, c in enumerate(cols)}
-
-    ranks = {
-        c: [_Rank(c, r, 0, n) for r in sorted({(n - 1) // 2, n // 2})]
-        for c, n in counts.items() if n
-    }
-    _search(df, [r for pair in ranks.values() for r in pair], buffer_rows)
-    return {
-        c: sum(r.value for r in ranks[c]) / len(ranks[c]) if c in ranks else None for c in cols
-    }
+    found = {cols[r["_c"]]: r["m"] for r in _middles(df, [], cols, "medians").collect()}
+    return {c: found.get(c) for c in cols}
 
 
 def _ordered_blocks(df: DataFrame, order: Sequence[str], label: str) -> DataFrame:
@@ -160,57 +135,14 @@ def _ordered_blocks(df: DataFrame, order: Sequence[str], label: str) -> DataFram
     )
 
 
-def grouped_medians(
-    df: DataFrame, keys: Sequence[str], cols: Sequence[str], buffer_rows: int = BUFFER_ROWS
-) -> DataFrame:
-    """Exact median of each column per group: ``keys + cols``.
-
-    Groups that fit a task's buffer use ``median``. Otherwise the distinct values are
-    counted, sorted by (group, value) over all tasks, and the two middle ranks are
-    found from block totals, so a group may span any number of blocks.
-    """
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= buffer_rows:
-        return df.groupBy(*keys).agg(*[F.median(_number(c)).alias(c) for c in cols])
-
-    values = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("name"), _number(c).alias("v")) for c in cols])
-    )
-    group = [*keys, "name"]
-    counts = (
-        df.select(*keys, values.alias("p")).select(*keys, "p.name", "p.v")
-        .where("v is not null").groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
-    )
-    ordered = _ordered_blocks(counts, [*group, "v"], "grouped-medians")
-    earlier = Window.partitionBy(*group).orderBy("block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    blocks = (
-        ordered.groupBy(*group, "block").agg(F.sum("n").alias("in_block"))
-        .withColumn("before", F.coalesce(F.sum("in_block").over(earlier), F.lit(0)))
-        .withColumn("rows", F.sum("in_block").over(Window.partitionBy(*group)))
-        .withColumn("ranks", F.array(
-            F.floor((F.col("rows") - 1) / 2), F.floor(F.col("rows") / 2)))
-    )
-    hit = blocks.where(F.exists(
-        "ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("in_block"))))
-    named = hit.select(*[F.col(k).alias(f"_{k}") for k in [*group, "block"]], "before", "ranks")
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*group, "block"]]
-    inside = ordered.join(named, same)
-    upto = F.col("before") + F.sum("n").over(
-        Window.partitionBy(*group, "block").orderBy("v"))
-    picked = (
-        inside.withColumn("upto", upto)
-        .select(*group, "v", F.size(F.filter(
-            "ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
-        ).alias("times"))
-        .groupBy(*group).agg((F.sum(F.col("v") * F.col("times")) / 2).alias("m"))
-    )
-    # A group whose values are all missing has no rank to pick, but is a group.
+def grouped_medians(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Exact median of each column per group: ``keys + cols``; see `_middles`."""
+    middles = _middles(df, keys, cols, "grouped-medians")
+    # A group whose values are all missing has no median, but is a group.
     every = df.select(*keys).distinct().select(
-        *keys, F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("m"))
-    return picked.unionByName(every).groupBy(*keys).agg(
-        *[F.max(F.when(F.col("name") == c, F.col("m"))).alias(c) for c in cols])
+        *keys, F.lit(None).cast("int").alias("_c"), F.lit(None).cast("double").alias("m"))
+    return middles.unionByName(every).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_c") == i, F.col("m"))).alias(c) for i, c in enumerate(cols)])
 
 
 def _most_frequent(value: str) -> Column:

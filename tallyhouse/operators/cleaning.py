@@ -6,10 +6,11 @@ Each step is ``DataFrame -> DataFrame`` for ``df.transform``; every role is opti
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,8 @@ IDS = ("customer_id", "order_id")
 NEGATIVE_IS_MISSING = {"report": ("quantity", "price", "discount"),
                        "model": ("quantity", "price", "sales")}
 COPIES = "_copies"
+# Whether a row's date is a text that no format reads, and how many cells of it are missing.
+UNREAD, GAPS = "_unread", "_gaps"
 MODEL_MEASURES = ("quantity", "price", "sales", "customer_purchase_count")
 # Lower bounds of the model frame.
 LOWER_BOUNDS = {"quantity": 1.0, "price": 0.01, "sales": 0.01}
@@ -75,14 +78,18 @@ def parse_dates(
     """C4: dates as timestamps; unparsable text is missing.
 
     Without ``formats``, each text column is read in the order of month and day that
-    parses most of its rows (one pass over that column).
+    reads most of its rows (one pass that counts the shapes of all columns).
     """
+    found = _present(df, cols)
+    elected = {}
+    if formats is None and (texts := [c for c in found if _is_text(df, c)]):
+        elected = dates.elect_formats(df, texts)
+
     def date(c: str) -> Column:
         if _is_text(df, c):
-            chosen = dates.elect_formats(df, c).formats if formats is None else formats
-            return dates.to_timestamp_any(F.col(c), chosen)
+            return dates.to_timestamp_any(F.col(c), elected[c].formats if c in elected else formats)
         return F.col(c).cast("timestamp")
-    return _replace(df, {c: date(c) for c in _present(df, cols)})
+    return _replace(df, {c: date(c) for c in found})
 
 
 def derive_sales(df: DataFrame) -> DataFrame:
@@ -166,10 +173,14 @@ def fit_fills(
     datetime_cols: Sequence[str] = (),
     categorical: Sequence[str] = (),
     default: str = "Unknown",
+    counts: tuple[int, Mapping[str, int]] | None = None,
 ) -> Fills:
-    """Fill values for the columns that have gaps, in a fixed number of passes."""
+    """Fill values for the columns that have gaps, in a fixed number of passes.
+
+    ``counts`` are the rows and the non-missing values per column, where they are known.
+    """
     wanted = [*numeric, *datetime_cols, *categorical]
-    rows, present = ranks.filled_counts(df, wanted)
+    rows, present = ranks.filled_counts(df, wanted) if counts is None else counts
     numeric, datetime_cols, categorical = (
         [c for c in cols if present[c] < rows] for cols in (numeric, datetime_cols, categorical))
 
@@ -178,9 +189,7 @@ def fit_fills(
 
     timed = _replace(df, {span(c): F.unix_micros(F.col(c).cast("timestamp"))
                           for c in datetime_cols})
-    medians = ranks.exact_medians(
-        timed, [*numeric, *[span(c) for c in datetime_cols]],
-        counts=present | {span(c): present[c] for c in datetime_cols})
+    medians = ranks.exact_medians(timed, [*numeric, *[span(c) for c in datetime_cols]])
     common = ranks.modes(df, categorical)
     today = _micros(as_of)
     return Fills(
@@ -306,13 +315,13 @@ def model_frame(df: DataFrame, as_of: datetime) -> DataFrame:
 @dataclass
 class Prepared:
     """Result of a cleaning run; the frames are lazy. ``counted`` holds each distinct
-    row once, with the number of its copies."""
+    row once, with the number of its copies, and what was counted on the way."""
 
     raw: DataFrame
     cleaned: DataFrame
     roles: dict[str, str | None]
     fills: Fills
-    counted: DataFrame
+    counted: Counted
     notes: list[str]
     dates: dates.Election | None = None
 
@@ -351,27 +360,58 @@ def clean_rows(df: DataFrame, formats=None) -> DataFrame:
     return df
 
 
-def count_copies(df: DataFrame) -> DataFrame:
+@dataclass
+class Counted:
+    """Distinct rows, written, and what was counted while they were."""
+
+    rows: DataFrame
+    #: All rows; those that are not empty; and these without copies.
+    all: int
+    total: int
+    distinct: int
+    #: Non-missing values per column, and missing cells, of the distinct rows.
+    present: dict[str, int]
+    #: Sums over all rows, copies included, of the columns that were to be added up.
+    sums: dict[str, int]
+
+
+def count_copies(df: DataFrame, added: Sequence[str] = ()) -> Counted:
     """C9 and C10 in one shuffle: distinct rows with their number of copies, written once.
 
     Copies are added up in the map tasks, so a group of equal rows costs one row per
-    task. The test for empty rows comes after the write: filtered earlier, it would be
-    pushed below the cleaning expressions and evaluate them twice.
+    task. Rows, gaps and the sums of the ``added`` columns (which do not make rows distinct)
+    are observed by the tasks that write, which count once however often a task runs. The test
+    for empty rows comes after the write: filtered earlier, it would be pushed below the
+    cleaning expressions and evaluate them twice.
     """
-    copies = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(
-        F.count(F.lit(1)).alias(COPIES))
-    return materialize(copies, "distinct-rows").na.drop(how="all", subset=df.columns)
+    cols = [c for c in df.columns if c not in added]
+    copies = df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(
+        F.count(F.lit(1)).alias(COPIES), *[F.sum(c).alias(c) for c in added])
+    there = [ranks.present_value(df, c).isNotNull() for c in cols]
+    empty = ~reduce(lambda x, y: x | y, there)
+    seen = Observation()
+    watched = copies.observe(
+        seen, F.coalesce(F.sum(COPIES), F.lit(0)).alias("all"),
+        F.coalesce(F.sum(F.when(~empty, F.col(COPIES))), F.lit(0)).alias("total"),
+        F.count_if(~empty).alias("distinct"),
+        *[F.count_if(t).alias(f"n{i}") for i, t in enumerate(there)],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"s{i}") for i, c in enumerate(added)])
+    rows = materialize(watched, "distinct-rows").drop(*added).na.drop(how="all", subset=cols)
+    got = seen.get
+    return Counted(rows, got["all"], got["total"], got["distinct"], {c: got[f"n{i}"] for i, c in enumerate(cols)},
+                   {c: got[f"s{i}"] for i, c in enumerate(added)})
 
 
 def fill_gaps(
-    df: DataFrame, as_of: datetime, impute_ids: bool = False
+    df: DataFrame, as_of: datetime, impute_ids: bool = False,
+    counts: tuple[int, Mapping[str, int]] | None = None,
 ) -> tuple[DataFrame, Fills]:
     """C11-C13 on every column; ids stay as they are unless ``impute_ids``."""
     kinds = column_kinds(df)
     skip = () if impute_ids else IDS
     fills = fit_fills(
         df, as_of, [c for c in kinds["numeric"] if c not in skip], kinds["datetime"],
-        [c for c in kinds["categorical"] if c not in skip])
+        [c for c in kinds["categorical"] if c not in skip], counts=counts)
     return fills.apply(df), fills
 
 
@@ -385,15 +425,24 @@ def prepare(
     everything downstream read that copy instead of repeating the shuffle.
     """
     named, roles = resolve_roles(raw, mode)
-    read = None
+    gaps = sum((ranks.present_value(named, c).isNull().cast("int") for c in named.columns), F.lit(0))
+    named = named.withColumn(GAPS, gaps)
+    read, added = None, [GAPS]
     if formats is None and "date" in named.columns and _is_text(named, "date"):
-        read = dates.elect_formats(clean_text(named.select("date")), "date")
-        formats = read.formats
+        read = dates.elect_formats(clean_text(named.select("date")), ["date"])["date"]
+        formats, added = read.formats, [GAPS, UNREAD]
+        named = named.withColumn(UNREAD, F.col("date"))  # cleaned like the date itself
     typed = clean_rows(named, formats)
+    if read:
+        unread = F.col(UNREAD).isNotNull() & F.col("date").isNull()
+        typed = typed.withColumn(UNREAD, unread.cast("int"))
     if "sales" not in typed.columns:
         raise ValueError("no sales column, and none can be derived from quantity and price")
-    counted = count_copies(typed)
-    cleaned, fills = fill_gaps(counted.drop(COPIES), as_of, impute_ids)
+    counted = count_copies(typed, added)
+    if read:
+        read = replace(read, unparsed=counted.sums[UNREAD])
+    cleaned, fills = fill_gaps(counted.rows.drop(COPIES), as_of, impute_ids,
+                               (counted.distinct, counted.present))
     for role in ("sales", "price", "quantity"):
         if role in cleaned.columns:
             roles[role] = roles.get(role) or role

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import present
@@ -16,6 +16,7 @@ from .cleaning import numbers
 # Bin limits, density grid, and when a density is drawn.
 FEWEST_BINS, MOST_BINS = 10, 30
 GRID_POINTS = 200
+DENSITY_BINS = 2048
 DENSITY_MIN_DISTINCT = 10
 
 
@@ -80,6 +81,66 @@ def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
     return histograms(df, [col], bins)
 
 
+_CURVE = "metric string, point int, x double, density double"
+
+
+def density_bins(df: DataFrame, limits: Mapping[str, tuple[float, float]], bins: int = DENSITY_BINS) -> DataFrame:
+    """(metric, bin, n, over): values of each column between two of ``bins`` points, evenly from
+    its lower to its upper limit, and the sum of their distances from the lower point, in steps.
+
+    Counts over parts of a table, with the same limits, add up to those of the whole.
+    """
+    metric = F.col("metric")
+    low = _per_metric(metric, {m: lo for m, (lo, _) in limits.items()})
+    step = _per_metric(metric, {m: (hi - lo) / (bins - 1) for m, (lo, hi) in limits.items()})
+    place = (F.col("v") - low) / step
+    at = F.least(F.floor(place), F.lit(bins - 2)).cast("int")
+    return _long(df, list(limits)).select("metric", at.alias("bin"), (place - at).alias("over")).groupBy(
+        "metric", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("over").alias("over"))
+
+
+def binned_densities(
+    df: DataFrame, cols: Sequence[str] = ("sales", "quantity", "price"), points: int = GRID_POINTS,
+    bins: int = DENSITY_BINS,
+) -> DataFrame:
+    """A17 by linear binning: as `densities`, but a value counts as shares of the two of ``bins``
+    points it lies between, and the kernel is summed over those.
+
+    Two scans: limits and spread, then counts, of which at most ``bins`` a column are shuffled from
+    each task. The error falls with the square of the distance of the points.
+    """
+    found = _present(df, cols)
+    number = {c: _number(df, c) for c in found}
+    stats = df.agg(*[F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).cast("double").alias("n"),
+                              F.stddev_samp(v).alias("sd")).alias(c) for c, v in number.items()]).first()
+    spread = {c: stats[c] for c in found if stats[c]["n"] and stats[c]["lo"] < stats[c]["hi"]}
+    if not spread:
+        return df.sparkSession.createDataFrame([], _CURVE)
+    counts = materialize(density_bins(df, {c: (r["lo"], r["hi"]) for c, r in spread.items()}, bins), "density-bins")
+    taken = dict(counts.groupBy("metric").count().collect())
+    # More than ten bins are more than ten values; only where there are fewer must they be counted.
+    few = [c for c in spread if taken[c] <= DENSITY_MIN_DISTINCT]
+    if few:
+        values = _long(df, few).groupBy("metric").agg(F.count_distinct("v")).collect()
+        spread = {c: r for c, r in spread.items() if dict(values).get(c, DENSITY_MIN_DISTINCT + 1) > DENSITY_MIN_DISTINCT}
+        if not spread:
+            return df.sparkSession.createDataFrame([], _CURVE)
+    metric = F.col("metric")
+    width = {m: r["sd"] * r["n"] ** -0.2 for m, r in spread.items()}
+    both = F.explode(F.array(F.struct(F.col("bin").alias("at"), (F.col("n") - F.col("over")).alias("w")),
+                             F.struct((F.col("bin") + 1).alias("at"), F.col("over").alias("w"))))
+    weights = counts.where(metric.isin(list(spread))).select("metric", both.alias("b")).groupBy(
+        "metric", "b.at").agg(F.sum("b.w").alias("w"))
+    low, span = (_per_metric(metric, {m: f(r) for m, r in spread.items()})
+                 for f in (lambda r: r["lo"], lambda r: r["hi"] - r["lo"]))
+    x = low + F.col("point") * (span / (points - 1))
+    z = (x - (low + F.col("at") * (span / (bins - 1)))) / _per_metric(metric, width)
+    scale = _per_metric(metric, {m: r["n"] * width[m] * math.sqrt(2 * math.pi) for m, r in spread.items()})
+    return weights.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).groupBy(
+        "metric", "point").agg(F.sum(F.col("w") * F.exp(z * z * -0.5)).alias("k")).select(
+        "metric", "point", x.alias("x"), (F.col("k") / scale).alias("density"))
+
+
 def densities(
     df: DataFrame, cols: Sequence[str] = ("sales", "quantity", "price"), points: int = GRID_POINTS
 ) -> DataFrame:
@@ -97,8 +158,7 @@ def densities(
         (F.sum(n * v) / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("distinct")).collect()}
     curved = {m: r for m, r in stats.items() if r["distinct"] > DENSITY_MIN_DISTINCT}
     if not curved:
-        return df.sparkSession.createDataFrame(
-            [], "metric string, point int, x double, density double")
+        return df.sparkSession.createDataFrame([], _CURVE)
     off = v - _per_metric(metric, {m: r["mean"] for m, r in curved.items()})
     squares = dict(values.where(metric.isin(list(curved))).groupBy("metric").agg(
         F.sum(n * off * off)).collect())
@@ -126,17 +186,55 @@ def density(df: DataFrame, col: str, points: int = GRID_POINTS) -> DataFrame:
     return densities(df, [col], points)
 
 
-def scatter_points(df: DataFrame) -> DataFrame:
-    """The 2-D explorer extract: every row, only the columns the chart needs.
+SAMPLE_HASH = "_hash"
+
+
+def row_hash(df: DataFrame, key: str | None = None) -> Column:
+    """128 bits, as hexadecimal text, of a row's key, or of all its cells."""
+    if key is not None:
+        return F.md5(F.col(f"`{key}`").cast("string"))
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in df.columns]
+    return F.md5(F.concat_ws("\x01", *cells))
+
+
+def least_hashes(df: DataFrame, color: str | None, points: int, label: str = "sample") -> DataFrame:
+    """The ``points`` rows of each colour whose ``_hash`` is least.
+
+    Rows are counted by colour and the first 16 bits of the hash; below the bits at which a
+    colour has enough rows all are taken, and only rows with just these bits are ranked. So no
+    task gathers a colour. Of samples of the parts of a table, the least are the table's sample.
+    """
+    group = F.col(f"`{color}`") if color else F.lit(0)
+    marked = df.withColumns({"_group": group, "_bits": F.conv(F.substring(SAMPLE_HASH, 1, 4), 16, 10).cast("int")})
+    counts = marked.groupBy("_group", "_bits").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_group").orderBy("_bits"))
+    cuts = materialize(counts.withColumn("_upto", upto).where(
+        (F.col("_upto") >= points) & (F.col("_upto") - F.col("_n") < points)).select(
+            F.col("_group").alias("_g"), F.col("_bits").alias("_cut"),
+            (F.lit(points) - F.col("_upto") + F.col("_n")).alias("_left")), label)
+    placed = marked.join(cuts, F.col("_group").eqNullSafe(F.col("_g")), "left")
+    below = placed.where(F.col("_cut").isNull() | (F.col("_bits") < F.col("_cut")))
+    rank = F.row_number().over(Window.partitionBy("_group").orderBy(SAMPLE_HASH))
+    at = placed.where("_bits = _cut").withColumn("_rank", rank).where("_rank <= _left")
+    return below.select(*df.columns).unionByName(at.select(*df.columns))
+
+
+def scatter_points(df: DataFrame, points: int | None = None, key: str | None = None) -> DataFrame:
+    """The 2-D explorer extract, only the columns the chart needs.
 
     Without sales the last numeric column is drawn; points are coloured by category, else
-    by region, else not at all.
+    by region, else not at all. All rows by default; with ``points``, of each colour
+    the rows whose hash (of the column ``key``, or of the shown cells) is least.
     """
     numeric = column_kinds(df)["numeric"]
     y = "sales" if "sales" in numeric else (numeric or [None])[-1]
     color = next((c for c in ("category", "region") if c in df.columns), None)
     wanted = [explorer_axes(df)["x"], y, color, "price", "product", "region", "customer_id"]
-    return df.select(*dict.fromkeys(c for c in wanted if c in df.columns))
+    shown = list(dict.fromkeys(c for c in wanted if c in df.columns))
+    if points is None:
+        return df.select(*shown)
+    hashed = df.select(*shown, row_hash(df if key else df.select(*shown), key).alias(SAMPLE_HASH))
+    return least_hashes(hashed, color, points).select(*shown)
 
 
 def cloud_points(df: DataFrame, x: str, y: str, z: str, color: str | None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -77,19 +77,40 @@ def _literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def preprocess_stages(train: DataFrame, features: Sequence[str]) -> list:
+def _bucket(label: str, width: int) -> str:
+    """SQL of a label's bucket: the first 32 bits of its MD5, modulo the width."""
+    return f"cast(conv(substring(md5({label}), 1, 8), 16, 10) as bigint) % {int(width)}"
+
+
+def label_buckets(df: DataFrame, column: str, width: int) -> DataFrame:
+    """(bucket, labels, rows) of a label column that is hashed to ``width`` buckets: each bucket
+    with more than one label is a collision, whose labels the models cannot tell apart."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(F.expr(_bucket("label", width)).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("labels"), F.sum("n").alias("rows"))
+
+
+def preprocess_stages(
+    train: DataFrame, features: Sequence[str], hashed: Mapping[str, int] | None = None
+) -> list:
     """M3: fill, encode, assemble and scale. Fill values come from ``train`` alone.
 
     The fills are a SQL stage, so they are exact and saved with the pipeline. A label
-    not seen in training becomes the all-zero vector.
+    not seen in training becomes the all-zero vector. Columns in ``hashed`` are encoded by
+    hash to that many buckets, so no list of their labels is made; see `label_buckets`
+    for what that costs. It is for columns with more labels than a driver should hold.
     """
-    numeric = [c for c in features if c not in CATEGORICAL]
-    labels = [c for c in features if c in CATEGORICAL]
+    hashed = {c: w for c, w in (hashed or {}).items() if c in train.columns}
+    numeric = [c for c in features if c not in CATEGORICAL and c not in hashed]
+    labels = [c for c in features if c in CATEGORICAL and c not in hashed]
     medians, common = ranks.exact_medians(train, numeric), ranks.modes(train, labels)
     fills = [f"coalesce(cast(`{c}` as double), {float(medians[c] or 0.0)!r}D) as `{c}_filled`"
              for c in numeric]
     fills += [f"coalesce(cast(`{c}` as string), {_literal(common[c] or 'Unknown')}) "
               f"as `{c}_filled`" for c in labels]
+    text = {c: f"coalesce(cast(`{c}` as string), 'Unknown')" for c in hashed}
+    fills += [f"cast({_bucket(text[c], w)} as double) as `{c}_index`" for c, w in hashed.items()]
     stages: list = [SQLTransformer(statement=f"select *, {', '.join(fills)} from __THIS__")]
     if labels:
         stages += [
@@ -97,15 +118,19 @@ def preprocess_stages(train: DataFrame, features: Sequence[str]) -> list:
                           outputCols=[f"{c}_index" for c in labels], handleInvalid="keep"),
             OneHotEncoder(inputCols=[f"{c}_index" for c in labels],
                           outputCols=[f"{c}_onehot" for c in labels], dropLast=True)]
+    if hashed:  # a bucket not seen in training is all zero, too
+        stages.append(OneHotEncoder(inputCols=[f"{c}_index" for c in hashed], handleInvalid="keep",
+                                    outputCols=[f"{c}_onehot" for c in hashed], dropLast=True))
     stages.append(VectorAssembler(inputCols=[f"{c}_filled" for c in numeric], outputCol="numbers"))
     stages.append(StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True))
     stages.append(VectorAssembler(
-        inputCols=["scaled", *[f"{c}_onehot" for c in labels]], outputCol="features"))
+        inputCols=["scaled", *[f"{c}_onehot" for c in [*labels, *hashed]]], outputCol="features"))
     return stages
 
 
-def fit_preprocess(train: DataFrame) -> PipelineModel:
-    return Pipeline(stages=preprocess_stages(train, feature_columns(train))).fit(train)
+def fit_preprocess(train: DataFrame, hashed: Mapping[str, int] | None = None) -> PipelineModel:
+    features = list(dict.fromkeys([*feature_columns(train), *(hashed or {})]))
+    return Pipeline(stages=preprocess_stages(train, features, hashed)).fit(train)
 
 
 def fit_baseline(train: DataFrame) -> PipelineModel:
@@ -145,7 +170,7 @@ def fit_linear(
 def fit_forest(
     train: DataFrame, trees: int = 220, depth: int = 20, seed: int = SEED,
     preprocess: PipelineModel | None = None, least_share: float = LEAST_NODE_SHARE,
-    vectors: DataFrame | None = None,
+    vectors: DataFrame | None = None, bootstrap: bool = True,
 ) -> PipelineModel:
     """M6: random forest on all features with bootstrap samples of full size.
 
@@ -154,7 +179,7 @@ def fit_forest(
     """
     estimator = RandomForestRegressor(
         labelCol=TARGET, numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0,
-        minWeightFractionPerNode=least_share, featureSubsetStrategy="all")
+        minWeightFractionPerNode=least_share, featureSubsetStrategy="all", bootstrap=bootstrap)
     return _with_model(train, estimator, preprocess, vectors)
 
 

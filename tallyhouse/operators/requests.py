@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, display, ranks, text
@@ -14,11 +14,12 @@ from ..session import materialize
 from .joins import attach
 from .modeling import FEATURES, score
 
-# Vocabularies up to this size are searched by a CASE expression, larger ones by joins.
+# Vocabularies up to this size are searched by a CASE expression, then by an automaton up to
+# this many terms and bytes in them (one node a byte at most), larger ones by joins.
 CASE_TERMS = 100
-# Lookup tables up to this many terms, and bytes in them, are broadcast.
 BROADCAST_TERMS = 200_000
-BROADCAST_BYTES = 32 << 20
+AUTOMATON_BYTES = 2 << 20
+BUNDLE_BYTES = 256 << 10
 ANCHOR = 4
 
 # Ordered keyword rules of each rule set, first hit wins. ``predict``
@@ -66,7 +67,17 @@ STATIC_ANSWERS = {
     "fallback": "Try asking about model metrics, top products, top regions, seasonality, "
                 "dataset overview, or a sales prediction.",
     "needs_input": "I can make a prediction, but I need at least one input such as quantity, "
-                   "price, product, category, region, or date.",
+                   "price, product, category, region, or date.\n"
+                   "Example: Predict sales for quantity 3 price 120 category Electronics region "
+                   "West date 2025-04-01",
+}
+# What is said of lists without entries, and of predictions without a model.
+NOTHING = {
+    "top_products": "Top products are not available yet.",
+    "top_regions": "Top regions are not available yet.",
+    "seasonality": "Seasonality data is not available yet.",
+    "predict": "The data is ready, but the model is not trained yet. Run the training step first, "
+               "then ask for a prediction with quantity, price, product, category, region, or date.",
 }
 
 
@@ -105,10 +116,8 @@ def _match_by_case(messages: DataFrame, terms: Sequence[str], out_col: str) -> D
     return lowered.withColumn(out_col, F.coalesce(*hits)).drop("_message")
 
 
-def _matching(df: DataFrame, per_key: DataFrame, key: str, small: bool) -> DataFrame:
-    """Rows of ``df`` with a partner in ``per_key``, which is broadcast if it is ``small``."""
-    if small:
-        return df.join(F.broadcast(per_key), key)
+def _matching(df: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` with a partner in ``per_key``; hot keys are spread."""
     payload = next(c for c in per_key.columns if c != key)
     return attach(df, per_key, key).where(F.col(payload).isNotNull())
 
@@ -125,24 +134,103 @@ def _texts(messages: DataFrame) -> DataFrame:
         F.md5("t").alias("_text"), "t")
 
 
+def _distinct_terms(vocab: DataFrame) -> DataFrame:
+    return vocab.select(F.lower("term").alias("key"), "term").where("key <> ''").groupBy(
+        "key").agg(F.min("term").alias("term"))
+
+
+def term_automaton(terms: DataFrame, label: str = "automaton") -> DataFrame:
+    """An Aho-Corasick automaton over ``terms (key, term)`` as one row: ``book``, and a join key.
+
+    ``names`` are the terms, shortest first; equally long ones from the last to the first. ``nodes``
+    are the distinct beginnings of keys, the empty one first; of each, the characters that lead
+    on from it (``codes``), the nodes these lead to (``to``), and the best term that ends there
+    (a place in ``names``, from 1; 0 for none). A step that a node does not list is the first node's.
+
+    Goto and failure links come from joins of beginnings with the ends of beginnings: the nodes
+    that a node can fall back to are its ends that are beginnings themselves, and a character leads
+    to the longest of their children. Built over tables of a checked size.
+    """
+    ranked = materialize(terms.withColumn("rank", F.row_number().over(
+        Window.orderBy(F.length("term"), F.desc("term")))), label)
+    starts = ranked.select(F.explode(F.transform(
+        F.sequence(F.lit(0), F.length("key")), lambda n: F.left("key", n))).alias("s")).distinct()
+    nodes = materialize(starts.agg(F.array_sort(F.collect_list("s")).alias("all")).select(
+        F.posexplode("all").alias("id", "s")), label)
+    ends = nodes.select("id", F.explode(F.transform(
+        F.sequence(F.lit(1), F.length("s") + 1), lambda at: F.substring("s", at, F.length("s")))).alias("end"))
+    falls = ends.join(nodes.select(F.col("id").alias("to"), F.col("s").alias("end")), "end")
+    children = nodes.where("s <> ''").select(
+        F.expr("left(s, length(s) - 1)").alias("end"), F.right("s", F.lit(1)).alias("code"),
+        F.col("id").alias("child"), F.length("s").alias("depth"))
+    steps = (falls.join(children, "end").groupBy("id", "code")
+             .agg(F.max_by("child", "depth").alias("child"), F.max("depth").alias("depth"))
+             .where("id = 0 OR depth > 1"))
+    listed = steps.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("code", "child"))).alias("on"))
+    best = (falls.join(ranked.select(F.col("key").alias("end"), "rank"), "end")
+            .groupBy("id").agg(F.max("rank").alias("best")))
+    rows = nodes.select("id").join(listed, "id", "left").join(best, "id", "left").select(F.struct(
+        "id", F.coalesce(F.array_join(F.col("on.code"), ""), F.lit("")).alias("codes"),
+        F.coalesce(F.col("on.child"), F.array().cast("array<int>")).alias("to"),
+        F.coalesce("best", F.lit(0)).alias("best")).alias("node"))
+    table = rows.agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    names = ranked.agg(F.array_sort(F.collect_list(F.struct("rank", "term")))["term"].alias("names"))
+    return materialize(table.select("nodes", names.scalar().alias("names")).select(
+        F.struct("nodes", "names").alias("book"), F.lit(0).cast("long").alias("one")), label)
+
+
+def _fold(book: Column, lowered: Column) -> Column:
+    """The best term in a text: one step of the automaton a character."""
+    nodes = book["nodes"]
+
+    def step(state: Column, code: Column) -> Column:
+        node, first = F.get(nodes, state["at"]), F.get(nodes, F.lit(0))
+        here, there = F.instr(node["codes"], code), F.instr(first["codes"], code)
+        at = (F.when(here > 0, F.get(node["to"], here - 1))
+              .when(there > 0, F.get(first["to"], there - 1)).otherwise(0))
+        return F.struct(at.alias("at"), F.greatest(state["best"], node["best"]).alias("best"))
+
+    last = F.aggregate(F.split(lowered, ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("best")), step,
+                       lambda s: F.greatest(s["best"], F.get(nodes, s["at"])["best"]))
+    return F.get(book["names"], last - 1)
+
+
+def _fold_all(texts: DataFrame, book: DataFrame, out_col: str) -> DataFrame:
+    """``(_text, out_col)`` of the texts with a term. The automaton is one broadcast row; texts meet
+    it in bundles of about `BUNDLE_BYTES`, so that it is copied once a bundle and not once a text."""
+    size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    bundles = texts.groupBy(F.pmod(F.xxhash64("t"), F.lit(size // BUNDLE_BYTES + 1)).alias("bundle")).agg(
+        F.collect_list("t").alias("ts")).withColumn("one", F.pmod("bundle", F.lit(1)))
+    found = F.transform("ts", lambda t: F.struct(t.alias("t"), _fold(F.col("book"), t).alias(out_col)))
+    met = bundles.join(F.broadcast(book), "one")
+    return (met.select(F.explode(found).alias("f")).select(F.md5("f.t").alias("_text"), f"f.{out_col}")
+            .where(F.col(out_col).isNotNull()))
+
+
 def _longest_terms(texts: DataFrame, vocab: DataFrame, out_col: str) -> DataFrame | None:
     """``(_text, out_col)`` for the texts that contain a term; None if there are no terms.
 
-    Equi-joins only: no text meets a term that does not occur in it. Every text position
-    gives its next few characters (the anchor). Positions whose anchor starts some term
-    give one substring per length such terms have, and those are looked up among the
-    terms. The work is linear in the text, whatever the number of terms; anchors and terms
-    have one row per key and are broadcast only up to a counted size.
+    Up to `BROADCAST_TERMS` terms, and `AUTOMATON_BYTES` in them, are one automaton that texts are
+    folded over, character by character, whatever the terms' length. More terms are searched
+    by joins.
     """
-    terms = vocab.select(F.lower("term").alias("key"), "term").where("key <> ''").groupBy(
-        "key").agg(F.min("term").alias("term"))
-    rows, size, width, widths = terms.agg(
-        F.count(F.lit(1)), F.sum(F.octet_length("key") + F.octet_length("term")),
-        F.max(F.length("key")),
-        F.collect_set(F.least(F.length("key"), F.lit(ANCHOR)))).first()
+    terms = materialize(_distinct_terms(vocab), "terms")
+    rows, size = terms.agg(F.count(F.lit(1)), F.sum(F.octet_length("key") + F.octet_length("term"))).first()
     if not rows:
         return None
-    small = rows <= BROADCAST_TERMS and size <= BROADCAST_BYTES
+    if rows > BROADCAST_TERMS or size > AUTOMATON_BYTES:
+        return _terms_by_anchor(texts, terms, out_col)
+    return _fold_all(texts, term_automaton(terms), out_col)
+
+
+def _terms_by_anchor(texts: DataFrame, terms: DataFrame, out_col: str) -> DataFrame:
+    """The same by equi-joins: no text meets a term that does not occur in it. Every text position
+    gives its next few characters (the anchor). Positions whose anchor starts some term
+    give one substring per length such terms have, and those are looked up among the
+    terms. The work is linear in the text, whatever the number of terms.
+    """
+    width, widths = terms.agg(F.max(F.length("key")),
+                              F.collect_set(F.least(F.length("key"), F.lit(ANCHOR)))).first()
     anchors = terms.groupBy(F.left("key", F.lit(ANCHOR)).alias("anchor")).agg(
         F.collect_set(F.length("key")).alias("sizes"))
 
@@ -152,11 +240,11 @@ def _longest_terms(texts: DataFrame, vocab: DataFrame, out_col: str) -> DataFram
     # A term shorter than the anchor is its own anchor; only lengths in use are tried.
     starts = positions.select("_text", "rest", F.explode(F.array_distinct(F.array(
         *[F.left("rest", F.lit(n)) for n in sorted(widths)]))).alias("anchor"))
-    found = _matching(starts, anchors, "anchor", small).select(
+    found = _matching(starts, anchors, "anchor").select(
         "_text", "rest", F.explode("sizes").alias("size")
     ).where(F.length("rest") >= F.col("size")).select(
         "_text", F.expr("left(rest, size)").alias("key")).distinct()
-    return _matching(found, terms, "key", small).groupBy("_text").agg(
+    return _matching(found, terms, "key").groupBy("_text").agg(
         F.min(F.struct((-F.length("term")).alias("l"), "term"))["term"].alias(out_col))
 
 
@@ -263,19 +351,25 @@ def feature_defaults(frame: DataFrame, profile: str = "dashboard") -> dict[str,
 
 
 def build_scenarios(
-    messages: DataFrame, dimension: DataFrame, defaults: Mapping[str, float | str],
+    messages: DataFrame, dimension: DataFrame | None, defaults: Mapping[str, float | str],
     profile: str = "dashboard",
 ) -> DataFrame:
     """One feature row per message: what the text says, else what its product usually
     has, else the default. Adds ``signal_count`` and ``notes``.
 
     ``messages`` has the columns of ``match_known``. Messages without a product, and
-    those about a hot one, are spread over tasks in the join with ``dimension``.
+    those about a hot one, are spread over tasks in the join with ``dimension``, which is None
+    for a table without products.
     """
     read = extract_date(extract_numbers(messages, profile))
-    usual = dimension.select("product", *[
-        F.col(c).alias(f"{c}_usual") for c in ("category", "price", "quantity")])
-    joined = attach(read, usual, "product")
+    known = {"category": "string", "price": "double", "quantity": "double"}
+    if dimension is None:
+        joined = read.withColumns({f"{c}_usual": F.lit(None).cast(kind) for c, kind in known.items()})
+    else:
+        usual = dimension.select("product", *[
+            (F.col(c) if c in dimension.columns else F.lit(None).cast(kind)).alias(f"{c}_usual")
+            for c, kind in known.items()])
+        joined = attach(read, usual, "product")
     given = {c: F.col(f"{c}_given") for c in NUMBER_LABELS}
     date = F.col("date_given")
 
@@ -335,20 +429,25 @@ def refusals(scenarios: DataFrame) -> DataFrame:
         F.lit(STATIC_ANSWERS["needs_input"]).alias("answer"))
 
 
-def _lines(df: DataFrame, position: Column, line: Column, title: str) -> DataFrame:
-    """A short ordered table as one text."""
+def untrained(routed: DataFrame) -> DataFrame:
+    """What is told to those who ask for a prediction before there is a model."""
+    return routed.where("intent = 'predict'").select(
+        "msg_id", "intent", F.lit(NOTHING["predict"]).alias("answer"))
+
+
+def _lines(df: DataFrame, position: Column, line: Column, title: str, nothing: str = "") -> DataFrame:
+    """A short ordered table as one text, or ``nothing`` if it has no rows."""
     ordered = F.array_sort(F.collect_list(F.struct(position.alias("p"), line.alias("l"))))
-    return df.agg(F.concat(
-        F.lit(f"{title}\n"), F.array_join(F.transform(ordered, lambda r: r["l"]), "\n")
-    ).alias("answer"))
+    text_ = F.concat(F.lit(f"{title}\n"), F.array_join(F.transform(ordered, lambda r: r["l"]), "\n"))
+    return df.agg(F.when(F.count(F.lit(1)) > 0, text_).otherwise(nothing).alias("answer"))
 
 
-def _ranked(top: DataFrame, label: str, title: str, k: int = 10) -> DataFrame:
+def _ranked(top: DataFrame, label: str, title: str, k: int = 10, nothing: str = "") -> DataFrame:
     """Best k labels with their sales; ``top`` is a top-k table, so the list is short."""
     line = F.concat_ws(": ", F.coalesce(F.col(label).cast("string"), F.lit(display.MISSING)),
                        display.format_currency(F.col("sales")))
     position = F.struct(-F.col("sales"), F.col(label).cast("string"))
-    return _lines(top.orderBy(F.desc("sales"), label).limit(k), position, line, title)
+    return _lines(top.orderBy(F.desc("sales"), label).limit(k), position, line, title, nothing)
 
 
 def overview_answer(overview: DataFrame) -> DataFrame:
@@ -372,24 +471,26 @@ def metrics_answer(board: DataFrame) -> DataFrame:
 def answer_book(tables: Mapping[str, DataFrame], profile: str = "dashboard") -> DataFrame:
     """(intent, answer) for every intent with one answer; a handful of rows.
 
-    Top lists have ten lines, five in the ``notebook`` profile. Without a leaderboard the
-    answer about metrics says so.
+    Top lists have ten lines, five in the ``notebook`` profile. Lists without entries, lists that
+    the table has no column for, and metrics without a leaderboard are answered by saying so.
     """
     lines = TOP_LINES[profile]
-    top_products, top_regions = tables["top_product"], tables["top_region"]
-    months = tables["monthly_sales"].orderBy("month").limit(12)
-    month_line = F.concat_ws(": ", "month", display.format_currency(F.col("sales")))
-    parts = {
-        "overview": overview_answer(tables["overview"]),
-        "top_products": _ranked(top_products, "product", "Top products", lines),
-        "top_regions": _ranked(top_regions, "region", "Top regions", lines),
-        "seasonality": _lines(months, F.struct("month"), month_line, "Seasonality snapshot"),
-    }
+    parts = {"overview": overview_answer(tables["overview"])}
+    for intent, name, label, title in (("top_products", "top_product", "product", "Top products"),
+                                       ("top_regions", "top_region", "region", "Top regions")):
+        if name in tables:
+            parts[intent] = _ranked(tables[name], label, title, lines, NOTHING[intent])
+    if "monthly_sales" in tables:
+        months = tables["monthly_sales"].orderBy("month").limit(12)
+        month_line = F.concat_ws(": ", "month", display.format_currency(F.col("sales")))
+        parts["seasonality"] = _lines(months, F.struct("month"), month_line, "Seasonality snapshot",
+                                      NOTHING["seasonality"])
     if "leaderboard" in tables:
         parts["metrics"] = metrics_answer(tables["leaderboard"])
     spark = tables["overview"].sparkSession
     fixed = spark.createDataFrame(
-        [(k, v) for k, v in STATIC_ANSWERS.items() if k not in parts], "intent string, answer string")
+        [(k, v) for k, v in {**STATIC_ANSWERS, **NOTHING}.items() if k not in parts and k != "predict"],
+        "intent string, answer string")
     return reduce(DataFrame.unionByName, [
         part.select(F.lit(intent).alias("intent"), "answer") for intent, part in parts.items()
     ], fixed)
@@ -426,8 +527,9 @@ def segment_book(
     return reduce(DataFrame.unionByName, parts)
 
 
-def answers(routed: DataFrame, book: DataFrame, segments: DataFrame) -> DataFrame:
-    """(msg_id, intent, answer) for the messages that ask for no prediction.
+def answers(routed: DataFrame, book: DataFrame, segments: DataFrame | None) -> DataFrame:
+    """(msg_id, intent, answer) for the messages that ask for no prediction; ``segments`` are
+    None for a table without labels.
 
     The book has one row per intent, of which there are about ten, and is broadcast;
     segments grow with the data and are attached with hot ones spread out.
@@ -437,6 +539,7 @@ def answers(routed: DataFrame, book: DataFrame, segments: DataFrame) -> DataFram
                F.concat(F.lit(f"segment_{c}:"), F.lower(F.col(c)))) for c in KNOWN])
     topics = routed.select("msg_id", "intent", topic.alias("topic"))
     asked = materialize(topics, "topics").where(F.col("intent") != "predict")
-    told = attach(asked, segments.withColumnRenamed("answer", "_segment"), "topic")
+    told = (asked.withColumn("_segment", F.lit(None).cast("string")) if segments is None else
+            attach(asked, segments.withColumnRenamed("answer", "_segment"), "topic"))
     return told.join(F.broadcast(book), "intent", "left").select(
         "msg_id", "intent", F.coalesce("_segment", "answer").alias("answer"))

@@ -196,30 +196,80 @@ def dataset_overview(df: DataFrame) -> DataFrame:
     return df.agg(*measures)
 
 
-def segment_summary(df: DataFrame, by: str) -> DataFrame:
-    """Rows, sales and means of every segment at once; case does not matter."""
-    measures = [F.count(F.lit(1)).alias("rows")]
-    if "sales" in df.columns:
-        measures.append(total("sales").alias("total_sales"))
-    measures += [mean(c).alias(f"average_{c}")
-                 for c in ("quantity", "price") if c in df.columns]
-    return df.where(F.col(by).isNotNull()).groupBy(
-        F.lower(F.col(by).cast("string")).alias("segment")).agg(*measures)
+LABELS = ("product", "category", "region")
+#: Names of a cell's sums, so that they do not take columns' places.
+_ROWS, _SUM, _FILLED = "_rows", "_sum_", "_filled_"
 
 
-def segment_leaders(df: DataFrame, by: str, of: str, k: int = 5) -> DataFrame:
-    """The k best ``of`` inside every segment: (segment, rank, label, sales).
+def label_cells(df: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
+    """Rows and sums of every combination of labels, written: one scan, from which totals,
+    vocabularies, segments and their leaders all come."""
+    found = [c for c in labels if c in df.columns]
+    measures = [c for c in ("sales", "quantity", "price") if c in df.columns]
+    dates_ = [f(F.col("date")).alias(n) for f, n in ((F.min, "_first"), (F.max, "_last")) if "date" in df.columns]
+    return materialize(df.groupBy(*found).agg(
+        F.count(F.lit(1)).alias(_ROWS), *[F.sum(c).alias(_SUM + c) for c in measures],
+        *[F.count(c).alias(_FILLED + c) for c in measures], *dates_), "cells")
+
+
+def cell_totals(cells: DataFrame, by: str) -> DataFrame:
+    """Sales of every value of a label, from `label_cells`."""
+    return cells.groupBy(by).agg(total(_SUM + "sales").alias("sales"))
+
+
+def top_of_cells(cells: DataFrame, by: str, k: int = 10) -> DataFrame:
+    """A1 from `label_cells`."""
+    return cell_totals(cells, by).orderBy(*_best_first("sales", by)).limit(k)
+
+
+def overview_of(cells: DataFrame, columns: int) -> DataFrame:
+    """A20 from `label_cells` of a table with so many columns."""
+    measures = [F.coalesce(F.sum(_ROWS), F.lit(0)).alias("rows"), F.lit(columns).cast("bigint").alias("columns")]
+    if _SUM + "sales" in cells.columns:
+        measures.append(total(_SUM + "sales").alias("total_sales"))
+    if "_first" in cells.columns:
+        measures += [F.to_date(F.min("_first")).alias("first_date"), F.to_date(F.max("_last")).alias("last_date")]
+    measures += [F.count_distinct(c).alias(name) for c, name in
+                 (("category", "categories"), ("region", "regions")) if c in cells.columns]
+    return cells.agg(*measures)
+
+
+def _segment(by: str) -> Column:
+    return F.lower(F.col(by).cast("string")).alias("segment")
+
+
+def summary_of(cells: DataFrame, by: str) -> DataFrame:
+    """A21 from `label_cells`."""
+    measures = [F.sum(_ROWS).alias("rows")]
+    if _SUM + "sales" in cells.columns:
+        measures.append(total(_SUM + "sales").alias("total_sales"))
+    measures += [F.try_divide(F.sum(_SUM + c).cast("double"), F.sum(_FILLED + c).cast("double")).alias(f"average_{c}")
+                 for c in ("quantity", "price") if _SUM + c in cells.columns]
+    return cells.where(F.col(by).isNotNull()).groupBy(_segment(by)).agg(*measures)
+
+
+def leaders_of(cells: DataFrame, by: str, of: str, k: int = 5) -> DataFrame:
+    """A21 from `label_cells`: the k best ``of`` inside every segment.
 
     The rank limit reaches below the shuffle (``WindowGroupLimit``): each task sends at
     most k rows per segment, however many labels a segment has.
     """
-    totals = df.where(F.col(by).isNotNull()).groupBy(
-        F.lower(F.col(by).cast("string")).alias("segment"), F.col(of).alias("label")
-    ).agg(total("sales").alias("sales"))
+    totals = cells.where(F.col(by).isNotNull()).groupBy(_segment(by), F.col(of).alias("label")).agg(
+        total(_SUM + "sales").alias("sales"))
     order = Window.partitionBy("segment").orderBy(*_best_first("sales", "label"))
     return totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def segment_summary(df: DataFrame, by: str) -> DataFrame:
+    """Rows, sales and means of every segment at once; case does not matter."""
+    return summary_of(label_cells(df, [by]), by)
+
+
+def segment_leaders(df: DataFrame, by: str, of: str, k: int = 5) -> DataFrame:
+    """The k best ``of`` inside every segment: (segment, rank, label, sales)."""
+    return leaders_of(label_cells(df, [by, of]), by, of, k)
+
+
 def product_dimension(df: DataFrame) -> DataFrame:
     """Usual category, price and quantity of every product."""
     known = df.where("product is not null")
@@ -246,14 +296,19 @@ def monthly_sales(df: DataFrame) -> DataFrame:
         dates.month_label(F.col("date")).alias("month")).agg(total("sales").alias("sales"))
 
 
-def data_context(frame: DataFrame) -> dict[str, DataFrame]:
-    """The lookup tables that requests are answered from, over a C20 frame."""
-    context = {"monthly_sales": monthly_sales(frame)}
-    for col in ("product", "category", "region"):
+def data_context(frame: DataFrame, cells: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The lookup tables that requests are answered from, over a C20 frame.
+
+    Vocabularies and top lists come from the frame's `label_cells`.
+    """
+    cells = label_cells(frame) if cells is None else cells
+    context = {"cells": cells, "overview": overview_of(cells, len(frame.columns))}
+    if "date" in frame.columns:
+        context["monthly_sales"] = monthly_sales(frame)
+    for col in LABELS:
         if col in frame.columns:
-            context[f"known_{col}"] = vocabulary(frame, col)
-            context[f"top_{col}"] = top_groups(frame, col)
+            context[f"known_{col}"] = vocabulary(cells, col)
+            context[f"top_{col}"] = top_of_cells(cells, col)
     if "product" in frame.columns:
         context["product_dimension"] = product_dimension(frame)
     return context
-

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,8 +48,8 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tallyhouse/{label}-{uuid.uuid4().hex}"
 
 
-# Paths that `materialize` wrote and nothing has released.
-_written: list[str] = []
+# Paths that `materialize` wrote in the innermost `released` block of this thread.
+_copies: ContextVar[list[str] | None] = ContextVar("copies", default=None)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -56,29 +57,36 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage like ``checkpoint()`` and survives lost executors, but stays
     columnar, so the passes that follow read only the columns they need. The copy stays
-    until a `released` block around it ends.
+    until the `released` block around it ends; without one it stays for good.
     """
     path = new_path(df.sparkSession, label)
-    _written.append(path)
+    if (copies := _copies.get()) is not None:
+        copies.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, name: str) -> None:
+    """Delete a folder in the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, every copy that `materialize` made inside.
+    """Deletes, at its end, every copy that `materialize` made inside; blocks in other threads
+    are none of its business.
 
     Results that still read those copies must be written or collected before that.
     """
-    mark = len(_written)
+    copies: list[str] = []
+    outer = _copies.set(copies)
     try:
         yield
     finally:
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for name in _written[mark:]:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
-        del _written[mark:]
+        _copies.reset(outer)
+        for path in copies:
+            delete(spark, path)
 
 
 def spread(scan: DataFrame) -> DataFrame:

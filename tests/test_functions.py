@@ -1,5 +1,6 @@
 import random
 import statistics
+import struct
 from datetime import datetime
 
 import pytest
@@ -99,17 +100,15 @@ def shapes():
 
 
 @pytest.mark.parametrize("values", list(shapes()))
-def test_exact_medians_by_search(spark, values):
+def test_exact_medians(spark, values):
     random.Random(1).shuffle(values)
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(5)
-    found = ranks.exact_medians(df, ["v"], buffer_rows=2)
-    assert found["v"] == statistics.median(values)
     assert ranks.exact_medians(df, ["v"])["v"] == statistics.median(values)
 
 
 def test_median_of_missing_column(spark):
     df = spark.createDataFrame([(None, 1.0), (None, float("nan"))], "a double, b double")
-    assert ranks.exact_medians(df, ["a", "b"], buffer_rows=0) == {"a": None, "b": 1.0}
+    assert ranks.exact_medians(df, ["a", "b"]) == {"a": None, "b": 1.0}
 
 
 def test_grouped_medians_over_blocks(spark):
@@ -123,9 +122,20 @@ def test_grouped_medians_over_blocks(spark):
         a = [r[1] for r in rows if r[0] == key and r[1] is not None]
         b = [r[2] for r in rows if r[0] == key and r[2] is not None]
         expected[key] = (statistics.median(a) if a else None, statistics.median(b) if b else None)
-    for buffer_rows in (10, 10 ** 6):
-        found = ranks.grouped_medians(df, ["k"], ["a", "b"], buffer_rows).collect()
-        assert {r["k"]: (r["a"], r["b"]) for r in found} == expected
+    found = ranks.grouped_medians(df, ["k"], ["a", "b"]).collect()
+    assert {r["k"]: (r["a"], r["b"]) for r in found} == expected
+
+
+def test_sort_keys_are_in_the_order_of_doubles(spark):
+    rng = random.Random(7)
+    values = [0.0, 1.0, 2.0 ** -1022, 5e-324, 3e-310, 1.7976931348623157e308, float("inf"), 0.1, 1 / 3, 2.0 ** 52 + 1]
+    values += [struct.unpack("<d", struct.pack("<q", rng.randrange(0, 0x7FF0 << 48)))[0] for _ in range(2000)]
+    values += [2.0 ** e * f for e in range(-1022, 1023, 31) for f in (1, 1 + 2.0 ** -52, 2 - 2.0 ** -52)]
+    values += [-v for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for row in df.select("v", ranks.sort_key(F.col("v") + F.lit(0.0)).alias("k")).collect():
+        bits = struct.unpack("<q", struct.pack("<d", abs(row["v"])))[0]
+        assert row["k"] == (-bits if row["v"] < 0 else bits), row["v"]
 
 
 def test_modes_prefer_the_smallest(spark):

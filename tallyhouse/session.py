@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -72,6 +73,16 @@ def delete(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have the files of shuffles deleted that nothing reads any more.
+
+    Spark deletes them when the driver's collector finds their plans unused, which on a quiet
+    driver may be long after a step is written; a job of several large steps asks for it.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, every copy that `materialize` made inside; blocks in other threads

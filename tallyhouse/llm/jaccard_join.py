@@ -9,6 +9,9 @@ set of a pair may be. In a band whose largest size is u, alike sets differ in at
 first-level parts, each of these into second-level parts, and the sets must agree in all but
 a few second-level parts of some first-level part; each choice of the parts to leave out is a
 signature (`scheme`). Sets that are alike share at least one; each that share one are compared.
+There are a few more second-level parts than shingles that alike sets can differ in, so such sets
+agree in several; parts in which a set has nothing are then no signature of it, unless it has
+many of them. Otherwise all sets with an empty part would share that signature.
 
 1. Equal sets are one *node*, known by a 64-bit hash of the set and its size.
 2. Nodes that share a signature with no other node are left out: (signature, node) rows are
@@ -42,13 +45,15 @@ from pyspark.sql import functions as F
 from tallyhouse.llm.common import (byte_texts, components, map_batches, marked, mix, pick,
                                    place, real_id, row_key, shingles, slices, split_by_key,
                                    unhide, words_of)
-from tallyhouse.session import materialize
+from tallyhouse.session import forget_shuffles, materialize
 
 WORDS = 3
 #: Percent of the union that two sets must have in common.
 SHARE = 90
 #: A first-level part may differ in so many shingles, and has so many second-level parts.
 SLACK, SECOND = 1, 2
+#: So many second-level parts more than shingles that alike sets can differ in.
+SPARE = 4
 #: Each round compares so many times as many first nodes of a group with all others.
 GROWTH = 32
 _SEEN = 1_000_000
@@ -82,8 +87,9 @@ def scheme(number: int, share: int = SHARE, slack: int = SLACK,
     leaves out. Sets that differ in k shingles differ in at most k // parts in some part,
     hence in at most so many of its second-level parts."""
     k = differences(number, share)
-    first = k // (slack + 1) + 1
-    return first, max(second, slack + 1), k // first
+    second = max(second, slack + 1)
+    first = k // (slack + 1) + 1 + SPARE // second
+    return first, second, max(k // first, min(slack, second - 1))
 
 
 def signatures(sets: list[np.ndarray], numbers: list[int], share: int, slack: int,
@@ -102,7 +108,10 @@ def signatures(sets: list[np.ndarray], numbers: list[int], share: int, slack: in
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(every[order] + np.uint64(1)))))
     edge = np.searchsorted(cell[order], np.arange(cells[-1] + 1))
     value = total[edge[1:]] - total[edge[:-1]]
+    counts = np.diff(edge)
     owner = np.repeat(np.arange(len(sets)), first * parts)
+    empty = np.bincount(owner[counts == 0], minlength=len(sets))
+    spare = first * parts - np.array([differences(n, share) for n in numbers], np.int64)
     local = np.arange(cells[-1]) - cells[owner]
     owners, found = [], []
     for p, o in sorted({(p, o) for _, p, o in schemes.values()}):
@@ -111,8 +120,13 @@ def signatures(sets: list[np.ndarray], numbers: list[int], share: int, slack: in
         for c, keep in enumerate(combinations(range(p), p - o)):
             kept = mix(val[:, list(keep)] + np.arange(len(keep), dtype=np.uint64)[None, :])
             name = salt[own] + loc.astype(np.uint64) * np.uint64(1000003) + np.uint64(c)
-            owners.append(own)
-            found.append(mix(kept.sum(1) ^ mix(name)))
+            told = np.ones(len(own), bool)
+            if p - o == 1:
+                # Alike sets agree in `spare` cells or more, so one that both have something in
+                # is among them, unless both have at least so many empty ones.
+                told = (counts[mine][c::p] > 0) | (empty[own] >= spare[own])
+            owners.append(own[told])
+            found.append(mix(kept.sum(1) ^ mix(name))[told])
     return (np.concatenate(owners) if owners else np.zeros(0, np.int64),
             np.concatenate(found) if found else np.zeros(0, np.uint64))
 
@@ -218,6 +232,7 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS, share
                     slack: int = SLACK, second: int = SECOND) -> DataFrame | None:
     """``node, component`` for nodes with links; None if there are none."""
     members = materialize(shared_signatures(docs, words, share, slack, second), "members")
+    forget_shuffles(docs.sparkSession)
     if members.isEmpty():
         return None
     nodes = members.select("node").distinct()
@@ -267,6 +282,7 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS, share
                   .join(sized.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
                   .join(sized.select(F.col("node").alias("b"), F.col("items").alias("y")), "b"))
         common = F.size(F.array_intersect("x", "y"))
+        forget_shuffles(docs.sparkSession)
         judged = materialize(judged.select("a", "b", (
             common * 100 >= (F.size("x") + F.size("y") - common) * share).alias("alike")), "judged")
         new, not_alike = judged.filter("alike").select("a", "b"), judged.filter("NOT alike").select("a", "b")

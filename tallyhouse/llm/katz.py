@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import byte_texts, map_batches, mix, pick, slices, words_of
-from tallyhouse.session import materialize
+from tallyhouse.session import forget_shuffles, materialize
 
 ORDER = 2
 #: Counts up to this number are discounted.
@@ -380,6 +380,8 @@ def score_texts(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, block
     number = max(blocks.count(), 1)
     asked = map_batches(blocks, _count_requests(order, parts), _ASK)
     answers = materialize(map_batches(_by_part(asked, parts * order), _count(cutoff), _ANSWER), "counts")
+    del asked
+    forget_shuffles(docs.sparkSession)
     stats = answers.filter("block < 0").groupBy("kind").agg(
         *[F.sum(F.col("stats")[i]).alias(f"n{i}") for i in range(cutoff + 3)])
     found = {r["kind"]: list(r)[1:] for r in stats.collect()}
@@ -395,6 +397,8 @@ def score_texts(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, block
         asked = map_batches(_by_block(blocks, answers, number), _weight_requests(order, parts, k, model), _ASK)
         answers = answers.unionByName(materialize(
             map_batches(_by_part(asked, parts), _add_weights, _ANSWER), "weights").drop("stats"))
+        del asked
+        forget_shuffles(docs.sparkSession)
     scored = map_batches(_by_block(blocks, answers, number), _score(order, model), _SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known",
                          F.lit(model["all"]).cast("long").alias("train_tokens"), "base_score", "score")

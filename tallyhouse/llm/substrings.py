@@ -1,20 +1,20 @@
-"""Repeated substrings by prefix-partitioned suffix trees.
-
-A suffix starts at every word and is followed for `WINDOW` words. Suffixes are split by
-prefixes of variable length into groups that fit in memory, and the tree of each group gives
-its repeats: an internal node at least `WINDOW` words deep is a repeated window, and all that
-start below it are its occurrences.
-
-1. *Where suffixes go.* Of the `ANCHOR`-word strings that begin in a suffix's window, the one
-   with the least hash names the suffix's group, so equal windows always share a group, and
-   the windows that follow each other in a text mostly do too: they travel as one *run*, and
-   a text is moved about three times, not fifty. Groups met in one document only hold no
-   repeat and are left out before any text moves.
+"""Repeated substrings: windows of words grouped by minimizers, equal ones found by rank doubling.
+
+A window starts at every word and is `WINDOW` words long. The dealt method, suffix trees split by
+variable-length prefixes, is not what runs: every suffix would have to travel with at least a window
+of words to the task of its prefix (the README has the figures). Here windows that follow each
+other travel together:
+
+1. *Where windows go.* Of the `ANCHOR`-word strings that begin in a window, the one with the least
+   hash names the window's group, so equal windows always share a group, and the windows that
+   follow each other in a text mostly do too: they travel as one *run*, and a text is moved about
+   three times, not fifty. Groups met in one document only hold no repeat and are left out
+   before any text moves.
 2. *What goes there.* Of the runs with the same words, one is sent, with the least id of all.
    A passage in a third of all documents is one row per group.
-3. *Trees.* A task sorts the suffixes of its groups by ranks of 1, 2, 4, .. words, up to the
-   window; suffixes of equal rank hang below one node. Groups of more than `GROUP_WORDS` words
-   are split by a longer prefix, the whole window, and counted by key.
+3. *Equal windows.* A task ranks the strings of 1, 2, 4, .. words of its groups, up to the window;
+   windows of equal rank are equal. Groups of more than `GROUP_WORDS` words are split by a hash of
+   the whole window, and counted by key.
 
 Words are runs of bytes other than U+0020 and U+0009 to U+000D; they are compared as 64-bit
 hashes, and windows in split groups and runs as 128 bits of hash.

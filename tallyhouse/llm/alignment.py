@@ -59,8 +59,9 @@ _PRE_TOKEN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _BEYOND = regex.compile(r"[^\x00-\u024F]")
+_WORD = regex.compile(r" \p{L}+")
 #: Pre-tokens whose ids a task keeps.
-_KEPT = 200_000
+_KEPT = 400_000
 
 
 class ByteTokenizer:
@@ -88,6 +89,18 @@ class ByteTokenizer:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: set[str]) -> None:
+        """Words after a space are encoded as one text, in which they stay pre-tokens, and told
+        apart by their bytes; others one by one."""
+        words = [p for p in new if _WORD.fullmatch(p)]
+        others = [p for p in new if not _WORD.fullmatch(p)]
+        self.kept.update(zip(others, self._library(others)))
+        if words:
+            ids = self._library(["".join(words)])[0]
+            ends = np.cumsum([len(self.entries[i]) for i in ids])
+            until = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in words])) + 1
+            self.kept.update((p, ids[x:y]) for p, x, y in zip(words, [0, *until[:-1].tolist()], until.tolist()))
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         texts = [" " + t for t in texts]
         if not self.plain:
@@ -96,8 +109,7 @@ class ByteTokenizer:
         whole = iter(self._library([t for t, c in zip(texts, cut) if c is None]))
         if len(self.kept) > _KEPT:
             self.kept.clear()
-        new = list({p for c in cut if c is not None for p in c}.difference(self.kept))
-        self.kept.update(zip(new, self._library(new)))
+        self._learn({p for c in cut if c is not None for p in c}.difference(self.kept))
         return [next(whole) if c is None else list(chain.from_iterable(map(self.kept.__getitem__, c)))
                 for c in cut]
 

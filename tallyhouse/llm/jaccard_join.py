@@ -34,15 +34,15 @@ Rows that repeat, or share an id, are classed each by their own text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import (byte_texts, components, map_batches, marked, mix, pick,
+from tallyhouse.llm.common import (bounded, byte_texts, components, map_batches, marked, mix, pick,
                                    place, real_id, row_key, shingles, slices, split_by_key,
                                    unhide, words_of)
 from tallyhouse.session import forget_shuffles, materialize
@@ -198,16 +198,33 @@ def _marks(every: np.ndarray) -> np.ndarray:
     return np.packbits(cells.astype(np.uint8)).view(np.int64)
 
 
+def _may_be_alike(one: str, other: str, share: int) -> Column:
+    """False where the marks of two sets (with ``n`` and ``pn`` shingles) differ in more places
+    than alike sets can: sets cannot differ in fewer shingles than their marks differ in."""
+    apart = sum((F.bit_count(F.col(one + m).bitwiseXOR(F.col(other + m))) for m in _MARKS), F.lit(0))
+    return apart * (100 + share) <= (F.col("n") + F.col("pn")) * (100 - share)
+
+
+def _node_marks(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, sets in _texts_of(batch, words):
+                marks = np.array([_marks(s) for s in sets]).reshape(-1, len(_MARKS))
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()),
+                                                  *map(pa.array, marks.T)], ["node", *_MARKS])
+
+    return run
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in _texts_of(batch, words):
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                marks = np.array([_marks(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_node(s) for s in sets], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64))),
-                     *map(pa.array, marks.T)], ["node", "items", *_MARKS])
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))],
+                    ["node", "items"])
 
     return run
 
@@ -236,13 +253,17 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS, share
     if members.isEmpty():
         return None
     nodes = members.select("node").distinct()
-    texts = (found.join(nodes, "node", "left_semi").groupBy("node")
-             .agg(F.min(F.struct("_d", "_h")).alias("k")).select("k.*"))
-    texts = materialize(texts.distinct(), "node-texts")
-    here, _ = split_by_key(docs, texts, ["_d", "_h"])
-    schema = "node long, items array<long>, " + ", ".join(f"{m} long" for m in _MARKS)
-    sets = materialize(map_batches(here.select("text"), _sets(words), schema)
-                       .dropDuplicates(["node"]), "sets")
+    # Of each node that shares a signature one text, and marks; sets only of pairs to be compared.
+    texts = materialize(found.join(nodes, "node", "left_semi").groupBy("node")
+                        .agg(F.min(F.struct("_d", "_h")).alias("k")).select("node", "k.*"), "node-texts")
+
+    def of_texts(keys: DataFrame, run: Callable, schema: str) -> DataFrame:
+        here, _ = split_by_key(docs, keys, ["_d", "_h"])
+        return map_batches(here.select("text"), run, schema).dropDuplicates(["node"])
+
+    keys = materialize(texts.select("_d", "_h").distinct(), "keys")
+    marked_ = materialize(of_texts(keys, _node_marks(words), "node long, " + ", ".join(
+        f"{m} long" for m in _MARKS)), "marks")
     links = apart = joined = None
     first, done = 1, 0  # how many nodes of a group are compared with all others; were before
     while True:
@@ -253,11 +274,11 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS, share
             open_ = (live.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
                                              F.count("*").alias("size"))
                      .filter((F.col("lo") < F.col("hi")) & (F.col("size") > done)).select("sig"))
-            live = live.join(open_, "sig").join(sets.select("node", *_MARKS), "node")
+            live = live.join(open_, "sig").join(bounded(marked_), "node")
             live = materialize(live, "open")
             if live.isEmpty():
                 return joined
-        marks = [m for m in _MARKS if m in live.columns]
+        marks = [] if joined is None else _MARKS
         ahead = (live.withColumn("rank", F.row_number().over(
             Window.partitionBy("sig").orderBy("node"))).filter(F.col("rank") <= first)
             .select(F.col("sig").alias("psig"), F.col("node").alias("p"), F.col("n").alias("pn"),
@@ -265,19 +286,25 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS, share
         close = ((F.least("n", "pn") * 100 >= F.greatest("n", "pn") * share)
                  & (F.col("c") != F.col("pc")))
         if marks:  # sets cannot differ in fewer shingles than their marks differ in
-            apart_by = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"p{m}"))) for m in marks), F.lit(0))
-            close &= apart_by * (100 + share) <= (F.col("n") + F.col("pn")) * (100 - share)
+            close &= _may_be_alike("", "p", share)
         pairs = (live.join(ahead, (F.col("sig") == F.col("psig")) & close)
                  .groupBy(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b"))
-                 .agg(F.count("*").alias("common")))
+                 .agg(F.count("*").alias("common"), F.max("n").alias("n"), F.max("pn").alias("pn")))
         if apart is not None:
             pairs = pairs.join(apart, ["a", "b"], "left_anti")
         if joined is None:  # to begin with, each node's most promising pair
+            for side, name in (("a", ""), ("b", "p")):
+                pairs = pairs.join(bounded(marked_).select(
+                    F.col("node").alias(side), *[F.col(m).alias(f"{name}{m}") for m in _MARKS]), side)
+            pairs = pairs.filter(_may_be_alike("", "p", share)).select("a", "b", "common")
             pairs = (pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(
                 F.desc("common"), "b"))).filter("rank = 1"))
         else:
             done = first
-        sized = sets.select("node", "items")
+        pairs = materialize(pairs.select("a", "b"), "pairs")
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        keys = materialize(texts.join(asked, "node", "left_semi").select("_d", "_h").distinct(), "keys")
+        sized = materialize(of_texts(keys, _sets(words), "node long, items array<long>"), "sets")
         judged = (pairs.select("a", "b")
                   .join(sized.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
                   .join(sized.select(F.col("node").alias("b"), F.col("items").alias("y")), "b"))

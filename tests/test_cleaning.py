@@ -37,7 +37,7 @@ def test_empty_rows_and_copies(spark):
     df = spark.createDataFrame([(None, None), (1, None), (1, None), (1, "a")], "a int, b string")
     assert rows(cleaning.drop_empty_rows(df)) == [(1, "a"), (1, None), (1, None)]
     assert rows(cleaning.dedupe(df)) == [(1, "a"), (1, None), (None, None)]
-    assert rows(cleaning.count_copies(df)) == [(1, "a", 1), (1, None, 2)]
+    assert rows(cleaning.count_copies(df).rows) == [(1, "a", 1), (1, None, 2)]
 
 
 def test_imputation_values(spark):

@@ -22,7 +22,11 @@ many of them. Otherwise all sets with an empty part would share that signature.
    with all others, in the next round the first 1,024, and so on, up to all. Pairs in one
    component need no comparison. So every pair that could join components is compared, but
    pairs within a group of copies are not written out.
-4. Comparisons are exact (`100 * common >= SHARE * union`), by joins of the shingle sets.
+4. Pairs meet as marks first, which are about as many bits as a set has shingles (`fine_marks`):
+   sets differ in at least as many shingles as their marks differ in. Of the pairs that may still
+   be alike, each node's nearest one is compared by its sets, then of those still needed its 8
+   nearest, its 64 nearest, and so on, so sets travel for few more pairs than join components.
+5. Comparisons are exact (`100 * common >= SHARE * union`), by joins of the shingle sets.
 
 Words are runs of bytes other than U+0020 and U+0009 to U+000D after A-Z are lower-cased.
 A text of one or two words has its whole sequence as one shingle.
@@ -45,7 +49,7 @@ from pyspark.sql import functions as F
 from tallyhouse.llm.common import (bounded, byte_texts, components, map_batches, marked, mix, pick,
                                    place, real_id, row_key, shingles, slices, split_by_key,
                                    unhide, words_of)
-from tallyhouse.session import forget_shuffles, materialize
+from tallyhouse.session import forget_shuffles, materialize, settled
 
 WORDS = 3
 #: Percent of the union that two sets must have in common.
@@ -56,6 +60,8 @@ SLACK, SECOND = 1, 2
 SPARE = 4
 #: Each round compares so many times as many first nodes of a group with all others.
 GROWTH = 32
+#: Each pass of a round compares so many times as many nearest nodes of a node by their sets.
+WIDEN = 8
 _SEEN = 1_000_000
 _MARKS = [f"m{i}" for i in range(8)]
 
@@ -198,10 +204,38 @@ def _marks(every: np.ndarray) -> np.ndarray:
     return np.packbits(cells.astype(np.uint8)).view(np.int64)
 
 
-def _may_be_alike(one: str, other: str, share: int) -> Column:
+def fine_marks(every: np.ndarray) -> np.ndarray:
+    """The same with half as many cells as the set has shingles, or up to as many: a power of two.
+    Empty where `_marks` has as many."""
+    words = 1 << max(len(every) - 1, 0).bit_length() >> 7
+    if words <= len(_MARKS):
+        return np.zeros(0, np.int64)
+    cells = np.bincount((mix(every) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+
+
+def _places_apart(one: str, other: str) -> Column:
+    """In how many places the marks of two sets differ."""
+    return sum((F.bit_count(F.col(one + m).bitwiseXOR(F.col(other + m))) for m in _MARKS), F.lit(0))
+
+
+def fine_apart(x: Column, y: Column) -> Column:
+    """The same of fine marks; the longer ones are folded to the length of the shorter, and 0
+    where they differ in length by more than that, or are empty."""
+    size = F.least(F.size(x), F.size(y))
+
+    def half(marks: Column) -> Column:
+        return F.when(F.size(marks) == size, marks).otherwise(F.zip_with(
+            F.slice(marks, 1, size), F.slice(marks, size + 1, size), lambda a, b: a.bitwiseXOR(b)))
+
+    differ = F.zip_with(half(x), half(y), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.when((size > 0) & (F.greatest(F.size(x), F.size(y)) <= 2 * size), F.aggregate(
+        differ, F.lit(0), lambda total, n: total + n)).otherwise(0)
+
+
+def _may_be_alike(apart: Column, share: int) -> Column:
     """False where the marks of two sets (with ``n`` and ``pn`` shingles) differ in more places
     than alike sets can: sets cannot differ in fewer shingles than their marks differ in."""
-    apart = sum((F.bit_count(F.col(one + m).bitwiseXOR(F.col(other + m))) for m in _MARKS), F.lit(0))
     return apart * (100 + share) <= (F.col("n") + F.col("pn")) * (100 - share)
 
 
@@ -210,8 +244,9 @@ def _node_marks(words: int):
         for batch in batches:
             for _, sets in _texts_of(batch, words):
                 marks = np.array([_marks(s) for s in sets]).reshape(-1, len(_MARKS))
+                fine = pa.array([fine_marks(s) for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()),
-                                                  *map(pa.array, marks.T)], ["node", *_MARKS])
+                                                  *map(pa.array, marks.T), fine], ["node", *_MARKS, "fine"])
 
     return run
 
@@ -263,18 +298,40 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS, share
 
     keys = materialize(texts.select("_d", "_h").distinct(), "keys")
     marked_ = materialize(of_texts(keys, _node_marks(words), "node long, " + ", ".join(
-        f"{m} long" for m in _MARKS)), "marks")
+        f"{m} long" for m in _MARKS) + ", fine array<long>"), "marks")
+    coarse, fine = bounded(marked_.drop("fine")), bounded(marked_.select("node", "fine"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs that may be alike by their fine marks too, and the share they are apart at least."""
+        for side, name in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(fine.select(F.col("node").alias(side), F.col("fine").alias(name)), side)
+        pairs = pairs.withColumn("apart", F.greatest("apart", fine_apart(F.col("x"), F.col("y"))))
+        return pairs.filter(_may_be_alike(F.col("apart"), share)).select(
+            "a", "b", "common", (F.col("apart") / (F.col("n") + F.col("pn"))).alias("far"))
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """``a, b, alike`` by the shingle sets, which travel once a pair."""
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        keys = materialize(texts.join(asked, "node", "left_semi").select("_d", "_h").distinct(), "keys")
+        sized = materialize(of_texts(keys, _sets(words), "node long, items array<long>"), "sets")
+        forget_shuffles(docs.sparkSession)
+        both = (pairs.select("a", "b")
+                .join(sized.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+                .join(sized.select(F.col("node").alias("b"), F.col("items").alias("y")), "b"))
+        common = F.size(F.array_intersect("x", "y"))
+        return both.select("a", "b", (
+            common * 100 >= (F.size("x") + F.size("y") - common) * share).alias("alike"))
+
     links = apart = joined = None
     first, done = 1, 0  # how many nodes of a group are compared with all others; were before
     while True:
         live = members.withColumn("c", F.col("node")) if joined is None else (
-            members.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
-            .select("sig", "node", "n", "c"))
+            _with_component(members, joined, "node", "c").select("sig", "node", "n", "c"))
         if joined is not None:
             open_ = (live.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
                                              F.count("*").alias("size"))
                      .filter((F.col("lo") < F.col("hi")) & (F.col("size") > done)).select("sig"))
-            live = live.join(open_, "sig").join(bounded(marked_), "node")
+            live = live.join(open_, "sig").join(coarse, "node")
             live = materialize(live, "open")
             if live.isEmpty():
                 return joined
@@ -285,45 +342,56 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS, share
                     F.col("c").alias("pc"), *[F.col(m).alias(f"p{m}") for m in marks]))
         close = ((F.least("n", "pn") * 100 >= F.greatest("n", "pn") * share)
                  & (F.col("c") != F.col("pc")))
+        places = _places_apart("", "p") if marks else F.lit(0)
         if marks:  # sets cannot differ in fewer shingles than their marks differ in
-            close &= _may_be_alike("", "p", share)
-        pairs = (live.join(ahead, (F.col("sig") == F.col("psig")) & close)
+            close &= _may_be_alike(places, share)
+        pairs = (live.join(ahead, (F.col("sig") == F.col("psig")) & close).withColumn("apart", places)
                  .groupBy(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b"))
-                 .agg(F.count("*").alias("common"), F.max("n").alias("n"), F.max("pn").alias("pn")))
+                 .agg(F.count("*").alias("common"), F.max("n").alias("n"), F.max("pn").alias("pn"),
+                      F.max("apart").alias("apart")))
         if apart is not None:
             pairs = pairs.join(apart, ["a", "b"], "left_anti")
-        if joined is None:  # to begin with, each node's most promising pair
+        if joined is None:
             for side, name in (("a", ""), ("b", "p")):
-                pairs = pairs.join(bounded(marked_).select(
+                pairs = pairs.join(coarse.select(
                     F.col("node").alias(side), *[F.col(m).alias(f"{name}{m}") for m in _MARKS]), side)
-            pairs = pairs.filter(_may_be_alike("", "p", share)).select("a", "b", "common")
-            pairs = (pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(
-                F.desc("common"), "b"))).filter("rank = 1"))
-        else:
-            done = first
-        pairs = materialize(pairs.select("a", "b"), "pairs")
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        keys = materialize(texts.join(asked, "node", "left_semi").select("_d", "_h").distinct(), "keys")
-        sized = materialize(of_texts(keys, _sets(words), "node long, items array<long>"), "sets")
-        judged = (pairs.select("a", "b")
-                  .join(sized.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-                  .join(sized.select(F.col("node").alias("b"), F.col("items").alias("y")), "b"))
-        common = F.size(F.array_intersect("x", "y"))
-        forget_shuffles(docs.sparkSession)
-        judged = materialize(judged.select("a", "b", (
-            common * 100 >= (F.size("x") + F.size("y") - common) * share).alias("alike")), "judged")
-        new, not_alike = judged.filter("alike").select("a", "b"), judged.filter("NOT alike").select("a", "b")
+            pairs = pairs.withColumn("apart", _places_apart("", "p")).filter(
+                _may_be_alike(F.col("apart"), share)).select("a", "b", "common", "n", "pn", "apart")
+        pairs = materialize(near(pairs), "pairs")
+        best = [F.desc("common"), "b"] if joined is None else ["far", "b"]
+        width = 1
+        while not pairs.isEmpty():
+            ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(*best)))
+            chosen = materialize(ranked.filter(F.col("rank") <= width).select("a", "b"), "chosen")
+            forget_shuffles(docs.sparkSession)
+            told = settled(docs.sparkSession, lambda: judged(chosen), "judged")
+            new = told.filter("alike").select("a", "b")
+            not_alike = told.filter("NOT alike").select("a", "b")
+            apart = not_alike if apart is None else apart.union(not_alike)
+            if links is None or not new.isEmpty():
+                links = new if links is None else links.union(new)
+                joined = components(links, "components")
+            if first == 1:  # to begin with, each node's most promising pair
+                break
+            pairs = pairs.join(chosen, ["a", "b"], "left_anti")
+            for side in ("a", "b"):
+                pairs = _with_component(pairs, joined, side, f"c{side}")
+            pairs = materialize(pairs.filter("ca <> cb").select("a", "b", "common", "far"), "pairs")
+            width *= WIDEN
         if joined is None:
-            links, apart = new, not_alike
+            links = pairs.select("a", "b")
             joined = components(links, "components")
-        else:
-            apart = apart.union(not_alike)
-            if not new.isEmpty():
-                links = links.union(new)
-                joined = components(links, "components")
+        if first > 1:
+            done = first
         first *= GROWTH
 
 
+def _with_component(rows: DataFrame, joined: DataFrame, node: str, name: str) -> DataFrame:
+    """``rows`` with the component of their column ``node``; a node without links is its own."""
+    of = joined.select(F.col("node").alias(node), F.col("component").alias(name))
+    return rows.join(of, node, "left").withColumn(name, F.coalesce(name, node))
+
+
 def classify(docs: DataFrame, words: int = WORDS, share: int = SHARE, slack: int = SLACK,
              second: int = SECOND) -> DataFrame:
     """``_d, _h, n, component, c`` of each row of ``docs (_d, _h, text)``: the least ``_d`` that

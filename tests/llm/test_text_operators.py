@@ -103,6 +103,45 @@ def test_jaccard_joins_chains_that_share_no_center(spark):
     assert got == want and {r[2] for r in want} == {0}
 
 
+def test_fine_marks_tell_long_sets_apart():
+    rng = np.random.default_rng(5)
+    whole = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
+    for kept, other in ((2000, 2000), (2900, 2600), (1100, 900), (2700, 2700)):
+        a, b = whole[:kept], np.concatenate((whole[kept - other // 2: kept], rng.integers(
+            0, 1 << 63, other - other // 2).astype(np.uint64)))
+        apart = len(np.setxor1d(a, b))
+        x, y = (jaccard_join.fine_marks(v).view(np.uint64) for v in (a, b))
+        if len(x) and len(y):
+            size = min(len(x), len(y))
+            x, y = (np.bitwise_xor.reduce(v.reshape(-1, size)) for v in (x, y))
+            told = int(np.bitwise_count(x ^ y).sum())
+            # Never more than they differ in, and here more than alike sets of 80 % can differ in.
+            assert (len(a) + len(b)) * 20 / 180 < told <= apart
+
+
+def test_long_texts_that_share_much_are_judged_by_few_sets(spark, monkeypatch):
+    """Texts around the threshold, in chains; marks settle most pairs before sets travel."""
+    rng = np.random.default_rng(6)
+    base, rows = [f"w{i}" for i in range(1300)], []
+    for i in range(24):
+        words = list(base)
+        at = int(rng.integers(0, 1300)) if i % 3 else 40 * i
+        for j in range(at, at + (60 if i % 3 else 500)):
+            words[j % 1300] = f"x{i}y{j}"
+        rows.append((i, " ".join(words)))
+    pairs, settled = [], jaccard_join.settled
+
+    def counted(spark, make, label):
+        out = settled(spark, make, label)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "settled", counted)
+    got = rows_of(jaccard_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80))
+    assert got == jaccard_rows(rows, 80, 5)
+    assert 0 < sum(pairs) < 24 * 23 / 2 / 2
+
+
 def test_one_of_each(spark, odd):
     docs = frame(spark, odd)
     out = jaccard_join.one_of_each(docs)

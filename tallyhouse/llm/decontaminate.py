@@ -14,6 +14,9 @@ not none, is one phrase. Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F
 lower-cased. Postings are kept under these words, and counts and phrases use them alike: the
 lower case of other letters can depend on their neighbours.
 
+Texts are cut into words once, and written as such: cutting takes most of the time, and
+counts, postings and checks all start from words.
+
 Everything is DataFrame functions. What is made from the test items (terms, phrases) is
 broadcast while it is small (`bounded`) and joined by key beyond that.
 
@@ -34,8 +37,6 @@ from tallyhouse.session import materialize
 WINDOW = 10
 RAREST = 2
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same runs before lower-casing.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -44,6 +45,16 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _UPPER.lower()), F.lit(WORD), F.lit(0))
 
 
+def split_texts(docs: DataFrame) -> DataFrame:
+    """``_d, _h, w`` of every row of ``docs (_d, _h, text)``, written; ``w`` is null with its text."""
+    return materialize(docs.select("_d", "_h", words_of(F.col("text")).alias("w")), "words")
+
+
+def _words_in(docs: DataFrame) -> Column:
+    """The words of ``docs (.., text)``, or of what `split_texts` made of it."""
+    return F.col("w") if "w" in docs.columns else words_of(F.col("text"))
+
+
 def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``phrase, item_id, words, terms``: the distinct windows of each item."""
     words = items.select("item_id", words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
@@ -56,7 +67,7 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, n``: occurrences in ``docs (.., text)`` of each of ``terms (term)``."""
-    found = (docs.select(F.explode(words_of(F.col("text"))).alias("term"))
+    found = (docs.select(F.explode(_words_in(docs)).alias("term"))
              .join(bounded(terms), "term").groupBy("term").agg(F.count("*").alias("k")))
     return terms.join(found, "term", "left").select("term", F.coalesce("k", F.lit(0)).alias("n"))
 
@@ -77,7 +88,7 @@ def search_terms(wanted: DataFrame, counts: DataFrame, rarest: int = RAREST) ->
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, _d, _h, pos`` for every occurrence of ``terms (term)`` in ``docs (_d, _h, text)``."""
-    return (docs.select("_d", "_h", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    return (docs.select("_d", "_h", F.posexplode(_words_in(docs)).alias("pos", "term"))
             .join(bounded(terms), "term").select("term", "_d", "_h", "pos"))
 
 
@@ -116,7 +127,7 @@ def proximity_matches(index: DataFrame, search: DataFrame, slack: int) -> DataFr
 
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                 rarest: int = RAREST) -> DataFrame:
-    """``_d, _h, start, n, item_id``: every occurrence, in ``docs (_d, _h, text)``, of a phrase
+    """``_d, _h, start, n, item_id``: every occurrence, in ``docs (_d, _h, w)``, of a phrase
     of ``items (item_id, text)``; ``n`` is its number of words."""
     wanted = materialize(phrases(items, window), "phrases")
     terms = materialize(wanted.select(F.explode("terms").alias("term")).distinct(), "terms")
@@ -126,7 +137,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     index = materialize(postings(docs, probes), "postings")
     found = materialize(phrase_matches(index, search).dropDuplicates(), "matches")
     here, _ = split_by_key(docs, materialize(found.select("_d", "_h").distinct(), "matched"), ["_d", "_h"])
-    texts = here.dropDuplicates(["_d", "_h"]).select("_d", "_h", words_of(F.col("text")).alias("w"))
+    texts = here.dropDuplicates(["_d", "_h"])
     checked = found.join(texts, ["_d", "_h"]).join(
         bounded(wanted.select("phrase", "item_id", "words")), "phrase")
     same = F.slice("w", F.col("start") + 1, F.size("words")) == F.col("words")
@@ -134,7 +145,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW,
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``_d, _h, n_hit, n_items, ids`` for each text of ``docs (_d, _h, text)`` in which a
+    """``_d, _h, n_hit, n_items, ids`` for each text of ``docs (_d, _h, w)`` in which a
     phrase occurs: words inside occurrences, items, and their ids, sorted as strings."""
     found = materialize(occurrences(docs, items, window), "occurrences")
     # Words hit: a start covers up to the next start, or its whole phrase.
@@ -152,10 +163,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every row of
     ``docs (doc_id, text)``, searched for the phrases of ``items (item_id, text)``."""
     keyed = pick(docs, "doc_id", "text").select(*row_key(F.col("doc_id"), F.col("text")), "text")
-    found = contamination(keyed, pick(items, "item_id", "text"), window)
-    count = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_ANY_CASE)).cast("long"), F.lit(0))
+    texts = split_texts(keyed)
+    found = contamination(texts, pick(items, "item_id", "text"), window)
     none = F.lit(0).cast("long")
-    return keyed.select("_d", "_h", count.cast("long").alias("n_words")).join(
+    count = F.when(F.col("w").isNotNull(), F.size("w").cast("long")).otherwise(none)
+    return texts.select("_d", "_h", count.alias("n_words")).join(
         found, ["_d", "_h"], "left").select(
             real_id(F.col("_d")).alias("doc_id"), "n_words", F.coalesce("n_hit", none).alias("n_hit"),
             F.coalesce("n_items", none).alias("n_items"),
@@ -166,6 +178,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs (doc_id, text, ..)`` in which no phrase of ``items`` occurs."""
     keyed = marked(docs).select("_d", "_h", F.col(place(docs, "text")).alias("text"))
-    found = materialize(contamination(keyed, pick(items, "item_id", "text"), window)
+    found = materialize(contamination(split_texts(keyed), pick(items, "item_id", "text"), window)
                         .select("_d", "_h"), "contaminated")
     return unhide(split_by_key(marked(docs), found, ["_d", "_h"])[1], docs)

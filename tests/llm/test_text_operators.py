@@ -189,6 +189,14 @@ def test_marks_differ_in_no_more_places_than_sets_differ(size, more, seed):
     assert apart <= len(np.setxor1d(a, b)) and (apart - len(np.setxor1d(a, b))) % 2 == 0
 
 
+def test_contamination_cuts_each_text_into_words_once(spark, odd, monkeypatch):
+    cut, words_of = [], decontaminate.words_of
+    monkeypatch.setattr(decontaminate, "words_of", lambda text: cut.append(text) or words_of(text))
+    bench = spark.createDataFrame([(1, odd[10][1]), (2, "one")], "item_id long, text string")
+    decontaminate.decontaminate(frame(spark, odd), bench).collect()
+    assert len(cut) == 2  # items, documents
+
+
 def test_contamination(spark, odd):
     items = [(1, odd[10][1]), (2, "one"), (3, None), (4, ""), (5, "W3 w4, W5"), (6, odd[12][1].upper()),
              (6, odd[12][1]), (None, "élan ſ"), (7, "ONE"), (8, "nowhere at all")]

@@ -101,3 +101,25 @@ def test_defaults_follow_the_profile(spark, fact):
     assert dashboard["hour"] == 0 and set(dashboard) == set(notebook)
     assert dashboard["quantity"] == notebook["quantity"]
     assert sales.vocabulary(frame, "category").where(F.col("term") == dashboard["category"]).count() == 1
+
+
+def test_many_terms_travel_only_where_a_long_term_may_start(spark, monkeypatch):
+    """More terms than one automaton holds: long ones by joins, the few short ones by an automaton."""
+    written, materialize = [], requests.materialize
+
+    def kept(df, label):
+        out = materialize(df, label)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(requests, "BROADCAST_TERMS", 28)
+    monkeypatch.setattr(requests, "materialize", kept)
+    short, long = [f"{a}{b}" for a in "abcde" for b in "abcde"], [f"term {i} of many" for i in range(30)]
+    texts = {1: "ab and TERM 7 OF MANY", 2: "term 7 of man", 3: "zzz", 4: "cab", 5: "term 12 of many ee"}
+    vocab = spark.createDataFrame([(t,) for t in short + long], "term string")
+    messages = spark.createDataFrame(list(texts.items()), "msg_id long, text string")
+    got = {r["msg_id"]: r["term"] for r in requests.match_terms(messages, vocab, "term", 0).collect()}
+    want = {m: min((v for v in short + long if v in t.lower()), key=lambda v: (-len(v), v), default=None)
+            for m, t in texts.items()}
+    assert got == want
+    assert [n for label, n in written if label == "starts"] == [3]  # not every place of every text

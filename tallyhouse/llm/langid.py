@@ -10,7 +10,7 @@ trees hold, and a text is scored by looking its strings up, from the longest dow
 
 The trees are learned from a bounded sample of distinct texts (`sample`); every text is scored
 in whole. How many bits a byte may cost before a text counts as written in none of the languages
-is taken per language from as many further texts, which are left out of the fit (`limits`).
+is taken per language from all further texts, in whole, that are left out of the fit (`limits`).
 
 Edge cases: a null text, and one without any letter, is ``und`` with score 0. So is every
 text if there is nothing to learn from. Languages with equal code lengths are settled by
@@ -38,9 +38,11 @@ ORDER = 4
 SAMPLE_TEXTS = 300
 SAMPLE_CHARS = 65_536
 #: A text that costs more bits a byte is written in none of the languages, where there are no
-#: further texts to tell; else so many bits a byte more than the dearest of those. The first bits
-#: of a text do not count: a word alone does not tell enough.
+#: further texts to tell; else so many bits a byte more than the dearest of those, but for the share
+#: `STRAY` of them that is dearer yet. The first bits of a text do not count: a word alone does not
+#: tell enough. Costs are counted in steps of 1 / `STEPS` bits, rounded up.
 MOST_BITS, MARGIN, FREE_BITS = 12.0, 2.0, 64.0
+STRAY, STEPS = 0.005, 1000
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _PAD = b"\n" * ORDER
@@ -51,24 +53,30 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 != 2, F.lit(True))
 
 
+def _labelled(docs: DataFrame) -> DataFrame:
+    return docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "lang", "text", F.xxhash64("text").alias("h"))
+
+
+def _chosen(docs: DataFrame, texts: int) -> DataFrame:
+    """``lang, h`` of the texts to learn from."""
+    first = Window.partitionBy("lang").orderBy("h")
+    return materialize(_labelled(docs).select("lang", "h").distinct().withColumn(
+        "rank", F.row_number().over(first)).filter(F.col("rank") <= texts).select("lang", "h"), "sample")
+
+
 def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """``lang, text, further``: at most ``texts`` distinct labelled texts per language to learn
-    from, and as many ``further`` ones; of a longer text a piece of ``chars`` characters.
+    """``lang, text``: at most ``texts`` distinct labelled texts per language to learn from; of a
+    longer text a piece of ``chars`` characters.
 
     Those whose hash is least are taken, and the piece begins where the hash says. Ranked are
     hashes alone, and every task sends the least of them only, so neither a hot language
     nor a text that repeats gathers anywhere.
     """
-    fit = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        "lang", "text", F.xxhash64("text").alias("h"))
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = materialize(fit.select("lang", "h").distinct().withColumn("rank", F.row_number().over(first))
-                         .filter(F.col("rank") <= 2 * texts)
-                         .select("lang", "h", (F.col("rank") > texts).alias("further")), "sample")
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
     piece = F.col("text").substr(start.cast("int"), F.lit(chars))
-    return (fit.join(bounded(chosen), ["lang", "h"]).select("lang", "h", "further", piece.alias("text"))
-            .dropDuplicates(["lang", "h"]).select("lang", "text", "further"))
+    return (_labelled(docs).join(bounded(_chosen(docs, texts)), ["lang", "h"])
+            .select("lang", "h", piece.alias("text")).dropDuplicates(["lang", "h"]).select("lang", "text"))
 
 
 def _strings(data: bytes) -> np.ndarray:
@@ -166,7 +174,7 @@ def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS)
     The driver gets the distinct strings of the sample, whose size its bounds set.
     """
     schema = "lang string, string long, n long"
-    own = sample(pick(docs, "text", "lang"), texts, chars).filter("NOT further").select("lang", "text")
+    own = sample(pick(docs, "text", "lang"), texts, chars)
     counted = (map_batches(own, _count_strings, schema)
                .groupBy("lang", "string").agg(F.sum("n").alias("n")).toPandas())
     langs = sorted(counted["lang"].unique())
@@ -268,13 +276,22 @@ def _rate(text: Column) -> Column:
     return F.col("bits_per_byte") - FREE_BITS / F.octet_length(text)
 
 
-def limits(docs: DataFrame, model: Model, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, float]:
-    """Per language the most bits a byte of its texts: `MARGIN` over the dearest of the further
-    texts of ``docs (text, lang)``; languages without further texts are left out."""
-    further = sample(pick(docs, "text", "lang"), texts, chars).filter("further").select("text")
-    dearest = predict(further, model).filter(F.col("lang_pred") != UNKNOWN).groupBy("lang_pred").agg(
-        F.max(_rate(F.col("text"))).alias("most"))
-    return {r["lang_pred"]: r["most"] + MARGIN for r in dearest.collect()}
+def limits(docs: DataFrame, model: Model, texts: int = SAMPLE_TEXTS, stray: float = STRAY) -> dict[str, float]:
+    """Per language the most bits a byte of its texts: `MARGIN` over the dearest of all labelled
+    texts of ``docs (text, lang)`` that the model was not learned from, but for the dearest
+    ``stray`` of them, which labels may be wrong about. Languages without such texts are left out.
+
+    Rows are counted by cost, so a language is as many rows as there are steps of cost.
+    """
+    docs = pick(docs, "text", "lang")
+    further = _labelled(docs).join(bounded(_chosen(docs, texts)), ["lang", "h"], "left_anti").select("text")
+    costs = predict(further, model).filter(F.col("lang_pred") != UNKNOWN).groupBy(
+        "lang_pred", F.ceil(_rate(F.col("text")) * STEPS).alias("cost")).agg(F.count("*").alias("n"))
+    every = Window.partitionBy("lang_pred")
+    dearer = F.sum("n").over(every.orderBy(F.desc("cost")))
+    most = (costs.select("lang_pred", "cost", dearer.alias("dearer"), F.sum("n").over(every).alias("all"))
+            .filter(F.col("dearer") > stray * F.col("all")).groupBy("lang_pred").agg(F.max("cost").alias("most")))
+    return {r["lang_pred"]: r["most"] / STEPS + MARGIN for r in most.collect()}
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -27,6 +27,9 @@ that up, and each block gets the sums of its histories back. Histories of one bl
 exchange. Then each block evaluates its distinct n-grams from the single words up, and
 sums up its texts.
 
+Blocks and answers are large rows, so they are written in row groups of one block, or `ANSWERS`
+answers; tasks get them in batches of bounded bytes, and never hold all blocks of a partition.
+
 `ORDER` is 2 in production; the module works at any order, with a further request and a further
 answer for each distinct n-gram of a block.
 
@@ -54,6 +57,8 @@ ORDER = 2
 CUTOFF = 5
 #: Bytes of text in a block, and bytes of text for each part of the tables.
 BLOCK, PART = 8 << 20, 16 << 20
+#: Answers in a row group.
+ANSWERS = 64
 #: Of every `FOLDS` documents by id hash, those with remainder `FOLD` are held out.
 FOLDS, FOLD = 7, 2
 
@@ -360,9 +365,9 @@ def score_texts(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, block
         F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = size // part + 1
-    blocks = materialize(map_batches(rows, _blocks(block), _BODY), "blocks")
+    blocks = materialize(map_batches(rows, _blocks(block), _BODY), "blocks", 1)
     asked = map_batches(blocks, _count_requests(order, parts), _ASK)
-    answers = materialize(map_batches(_by_part(asked), _count(cutoff), _ANSWER), "counts")
+    answers = materialize(map_batches(_by_part(asked), _count(cutoff), _ANSWER), "counts", ANSWERS)
     stats = answers.filter("block < 0").groupBy("kind").agg(
         *[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(cutoff + 3)])
     found = {r["kind"]: list(r)[1:] for r in stats.collect()}
@@ -377,7 +382,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, block
     for k in range(2, order + 1):
         asked = map_batches(_by_block(blocks, answers), _weight_requests(order, parts, k, model), _ASK)
         answers = answers.unionByName(materialize(
-            map_batches(_by_part(asked), _add_weights, _ANSWER), "weights"))
+            map_batches(_by_part(asked), _add_weights, _ANSWER), "weights", ANSWERS))
     scored = map_batches(_by_block(blocks, answers), _score(order, model), _SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known",
                          F.lit(model["all"]).cast("long").alias("train_tokens"), "base_score", "score")

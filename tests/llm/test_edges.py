@@ -4,12 +4,15 @@ import collections
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from brute_force import jaccard_rows, substring_rows
 from pyspark.sql import functions as F
 from test_text_operators import frame, rows_of
 
-from tallyhouse.llm import common, fingerprints, jaccard_join, langid, mixing, substrings, token_counts
+from tallyhouse.llm import (common, fingerprints, jaccard_join, katz, langid, mixing, substrings,
+                            token_counts)
+from tallyhouse.session import configure
 
 TEXTS = "doc_id long, text string"
 
@@ -164,3 +167,34 @@ def test_broadcasts_are_bounded_by_bytes(spark):
     listed = narrow.select(F.split(F.repeat(F.lit("word "), 100_000), " ").alias("words"))
     assert hinted(common.bounded(narrow)) and not hinted(common.bounded(wide))
     assert not hinted(common.bounded(listed)) and not hinted(common.bounded(narrow, 100))
+
+
+def test_limits_come_from_all_texts_that_the_fit_left_out(spark):
+    """Of 400 further texts one is dear, wherever its hash puts it; two of 100 are more than stray."""
+    rows = [(f"the cat sat on mat {i} and the dog ran", "en") for i in range(401)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.learn(docs, 1)
+    plain = langid.limits(docs, model, 1)["en"]
+    dear = "zq§x vj§w " * 9
+    one = docs.unionByName(spark.createDataFrame([(dear, "en")], docs.schema))
+    assert abs(langid.limits(one, model, 1)["en"] - plain) < 0.5
+    assert langid.limits(one, model, 1, 0.0)["en"] > plain + 1
+    many = docs.limit(100).unionByName(spark.createDataFrame([(dear + c, "en") for c in "ab"], docs.schema))
+    assert langid.limits(many, model, 1)["en"] > plain + 1
+
+
+def test_large_rows_are_written_and_sent_in_small_lots(spark, monkeypatch):
+    found, materialize = {}, katz.materialize
+
+    def kept(df, label, rows=None):
+        out = materialize(df, label, rows)
+        files = [pq.ParquetFile(f.replace("file://", "")).metadata for f in out.inputFiles()]
+        found[label] = max(m.row_group(i).num_rows for m in files for i in range(m.num_row_groups))
+        return out
+
+    monkeypatch.setattr(katz, "materialize", kept)
+    monkeypatch.setattr(katz, "ANSWERS", 2)
+    docs = spark.createDataFrame([(i, f"a{i} b c{i % 9} d") for i in range(200)], "doc_id long, text string").coalesce(1)
+    assert katz.score_texts(docs, block=256, part=2048).count() == 200
+    assert found == {"blocks": 1, "counts": 2, "weights": 2}
+    assert configure(spark).conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "32m"

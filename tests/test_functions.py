@@ -182,3 +182,17 @@ def test_markdown_table(spark):
     df = spark.createDataFrame([("a|b", 1.5), ("c", 2.0)], "name string, v double").orderBy("name")
     assert display.markdown_table(df, 1) == "| name | v |\n| --- | --- |\n| a\\|b | 1.50 |"
     assert display.markdown_table(df.where("v > 9")) == display.NO_ROWS
+
+
+def test_medians_of_a_written_table_make_no_copy(spark, monkeypatch):
+    rows = [(None if i % 9 == 0 else float(i * 7919 % 10007), float(i % 3), -0.0) for i in range(5000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    there = [r[0] for r in rows if r[0] is not None]
+    expected = {"a": statistics.median(there), "b": 1.0, "c": 0.0}
+    with monkeypatch.context() as patch:
+        patch.setattr(ranks, "materialize", lambda *_: pytest.fail("a copy was made"))
+        assert ranks.exact_medians(df, ["a", "b", "c"], written=True) == expected
+        # Sketches that miss the middle ranks: digits of the values find them.
+        patch.setattr(ranks, "materialize", lambda df, label: df)
+        patch.setattr(ranks.F, "percentile_approx", lambda *_: ranks.F.array(ranks.F.lit(-2.0), ranks.F.lit(-1.0)))
+        assert ranks.exact_medians(df, ["a", "b", "c"]) == expected

@@ -132,3 +132,26 @@ def test_requests_end_to_end(spark, fact, result):
     by_case = requests.match_known(messages, {"product": sales.vocabulary(fact, "product")})
     assert by_join.select("msg_id", "product").exceptAll(by_case.select("msg_id", "product")).isEmpty()
     assert cleaning.text_columns(messages) == ["msg_id", "text"]
+
+
+def test_trees_take_a_label_column_as_one_feature(spark):
+    """One bin a column and row, however many labels there are; labels apart get values apart."""
+    train = spark.range(400).select(
+        (F.col("id") % 4 + 1.0).alias("quantity"), F.concat(F.lit("c"), F.col("id") % 40).alias("category"),
+        F.concat(F.lit("r"), F.col("id") % 3).alias("region"), (F.col("id") % 40 % 2 * 100.0).alias("sales"))
+    model = modeling.fit_forest(train, trees=1, depth=1, bootstrap=False)
+    assert model.stages[-1].numFeatures == 3
+    # The odd labels against the even ones is one split of categories, and twenty of one-hot columns.
+    assert modeling.score(model, train).where("abs(sales - prediction) > 1e-6").count() == 0
+    unseen = spark.createDataFrame([(1.0, "new", "new", 0.0)], train.schema)
+    assert modeling.score(model, unseen).first()["prediction"] in (0.0, 100.0)
+
+
+def test_trees_keep_columns_of_many_labels_one_hot(spark):
+    labels = modeling.MOST_CATEGORIES + 1
+    train = spark.range(2 * labels).select(
+        F.lit(1.0).alias("quantity"), F.concat(F.lit("c"), F.col("id") % labels).alias("category"),
+        F.lit("r").alias("region"), (F.col("id") % labels * 1.0).alias("sales"))
+    model = modeling.fit_forest(train, trees=1, depth=2, bootstrap=False)
+    assert model.stages[-1].numFeatures == 1 + labels + 1
+    assert model.stages[-1].getMaxBins() == modeling.TREE_BINS

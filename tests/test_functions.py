@@ -196,3 +196,18 @@ def test_medians_of_a_written_table_make_no_copy(spark, monkeypatch):
         patch.setattr(ranks, "materialize", lambda df, label: df)
         patch.setattr(ranks.F, "percentile_approx", lambda *_: ranks.F.array(ranks.F.lit(-2.0), ranks.F.lit(-1.0)))
         assert ranks.exact_medians(df, ["a", "b", "c"]) == expected
+
+
+def test_election_looks_at_each_text_once(spark, monkeypatch):
+    """Counts are of rows, but only distinct texts meet the expressions that tell their shape."""
+    rows = [("31/12/2024",)] * 300 + [("01/02/2024",)] * 200 + [("12/31/2024",)] * 100 + [("soon",)] * 50 + [(None,)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def shaped(text):
+        seen.add(1)
+        return "".join("9" if c.isdigit() else "a" if c.isalpha() else c for c in text)
+
+    monkeypatch.setattr(dates, "text_shape", F.udf(shaped, "string").asNondeterministic())
+    found = dates.elect_formats(spark.createDataFrame(rows, "d string"), ["d"])["d"]
+    assert (found.order, found.ambiguous, found.unparsed) == ("day", 200, 50)
+    assert seen.value == 4

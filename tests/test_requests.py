@@ -1,8 +1,10 @@
 import pytest
-from conftest import AS_OF
+from conftest import AS_OF, FOLDER
 from pyspark.sql import functions as F
 
-from tallyhouse.operators import cleaning, requests, sales
+from checks.all_queries import QUERIES
+from tallyhouse.operators import cleaning, joins, modeling, requests, sales
+from tallyhouse.sources import warehouse
 
 TERMS = {"product": ["Laptop", "Face Wash", "Wash", "Tea", "a"],
          "category": ["Electronics", "Home"], "region": ["West", "East", "North West"]}
@@ -123,3 +125,41 @@ def test_many_terms_travel_only_where_a_long_term_may_start(spark, monkeypatch):
             for m, t in texts.items()}
     assert got == want
     assert [n for label, n in written if label == "starts"] == [3]  # not every place of every text
+
+
+def test_terms_that_look_like_patterns(spark):
+    """As many terms as one pattern screens, which must not take them for patterns."""
+    terms = ["a.b", "c++", "[x]", "(y)", "a^b", "d-e", "&&", "f|g", "$h", "i\\j", "k{2}", "l?", "^m", "ab", "abc", "#n", "Q r"]
+    assert len(terms) >= requests.SCREENED_TERMS
+    texts = [*terms, "axb", "A.B", "xx abc.", "cc", "kk", "q  r", "", None, "é Q R é"]
+    vocab = spark.createDataFrame([(t,) for t in terms], "term string")
+    found = by_id(requests.match_terms(messages(spark, *texts), vocab, "term"), "term")
+    for i, text in enumerate(texts):
+        hits = [t for t in sorted(terms) if text and t.lower() in text.lower()]
+        assert found[str(i)] == (max(hits, key=len) if hits else None)
+
+
+def test_a_small_table_of_products_moves_no_message(spark):
+    matched = requests.match_known(messages(spark, *EXAMPLES), vocabularies(spark))
+    usual = spark.createDataFrame([("Laptop", "Home", 2.0, 1.0), ("Tea", None, None, 3.0)],
+                                  "product string, category string, price double, quantity double")
+    defaults = {**{c: 1.0 for c in modeling.FEATURES}, "category": "Home", "region": "West"}
+    built = requests.build_scenarios(matched, usual, defaults)
+    assert "Exchange hashpartitioning" not in built._jdf.queryExecution().executedPlan().toString()
+    assert by_id(built, "price", "quantity")["1"] == (2.0, 1.0)
+
+
+def test_a_large_one_is_joined_alike(spark, monkeypatch):
+    usual = spark.createDataFrame([("Laptop", 2.0), ("Tea", None), (None, 5.0)], "product string, price double")
+    rows = spark.createDataFrame([(1, "Tea"), (2, None), (3, "Laptop"), (4, "none"), (3, "Laptop")], "n int, product string")
+    small = sorted(map(str, joins.attach_counted(rows, usual, "product").collect()))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    assert small == sorted(map(str, joins.attach_counted(rows, usual, "product").collect()))
+
+
+@pytest.mark.parametrize("name", ["T8_score_baseline", "T9_answers"])
+def test_models_and_requests_share_the_fact(spark, monkeypatch, name):
+    made, make = [], warehouse.retail_fact
+    monkeypatch.setattr(warehouse, "retail_fact", lambda *a: made.append(1) or make(*a))
+    QUERIES[name](spark, FOLDER)
+    assert len(made) == 1

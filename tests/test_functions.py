@@ -211,3 +211,14 @@ def test_election_looks_at_each_text_once(spark, monkeypatch):
     found = dates.elect_formats(spark.createDataFrame(rows, "d string"), ["d"])["d"]
     assert (found.order, found.ambiguous, found.unparsed) == ("day", 200, 50)
     assert seen.value == 4
+
+
+def test_medians_of_few_values_are_not_counted_apart(spark, monkeypatch):
+    """Where both ends of the middle are one value, no row is grouped by value."""
+    def never(*args):
+        raise AssertionError("rows were grouped")
+
+    monkeypatch.setattr(ranks, "_between", never)
+    df = spark.range(1001).select((F.col("id") % 3).alias("a"), F.lit(0).alias("b"),
+                                  F.when(F.col("id") % 2 == 0, F.lit(2.5)).alias("c"))
+    assert ranks.exact_medians(df, ["a", "b", "c"]) == {"a": 1.0, "b": 0.0, "c": 2.5}

@@ -37,6 +37,7 @@ the best match counts, then the first by name. Rows that repeat are returned eac
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -228,12 +229,37 @@ def template_vectors(files: DataFrame, templates: dict[str, str], threshold: flo
     return materialize(vectors, "templates"), unknown, n
 
 
-def leading_terms(vectors: DataFrame) -> list[str]:
-    """Terms without any of which no unit can be as near as it takes to any template."""
+def _leading(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with ``leads``: terms without any of which no unit is as near to the template as it takes."""
     rest = Window.partitionBy("template").orderBy("unit", "term")
     below = F.sqrt(F.sum(F.col("unit") * F.col("unit")).over(rest))
-    return sorted(r[0] for r in vectors.withColumn("below", below)
-                  .filter(F.col("below") >= F.col("least") - 1e-9).select("term").distinct().collect())
+    return vectors.withColumn("leads", below >= F.col("least") - 1e-9)
+
+
+def leading_terms(vectors: DataFrame) -> list[str]:
+    """Terms without any of which no unit can be as near as it takes to any template."""
+    return sorted(r[0] for r in _leading(vectors).filter("leads").select("term").distinct().collect())
+
+
+def near_templates(terms: Column, vectors: DataFrame) -> Column:
+    """The templates (an array of structs) that a text with these known terms has enough of. They are
+    few whatever the table, so they are a constant that each text is held against where it is:
+    no row is made for a term of a text, however many texts hold one passage."""
+    book: dict[int, dict] = {}
+    for r in _leading(vectors).orderBy("template", "term").collect():
+        one = book.setdefault(r["template"], {**{c: r[c] for c in _TEMPLATE}, "leading": [], "terms": []})
+        one["terms"].append({"term": r["term"], "mass": r["unit"] ** 2})
+        one["leading"] += [r["term"]] if r["leads"] else []
+    kind = ("array<struct<template int, license string, kind string, size int, least double, "
+            "leading array<string>, terms array<struct<term string, mass double>>>>")
+    templates = F.from_json(F.lit(json.dumps(list(book.values()))), kind)
+
+    def enough(t: Column) -> Column:
+        held = F.filter(t["terms"], lambda x: F.array_contains(terms, x["term"]))
+        mass = F.aggregate(held, F.lit(0.0), lambda a, x: a + x["mass"])
+        return F.arrays_overlap(t["leading"], terms) & (mass >= t["least"] * t["least"] - 1e-6)
+
+    return F.filter(templates, enough)
 
 
 def line_matches(files: DataFrame, vectors: DataFrame, idf: DataFrame, unknown: float) -> DataFrame:
@@ -268,9 +294,9 @@ def window_matches(files: DataFrame, vectors: DataFrame, idf: DataFrame, unknown
     leading = F.array(*[F.lit(t) for t in leading_terms(vectors)])
     texts = files.select("_row", _words(F.col("text")).alias("words")).filter(
         F.arrays_overlap("words", leading))
-    near = materialize(texts.select("_row", F.explode(F.array_intersect("words", known)).alias("term"))
-                       .distinct().join(F.broadcast(parts), "term")
-                       .groupBy("_row", *_TEMPLATE).agg(mass).filter(enough).drop("mass"), "near-templates")
+    held = texts.withColumn("terms", F.array_intersect("words", known))
+    near = materialize(held.select("_row", F.explode(near_templates(F.col("terms"), vectors)).alias("t"))
+                       .select("_row", *[f"t.{c}" for c in _TEMPLATE]).distinct(), "near-templates")
     held = materialize(texts.join(near.select("_row").distinct(), "_row", "left_semi")
                        .dropDuplicates(["_row"]), "near-texts")
     # A run that starts in one cell of `size` words ends in it or in the next.

@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyhouse.llm import licenses
 
@@ -53,3 +54,21 @@ def test_whole_license_texts(spark):
                                "id long, path string, text string")
     got = {files[r.id][0]: r.license for r in licenses.scan(df).collect()}
     assert got == {n: WHOLE[n] for n, _ in files}
+
+
+def test_near_templates_are_told_in_place(spark):
+    """A text makes a row per template that it is near to, not one per term that a template has."""
+    texts = [passage("MIT"), passage("ISC"), "the software and the of a license", "roses"]
+    files = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "_row long, text string, is_license boolean")
+    vectors = licenses.template_vectors(files, licenses.TEMPLATES)[0].filter("kind = 'run'").cache()
+    words = files.select("_row", F.array_distinct(licenses._words(F.col("text"))).alias("words"))
+    got = {r[0]: sorted(t["template"] for t in r[1]) for r in words.select(
+        "_row", licenses.near_templates(F.col("words"), vectors)).collect()}
+    rows = vectors.collect()
+    for row, held in words.collect():
+        mass, least = {}, {r["template"]: r["least"] for r in rows}
+        for r in rows:
+            mass[r["template"]] = mass.get(r["template"], 0) + (r["unit"] ** 2 if r["term"] in held else 0)
+        assert got[row] == sorted(t for t, m in mass.items() if m >= least[t] ** 2 - 1e-6)
+    near = licenses.window_matches(files, vectors, vectors.groupBy("term").agg(F.max("idf").alias("idf")), 1.0)
+    assert {r["license"] for r in near.collect()} >= {"MIT", "ISC"}

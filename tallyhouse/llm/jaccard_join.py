@@ -27,6 +27,9 @@ many of them. Otherwise all sets with an empty part would share that signature.
    be alike, each node's nearest one is compared by its sets, then of those still needed its 8
    nearest, its 64 nearest, and so on, so sets travel for few more pairs than join components.
 5. Comparisons are exact (`100 * common >= SHARE * union`), by joins of the shingle sets.
+6. Pairs are found by some of the signatures at a time, told apart by their marks and compared by
+   their sets some at a time (`passes`), each time in a job of its own whose shuffles go before the
+   next one's: what one shuffles is bounded by a share of all sets, however many pairs there are.
 
 Words are runs of bytes other than U+0020 and U+0009 to U+000D after A-Z are lower-cased.
 A text of one or two words has its whole sequence as one shingle.
@@ -39,6 +42,7 @@ Rows that repeat, or share an id, are classed each by their own text.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -62,6 +66,9 @@ SPARE = 4
 GROWTH = 32
 #: Each pass of a round compares so many times as many nearest nodes of a node by their sets.
 WIDEN = 8
+#: One pass over signatures or pairs shuffles about one `PASS`-th of what all sets take, or so many
+#: shingles of 8 bytes if that is more; a row with marks takes as much as so many shingles.
+PASS, LEAST_PASS, ROW = 2, 1_000_000, 12
 _SEEN = 1_000_000
 _MARKS = [f"m{i}" for i in range(8)]
 
@@ -280,6 +287,22 @@ def shared_signatures(docs: DataFrame, words: int = WORDS, share: int = SHARE, s
             .filter("lo < hi").select("sig", "node", "n").distinct())
 
 
+def passes(shingles: int, whole: int) -> int:
+    """How many passes move what takes as much as so many shingles, if all sets have ``whole``."""
+    return max(1, -(-shingles // max(whole // PASS, LEAST_PASS)))
+
+
+def _in_passes(rows: DataFrame, key: str, number: int, run: Callable[[DataFrame], DataFrame],
+               label: str) -> DataFrame:
+    """``run`` of the rows of each pass, by a hash of their ``key``, written before the next pass."""
+    spark, done = rows.sparkSession, []
+    for i in range(number):
+        mine = rows if number == 1 else rows.filter(F.pmod(F.xxhash64(F.lit(number), key), F.lit(number)) == i)
+        done.append(settled(spark, lambda: run(mine), label))
+        forget_shuffles(spark)
+    return reduce(DataFrame.unionByName, done)
+
+
 def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS, share: int = SHARE,
                     slack: int = SLACK, second: int = SECOND) -> DataFrame | None:
     """``node, component`` for nodes with links; None if there are none."""
@@ -287,6 +310,7 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS, share
     forget_shuffles(docs.sparkSession)
     if members.isEmpty():
         return None
+    whole = found.agg(F.sum("n")).first()[0]
     nodes = members.select("node").distinct()
     # Of each node that shares a signature one text, and marks; sets only of pairs to be compared.
     texts = materialize(found.join(nodes, "node", "left_semi").groupBy("node")
@@ -307,7 +331,8 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS, share
             pairs = pairs.join(fine.select(F.col("node").alias(side), F.col("fine").alias(name)), side)
         pairs = pairs.withColumn("apart", F.greatest("apart", fine_apart(F.col("x"), F.col("y"))))
         return pairs.filter(_may_be_alike(F.col("apart"), share)).select(
-            "a", "b", "common", (F.col("apart") / (F.col("n") + F.col("pn"))).alias("far"))
+            "a", "b", "common", (F.col("apart") / (F.col("n") + F.col("pn"))).alias("far"),
+            (F.col("n") + F.col("pn")).alias("size"))
 
     def judged(pairs: DataFrame) -> DataFrame:
         """``a, b, alike`` by the shingle sets, which travel once a pair."""
@@ -315,12 +340,17 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS, share
         keys = materialize(texts.join(asked, "node", "left_semi").select("_d", "_h").distinct(), "keys")
         sized = materialize(of_texts(keys, _sets(words), "node long, items array<long>"), "sets")
         forget_shuffles(docs.sparkSession)
-        both = (pairs.select("a", "b")
-                .join(sized.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-                .join(sized.select(F.col("node").alias("b"), F.col("items").alias("y")), "b"))
         common = F.size(F.array_intersect("x", "y"))
-        return both.select("a", "b", (
-            common * 100 >= (F.size("x") + F.size("y") - common) * share).alias("alike"))
+
+        def compared(some: DataFrame) -> DataFrame:
+            both = (some.select("a", "b")
+                    .join(sized.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+                    .join(sized.select(F.col("node").alias("b"), F.col("items").alias("y")), "b"))
+            return both.select("a", "b", (
+                common * 100 >= (F.size("x") + F.size("y") - common) * share).alias("alike"))
+
+        moved = pairs.agg(F.sum("size")).first()[0] or 0
+        return _in_passes(pairs, "b", passes(moved, whole), compared, "compared")
 
     links = apart = joined = None
     first, done = 1, 0  # how many nodes of a group are compared with all others; were before
@@ -336,33 +366,52 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS, share
             if live.isEmpty():
                 return joined
         marks = [] if joined is None else _MARKS
-        ahead = (live.withColumn("rank", F.row_number().over(
-            Window.partitionBy("sig").orderBy("node"))).filter(F.col("rank") <= first)
-            .select(F.col("sig").alias("psig"), F.col("node").alias("p"), F.col("n").alias("pn"),
-                    F.col("c").alias("pc"), *[F.col(m).alias(f"p{m}") for m in marks]))
         close = ((F.least("n", "pn") * 100 >= F.greatest("n", "pn") * share)
                  & (F.col("c") != F.col("pc")))
         places = _places_apart("", "p") if marks else F.lit(0)
         if marks:  # sets cannot differ in fewer shingles than their marks differ in
             close &= _may_be_alike(places, share)
-        pairs = (live.join(ahead, (F.col("sig") == F.col("psig")) & close).withColumn("apart", places)
-                 .groupBy(F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b"))
-                 .agg(F.count("*").alias("common"), F.max("n").alias("n"), F.max("pn").alias("pn"),
-                      F.max("apart").alias("apart")))
-        if apart is not None:
-            pairs = pairs.join(apart, ["a", "b"], "left_anti")
-        if joined is None:
-            for side, name in (("a", ""), ("b", "p")):
-                pairs = pairs.join(coarse.select(
-                    F.col("node").alias(side), *[F.col(m).alias(f"{name}{m}") for m in _MARKS]), side)
-            pairs = pairs.withColumn("apart", _places_apart("", "p")).filter(
-                _may_be_alike(F.col("apart"), share)).select("a", "b", "common", "n", "pn", "apart")
-        pairs = materialize(near(pairs), "pairs")
+
+        def summed(pairs: DataFrame) -> DataFrame:
+            return pairs.groupBy("a", "b").agg(F.sum("common").alias("common"), *[
+                F.max(c).alias(c) for c in ("n", "pn", "apart")])
+
+        def met(some: DataFrame) -> DataFrame:
+            """The first nodes of each signature with all others."""
+            ahead = (some.withColumn("rank", F.row_number().over(
+                Window.partitionBy("sig").orderBy("node"))).filter(F.col("rank") <= first)
+                .select(F.col("sig").alias("psig"), F.col("node").alias("p"), F.col("n").alias("pn"),
+                        F.col("c").alias("pc"), *[F.col(m).alias(f"p{m}") for m in marks]))
+            return summed(some.join(ahead, (F.col("sig") == F.col("psig")) & close).select(
+                F.greatest("node", "p").alias("a"), F.least("node", "p").alias("b"),
+                F.lit(1).alias("common"), "n", "pn", places.alias("apart")))
+
+        def told_apart(some: DataFrame) -> DataFrame:
+            """Those that marks leave, and that were not compared before."""
+            some = summed(some)
+            if apart is not None:
+                some = some.join(apart, ["a", "b"], "left_anti")
+            if not marks:
+                for side, name in (("a", ""), ("b", "p")):
+                    some = some.join(coarse.select(
+                        F.col("node").alias(side), *[F.col(m).alias(f"{name}{m}") for m in _MARKS]), side)
+                some = some.withColumn("apart", _places_apart("", "p")).filter(
+                    _may_be_alike(F.col("apart"), share)).select("a", "b", "common", "n", "pn", "apart")
+            return near(some)
+
+        def new_pairs() -> DataFrame:
+            number = passes(live.count() * (ROW if marks else 2), whole)
+            pairs = _in_passes(live, "sig", number, met, "met")
+            # A pair travels with the fine marks of one of its nodes: a bit a shingle.
+            moved = pairs.agg(F.sum((F.col("n") + F.col("pn")) / 128 + ROW / 3)).first()[0] or 0
+            return _in_passes(pairs, "a", passes(int(moved), whole), told_apart, "told-apart")
+
+        pairs = settled(docs.sparkSession, new_pairs, "pairs")
         best = [F.desc("common"), "b"] if joined is None else ["far", "b"]
         width = 1
         while not pairs.isEmpty():
             ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(*best)))
-            chosen = materialize(ranked.filter(F.col("rank") <= width).select("a", "b"), "chosen")
+            chosen = materialize(ranked.filter(F.col("rank") <= width).select("a", "b", "size"), "chosen")
             forget_shuffles(docs.sparkSession)
             told = settled(docs.sparkSession, lambda: judged(chosen), "judged")
             new = told.filter("alike").select("a", "b")
@@ -373,10 +422,10 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS, share
                 joined = components(links, "components")
             if first == 1:  # to begin with, each node's most promising pair
                 break
-            pairs = pairs.join(chosen, ["a", "b"], "left_anti")
+            pairs = pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
             for side in ("a", "b"):
                 pairs = _with_component(pairs, joined, side, f"c{side}")
-            pairs = materialize(pairs.filter("ca <> cb").select("a", "b", "common", "far"), "pairs")
+            pairs = materialize(pairs.filter("ca <> cb").select("a", "b", "common", "far", "size"), "pairs")
             width *= WIDEN
         if joined is None:
             links = pairs.select("a", "b")

@@ -142,6 +142,28 @@ def test_long_texts_that_share_much_are_judged_by_few_sets(spark, monkeypatch):
     assert 0 < sum(pairs) < 24 * 23 / 2 / 2
 
 
+def test_jaccard_in_several_passes(spark, monkeypatch):
+    """What one job shuffles is bounded: signatures and pairs take several, with the same links."""
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(14):
+        words = list(base)
+        for j in range(4 * i, 4 * i + 5):
+            words[j % 120] = f"x{i}y{j}"
+        rows.append((i, " ".join(words)))
+    made, settled = [], jaccard_join.settled
+
+    def counted(spark, make, label):
+        made.append(label)
+        return settled(spark, make, label)
+
+    monkeypatch.setattr(jaccard_join, "settled", counted)
+    monkeypatch.setattr(jaccard_join, "LEAST_PASS", 700)
+    monkeypatch.setattr(jaccard_join, "PASS", 2)
+    got = rows_of(jaccard_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80))
+    assert got == jaccard_rows(rows, 80, 3)
+    assert made.count("met") > made.count("pairs") and made.count("compared") > made.count("judged")
+
+
 def test_one_of_each(spark, odd):
     docs = frame(spark, odd)
     out = jaccard_join.one_of_each(docs)

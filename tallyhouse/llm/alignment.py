@@ -59,11 +59,15 @@ _PRE_TOKEN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _BEYOND = regex.compile(r"[^\x00-\u024F]")
-_WORD = regex.compile(r" \p{L}+")
 #: Pre-tokens whose ids a task keeps.
 _KEPT = 400_000
 
 
+def is_word(pre_token: str) -> bool:
+    """Whether it is a space and letters."""
+    return pre_token[0] == " " and pre_token[1:].isalpha()
+
+
 class ByteTokenizer:
     """A: a byte-level tokenizer file of the ``tokenizers`` library.
 
@@ -92,8 +96,9 @@ class ByteTokenizer:
     def _learn(self, new: set[str]) -> None:
         """Words after a space are encoded as one text, in which they stay pre-tokens, and told
         apart by their bytes; others one by one."""
-        words = [p for p in new if _WORD.fullmatch(p)]
-        others = [p for p in new if not _WORD.fullmatch(p)]
+        words, others = [], []
+        for p in new:
+            (words if is_word(p) else others).append(p)
         self.kept.update(zip(others, self._library(others)))
         if words:
             ids = self._library(["".join(words)])[0]
@@ -105,11 +110,11 @@ class ByteTokenizer:
         texts = [" " + t for t in texts]
         if not self.plain:
             return self._library(texts)
-        cut = [None if _BEYOND.search(t) else _PRE_TOKEN.findall(t) for t in texts]
+        cut = [_PRE_TOKEN.findall(t) if t.isascii() or not _BEYOND.search(t) else None for t in texts]
         whole = iter(self._library([t for t, c in zip(texts, cut) if c is None]))
         if len(self.kept) > _KEPT:
             self.kept.clear()
-        self._learn({p for c in cut if c is not None for p in c}.difference(self.kept))
+        self._learn(set(chain.from_iterable(c for c in cut if c is not None)).difference(self.kept))
         return [next(whole) if c is None else list(chain.from_iterable(map(self.kept.__getitem__, c)))
                 for c in cut]
 
@@ -222,8 +227,8 @@ def _align(load_a: Callable, load_b: Callable, lane: int, keep: bool):
                 ids_a, ids_b = tokenizer_a.encode(mine), tokenizer_b.encode(mine)
                 for i, text in enumerate(texts[part]):
                     want = b" " + text
-                    if (not text or b"".join([entries_a[x] for x in ids_a[i]]) != want
-                            or b"".join([entries_b[x] for x in ids_b[i]]) != want):
+                    if (not text or b"".join(map(entries_a.__getitem__, ids_a[i])) != want
+                            or b"".join(map(entries_b.__getitem__, ids_b[i])) != want):
                         ids_a[i], ids_b[i] = [], []
                 flat_a, starts_a, ends_a = _flat(ids_a, long_a)
                 flat_b, starts_b, ends_b = _flat(ids_b, long_b)

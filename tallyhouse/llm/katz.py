@@ -27,6 +27,9 @@ that up, and each block gets the sums of its histories back. Histories of one bl
 exchange. Then each block evaluates its distinct n-grams from the single words up, and
 sums up its texts.
 
+Arrays travel packed (`pack`): sorted hashes as the gaps between them, and all numbers byte by byte,
+the lowest bytes of all first, without those that are zero in all; compression then finds the zeros.
+
 Blocks and answers are large rows, so they are written in row groups of one block, or `ANSWERS`
 answers; tasks get them in batches of bounded bytes, and never hold all blocks of a partition.
 
@@ -67,15 +70,45 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WEIGHTS = 100  # added to the order in the kind of a row with sums of weights
 
 _BODY = "block long, kind int, part long, ids array<long>, held array<boolean>, sizes array<long>, " \
-        "keys array<long>, seq array<int>"
-_ASK = "kind int, part long, block long, keys array<long>, n array<long>, left array<double>, low array<double>"
-_ANSWER = "block long, kind int, part long, n array<long>, left array<double>, low array<double>"
+        "keys binary, seq binary"
+_ASK = "kind int, part long, block long, keys binary, n binary, left binary, low binary"
+_ANSWER = "block long, kind int, part long, n binary, left binary, low binary"
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == FOLD, F.lit(False))
 
 
+def pack(values: np.ndarray) -> bytes:
+    """64-bit numbers as the number of bytes that the largest needs, then the first byte of all,
+    the second of all, and so on."""
+    values = np.ascontiguousarray(values).view(np.uint64)
+    width = max((int(values.max()) if len(values) else 0).bit_length() + 7 >> 3, 1)
+    planes = values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + planes.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Numbers in order, as the first one and the gaps between them."""
+    return pack(np.diff(keys, prepend=np.zeros(1, np.uint64)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
+def _one(*values: bytes) -> list[pa.Array]:
+    return [pa.array([v], pa.binary()) for v in values]
+
+
 def _lists(*values) -> list[pa.Array]:
     """Each array as the only entry of a list column."""
     return [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array)
@@ -101,7 +134,7 @@ def _blocks(most: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number]), pa.array([0], pa.int32()), pa.array([0], pa.int64()),
                      *_lists(batch.column("doc_id").slice(part.start, n), batch.column("held").slice(part.start, n),
-                             sizes, keys.view(np.int64), seq.astype(np.int32))],
+                             sizes), *_one(pack_sorted(keys), pack(seq.astype(np.int64)))],
                     [c.split()[0] for c in _BODY.split(", ")])
                 number += 1
 
@@ -155,10 +188,10 @@ def _requests(keys: np.ndarray, parts: int, kind: int, block: int, n=None, left=
     edges = np.flatnonzero(np.diff(part)) + 1 if len(part) else part
     for x, y in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)]):
         if x < y:
-            none = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([kind], pa.int32()), pa.array([int(part[x])], pa.int64()), pa.array([block], pa.int64()),
-                 *_lists(keys[x:y].view(np.int64), *[e if v is None else v[x:y] for v, e in zip((n, left, low), none)])],
+                 *_one(pack_sorted(keys[x:y]), b"" if n is None else pack(n[x:y]),
+                       *[b"" if v is None else pack(v[x:y]) for v in (left, low)])],
                 [c.split()[0] for c in _ASK.split(", ")])
 
 
@@ -166,9 +199,17 @@ def _array(value) -> np.ndarray:
     return value.values.to_numpy(zero_copy_only=False)
 
 
+def _bytes(value) -> memoryview:
+    return memoryview(value.as_buffer())
+
+
+def _doubles(value) -> np.ndarray:
+    return unpack(_bytes(value)).view(np.float64)
+
+
 def _body(row: dict, order: int) -> Block:
-    return Block(order, _array(row["sizes"]), _array(row["keys"]).view(np.uint64), _array(row["seq"]),
-                 _array(row["held"]))
+    return Block(order, _array(row["sizes"]), unpack_sorted(_bytes(row["keys"])),
+                 unpack(_bytes(row["seq"])).view(np.int64), _array(row["held"]))
 
 
 def _count_requests(order: int, parts: int):
@@ -199,13 +240,12 @@ def _groups(batches: Iterator[pa.RecordBatch], *by: str) -> Iterator[tuple[tuple
         yield key, rows
 
 
-def _answers(kind, part, rows, values: dict) -> Iterator[pa.RecordBatch]:
-    ends = np.cumsum([len(r["keys"]) for r in rows]).tolist()
-    empty = {"n": np.zeros(0, np.int64), "left": np.zeros(0), "low": np.zeros(0)}
+def _answers(kind, part, rows, sizes: list[int], values: dict) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum(sizes).tolist()
     for row, x, y in zip(rows, [0, *ends[:-1]], ends):
         yield pa.RecordBatch.from_arrays(
             [pa.array([row["block"].as_py()], pa.int64()), pa.array([kind], pa.int32()), pa.array([part], pa.int64()),
-             *_lists(*[values[c][x:y] if c in values else empty[c] for c in empty])],
+             *_one(*[pack(values[c][x:y]) if c in values else b"" for c in ("n", "left", "low")])],
             [c.split()[0] for c in _ANSWER.split(", ")])
 
 
@@ -216,17 +256,18 @@ def _count(cutoff: int):
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (kind, part), rows in _groups(batches, "kind", "part"):
-            keys = np.concatenate([_array(r["keys"]) for r in rows]).view(np.uint64)
-            n = np.concatenate([_array(r["n"]) for r in rows])
+            asked = [unpack_sorted(_bytes(r["keys"])) for r in rows]
+            keys, sizes = np.concatenate(asked), list(map(len, asked))
+            n = np.concatenate([unpack(_bytes(r["n"])) for r in rows])
             distinct, first, place, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
             total = np.bincount(place, n, len(distinct)).astype(np.int64)
             answer = 4 * total[place] + 2 * (times == 1)[place]
             answer[first] += 1
-            yield from _answers(kind, part, rows, {"n": answer})
+            yield from _answers(kind, part, rows, sizes, {"n": answer})
             real = total[(distinct != _START) & (total > 0)] if kind == 1 else total[total > 0]
             stats = [*np.bincount(np.minimum(real, cutoff + 2), minlength=cutoff + 3)[1: cutoff + 2],
                      len(real), real.sum()]
-            yield from _answers(kind, part, [{"block": pa.scalar(-1), "keys": stats}], {"n": np.array(stats, np.int64)})
+            yield from _answers(kind, part, [{"block": pa.scalar(-1)}], [len(stats)], {"n": np.array(stats, np.int64)})
 
     return run
 
@@ -253,9 +294,10 @@ class Evaluation:
         self.block, self.model = block, model
         self.total, self.alone, self.first = {}, {}, {}
         for k in range(1, order + 1):
-            answer = np.concatenate([_array(r["n"]) for r in rows if r["kind"].as_py() == k] or [np.zeros(0, np.int64)])
+            answer = np.concatenate([unpack(_bytes(r["n"])).view(np.int64) for r in rows if r["kind"].as_py() == k]
+                                    or [np.zeros(0, np.int64)])
             self.total[k], self.alone[k], self.first[k] = answer >> 2, answer & 2 > 0, answer & 1 > 0
-        self.sent = {k: [np.concatenate([_array(r[c]) for r in rows if r["kind"].as_py() == _WEIGHTS + k] or [np.zeros(0)])
+        self.sent = {k: [np.concatenate([_doubles(r[c]) for r in rows if r["kind"].as_py() == _WEIGHTS + k] or [np.zeros(0)])
                          for c in ("left", "low")] for k in range(2, order + 1)}
         self.p = {1: self._words()}
 
@@ -315,11 +357,11 @@ def _weight_requests(order: int, parts: int, k: int, model: dict):
 
 def _add_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (kind, part), rows in _groups(batches, "kind", "part"):
-        keys = np.concatenate([_array(r["keys"]) for r in rows])
-        distinct, place = np.unique(keys, return_inverse=True)
-        sums = {c: _summed(place, np.concatenate([_array(r[c]) for r in rows]), len(distinct))[place]
+        asked = [unpack_sorted(_bytes(r["keys"])) for r in rows]
+        distinct, place = np.unique(np.concatenate(asked), return_inverse=True)
+        sums = {c: _summed(place, np.concatenate([_doubles(r[c]) for r in rows]), len(distinct))[place]
                 for c in ("left", "low")}
-        yield from _answers(kind, part, rows, sums)
+        yield from _answers(kind, part, rows, list(map(len, asked)), sums)
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -348,6 +390,12 @@ def _score(order: int, model: dict):
     return run
 
 
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(
+            [unpack(n).view(np.int64) for n in batch.column("n").to_pylist()], pa.list_(pa.int64()))], ["kind", "n"])
+
+
 def _by_part(requests: DataFrame) -> DataFrame:
     return requests.repartition("kind", "part").sortWithinPartitions("kind", "part", "block")
 
@@ -368,8 +416,8 @@ def score_texts(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, block
     blocks = materialize(map_batches(rows, _blocks(block), _BODY), "blocks", 1)
     asked = map_batches(blocks, _count_requests(order, parts), _ASK)
     answers = materialize(map_batches(_by_part(asked), _count(cutoff), _ANSWER), "counts", ANSWERS)
-    stats = answers.filter("block < 0").groupBy("kind").agg(
-        *[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(cutoff + 3)])
+    stats = map_batches(answers.filter("block < 0").select("kind", "n"), _numbers, "kind int, n array<long>")
+    stats = stats.groupBy("kind").agg(*[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(cutoff + 3)])
     found = {r["kind"]: list(r)[1:] for r in stats.collect()}
     none = [0] * (cutoff + 3)
     model = {"d": {k: discounts(found.get(k, none)[: cutoff + 1]) for k in range(1, order + 1)}}

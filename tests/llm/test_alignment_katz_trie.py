@@ -205,3 +205,27 @@ def test_registered_tables_are_whole(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = in_order([tuple(r) for r in docs.select("doc_id", "text").collect()])
     _near(rows_of(QUERIES["op12_katz_score"](spark, folder), *COLUMNS), score_rows(rows, katz.ORDER, _held))
+
+
+@pytest.mark.parametrize("values", [[], [0], [0, 0, 7], [255, 256, 1 << 40], [1, (1 << 64) - 1]])
+def test_katz_packs_numbers(values):
+    numbers = np.array(values, np.uint64)
+    assert katz.unpack(katz.pack(numbers)).tolist() == values
+    assert katz.unpack_sorted(katz.pack_sorted(numbers)).tolist() == values
+
+
+def test_katz_packs_small():
+    """Sorted hashes take their gaps only, counts a byte or two: what blocks and parts exchange."""
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 64, 100_000, np.uint64))
+    assert len(katz.pack_sorted(keys)) <= 7 * len(keys) + 1
+    assert len(katz.pack(np.full(100_000, 300))) == 200_001
+    assert {"keys binary", "n binary"} <= {c.strip() for c in katz._ASK.split(",")}
+
+
+def test_alignment_tells_words_as_its_pre_tokens_do():
+    """Every character that pre-tokens are cut by here: a space and letters, and nothing else."""
+    letters = alignment.regex.compile(r" \p{L}+")
+    for c in map(chr, range(0x250)):
+        for p in (c, " " + c, " a" + c, "a" + c, " " + c + "b"):
+            assert alignment.is_word(p) == bool(letters.fullmatch(p)), ascii(p)
+    assert not alignment.is_word(" ")

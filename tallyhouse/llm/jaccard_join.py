@@ -42,7 +42,6 @@ Rows that repeat, or share an id, are classed each by their own text.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -53,7 +52,7 @@ from pyspark.sql import functions as F
 from tallyhouse.llm.common import (bounded, byte_texts, components, map_batches, marked, mix, pick,
                                    place, real_id, row_key, shingles, slices, split_by_key,
                                    unhide, words_of)
-from tallyhouse.session import forget_shuffles, materialize, settled
+from tallyhouse.session import forget_shuffles, in_passes, materialize, settled
 
 WORDS = 3
 #: Percent of the union that two sets must have in common.
@@ -292,17 +291,6 @@ def passes(shingles: int, whole: int) -> int:
     return max(1, -(-shingles // max(whole // PASS, LEAST_PASS)))
 
 
-def _in_passes(rows: DataFrame, key: str, number: int, run: Callable[[DataFrame], DataFrame],
-               label: str) -> DataFrame:
-    """``run`` of the rows of each pass, by a hash of their ``key``, written before the next pass."""
-    spark, done = rows.sparkSession, []
-    for i in range(number):
-        mine = rows if number == 1 else rows.filter(F.pmod(F.xxhash64(F.lit(number), key), F.lit(number)) == i)
-        done.append(settled(spark, lambda: run(mine), label))
-        forget_shuffles(spark)
-    return reduce(DataFrame.unionByName, done)
-
-
 def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS, share: int = SHARE,
                     slack: int = SLACK, second: int = SECOND) -> DataFrame | None:
     """``node, component`` for nodes with links; None if there are none."""
@@ -350,7 +338,7 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS, share
                 common * 100 >= (F.size("x") + F.size("y") - common) * share).alias("alike"))
 
         moved = pairs.agg(F.sum("size")).first()[0] or 0
-        return _in_passes(pairs, "b", passes(moved, whole), compared, "compared")
+        return in_passes(pairs, "b", passes(moved, whole), compared, "compared")
 
     links = apart = joined = None
     first, done = 1, 0  # how many nodes of a group are compared with all others; were before
@@ -401,12 +389,12 @@ def node_components(docs: DataFrame, found: DataFrame, words: int = WORDS, share
 
         def new_pairs() -> DataFrame:
             number = passes(live.count() * (ROW if marks else 2), whole)
-            pairs = _in_passes(live, "sig", number, met, "met")
+            pairs = in_passes(live, "sig", number, met, "met")
             # A pair travels with the fine marks of one of its nodes: a bit a shingle.
             moved = pairs.agg(F.sum((F.col("n") + F.col("pn")) / 128 + ROW / 3)).first()[0] or 0
-            return _in_passes(pairs, "a", passes(int(moved), whole), told_apart, "told-apart")
+            return in_passes(pairs, "a", passes(int(moved), whole), told_apart, "told-apart")
 
-        pairs = settled(docs.sparkSession, new_pairs, "pairs")
+        pairs = in_passes(live, "sig", 1, lambda _: new_pairs(), "pairs")
         best = [F.desc("common"), "b"] if joined is None else ["far", "b"]
         width = 1
         while not pairs.isEmpty():

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tallyhouse import session
 from tallyhouse.llm import (common, decontaminate, fingerprints, jaccard_join, langid, licenses,
                             mixing, substrings, token_counts, url_filter, warc)
 
@@ -150,12 +151,13 @@ def test_jaccard_in_several_passes(spark, monkeypatch):
         for j in range(4 * i, 4 * i + 5):
             words[j % 120] = f"x{i}y{j}"
         rows.append((i, " ".join(words)))
-    made, settled = [], jaccard_join.settled
+    made, settled = [], session.settled
 
     def counted(spark, make, label):
         made.append(label)
         return settled(spark, make, label)
 
+    monkeypatch.setattr(session, "settled", counted)
     monkeypatch.setattr(jaccard_join, "settled", counted)
     monkeypatch.setattr(jaccard_join, "LEAST_PASS", 700)
     monkeypatch.setattr(jaccard_join, "PASS", 2)
